@@ -1,4 +1,4 @@
 """Registered queries. Importing the package registers them."""
 
-from recollect.plans import retrieval  # noqa: F401
+from recollect.plans import graphs, lookup, retrieval  # noqa: F401
 from recollect.plans.registry import ORACLES, QUERIES  # noqa: F401
