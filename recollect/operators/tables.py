@@ -25,9 +25,8 @@ def resolve_ids(keys: DataFrame, table: DataFrame, id_col: str = "id", key_col:
     keys = keys.select(F.col(key_col).cast("string").alias("key")).where(F.col("key") != "").distinct()
     ids = table.select(F.col(id_col).cast("string").alias("id"))
     lengths = keys.agg(F.sort_array(F.collect_set(F.length("key")))).scalar()
-    prefixes = ids.select(
-        "id", F.explode(F.filter(lengths, lambda n: n <= F.length("id"))).alias("_n")
-    ).select(F.substring("id", F.lit(1), F.col("_n")).alias("key"), "id")
+    sized = ids.select("id", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("id"))
+    prefixes = sized.select(F.substring("id", F.lit(1), F.col("_n")).alias("key"), "id")
     # An id equal to the key is the shortest one with that prefix, so it is also the smallest.
     found = prefixes.join(keys, "key", "left_semi")
     return found.groupBy("key").agg(F.min("id").alias("id"))

@@ -15,7 +15,8 @@ def read_vectors(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
         return spark.read.parquet(path)
     if fmt == "json":
         return spark.read.schema("id string, embedding array<float>").json(path)
-    raw = spark.read.schema(schemas.VECTOR_SNAPSHOT).json(path, multiLine=True)
+    # A snapshot is one object over many lines ("document") or, as written here, one object per line ("snapshot").
+    raw = spark.read.schema(schemas.VECTOR_SNAPSHOT).json(path, multiLine=fmt == "document")
     return raw.select(F.explode("vectors").alias("id", "embedding"))
 
 
@@ -49,9 +50,9 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(*[spark.read.parquet(f"{path}/{name}") for name in Graph._fields])
 
 
-def read_graph_snapshot(spark: SparkSession, path: str) -> Graph:
+def read_graph_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> Graph:
     """Graph tables from JSON documents holding entities, relations and the link maps."""
-    raw = spark.read.schema(schemas.GRAPH_SNAPSHOT).json(path, multiLine=True)
+    raw = spark.read.schema(schemas.GRAPH_SNAPSHOT).json(path, multiLine=multi_line)
     entities = raw.select(F.inline("entities")).select(F.col("id").alias("entity_id"), "name", "type")
     relations = raw.select(F.inline("relations")).select(
         F.col("subjectId").alias("src"), "predicate", F.col("objectId").alias("dst"), F.col("memoryId").alias("memory_id")
