@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound once; inside a lambda an outer expression would run again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank(c: str | Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(col(c), r"\s+", " ")) == "", F.lit(True))
 

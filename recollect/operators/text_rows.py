@@ -156,39 +156,41 @@ def dictionary_array(text: str | Column, terms: list[tuple[str, str, int]] | Non
     """
     terms = terms or lexicon.dictionary()
     lower = F.lower(F.coalesce(X.col(text), F.lit("")))
-    found_words = F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9_]+"), F.lit(0)))
 
-    def rows(chosen):
-        return F.array(*[
-            F.struct(
-                F.lit(-len(n)).alias("order"), F.lit(i).alias("at"), F.lit(n.lower()).alias("term"),
-                F.lit(n).alias("name"), F.lit(t).alias("type"),
-            )
-            for n, t, i in chosen
-        ])
+    def row(n: str, t: str, i: int) -> Column:
+        return F.struct(
+            F.lit(-len(n)).alias("order"), F.lit(i).alias("at"), F.lit(n.lower()).alias("term"), F.lit(n).alias("name"),
+            F.lit(t).alias("type"),
+        )
 
     wordlike = [x for x in terms if lexicon.needs_boundary(x[0]) and x[0].replace("_", "a").isalnum()]
     signs = [x for x in terms if lexicon.needs_boundary(x[0]) and x not in wordlike]
     plain = [x for x in terms if x not in wordlike and x not in signs]
-    parts = []
-    if plain:
-        parts.append(F.filter(rows(plain), lambda e: F.contains(lower, e["term"])))
-    if wordlike:
-        parts.append(F.filter(rows(wordlike), lambda e: F.array_contains(found_words, e["term"])))
-    for x in signs:
-        pattern = rf"(?<!\w)\Q{x[0].lower()}\E(?!\w)"
-        parts.append(F.when(lower.rlike(pattern), rows([x])).otherwise(F.slice(rows([x]), 1, 0)))
-    found = F.array_sort(F.concat(*parts))
-    return F.transform(found, lambda e: _entity(e["name"], e["type"]))
+
+    def find(low: Column) -> Column:
+        parts = []
+        if plain:
+            parts.append(F.filter(F.array(*[row(*x) for x in plain]), lambda e: F.contains(low, e["term"])))
+        if wordlike:
+            by_term = F.create_map(*[c for x in wordlike for c in (F.lit(x[0].lower()), row(*x))])
+            short = F.array_intersect(
+                F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), F.array(*[F.lit(x[0].lower()) for x in wordlike])
+            )
+            parts.append(F.transform(short, lambda w: by_term[w]))
+        for x in signs:
+            pattern = rf"(?<!\w)\Q{x[0].lower()}\E(?!\w)"
+            parts.append(F.when(low.rlike(pattern), F.array(row(*x))).otherwise(F.slice(F.array(row(*x)), 1, 0)))
+        return F.array_sort(F.concat(*parts))
+
+    return F.transform(X.let(lower, find), lambda e: _entity(e["name"], e["type"]))
 
 
 def pattern_array(text: str | Column) -> Column:
     """Capitalised names typed by their surroundings, then versions, then dates, each once."""
     source = F.coalesce(X.col(text), F.lit(""))
-    lower = F.lower(source)
     known = [n for n, _, _ in lexicon.dictionary()]
 
-    def typed(name: Column) -> Column:
+    def typed(lower: Column, name: Column) -> Column:
         at = F.instr(lower, F.lower(name))
         start = F.greatest(at - 40, F.lit(1))
         near = F.substring(lower, start, at + F.length(name) + 40 - start)
@@ -204,7 +206,7 @@ def pattern_array(text: str | Column) -> Column:
     versions = F.regexp_extract_all(source, F.lit(_VERSIONS), F.lit(0))
     dates = F.regexp_extract_all(source, F.lit(_DATES), F.lit(0))
     return F.array_distinct(F.concat(
-        F.transform(F.array_distinct(names), typed),
+        X.let(F.lower(source), lambda low: F.transform(F.array_distinct(names), lambda n: typed(low, n))),
         F.transform(versions, lambda v: _entity(v, F.lit("tool"))),
         F.transform(dates, lambda d: _entity(d, F.lit("date"))),
     ))
@@ -265,21 +267,28 @@ def _position(lower: Column, name: Column) -> Column:
 
 def _predicate(sentence: Column, a: Column, b: Column) -> Column:
     """Relation of two names by the text between them and 60 characters around."""
-    lower = F.lower(sentence)
-    at_a, at_b = _position(lower, a), _position(lower, b)
-    start = F.greatest(F.least(at_a, at_b) - 60, F.lit(1))
-    end = F.greatest(at_a, at_b) + F.greatest(F.length(a), F.length(b)) + 60
-    near = F.substring(lower, start, end - start)
-    la, lb = F.lower(a), F.lower(b)
-    kind_of = (
-        _any(near, [F.concat(la, F.lit(c)) for c in lexicon.IS_A_AFTER_FIRST])
-        | _any(near, lexicon.IS_A_ANYWHERE)
-        | _any(near, [F.concat(lb, F.lit(c)) for c in lexicon.IS_A_AFTER_SECOND])
-    )
-    out = F.when(kind_of, "IS_A")
-    for label, cues in lexicon.RELATION_CUES:
-        out = out.when(_any(near, cues), label)
-    return out.otherwise("CO_OCCURS_WITH")
+    def window(low: Column, at: Column) -> Column:
+        start = F.greatest(F.least(at["a"], at["b"]) - 60, F.lit(1))
+        end = F.greatest(at["a"], at["b"]) + F.greatest(F.length(a), F.length(b)) + 60
+        return F.substring(low, start, end - start)
+
+    def decide(near: Column) -> Column:
+        la, lb = F.lower(a), F.lower(b)
+        kind_of = (
+            _any(near, [F.concat(la, F.lit(c)) for c in lexicon.IS_A_AFTER_FIRST])
+            | _any(near, lexicon.IS_A_ANYWHERE)
+            | _any(near, [F.concat(lb, F.lit(c)) for c in lexicon.IS_A_AFTER_SECOND])
+        )
+        out = F.when(kind_of, "IS_A")
+        for label, cues in lexicon.RELATION_CUES:
+            out = out.when(_any(near, cues), label)
+        return out.otherwise("CO_OCCURS_WITH")
+
+    def place(low: Column) -> Column:
+        return F.struct(_position(low, a).alias("a"), _position(low, b).alias("b"))
+
+    near = X.let(F.lower(sentence), lambda low: X.let(place(low), lambda at: window(low, at)))
+    return X.let(near, decide)
 
 
 def extract_relations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,33 +296,33 @@ def extract_relations(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     The first occurrence of a pair of names decides. A pair is emitted in the order of the entity list.
     """
-    listed = docs.select(key, sentences(text).alias("ss"), entity_array(text).alias("es")).where(F.size("es") > 1)
-    # Only sentences that hold an entity matter, but they keep their number for the neighbour test.
-    spread = listed.select(key, "es", F.posexplode("ss").alias("no", "s"))
-    inside = spread.select(
-        key, "no", "s",
-        F.filter(
-            F.transform("es", lambda e, i: F.struct(i.alias("i"), e["name"].alias("name"), e["type"].alias("type"))),
-            lambda e: _holds(F.lower("s"), e["name"]),
-        ).alias("es"),
-    ).where(F.size("es") > 0)
-
-    a_rows = inside.select(key, "no", "s", "es", F.explode("es").alias("a"))
-    same = a_rows.select(key, "no", "s", "a", F.explode("es").alias("b")).where(
-        (F.col("a.i") < F.col("b.i")) & (F.col("a.name") != F.col("b.name"))
+    # Explode keeps the costly arrays from being computed again in every later step.
+    listed = docs.select(key, text, F.explode(F.array(entity_array(text))).alias("es")).where(F.size("es") > 1)
+    numbered = F.transform("es", lambda e, i: F.struct(i.alias("i"), e["name"].alias("name"), e["type"].alias("type")))
+    lowered = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("l")))
+    held = listed.select(key, numbered.alias("es"), lowered.alias("ss")).select(key, F.transform("ss", lambda s: F.struct(
+        s["s"].alias("s"), F.filter("es", lambda e: _holds(s["l"], e["name"])).alias("es")
+    )).alias("ss"))
+    # Each sentence with the one after it, inside the document's own row.
+    spread = held.select(key, F.posexplode(F.arrays_zip(
+        F.col("ss").alias("cur"), F.slice("ss", F.lit(2), F.size("ss")).alias("nxt")
+    )).alias("no", "z")).select(key, "no", "z.cur.s", F.col("z.cur.es").alias("here"), F.col("z.nxt.es").alias("after"))
+    a_rows = spread.where(F.size("here") > 0).select(key, "no", "s", "here", "after", F.explode("here").alias("a"))
+    none = F.array().cast(a_rows.schema["here"].dataType)
+    b_rows = F.concat(
+        F.transform("here", lambda e: F.struct(F.lit(0).alias("kind"), e.alias("e"))),
+        F.transform(F.coalesce("after", none), lambda e: F.struct(F.lit(1).alias("kind"), e.alias("e"))),
     )
-    same = same.select(
-        key, F.lit(0).alias("kind"), "no", "a", "b", _predicate(F.col("s"), F.col("a.name"), F.col("b.name")).alias("p")
+    both = a_rows.select(key, "no", "s", "a", F.explode(b_rows).alias("b")).where(
+        (F.col("a.name") != F.col("b.e.name")) & ((F.col("b.kind") == 1) | (F.col("a.i") < F.col("b.e.i")))
     )
-    left = inside.select(key, "no", F.explode("es").alias("a"))
-    right = inside.select(key, (F.col("no") - 1).alias("no"), F.explode("es").alias("b"))
-    near = left.join(right, [key, "no"]).where(F.col("a.name") != F.col("b.name"))
-    near = near.select(key, F.lit(1).alias("kind"), "no", "a", "b", F.lit("RELATED_TO").alias("p"))
+    predicate = F.when(F.col("b.kind") == 1, "RELATED_TO").otherwise(_predicate(F.col("s"), F.col("a.name"), F.col("b.e.name")))
+    found = both.select(key, "b.kind", "no", "a", F.col("b.e").alias("other"), predicate.alias("p"))
 
-    pairs = same.unionByName(near).groupBy(key, F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
+    pairs = found.groupBy(key, F.col("a.name").alias("src"), F.col("other.name").alias("dst"))
     first = pairs.agg(
-        F.min(F.struct("kind", "no", F.col("a.i").alias("ai"), F.col("b.i").alias("bi"), "p",
-                       F.col("a.type").alias("at"), F.col("b.type").alias("bt"))).alias("m")
+        F.min(F.struct("kind", "no", F.col("a.i").alias("ai"), F.col("other.i").alias("bi"), "p",
+                       F.col("a.type").alias("at"), F.col("other.type").alias("bt"))).alias("m")
     )
     return first.select(
         key, "src", F.col("m.at").alias("src_type"), F.col("m.p").alias("predicate"), "dst", F.col("m.bt").alias("dst_type")
@@ -396,10 +405,8 @@ def extract_tasks(df: DataFrame, key: str, col: str) -> DataFrame:
     text = F.col("_c")
     braces = _outer(text, "{", "}")
     brackets = _outer(text, "[", "]")
-    wrapped = F.from_json(F.when(F.try_parse_json(braces).isNotNull(), braces), f"tasks {_TASKS}")["tasks"]
-    bare = F.when(
-        F.try_parse_json(braces).isNull() & F.try_parse_json(brackets).isNotNull(), F.from_json(brackets, _TASKS)
-    )
+    wrapped = F.from_json(F.when(_one_json(braces), braces), f"tasks {_TASKS}")["tasks"]
+    bare = F.when(~_one_json(braces) & _one_json(brackets), F.from_json(brackets, _TASKS))
     payload = F.regexp_extract(text, r"\[TOOL_CALL:[^:]+:([^\]]+)\]", 1)
     # A tool payload that holds a task list has nested brackets; its object is read from the outermost braces.
     from_tool = F.from_json(F.when(F.try_parse_json(payload).isNotNull(), payload), f"tasks {_TASKS}")["tasks"]
@@ -430,6 +437,12 @@ def strip_reasoning(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
     return df.withColumn(out, strip(F.col(col)))
 
 
+def _one_json(text: Column) -> Column:
+    """The text is one JSON value with nothing after it."""
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
+    return F.coalesce(F.try_parse_json(text).isNotNull() & alone, F.lit(False))
+
+
 def _outer(text: Column, opening: str, closing: str) -> Column:
     """From the first opening to the last closing sign, else null."""
     start = F.instr(text, opening)
@@ -520,7 +533,7 @@ def extract_json(df: DataFrame, col: str, fields: dict[str, tuple[str, object]],
     block = json_block(text, fenced)
 
     def has(candidate: Column) -> Column:
-        return F.coalesce(F.get_json_object(F.when(F.try_parse_json(candidate).isNotNull(), candidate), f"$.{required}").isNotNull(), F.lit(False))
+        return F.coalesce(F.get_json_object(F.when(_one_json(candidate), candidate), f"$.{required}").isNotNull(), F.lit(False))
 
     whole, inner = has(text), has(block)
     any_value = rf'(?i)"{required}"\s*:\s*(true|false|-?\d+(?:\.\d+)?|"[^"]+")'

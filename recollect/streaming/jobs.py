@@ -150,14 +150,12 @@ def dialogue_log_stream(spark: SparkSession, path: str, sink: str, checkpoint: s
     Sessions of batch n lie in ``sink/sessions/batch=n``.
     """
     lines = spark.readStream.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b")
     )
 
     def store(batch: DataFrame, number: int) -> None:
-        ordered = batch.select(
-            "file", (F.col("_b").cast("decimal(38,0)") * F.lit(1 << 33) + F.pmod("_i", F.lit(1 << 33))).alias("line"), "value"
-        )
+        row = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+        ordered = batch.select("file", (F.col("_b").cast("decimal(38,0)") * F.lit(1 << 33) + row).alias("line"), "value")
         folder = f"{sink}/events/batch={number}"
         parse_dialogue_log(ordered).write.mode("overwrite").parquet(folder)
         # A file arrives whole in one batch, so the batch holds all events of the files it touches.
