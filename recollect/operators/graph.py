@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.ranking import top_per_key
@@ -17,7 +17,7 @@ class Graph(NamedTuple):
     mentions: DataFrame
 
 
-def entity_key() -> F.Column:
+def entity_key() -> Column:
     return F.sha2(F.concat_ws("\u0001", "name", "type"), 256)
 
 
@@ -143,46 +143,69 @@ def shortest_hops(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> Dat
     return wanted.join(seen.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", "hops")
 
 
-def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5) -> DataFrame:
+HOT_MENTIONS = 1000
+
+
+def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int = HOT_MENTIONS) -> DataFrame:
     """Best 2k memories per query by shared entities times the Jaccard similarity of the entity sets.
 
     Returns (query_id, id, shared, score, rank). A memory reached only over a neighbour scores 0 but may fill a place.
 
-    The score depends only on the two entity sets, so queries and memories are grouped by their sets first. Of the
-    memories with the same set only the 2k smallest ids can be returned, and of the sets only the 2k best; a set or
-    an entity that a third of all memories share therefore costs no more than any other.
+    With s shared entities, q asked and m in the memory the score is s * s / (q + m - s). It grows with s and falls
+    with m, which keeps the work bounded without losing a result:
+
+    * Entities with at most ``hot`` mentions are joined as they are.
+    * For the others memories are grouped by the set of hot entities they hold. Of one such group a query can only
+      need the 2k best by (m, id), because every member shares at least what the others share; and of the groups only
+      the 2k whose best members come first.
+    * Memories of neighbours come after all direct ones, so only queries with fewer than 2k direct hits look for
+      them, and per entity only its 4k smallest such ids can matter.
     """
     limit = 2 * (k if k > 0 else 5)
     asked = query_entities.select("query_id", "name", "type").distinct()
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("q_size"))
-    matched = asked.join(graph.entities, ["name", "type"]).select("query_id", "entity_id")
-    query_sets = matched.groupBy("query_id").agg(F.sort_array(F.collect_set("entity_id")).alias("ids"))
-    query_sets = query_sets.join(sizes, "query_id").select(
-        "query_id", "ids", "q_size", F.sha2(F.concat_ws(",", F.col("q_size").cast("string"), F.concat_ws(",", "ids")), 256).alias("q_key")
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("q"))
+    matched = asked.join(graph.entities, ["name", "type"]).select("query_id", "entity_id").distinct()
+    mentions = graph.mentions.select("entity_id", "memory_id").distinct()
+    busy = mentions.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("entity_id", F.lit(True).alias("_hot"))
+
+    # One row per memory: its size and its hot entities. A memory holds the entities of one text.
+    flagged = mentions.join(busy, "entity_id", "left")
+    memories = flagged.groupBy("memory_id").agg(
+        F.count("*").alias("m"), F.sort_array(F.collect_list(F.when(F.col("_hot"), F.col("entity_id")))).alias("hot_ids")
+    )
+    asked_hot = matched.join(busy, "entity_id", "left")
+    queries = asked_hot.groupBy("query_id").agg(F.collect_list(F.when(F.col("_hot"), F.col("entity_id"))).alias("q_hot")).join(sizes, "query_id")
+
+    def score(s: Column, m: Column) -> Column:
+        return s * s / F.greatest(F.col("q") + m - s, F.lit(1))
+
+    rare = asked_hot.where(F.col("_hot").isNull()).join(mentions, "entity_id").groupBy("query_id", "memory_id").agg(F.count("*").alias("rare"))
+    by_rare = rare.join(memories, "memory_id").join(queries, "query_id").select(
+        "query_id", "memory_id", (F.col("rare") + F.size(F.array_intersect("q_hot", "hot_ids"))).alias("shared"), "m", "q"
     )
-    distinct_queries = query_sets.select("q_key", "ids", "q_size").dropDuplicates(["q_key"])
-
-    memory_sets = graph.mentions.groupBy("memory_id").agg(F.sort_array(F.collect_set("entity_id")).alias("ids"))
-    memory_sets = memory_sets.select("memory_id", "ids", F.sha2(F.concat_ws(",", "ids"), 256).alias("m_key"))
-    members = top_per_key(memory_sets.select("m_key", "memory_id"), ["m_key"], [F.asc("memory_id")], limit, "place")
-    distinct_sets = memory_sets.groupBy("m_key").agg(F.first("ids").alias("ids"), F.min("memory_id").alias("first_id"))
-    set_rows = distinct_sets.select("m_key", "first_id", F.size("ids").alias("m_size"), F.explode("ids").alias("entity_id"))
-
-    q_rows = distinct_queries.select("q_key", "q_size", F.explode("ids").alias("entity_id"))
-    shared = q_rows.join(set_rows, "entity_id").groupBy("q_key", "m_key").agg(
-        F.count("*").alias("shared"), F.first("q_size").alias("q_size"), F.first("m_size").alias("m_size"),
-        F.first("first_id").alias("first_id"),
+    groups = memories.where(F.size("hot_ids") > 0).withColumn("group", F.sha2(F.concat_ws(",", "hot_ids"), 256))
+    members = top_per_key(groups.select("group", "memory_id", "m"), ["group"], [F.asc("m"), F.asc("memory_id")], limit, "_place")
+    best = members.where(F.col("_place") == 1).select("group", F.col("m").alias("best_m"), F.col("memory_id").alias("best_id"))
+    group_rows = groups.select("group", "hot_ids").dropDuplicates(["group"]).select("group", F.explode("hot_ids").alias("entity_id"))
+    met = asked_hot.where(F.col("_hot")).join(group_rows, "entity_id").groupBy("query_id", "group").agg(F.count("*").alias("s"))
+    placed = met.join(best, "group").join(sizes, "query_id").withColumn("_score", score(F.col("s"), F.col("best_m")))
+    chosen = top_per_key(placed, ["query_id"], [F.desc("_score"), F.asc("best_id")], limit, None)
+    by_hot = chosen.select("query_id", "group", "s", "q").join(members, "group").select(
+        "query_id", "memory_id", F.col("s").alias("shared"), "m", "q"
     )
-    jaccard = F.col("shared") / F.greatest(F.col("q_size") + F.col("m_size") - F.col("shared"), F.lit(1))
-    direct = shared.select("q_key", "m_key", "first_id", "shared", F.round(F.col("shared") * jaccard, 6).alias("score"))
-
-    near = q_rows.select("q_key", "entity_id").join(neighbours(graph.relations), "entity_id")
-    near = near.select("q_key", F.col("neighbour_id").alias("entity_id")).distinct()
-    reached = near.join(set_rows, "entity_id").select("q_key", "m_key", "first_id").distinct()
-    only_near = reached.join(direct, ["q_key", "m_key"], "left_anti").select(
-        "q_key", "m_key", "first_id", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("score")
+    # A memory found both ways shares more than its hot entities; the larger count is the whole one.
+    direct = by_rare.unionByName(by_hot).groupBy("query_id", "memory_id", "m", "q").agg(F.max("shared").alias("shared"))
+    direct = direct.select("query_id", "memory_id", "shared", score(F.col("shared"), F.col("m")).alias("score"))
+
+    counted = direct.groupBy("query_id").agg(F.count("*").alias("_c"))
+    short = matched.join(counted, "query_id", "left").where(F.coalesce("_c", F.lit(0)) < limit).select("query_id", "entity_id")
+    first_ids = top_per_key(mentions, ["entity_id"], [F.asc("memory_id")], 2 * limit, None)
+    near = short.select("entity_id").distinct().join(neighbours(graph.relations), "entity_id")
+    near = near.join(first_ids.withColumnRenamed("entity_id", "neighbour_id"), "neighbour_id").select("entity_id", "memory_id").distinct()
+    near = top_per_key(near, ["entity_id"], [F.asc("memory_id")], 2 * limit, None)
+    only_near = short.join(near, "entity_id").select("query_id", "memory_id").distinct()
+    only_near = only_near.join(direct, ["query_id", "memory_id"], "left_anti").select(
+        "query_id", "memory_id", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("score")
     )
-    best_sets = top_per_key(direct.unionByName(only_near), ["q_key"], [F.desc("score"), F.asc("first_id")], limit, None)
-    hits = best_sets.join(members, "m_key").select("q_key", F.col("memory_id").alias("id"), "shared", "score")
-    best = top_per_key(hits, ["q_key"], [F.desc("score"), F.asc("id")], limit)
-    return query_sets.select("query_id", "q_key").join(best, "q_key").drop("q_key")
+    ranked = top_per_key(direct.unionByName(only_near), ["query_id"], [F.desc("score"), F.asc("memory_id")], limit)
+    return ranked.select("query_id", F.col("memory_id").alias("id"), "shared", F.round("score", 6).alias("score"), "rank")

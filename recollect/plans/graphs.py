@@ -34,12 +34,12 @@ def j04_back(t):
     return G.memory_entities(wanted, fx.event_graph(t).mentions)
 
 
-@query("j05_neighbour_memories", f"""{_G}, picked AS (SELECT entity_id FROM entities WHERE type IN ('key', 'brand')),
+@query("j05_neighbour_memories", f"""{_G}, picked AS (SELECT entity_id FROM entities WHERE type IN ('type', 'brand')),
 nb AS (SELECT src AS entity_id, dst AS other FROM relations UNION SELECT dst, src FROM relations)
 SELECT DISTINCT entity_id, m.memory_id FROM picked JOIN nb USING (entity_id) JOIN mentions m ON m.entity_id = other WHERE NOT EXISTS (SELECT 1 FROM mentions x WHERE x.entity_id = picked.entity_id AND x.memory_id = m.memory_id)""")
 def j05(t):
     g = fx.event_graph(t)
-    return G.neighbour_memories(g.entities.where(F.col("type").isin("key", "brand")), g.relations, g.mentions)
+    return G.neighbour_memories(g.entities.where(F.col("type").isin("type", "brand")), g.relations, g.mentions)
 
 
 @query("j06_outgoing", f"{_G}, {_TYPES} SELECT r.* FROM relations r JOIN picked ON src = entity_id")

@@ -137,8 +137,8 @@ direct AS (SELECT query_id, memory_id, count(*) AS shared FROM matched JOIN ment
 nb AS (SELECT src AS entity_id, dst AS other FROM relations UNION SELECT dst, src FROM relations),
 near AS (SELECT DISTINCT query_id, m.memory_id FROM matched JOIN nb USING (entity_id) JOIN mentions m ON m.entity_id = nb.other),
 hits AS (SELECT query_id, memory_id, shared FROM direct UNION ALL SELECT query_id, memory_id, 0 FROM near ANTI JOIN direct USING (query_id, memory_id)),
-scored AS (SELECT query_id, memory_id AS id, shared, round(shared * (shared / greatest(q + m - shared, 1)), 6) AS score FROM hits JOIN qsize USING (query_id) JOIN msize USING (memory_id)),
-graph_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
+scored AS (SELECT query_id, memory_id AS id, shared, shared * shared / greatest(q + m - shared, 1) AS raw, round(shared * shared / greatest(q + m - shared, 1), 6) AS score FROM hits JOIN qsize USING (query_id) JOIN msize USING (memory_id)),
+graph_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
 
 
 @query("k08_graph_search", f"WITH {_GRAPH_SCORES} SELECT query_id, id, shared, score, rank FROM graph_hits")
