@@ -74,10 +74,11 @@ def java_hash(c: str | Column) -> Column:
 
 def keyword_share(query: str | Column, content: str | Column) -> Column:
     """Share of the whitespace words of the query that occur in the content."""
-    q = F.split(F.lower(col(query)), r"\s+")
-    lower = F.lower(col(content))
-    hit = F.size(F.filter(q, lambda w: F.contains(lower, w)))
-    return F.when(blank(query), F.lit(0.0)).otherwise(hit / F.size(q))
+    def share(q: Column) -> Column:
+        hit = let(F.lower(col(content)), lambda low: F.size(F.filter(q, lambda w: F.contains(low, w))))
+        return hit / F.size(q)
+
+    return F.when(blank(query), F.lit(0.0)).otherwise(let(F.split(F.lower(col(query)), r"\s+"), share))
 
 
 def long_keyword_share(query: str | Column, content: str | Column) -> Column:
@@ -87,7 +88,7 @@ def long_keyword_share(query: str | Column, content: str | Column) -> Column:
 
 def keyword_array_share(keywords: str | Column, lower_content: str | Column) -> Column:
     keys, text = col(keywords), col(lower_content)
-    hit = F.size(F.filter(keys, lambda w: F.contains(text, w)))
+    hit = let(text, lambda low: F.size(F.filter(keys, lambda w: F.contains(low, w))))
     return F.when((F.size(keys) == 0) | blank(text), F.lit(0.0)).otherwise(hit / F.size(keys))
 
 

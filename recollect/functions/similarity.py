@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,12 +105,20 @@ def cosine_hits(
 
 def dense(df: DataFrame, key: str, dim: int, slot: str = "slot", weight: str = "weight") -> DataFrame:
     """Dense vectors (key, embedding) from (key, slot, weight) rows with one row per key and slot."""
-    # At most ``dim`` entries per key, so the map is bounded.
-    pairs = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(slot, weight))).alias("m"))
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
-    )
-    return pairs.select(key, filled.alias("embedding"))
+    # At most ``dim`` entries per key, so the lists are bounded.
+    listed = df.groupBy(key).agg(F.collect_list(F.struct(F.col(slot).cast("int").alias("s"), F.col(weight).cast("double").alias("w"))).alias("e"))
+    sparse = listed.select(key, F.col("e.s").alias("s"), F.col("e.w").alias("w"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("s")))
+            matrix = np.zeros((batch.num_rows, dim))
+            matrix[rows, batch.column("s").flatten().to_numpy()] = batch.column("w").flatten().to_numpy()
+            offsets = pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32())
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), vectors], names=[key, "embedding"])
+
+    return sparse.mapInArrow(fill, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

@@ -37,19 +37,17 @@ def tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id") -> DataF
     return joined.select(key, "term", (F.col("tf") * idf).alias("weight"))
 
 
-def term_slots(df: DataFrame, dim: int) -> DataFrame:
-    """Two slots per term with their share of the weight, computed once per term rather than per occurrence."""
-    h = X.java_hash("term")
-    first = F.pmod(F.abs(h), F.lit(dim)).cast("int")
-    slotted = df.select("*", first.alias("_s1"))
-    second = ((F.col("_s1") * 31 + F.length("term")) % dim).cast("int")
-    return slotted.select(*df.columns, F.col("_s1").alias("slot1"), second.alias("slot2"))
+def _slot1(dim: int) -> Column:
+    return F.pmod(F.abs(X.java_hash("term")), F.lit(dim)).cast("int")
 
 
 def _slot_weights(tf: DataFrame, df: DataFrame, n: Column, key: str, dim: int) -> DataFrame:
-    joined = _with_df(tf, df, key)
+    # The hash runs once per term of the vocabulary; only terms it lacks are hashed where they occur.
+    joined = _with_df(tf, df.withColumn("slot1", _slot1(dim)), key)
     idf = F.ln(1 + F.greatest(n, F.lit(1)).cast("double") / (1 + F.coalesce("df", F.lit(1))))
-    weighted = term_slots(joined.select(key, "term", (F.col("tf") * idf).alias("w")), dim)
+    weighted = joined.select(
+        key, F.length("term").alias("_len"), (F.col("tf") * idf).alias("w"), F.coalesce("slot1", _slot1(dim)).alias("slot1")
+    ).withColumn("slot2", ((F.col("slot1") * 31 + F.col("_len")) % dim).cast("int"))
     entries = weighted.select(
         key,
         F.explode(

@@ -9,6 +9,7 @@ from recollect.functions import exprs as X
 from recollect.operators.graph import Graph
 from recollect.operators.text_stats import document_frequency, hashed_vectors, term_frequency
 from recollect.plans.registry import Tables
+from recollect.session import cut
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -106,7 +107,8 @@ DIM = 256
 def document_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Hashed vectors of the documents and of the text queries, both on the document frequencies of the corpus."""
     tf = term_frequency(t.documents)
-    df = document_frequency(tf)
+    # The frequencies are a version of the corpus: written once, read by both sides.
+    df = cut(document_frequency(tf))
     n = t.documents.agg(F.count("*")).scalar()
     docs = hashed_vectors(tf, df, n, "doc_id", DIM).withColumnRenamed("doc_id", "id")
     queries = hashed_vectors(term_frequency(text_queries(t), "query_id", "text"), df, n, "query_id", DIM)

@@ -13,7 +13,7 @@ from recollect.operators.graph import Graph
 from recollect.plans import fixtures as fx
 from recollect.plans.lookup import _LINKS
 from recollect.plans.registry import query
-from recollect.session import work_path
+from recollect.session import spread, work_path
 from recollect.sources import documents as D
 from recollect.sources import logs as L
 from recollect.sources import snapshots as S
@@ -420,7 +420,7 @@ def s10(t):
 
 def _log_lines(t):
     """Every purchase as a dialogue in the log of its day; the start block of odd ones is written twice."""
-    e = t.events.where(F.col("event_type") == "purchase").select(
+    e = spread(t.events).where(F.col("event_type") == "purchase").select(
         "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("user_id").cast("string").alias("u"), "value", F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).alias("ts"))
 
     def line(seconds, text):

@@ -53,3 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SPLIT_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input, which may lie in one file or row group, to all cores; leave a large one as it is read.
+
+    For jobs that work hard on every row. The size is the planner's estimate of the input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
