@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from recollect.functions import exprs as X
 from recollect.functions.similarity import dense
 
-SALTS = 8
+HOT_DF = 1000  # below this no term is hot, however small the corpus
+SPREAD = 1000
 
 
 def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", *scope: str) -> DataFrame:
@@ -23,16 +24,25 @@ def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
     return tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
 
 
-def _with_df(tf: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Join on the term, salted: a term found in every document would otherwise meet its df row in one task."""
-    spread = df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["term", "_salt"], "left").drop("_salt")
+def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
+    """Left join on the term without a hot task for terms that very many documents hold.
+
+    At most 1000 times the mean number of terms per document can have a df above n / 1000. That bounded list is
+    broadcast; its rows then leave the shuffled join under spread keys that match nothing.
+    """
+    is_hot = F.col("df") > F.greatest(n / 1000, F.lit(HOT_DF))
+    hot = df.where(is_hot).select("term", *[F.col(c).alias(f"_hot_{c}") for c in df.columns if c != "term"])
+    rest = df.where(~is_hot).withColumnRenamed("term", "_t")
+    tagged = tf.join(F.broadcast(hot), "term", "left")
+    apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("string"))
+    tagged = tagged.withColumn("_t", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(apart))
+    joined = tagged.join(rest, "_t", "left")
+    return joined.select(*tf.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in df.columns if c != "term"])
 
 
 def tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id") -> DataFrame:
     """(key, term, weight) with weight tf * ln(n / (1 + df)); an unseen term counts as df 1. May be negative."""
-    joined = _with_df(tf, df, key)
+    joined = _with_df(tf, df, n, key)
     idf = F.ln(n.cast("double") / (1 + F.coalesce("df", F.lit(1))))
     return joined.select(key, "term", (F.col("tf") * idf).alias("weight"))
 
@@ -43,7 +53,7 @@ def _slot1(dim: int) -> Column:
 
 def _slot_weights(tf: DataFrame, df: DataFrame, n: Column, key: str, dim: int) -> DataFrame:
     # The hash runs once per term of the vocabulary; only terms it lacks are hashed where they occur.
-    joined = _with_df(tf, df.withColumn("slot1", _slot1(dim)), key)
+    joined = _with_df(tf, df.withColumn("slot1", _slot1(dim)), n, key)
     idf = F.ln(1 + F.greatest(n, F.lit(1)).cast("double") / (1 + F.coalesce("df", F.lit(1))))
     weighted = joined.select(
         key, F.length("term").alias("_len"), (F.col("tf") * idf).alias("w"), F.coalesce("slot1", _slot1(dim)).alias("slot1")

@@ -61,18 +61,32 @@ def _markdown(t):
     return t.documents.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), body).alias("text"))
 
 
-_LINES = r"""marked AS (SELECT doc_id, string_split('# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), chr(10)) AS ls, source FROM documents),
-lines AS (SELECT doc_id, source, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM marked),
-spans AS (SELECT *, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS "end" FROM lines)"""
-_STRIP = r"regexp_replace({0}, '^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$', '', 'g')"
+_TEXT = "'# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))"
+_PARAGRAPHS = rf"""lines AS (SELECT doc_id, source, unnest(string_split({_TEXT}, chr(10))) AS l, generate_subscripts(string_split({_TEXT}, chr(10)), 1) AS n FROM documents),
+spans AS (SELECT *, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM lines),
+found AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, trim(l, ' ' || chr(9) || chr(13)) AS content, source AS heading_path, CAST(stop - length(l) - 1 AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop
+  FROM spans WHERE trim(l, ' ' || chr(9) || chr(13)) <> '' AND NOT starts_with(trim(l), '#')),
+paras AS (SELECT * FROM found UNION ALL SELECT doc_id, 1, {_TEXT}, NULL, 0, CAST(length({_TEXT}) AS INTEGER) FROM documents ANTI JOIN found USING (doc_id)),
+sized AS (SELECT *, greatest(len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')), 1) AS t FROM paras),
+cum AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY i) - t AS before FROM sized)"""
 
 
-@query("t01_split_paragraphs")
+@query("t01_split_paragraphs", f'WITH {_PARAGRAPHS} SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, content, heading_path, start, stop AS "end" FROM paras')
 def t01(t):
     return TR.split_paragraphs(_markdown(t))
 
 
-@query("t02_chunk")
+@query("t02_chunk", f"""WITH RECURSIVE {_PARAGRAPHS},
+tails AS (SELECT a.doc_id, a.i, min(b.before) AS tail FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.before - b.before <= 50 GROUP BY ALL),
+run AS (
+  SELECT doc_id, i, before AS s FROM cum WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.i, CASE WHEN c.before - r.s + c.t <= 500 THEN r.s WHEN c.before - greatest(tail, r.s) + c.t > 500 THEN c.before ELSE greatest(tail, r.s) END
+  FROM run r JOIN cum c ON c.doc_id = r.doc_id AND c.i = r.i + 1 JOIN tails t ON t.doc_id = c.doc_id AND t.i = c.i),
+pieces AS (SELECT doc_id, s, max(i) AS last FROM run GROUP BY ALL),
+joined AS (SELECT p.doc_id, p.s, string_agg(content, chr(10) || chr(10) ORDER BY c.i) AS content, max(heading_path) AS heading_path, min(start) AS start, max(stop) AS stop
+  FROM pieces p JOIN cum c ON c.doc_id = p.doc_id AND c.before >= p.s AND c.i <= p.last GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index, content, heading_path, start, stop AS "end",
+  CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) AS INTEGER) AS tokens FROM joined""")
 def t02(t):
     return TR.chunk(_markdown(t))
 
@@ -189,7 +203,33 @@ def t06(t):
     return TR.pattern_entities(t.documents)
 
 
-@query("t07_extract_relations")
+def _near(name: str) -> str:
+    """Place of a name in the lower-cased sentence, a short one as a word."""
+    word = f"regexp_extract(' ' || l || ' ', '[^a-z0-9_]' || {_ESCAPED.format(name)} || '[^a-z0-9_]')"
+    return f"CASE WHEN {_SHORT.format(name)} THEN instr(' ' || l || ' ', {word}) ELSE instr(l, lower({name})) END"
+
+
+def _cues(cues: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(near, {c if c.startswith('lower') else _quote(c)})" for c in cues) + ")"
+
+
+_KIND_OF = _cues([f"lower(a) || {_quote(c)}" for c in lexicon.IS_A_AFTER_FIRST] + lexicon.IS_A_ANYWHERE + [f"lower(b) || {_quote(c)}" for c in lexicon.IS_A_AFTER_SECOND])
+_PREDICATE = f"CASE WHEN {_KIND_OF} THEN 'IS_A' " + " ".join(f"WHEN {_cues(cs)} THEN '{k}'" for k, cs in lexicon.RELATION_CUES) + " ELSE 'CO_OCCURS_WITH' END"
+_RANKED = f"""seq AS (SELECT doc_id, name, type, 0 AS part, -length(name) AS x, pos AS y FROM found
+  UNION ALL SELECT p.doc_id, p.name, p.type, CASE p.type WHEN 'tool' THEN 2 WHEN 'date' THEN 3 ELSE 1 END, instr(text, p.name), 0 FROM patterns p JOIN documents USING (doc_id)),
+ents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, x, y) AS i FROM seq),
+parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.。!！?？\n])\s*', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents SEMI JOIN ents USING (doc_id)),
+sents AS (SELECT doc_id, s, lower(s) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS no FROM (SELECT doc_id, trim(unnest(ss)) AS s, generate_subscripts(ss, 1) AS n FROM parts) WHERE s <> ''),
+held AS (SELECT s.doc_id, no, l, name, type, i FROM sents s JOIN ents e ON e.doc_id = s.doc_id AND {_held('l', 'name')}),
+same AS (SELECT x.doc_id, 0 AS kind, x.no, x.l, x.name AS a, y.name AS b, x.type AS ta, y.type AS tb, x.i AS ai, y.i AS bi FROM held x JOIN held y ON x.doc_id = y.doc_id AND x.no = y.no AND x.i < y.i AND x.name <> y.name),
+placed AS (SELECT *, {_near('a')} AS pa, {_near('b')} AS pb FROM same),
+framed AS (SELECT *, substring(l, greatest(least(pa, pb) - 60, 1), greatest(pa, pb) + greatest(length(a), length(b)) + 60 - greatest(least(pa, pb) - 60, 1)) AS near FROM placed),
+pairs AS (SELECT doc_id, kind, no, a, b, ta, tb, ai, bi, {_PREDICATE} AS p FROM framed
+  UNION ALL SELECT x.doc_id, 1, x.no, x.name, y.name, x.type, y.type, x.i, y.i, 'RELATED_TO' FROM held x JOIN held y ON x.doc_id = y.doc_id AND y.no = x.no + 1 AND x.name <> y.name)"""
+
+
+@query("t07_extract_relations", f"""WITH {_FOUND}, {_PATTERNS}, {_RANKED}
+SELECT doc_id, a AS src, ta AS src_type, p AS predicate, b AS dst, tb AS dst_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY kind, no, ai, bi) AS r FROM pairs) WHERE r = 1""")
 def t07(t):
     return TR.extract_relations(t.documents)
 
