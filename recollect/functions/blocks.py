@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 4096  # largest query table sent to the tasks as one block
+QUERY_BYTES = 64 << 20  # and its largest size, where rows have no fixed one
 BLOCK_ROWS = 1024  # queries per block beyond that
 
 Prepare = Callable[[pa.Table], Any]
@@ -29,10 +30,18 @@ def block_match(
     match: Match,
     schema: str,
     query_rows: int = QUERY_ROWS,
+    size: Column | None = None,
 ) -> DataFrame:
-    """Results of ``match(prepare(queries), batch)`` for every batch of the corpus and every block of queries."""
-    head = queries.limit(query_rows + 1).toArrow()
-    if head.num_rows <= query_rows:
+    """Results of ``match(prepare(queries), batch)`` for every batch of the corpus and every block of queries.
+
+    ``size`` gives the bytes of a query row where they vary; without it only the number of rows is checked.
+    """
+    n, fits = 0, True
+    if size is not None:
+        count, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        n, fits = max(-(-count // BLOCK_ROWS), -(-total // QUERY_BYTES)), count <= query_rows and total <= QUERY_BYTES
+    head = queries.limit(query_rows + 1).toArrow() if fits else None
+    if head is not None and head.num_rows <= query_rows:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = prepare(head)
@@ -43,7 +52,7 @@ def block_match(
 
         return corpus.mapInArrow(run, schema)
 
-    n = -(-queries.count() // BLOCK_ROWS)
+    n = n or -(-queries.count() // BLOCK_ROWS)
     blocks = (
         queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
         .groupBy("block")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from recollect.functions.blocks import QUERY_ROWS, block_match
 
@@ -54,4 +55,4 @@ def substring_hits(
         )
 
     schema = f"{phrase_id} {types[0]}, {text_id} {types[1]}"
-    return block_match(q, t, phrase_id, prepare, match, schema, query_rows)
+    return block_match(q, t, phrase_id, prepare, match, schema, query_rows, F.octet_length(phrase))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from recollect.functions import exprs as X
+from recollect.functions.ordered import row_numbers
 from recollect.operators.text_rows import hash_answer, json_block
 
 # ---------------------------------------------------------------- joining
@@ -33,11 +34,8 @@ def sample_pairs(generated: DataFrame, reference: DataFrame, n: DataFrame | int,
 
     Row numbers come from a range sort plus per-partition counts, and the drawn numbers meet the rows in equi-joins.
     """
-    from recollect.functions.ordered import running_sums
-
     def numbered(df: DataFrame, col: str) -> DataFrame:
-        rows = df.select(col).withColumns({"_k": F.lit(0), "_one": F.lit(1)})
-        return running_sums(rows, ["_k"], [col], {"_n": "_one"}).select(col, (F.col("_n") - 1).cast("long").alias("_row"))
+        return row_numbers(df.select(col), [col], "_n").select(col, (F.col("_n") - 1).cast("long").alias("_row"))
 
     g_count, r_count = (d.agg(F.count("*")).scalar() for d in (generated, reference))
     spark = generated.sparkSession

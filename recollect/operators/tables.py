@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
-from recollect.functions.ordered import BLOCK, ordered_blocks
+from recollect.functions.ordered import BLOCK, TAKE_ROWS, ordered_blocks, row_numbers
 from recollect.functions.ranking import first_per_key, ordered_text, top_per_key
 from recollect.functions.replay import Held, insert
+from recollect.session import cut
 
 # ---------------------------------------------------------------- look-ups and filters
 
@@ -299,9 +300,14 @@ def forget(
     if strategy == "capacity":
         if threshold <= 0:
             return items, items.limit(0)
-        # Top-n over the whole table: every task sends its n best rows, none sorts all of them.
-        kept = items.orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")).limit(int(threshold))
-        return kept, items.join(kept.select("id"), "id", "left_anti").select(*items.columns)
+        n = int(threshold)
+        if n <= TAKE_ROWS:
+            # Every task sends its n best rows, none sorts all of them.
+            kept = items.orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")).limit(n)
+            return kept, items.join(kept.select("id"), "id", "left_anti").select(*items.columns)
+        least = items.withColumns({"_i": -F.col("importance"), "_c": -F.unix_micros(F.col("created_at").cast("timestamp"))})
+        numbered = cut(row_numbers(least, ["_i", "_c", "id"], "_n"))
+        return tuple(numbered.where(test).select(*items.columns) for test in (F.col("_n") <= n, F.col("_n") > n))
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

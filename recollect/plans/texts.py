@@ -215,7 +215,7 @@ def _cues(cues: list[str]) -> str:
 
 _KIND_OF = _cues([f"lower(a) || {_quote(c)}" for c in lexicon.IS_A_AFTER_FIRST] + lexicon.IS_A_ANYWHERE + [f"lower(b) || {_quote(c)}" for c in lexicon.IS_A_AFTER_SECOND])
 _PREDICATE = f"CASE WHEN {_KIND_OF} THEN 'IS_A' " + " ".join(f"WHEN {_cues(cs)} THEN '{k}'" for k, cs in lexicon.RELATION_CUES) + " ELSE 'CO_OCCURS_WITH' END"
-_RANKED = f"""seq AS (SELECT doc_id, name, type, 0 AS part, -length(name) AS x, pos AS y FROM found
+_RANKED = rf"""seq AS (SELECT doc_id, name, type, 0 AS part, -length(name) AS x, pos AS y FROM found
   UNION ALL SELECT p.doc_id, p.name, p.type, CASE p.type WHEN 'tool' THEN 2 WHEN 'date' THEN 3 ELSE 1 END, instr(text, p.name), 0 FROM patterns p JOIN documents USING (doc_id)),
 ents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, x, y) AS i FROM seq),
 parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.。!！?？\n])\s*', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents SEMI JOIN ents USING (doc_id)),

@@ -122,10 +122,7 @@ def note_text(notes: DataFrame) -> DataFrame:
 
 def write_notes(notes: DataFrame, path: str) -> None:
     """One file per note, in a folder named by its id."""
-    from pyspark.sql import functions as SF
-
-    texts = note_text(notes).withColumn("value", SF.col("value"))
-    texts.write.mode("overwrite").partitionBy("id").text(path)
+    note_text(notes).write.mode("overwrite").partitionBy("id").text(path)
 
 
 def ingest_written_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -199,7 +196,8 @@ def format_sources(results: DataFrame, max_tokens: int, full_page: bool = True)
 
 def flatten_plans(df: DataFrame, json_col: str) -> dict[str, DataFrame]:
     """Fact tables of nested plan JSON: days, attractions, meals, hotels, weather, budget. Missing fields take defaults."""
-    plan = df.select(F.from_json(json_col, schemas.PLAN).alias("p")).select("p.*")
+    # Explode keeps the text from being parsed once per column that is used later.
+    plan = df.select(F.explode(F.array(F.from_json(json_col, schemas.PLAN))).alias("p")).select("p.*")
 
     def text(c: str) -> Column:
         return F.coalesce(c, F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions.ordered import TAKE_ROWS, row_numbers
+
 
 def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(samples, corrupt): one JSON object per row in ``value``, from JSON lines or from JSON arrays.
@@ -32,8 +34,11 @@ def read_eval_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def dataset_slice(df: DataFrame, order_by: str, limit: int, offset: int = 0, split: str | None = None, split_col: str = "split") -> DataFrame:
     """Rows of a split in order, from an offset on; a limit of 0 or less means all."""
     out = df if split is None else df.where(F.col(split_col) == split)
-    out = out.orderBy(order_by).offset(offset)
-    return out.limit(limit) if limit > 0 else out
+    if 0 < limit and offset + limit <= TAKE_ROWS:
+        return out.orderBy(order_by).offset(offset).limit(limit)
+    # A deep or open slice would run through one task; numbered rows need only a filter.
+    numbered = row_numbers(out, [order_by], "_n").where(F.col("_n") > offset)
+    return (numbered.where(F.col("_n") <= offset + limit) if limit > 0 else numbered).drop("_n")
 
 
 def _export(rows: DataFrame, totals: DataFrame, path: str) -> None:

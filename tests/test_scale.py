@@ -172,3 +172,18 @@ def test_exact_search_needs_no_cartesian_product(spark):
     v = spark.createDataFrame([(7, [1.0, 1.0])], "id int, embedding array<double>")
     plan = R.topk_cosine(q, v)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+
+
+def test_deep_slices_and_large_capacities(spark, monkeypatch):
+    from recollect.sources import evaluation as S
+
+    monkeypatch.setattr(S, "TAKE_ROWS", 0)
+    monkeypatch.setattr(T, "TAKE_ROWS", 0)
+    df = spark.range(500).withColumnRenamed("id", "k").repartition(7)
+    assert rows(S.dataset_slice(df, "k", 20, 30)) == [(i,) for i in range(30, 50)]
+    assert rows(S.dataset_slice(df, "k", 0, 490)) == [(i,) for i in range(490, 500)]
+    start = dt.datetime(2024, 1, 1)
+    items = spark.createDataFrame([(i, (i % 3) / 10, start + dt.timedelta(minutes=i % 5)) for i in range(60)], "id int, importance double, created_at timestamp_ntz")
+    kept, dropped = T.forget(items, "capacity", 25)
+    best = sorted(((i % 3) / -10, -(i % 5), i) for i in range(60))[:25]
+    assert sorted(r.id for r in kept.collect()) == sorted(i for _, _, i in best) and dropped.count() == 35
