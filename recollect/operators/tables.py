@@ -363,7 +363,7 @@ def replay_with_ttl(
                         last = who
                     held = insert(held, Held(importance, at, seq), capacity, ttl)
             if block is not None:
-                yield pd.DataFrame([(block, first, last, pickle.dumps(held))], columns=[BLOCK, "first", "last", "held"])
+                yield pd.DataFrame([(block, first, last, pickle.dumps([tuple(h) for h in held]))], columns=[BLOCK, "first", "last", "held"])
 
         return run
 
@@ -374,7 +374,7 @@ def replay_with_ttl(
     while True:
         # One row per block, and at most ``capacity`` held rows in it.
         for r in todo.mapInPandas(last_states(dict(entering)), schema).collect():
-            known[r[BLOCK]] = (r["first"], r["last"], pickle.loads(r["held"]))
+            known[r[BLOCK]] = (r["first"], r["last"], [Held(*h) for h in pickle.loads(r["held"])])
         changed, previous = [], None
         for block in sorted(known):
             if previous is not None and known[previous][1] == known[block][0]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.session import spread
+from recollect.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,11 @@ def query(name: str, sql: str | None = None):
     """Register a function of the tables under a name, with the SQL that must give the same rows."""
 
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

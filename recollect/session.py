@@ -66,3 +66,12 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let tasks carry the row helpers of this package with them, so workers need not be able to import it."""
+    import recollect
+    from pyspark import cloudpickle
+
+    if "recollect" not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(recollect)

@@ -75,12 +75,12 @@ class _WorkingMemory(StatefulProcessor):
         self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held: list[Held] = pickle.loads(self.held.get()[0]) if self.held.exists() else []
+        held = [Held(*h) for h in pickle.loads(self.held.get()[0])] if self.held.exists() else []
         for frame in rows:
             frame = frame.sort_values(["created_at", "seq"], kind="stable")
             for importance, at, seq in zip(frame["importance"], _micros(frame["created_at"]), frame["seq"].tolist()):
                 held = insert(held, Held(float(importance), at, (seq,)), self.capacity, self.ttl)
-        self.held.update((pickle.dumps(held),))
+        self.held.update((pickle.dumps([tuple(h) for h in held]),))
         yield pd.DataFrame({
             self.owner: [key[0]] * len(held), "seq": [h.seq[0] for h in held], "importance": [h.importance for h in held],
             "created_at": pd.to_datetime([h.at for h in held], unit="us"),
