@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions import exprs as X
 from recollect.operators.graph import Graph
 from recollect.operators.text_stats import document_frequency, hashed_vectors, term_frequency
 from recollect.plans.registry import Tables
@@ -254,9 +253,3 @@ def notes(t: Tables) -> DataFrame:
         F.col("doc_id").alias("id"), F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("title"), kind.alias("type"),
         F.array("lang").alias("tags"), F.col("text").alias("body"), F.col("doc_id").alias("updated_at"),
     )
-
-
-def query_texts_sql() -> str:
-    return "SELECT item_id AS query_id, text FROM benchmark"
-
-
