@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, mixture, quality
+from recollect.llm import chat, decontaminate, mixture, quality
 from recollect.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,31 @@ FROM summed WHERE begun < wanted
 @query("op10_mixing_sources", MIXTURE_SQL)
 def op10(table):
     return mixture.mix_sources(table("documents")).withColumn("weight", F.round("weight", 9))
+
+
+LEAK_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS (
+  SELECT min(item_id) AS item_id, count(*) AS n_items,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark GROUP BY text
+), item_shingles AS (
+  SELECT DISTINCT item_id, n_items, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+widths AS (SELECT DISTINCT k FROM item_shingles),
+doc_shingles AS (
+  SELECT r, doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, widths WHERE len(w) >= k)
+)
+SELECT doc_id, item_id, any_value(n_items) AS n_items, any_value(n_shingles) AS n_shingles, count(DISTINCT s) AS n_found,
+       count(DISTINCT s) / any_value(n_shingles) AS containment, min(i) - 1 AS first_word, max(i + k) - 2 AS last_word
+FROM doc_shingles JOIN item_shingles USING (k, s) JOIN sizes USING (item_id)
+GROUP BY r, doc_id, item_id HAVING count(DISTINCT s) >= 0.8 * any_value(n_shingles) - 1e-9
+"""
+
+
+@query("op9_benchmark_decontamination", LEAK_SQL)
+def op9(table):
+    return decontaminate.contaminated(table("documents"), table("benchmark"))

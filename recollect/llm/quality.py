@@ -22,7 +22,7 @@ from recollect.llm.common import dropped_shuffles, let, words_of
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 1.0
-THRESHOLD = -0.08  # natural-log units per gram
+THRESHOLD = -0.1  # natural-log units per gram
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
