@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, mixture, quality
+from recollect.llm import chat, decontaminate, mixture, quality, toxicity
+from recollect.llm.common import held_out
 from recollect.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,8 @@ GROUP BY r, doc_id, item_id HAVING count(DISTINCT s) >= 0.8 * any_value(n_shingl
 @query("op9_benchmark_decontamination", LEAK_SQL)
 def op9(table):
     return decontaminate.contaminated(table("documents"), table("benchmark"))
+
+
+@query("op8_toxicity")
+def op8(table):
+    return toxicity.toxicity(table("documents"), table("labels"), held_out(F.col("doc_id"), 4, 2))
