@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, mixture, quality, toxicity
+from recollect.llm import chat, decontaminate, licenses, mixture, quality, toxicity
 from recollect.llm.common import held_out
 from recollect.session import ship
 
@@ -136,3 +136,8 @@ def op9(table):
 @query("op8_toxicity")
 def op8(table):
     return toxicity.toxicity(table("documents"), table("labels"), held_out(F.col("doc_id"), 4, 2))
+
+
+@query("op5_license_scans")
+def op5(table):
+    return licenses.license_scan(table("documents"))
