@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, jaccard, licenses, mixture, quality, toxicity
+from recollect.llm import chat, decontaminate, jaccard, licenses, mixture, paragraphs, quality, toxicity
 from recollect.llm.common import held_out
 from recollect.session import ship
 
@@ -168,3 +168,8 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least USING (c)
 @query("op4_ngram_jaccard_join", JACCARD_SQL)
 def op4(table):
     return jaccard.jaccard_components(table("documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_substring_dedup")
+def op7(table):
+    return paragraphs.paragraph_dedup(table("documents"))
