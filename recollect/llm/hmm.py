@@ -3,8 +3,9 @@
 The hidden states emit word classes, and a class emits its words: P(w | state) = P(class of w | state) * P(w | class). The
 ``FREQUENT`` most frequent training words are a class each; every other word, known or not, belongs to one of ``HASHED`` classes by its hash, in
 which it has (c + 0.1) / (N + 0.1 * (V + 1)), one slot of which is for unknown words. So the model covers any vocabulary with a
-table of a fixed size, STATES x (FREQUENT + HASHED) numbers, that travels to the tasks; the counts of all words stay in a table
-that Spark joins with the words that are not frequent. A word's length has no bound, so frequent words of over ``LONG`` bytes are not made classes.
+table of a fixed size, STATES x (FREQUENT + HASHED) numbers, that travels to the tasks, as do the counts of the ``COMMON`` most frequent words.
+The counts of all other words stay in a table that Spark joins with their places in the texts; no word that very many texts hold is
+among them. A word's length has no bound, so words of over ``LONG`` bytes never count as common.
 
 Training: every document is cut into runs of at most ``RUN`` tokens (all tokens, each in one run), many runs are worked on side by side, and each
 round adds up the expected counts (start, transition, state x class) of all partitions. Scoring: the scaled forward recursion
@@ -32,6 +33,7 @@ from recollect.llm.common import saved, split_words
 STATES = 8
 FREQUENT = 6000
 HASHED = 2000
+COMMON = 1 << 17
 LONG = 64
 RUN = 256
 ROUNDS = 5
@@ -40,6 +42,7 @@ END = b"\n"  # no word holds a line break
 FLUSH = 500_000
 BATCH_TOKENS = 200_000
 SEED = 11
+PRIOR = 1000.0  # tokens of the corpus distribution that each state is given
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,53 +67,49 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Classes(dict):
-    """Word -> class; only frequent words are held, any other word's class is computed."""
+class WordIds(dict):
+    """Word -> rank among the common words; another word has COMMON + the number of its hashed class."""
 
     def __missing__(self, word: bytes) -> int:
-        return FREQUENT + zlib.crc32(word) % HASHED
+        return COMMON + zlib.crc32(word) % HASHED
 
 
 def hashed_class(word: Column) -> Column:
     return (F.crc32(word) % HASHED).cast("int") + FREQUENT
 
 
-def encoded(docs: DataFrame, frequent: dict[bytes, tuple[int, int]], held: Column) -> DataFrame:
-    """row, doc_id, held_out, n_tokens, known, log_c (of the frequent words), classes (16-bit, as bytes), rest (other words).
-
-    ``frequent``: word -> (class, count), at most FREQUENT rows of at most LONG bytes.
-    """
-    by_class = np.zeros(FREQUENT + HASHED)
-    for k, c in frequent.values():
-        by_class[k] = np.log10(c + ADD)
+def encoded(docs: DataFrame, common: list[bytes], classes: np.ndarray, log_c: np.ndarray, inside: np.ndarray, held: Column) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, classes (16-bit, as bytes), rest (words that are not common), and sums over the common words:
+    known, log_c, inside. The arrays give, by word id, the class, log10(c + ADD) and log10 P(word | class)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes({w: k for w, (k, _) in frequent.items()})
+        ids = WordIds({w: k for k, w in enumerate(common)})
         for batch in batches:
             for low in range(0, len(batch), 256):
                 piece = batch.slice(low, 256)
-                sizes, known, logs, coded, rest = [], [], [], [], []
+                sizes, known, logs, insides, coded, rest = [], [], [], [], [], []
                 for text in piece.column(2):
                     words = tokens(text.as_py())
-                    own = np.fromiter(map(classes.__getitem__, words), np.uint16, len(words))
-                    other = np.flatnonzero(own >= FREQUENT)
+                    own = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+                    other = np.flatnonzero(own >= COMMON)
                     sizes.append(len(words))
                     known.append(len(words) - len(other))
-                    logs.append(float(by_class[own].sum()))  # classes of other words count 0 here
-                    coded.append(own.tobytes())
+                    logs.append(float(log_c[own].sum()))
+                    insides.append(float(inside[own].sum()))
+                    coded.append(classes[own].tobytes())
                     rest.append([words[i] for i in other])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(coded, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "log_c", "classes", "rest"],
+                    [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(insides), pa.array(coded, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                    names=["doc_id", "held_out", "n_tokens", "known", "log_c", "inside", "classes", "rest"],
                 )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, log_c double, classes binary, rest array<binary>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, log_c double, inside double, classes binary, rest array<binary>"
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(encode, schema)
     return saved(rows.withColumn("row", F.monotonically_increasing_id()), "hmm-texts")
 
 
-def side_by_side(runs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sequences as columns of matrices, longest first, about ``BATCH_TOKENS`` cells at a time: (classes, lengths)."""
+def side_by_side(runs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences as columns of matrices, longest first, about ``BATCH_TOKENS`` cells at a time: (classes, lengths, which)."""
     order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
     low = 0
     while low < len(order):
@@ -214,7 +213,7 @@ def baum_welch(texts: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS,
         moves = total[states : states + states * states].reshape(states, states) + 1
         moves /= moves.sum(1, keepdims=True)
         # A state keeps a share of the corpus distribution, so that no class is impossible in it.
-        emit = total[states + states * states :].reshape(size, states) + (20 * (class_counts + ADD) / (class_counts + ADD).sum() * 50)[:, None]
+        emit = total[states + states * states :].reshape(size, states) + PRIOR * ((class_counts + ADD) / (class_counts + ADD).sum())[:, None]
         emit /= emit.sum(0)
     return start, moves, emit
 
@@ -237,30 +236,33 @@ def language_model_scores(docs: DataFrame, held: Column | None = None, rounds: i
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of the documents."""
     held = F.lit(False) if held is None else held
     counts = saved(word_counts(docs.where(~held).select("text")), "hmm-words")
-    top = counts.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # FREQUENT rows of LONG bytes
-    frequent = {bytes(r["word"]): (k, r["c"]) for k, r in enumerate(top)}
-    known = saved(counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")), "word", "left_anti"), "hmm-rest")
-    per_class = known.groupBy(hashed_class(F.col("word")).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # HASHED rows
-    total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n_all, v_all = total[0] or 0, total[1]
+    top = counts.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word").limit(COMMON).toArrow()  # COMMON rows of LONG bytes
+    common, common_c = top["word"].to_pylist(), np.asarray(top["c"], np.float64)
+    per_class = counts.groupBy(hashed_class(F.col("word")).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # HASHED rows
+    n_all, v_all = sum(r["n"] for r in per_class), sum(r["v"] for r in per_class)
     class_counts, vocabulary = np.zeros(FREQUENT + HASHED), np.zeros(FREQUENT + HASHED)
-    for k, c in frequent.values():
-        class_counts[k] = c
     for r in per_class:
         class_counts[r["class"]], vocabulary[r["class"]] = r["n"], r["v"]
-    texts = encoded(docs, frequent, held)
+    hashed = np.array([FREQUENT + zlib.crc32(w) % HASHED for w in common], np.int64)
+    for k, c in enumerate(common_c[:FREQUENT]):  # these are classes of their own and leave their hashed ones
+        class_counts[k] = c
+        class_counts[hashed[k]] -= c
+        vocabulary[hashed[k]] -= 1
+    bottom = np.log10(class_counts + ADD * (vocabulary + 1))
+    classes = np.zeros(COMMON + HASHED, np.uint16)
+    log_c, inside = np.zeros(COMMON + HASHED), np.zeros(COMMON + HASHED)  # 0 for the other words, which the join below adds
+    classes[COMMON:] = FREQUENT + np.arange(HASHED)
+    classes[: len(common)] = np.where(np.arange(len(common)) < FREQUENT, np.arange(len(common)), hashed)
+    log_c[: len(common)] = np.log10(common_c + ADD)
+    inside[FREQUENT : len(common)] = log_c[FREQUENT : len(common)] - bottom[hashed[FREQUENT:]]
+    texts = encoded(docs, common, classes, log_c, inside, held)
     model = baum_welch(texts.where(~F.col("held_out")), class_counts, rounds, states)
-    # P(word | class) of the other words needs their counts: a word that very many texts hold is frequent and not among them.
-    bottom = F.array(*[F.lit(float(x)) for x in np.log10(class_counts[FREQUENT:] + ADD * (vocabulary[FREQUENT:] + 1))])
-    rest = texts.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("tf"))
-    met = rest.join(known, "word", "left").select(
-        "row", "tf", F.col("c").isNotNull().alias("k"), F.log10(F.coalesce("c", F.lit(0)) + ADD).alias("log_c"), F.get(bottom, hashed_class(F.col("word")) - FREQUENT).alias("bottom")
-    )
-    others = met.groupBy("row").agg(
-        F.sum(F.when(F.col("k"), F.col("tf")).otherwise(0)).alias("rest_known"),
-        F.sum(F.col("tf") * F.col("log_c")).alias("rest_log_c"),
-        F.sum(F.col("tf") * (F.col("log_c") - F.col("bottom"))).alias("inside"),
+    least = F.array(*[F.lit(float(x)) for x in bottom[FREQUENT:]])
+    rest = texts.select("row", F.explode("rest").alias("word"))
+    met = rest.join(counts, "word", "left").select(
+        "row", F.col("c").isNotNull().cast("long").alias("k"), F.log10(F.coalesce("c", F.lit(0)) + ADD).alias("l"), F.get(least, hashed_class(F.col("word")) - FREQUENT).alias("b")
     )
+    others = met.groupBy("row").agg(F.sum("k").alias("rest_known"), F.sum("l").alias("rest_log_c"), F.sum(F.col("l") - F.col("b")).alias("rest_inside"))
     both = texts.drop("classes", "rest").join(scored(texts, model), "row").join(others, "row", "left")
     base = F.col("log_c") + F.coalesce("rest_log_c", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n_all + ADD * (v_all + 1)))
     return both.select(
@@ -270,5 +272,5 @@ def language_model_scores(docs: DataFrame, held: Column | None = None, rounds: i
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("sequence") + F.coalesce("inside", F.lit(0.0))).alias("score"),
+        (F.col("sequence") + F.col("inside") + F.coalesce("rest_inside", F.lit(0.0))).alias("score"),
     )
