@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, hmm, jaccard, licenses, mixture, paragraphs, quality, toxicity
+from recollect.llm import chat, decontaminate, hmm, jaccard, licenses, mixture, paragraphs, quality, suffixes, toxicity
 from recollect.llm.common import held_out
 from recollect.session import ship
 
@@ -178,3 +178,8 @@ def op7(table):
 @query("op2_lm_scoring")
 def op2(table):
     return hmm.language_model_scores(table("documents"), held_out(F.col("doc_id"), 10, 0))
+
+
+@query("op3_suffix_array_dedup")
+def op3(table):
+    return suffixes.repeated_bytes(table("documents"))
