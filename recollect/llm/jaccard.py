@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import run_hashes, saved, signed, split_words, word_hashes
-from recollect.llm.links import components, crossing_pairs, hub_pairs
+from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
 
 SHINGLE = 3
 PERCENT = 90
@@ -182,7 +182,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     # One node stands for all documents with the same set. Combined before the shuffle, so copies do not meet in one task.
     classes = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "short")).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(classes.select("set_key", "r.*", "least_id"), "jaccard-classes")
-    members = classes.select("node", "n", F.posexplode("short").alias("at", "key"))
+    members = shared_members(classes.select("node", "n", F.posexplode("short").alias("at", "key")), "jaccard-lists")
     total = F.col("n") + F.col("n_h")
     overlap = F.least(F.col("n") - F.col("at"), F.col("n_h") - F.col("at_h"))
     # The overlap that the position allows makes the similarity: 100 * o >= percent * (total - o). Its size filter is implied.

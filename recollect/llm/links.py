@@ -37,13 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def shared_members(members: DataFrame, name: str) -> DataFrame:
+    """The members (key, ...) of groups of two or more. Most keys are alone; only they are counted, and nothing later meets the others."""
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    return saved(members.join(several, "key", "left_semi"), name)
+
+
 def hub_pairs(members: DataFrame, fits: Column, carried: list[str], order: list[str]) -> DataFrame:
     """a, b: each member of a group and the group's hub, its first member by ``order``; pairs that do not fit are left out.
 
     ``members``: key, node and the ``carried`` columns, which ``fits`` may name, with a ``_h`` behind them for the hub's. The hub is
     found by an aggregate that is combined before the shuffle; the join with it has one row per group on one side.
     """
-    hub = members.groupBy("key").agg(F.min(F.struct(*order, *[c for c in ["node", *carried] if c not in order])).alias("h"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    hub = members.groupBy("key").agg(F.min(F.struct(*order, *[c for c in ["node", *carried] if c not in order])).alias("h"))
     hub = hub.select("key", F.col("h.node").alias("node_h"), *[F.col(f"h.{c}").alias(f"{c}_h") for c in carried])
     met = members.join(hub, "key").where((F.col("node") != F.col("node_h")) & fits)
     return met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct()
