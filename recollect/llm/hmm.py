@@ -34,6 +34,7 @@ STATES = 8
 FREQUENT = 6000
 HASHED = 2000
 COMMON = 1 << 17
+SHARE = 1 << 21
 LONG = 64
 RUN = 256
 ROUNDS = 5
@@ -236,10 +237,12 @@ def language_model_scores(docs: DataFrame, held: Column | None = None, rounds: i
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of the documents."""
     held = F.lit(False) if held is None else held
     counts = saved(word_counts(docs.where(~held).select("text")), "hmm-words")
-    top = counts.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word").limit(COMMON).toArrow()  # COMMON rows of LONG bytes
+    n_all, v_all = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    n_all = n_all or 0
+    # At most SHARE words can have so large a share; only these meet in the task that orders them, whatever the corpus.
+    top = counts.where((F.col("c") * SHARE >= n_all) & (F.length("word") <= LONG)).orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
     common, common_c = top["word"].to_pylist(), np.asarray(top["c"], np.float64)
     per_class = counts.groupBy(hashed_class(F.col("word")).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # HASHED rows
-    n_all, v_all = sum(r["n"] for r in per_class), sum(r["v"] for r in per_class)
     class_counts, vocabulary = np.zeros(FREQUENT + HASHED), np.zeros(FREQUENT + HASHED)
     for r in per_class:
         class_counts[r["class"]], vocabulary[r["class"]] = r["n"], r["v"]

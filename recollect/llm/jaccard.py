@@ -114,8 +114,11 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def encoded(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, doc_id, text_key, set_key, n, short: ``short`` are the shingles whose lists are merged, rarest first."""
+def encoded(docs: DataFrame, width: int, percent: int, counts: np.ndarray, row: str | None = None) -> DataFrame:
+    """node, doc_id, text_key, set_key, n, short: ``short`` are the shingles whose lists are merged, rarest first.
+
+    ``row`` names a column of unique numbers to use as nodes.
+    """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +133,13 @@ def encoded(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> Da
             offsets = np.cumsum([0, *map(len, short)])
             shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(short) if short else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), shingles], names=["doc_id", "text_key", "set_key", "n", "short"]
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), shingles, batch.column(3)],
+                names=["doc_id", "text_key", "set_key", "n", "short", "node"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    coded = rows.mapInArrow(encode, "doc_id long, text_key string, set_key binary, n long, short array<long>")
-    return saved(coded.withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
+    node = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text", node.alias("node"))
+    return saved(rows.mapInArrow(encode, "doc_id long, text_key string, set_key binary, n long, short array<long>, node long"), "jaccard-sets")
 
 
 def text_key():
@@ -173,12 +177,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     return saved(both.mapInArrow(search, "a long, b long"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, node, component: one row per row of the documents.
 
-    ``component_id`` is the smallest doc_id of the component; ``node`` and ``component`` are row numbers of this run.
+    ``component_id`` is the smallest doc_id of the component; ``node`` and ``component`` are row numbers of this run, or those of ``row``.
     """
-    sets = encoded(docs, width, percent, rarity(docs, width))
+    sets = encoded(docs, width, percent, rarity(docs, width), row)
     # One node stands for all documents with the same set. Combined before the shuffle, so copies do not meet in one task.
     classes = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "short")).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(classes.select("set_key", "r.*", "least_id"), "jaccard-classes")
@@ -203,3 +207,15 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
         "node",
         F.coalesce("component", "node").alias("component"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents with all their columns, one of each component: the one with the smallest id, or of equal ids one of them.
+
+    Documents without words are in no group and stay.
+    """
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-documents")
+    found = jaccard_components(rows, width, percent, "_row").where("n_shingles > 0").select("node", "component", "doc_id")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    gone = found.join(best, "component").where(F.col("node") != F.col("b.node")).select(F.col("node").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
