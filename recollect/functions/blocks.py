@@ -1,8 +1,8 @@
 """Match every row of one table against every row of another without pairing them as rows.
 
-Each Arrow batch of the corpus meets a block of queries inside the task and leaves it reduced to results. A query
-table below a checked size travels to the tasks as one block. A larger one is cut into blocks by hash, and packed
-corpus batches are joined with the blocks on the block number.
+The queries are cut into blocks of a bounded size. Each block travels to the tasks that read the corpus; every Arrow
+batch of the corpus meets it there and leaves the task reduced to results. The corpus is read once per block and never
+shuffled, and the driver holds one block at a time. There is one plan for every number of queries.
 """
 
 from __future__ import annotations
@@ -14,14 +14,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_ROWS = 4096  # largest query table sent to the tasks as one block
-QUERY_BYTES = 64 << 20  # and its largest size, where rows have no fixed one
-BLOCK_ROWS = 1024  # queries per block beyond that
+BLOCK_ROWS = 4096  # most queries in a block
+BLOCK_BYTES = 16 << 20  # and about its most bytes
 
 Prepare = Callable[[pa.Table], Any]
 Match = Callable[[Any, pa.RecordBatch], pa.RecordBatch | None]
 
 
+def query_blocks(queries: DataFrame, key: str, block_rows: int, size: Column) -> Iterator[pa.Table]:
+    """The queries in blocks; at least one, which may be empty."""
+    rows, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n = max(1, -(-rows // block_rows), -(-total // BLOCK_BYTES))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)))
+    for k in range(n):
+        yield numbered.where(F.col("_block") == k).drop("_block").toArrow()
+
+
 def block_match(
     queries: DataFrame,
     corpus: DataFrame,
@@ -29,22 +37,17 @@ def block_match(
     prepare: Prepare,
     match: Match,
     schema: str,
-    query_rows: int = QUERY_ROWS,
-    size: Column | None = None,
+    size: Column,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Results of ``match(prepare(queries), batch)`` for every batch of the corpus and every block of queries.
 
-    ``size`` gives the bytes of a query row where they vary; without it only the number of rows is checked.
+    ``size`` gives the bytes of a query row.
     """
-    n, fits = 0, True
-    if size is not None:
-        count, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-        n, fits = max(-(-count // BLOCK_ROWS), -(-total // QUERY_BYTES)), count <= query_rows and total <= QUERY_BYTES
-    head = queries.limit(query_rows + 1).toArrow() if fits else None
-    if head is not None and head.num_rows <= query_rows:
 
+    def against(block: pa.Table) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state = prepare(head)
+            state = prepare(block)
             for batch in batches:
                 out = match(state, batch) if batch.num_rows else None
                 if out is not None and out.num_rows:
@@ -52,36 +55,8 @@ def block_match(
 
         return corpus.mapInArrow(run, schema)
 
-    n = n or -(-queries.count() // BLOCK_ROWS)
-    blocks = (
-        queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct(*queries.columns)).alias("qs"))
-    )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(start, BLOCK_ROWS)
-                rows = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
-                offsets = pa.array([0, len(rows)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, rows)], names=["rows"])
-
-    packed = corpus.mapInArrow(pack, f"rows array<{corpus.schema.simpleString()}>")
-    spread = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = spread.join(blocks, "block").select("block", "rows", "qs")
-
-    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block = batch.column("block")[r].as_py()
-                if block != last:
-                    qs = batch.column("qs").slice(r, 1).flatten()
-                    last, state = block, prepare(pa.Table.from_batches([pa.RecordBatch.from_struct_array(qs)]))
-                rows = pa.RecordBatch.from_struct_array(batch.column("rows").slice(r, 1).flatten())
-                out = match(state, rows)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return pairs.mapInArrow(run_pairs, schema)
+    found = None
+    for block in query_blocks(queries, key, block_rows, size):
+        part = against(block)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -21,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def blank(c: str | Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(col(c), r"\s+", " ")) == "", F.lit(True))
+    return F.coalesce(strip(F.regexp_replace(col(c), r"\s+", " ")) == "", F.lit(True))
 
 
 def words(c: str | Column) -> Column:
@@ -29,6 +29,11 @@ def words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def strip(c: str | Column) -> Column:
+    """Text without white space of any kind at both ends; F.trim removes blanks only."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def han_tokens(c: str | Column) -> Column:
     """Single Han characters followed by their bigrams, the rule used where no segmenter is given."""
     han = F.regexp_replace(col(c), f"[^{HAN}]", "")
@@ -168,7 +173,7 @@ def clean_markdown(c: str | Column) -> Column:
     text = F.regexp_replace(text, r"\[(.*?)\]\(.*?\)", "$1")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     text = F.regexp_replace(text, r"\*{1,3}|_{1,3}", "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def html_text(c: str | Column) -> Column:
@@ -178,22 +183,22 @@ def html_text(c: str | Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<style\b.*?</style\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def final_answer(c: str | Column) -> Column:
     """What follows the answer marker up to the line end, else the last non-blank line, else the text."""
     text = F.coalesce(col(c), F.lit(""))
     marker = r"(?is)FINAL\s*ANSWER\s*:\s*(.+?)(?:\n|$)"
-    marked = F.trim(F.regexp_extract(text, marker, 1))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    marked = strip(F.regexp_extract(text, marker, 1))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
     return F.when(F.regexp_like(text, F.lit(marker)), marked).otherwise(
-        F.coalesce(F.try_element_at(lines, F.lit(-1)), F.trim(text))
+        F.coalesce(F.try_element_at(lines, F.lit(-1)), strip(text))
     )
 
 
 def normalise_answer(c: str | Column) -> Column:
-    text = F.trim(F.lower(F.coalesce(col(c), F.lit(""))))
+    text = strip(F.lower(F.coalesce(col(c), F.lit(""))))
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, r"(\d),(\d)", "$1$2")
     text = F.regexp_replace(text, r"\.$", "")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 _HAN = re.compile("[一-鿿㐀-䶿豈-﫿]")
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")  # white space as in the column expressions
 
 
 class Paragraph(NamedTuple):
@@ -27,7 +28,7 @@ class Chunk(NamedTuple):
 def approx_tokens(text: str) -> int:
     """Han characters, plus whitespace words that hold anything else."""
     bare, han = _HAN.subn("", text)
-    return han + len(bare.split())
+    return han + len(_WORD.findall(bare))
 
 
 def paragraphs(text: str) -> Iterator[Paragraph]:

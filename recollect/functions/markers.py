@@ -29,39 +29,34 @@ def strip_reasoning(text: str) -> str:
     return "".join(kept).strip()
 
 
-def _body_end(text: str, at: int) -> int:
-    """Position of the bracket that closes a mark whose body starts at ``at``, or -1."""
-    depth, quoted = 0, False
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            if c == "\\":
-                at += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            depth += 1
-        elif c in "}]":
-            depth -= 1
-            if c == "]" and depth < 0:
-                return at
-        at += 1
-    return -1
+# What can matter inside a body: a quoted string as a whole, a quote that is never closed, and brackets.
+_PIECES = re.compile(r'"(?:[^"\\]|\\.)*"|["\[\]{}]', re.DOTALL)
+_MARK = re.compile(r"\[TOOL_CALL:([^:]*):")
+
+
+def _closing(text: str, begin: int) -> int | None:
+    """Where the square bracket stands that closes a body beginning at ``begin``."""
+    inside = 0
+    for piece in _PIECES.finditer(text, begin):
+        kind = piece.group()
+        if kind == '"':
+            return None
+        inside += (kind in ("[", "{")) - (kind in ("]", "}"))
+        if inside < 0 and kind == "]":
+            return piece.start()
+    return None
 
 
 def _marks(text: str):
-    """(start, name, body, end) of every closed tool mark, then (start, None, None, None) for an unclosed one."""
-    at = text.find(TOOL_MARK)
-    while at >= 0:
-        colon = text.find(":", at + len(TOOL_MARK))
-        end = _body_end(text, colon + 1) if colon >= 0 else -1
-        if end < 0:
-            yield at, None, None, None
-            return
-        yield at, text[at + len(TOOL_MARK) : colon].strip(), text[colon + 1 : end].strip(), end + 1
-        at = text.find(TOOL_MARK, end + 1)
+    """(match of the head, position of the closing bracket or None) of every tool mark.
+
+    The search goes on behind a closed mark, and behind the head of an unclosed one.
+    """
+    head = _MARK.search(text)
+    while head:
+        close = _closing(text, head.end())
+        yield head, close
+        head = _MARK.search(text, head.end() if close is None else close + 1)
 
 
 def strip_tool_calls(text: str) -> str:
@@ -69,14 +64,15 @@ def strip_tool_calls(text: str) -> str:
     if not text.strip():
         return text
     kept, position = [], 0
-    for start, name, _, end in _marks(text):
-        if name is None:
+    for head, close in _marks(text):
+        if close is None:
             break
-        kept.append(text[position:start])
-        position = end
+        kept.append(text[position : head.start()])
+        position = close + 1
     kept.append(text[position:])
     return "".join(kept).strip()
 
 
 def tool_calls(text: str | None) -> list[tuple[str, str]]:
-    return [(name, body) for _, name, body, _ in _marks(text or "") if name is not None]
+    """(name, body) of every closed mark, also of those behind an unclosed one."""
+    return [(head.group(1).strip(), text[head.end() : close].strip()) for head, close in _marks(text or "") if close is not None]

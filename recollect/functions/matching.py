@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.blocks import QUERY_ROWS, block_match
+from recollect.functions.blocks import BLOCK_ROWS, block_match
 
 
 def substring_hits(
@@ -17,7 +17,7 @@ def substring_hits(
     phrase: str = "phrase",
     text_id: str = "id",
     text: str = "text",
-    query_rows: int = QUERY_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(phrase_id, text_id) for every text that contains the phrase; both sides are compared as given.
 
@@ -55,4 +55,4 @@ def substring_hits(
         )
 
     schema = f"{phrase_id} {types[0]}, {text_id} {types[1]}"
-    return block_match(q, t, phrase_id, prepare, match, schema, query_rows, F.octet_length(phrase))
+    return block_match(q, t, phrase_id, prepare, match, schema, F.octet_length(phrase), block_rows)

@@ -60,9 +60,6 @@ def block_sums(blocked: DataFrame, keys: Sequence[str], order: Sequence[str], su
     )
 
 
-TAKE_ROWS = 100_000  # up to here the first rows of a sort are merged in one task
-
-
 def row_numbers(df: DataFrame, order: Sequence[str], out: str, blocks: int | None = None) -> DataFrame:
     """Number all rows from 1 in the given ascending order, without bringing them into one task."""
     keyed = df.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})

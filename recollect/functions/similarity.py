@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.blocks import QUERY_ROWS, block_match
+from recollect.functions.blocks import BLOCK_ROWS, block_match
 from recollect.functions.ranking import top_per_key
 
-DIGITS = 6  # scores are rounded before ranking, so equal vectors tie and the id decides
+DIGITS = 6  # of the scores that are returned
+RANK_DIGITS = 12  # equal vectors tie whatever the order of their products, and the id then decides
 
 
 def _unit(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -58,7 +59,7 @@ def cosine_hits(
     id_col: str = "id",
     vector_col: str = "embedding",
     scope: str | None = None,
-    query_rows: int = QUERY_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, id, score, rank) for the best ``k`` positive cosines per query; all, unranked, where ``k`` is None.
 
@@ -86,7 +87,7 @@ def cosine_hits(
             if not rows.num_rows:
                 continue
             ids = _values(rows.column("id"))
-            scores = np.round(_unit(rows.column("v"), dim) @ q_matrix.T, DIGITS)
+            scores = np.round(_unit(rows.column("v"), dim) @ q_matrix.T, RANK_DIGITS)
             r_scope = _values(rows.column("s")) if scope else None
             for j, qid in enumerate(qids):
                 column = scores[:, j] if q_scope is None else np.where(r_scope == q_scope[j], scores[:, j], 0.0)
@@ -97,10 +98,9 @@ def cosine_hits(
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=names)
 
-    hits = block_match(q, v, "q", prepare, match, schema, query_rows)
-    if k is None:
-        return hits
-    return top_per_key(hits, [query_id], [F.desc("score"), F.asc(id_col)], k)
+    hits = block_match(q, v, "q", prepare, match, schema, 8 * F.size("v"), block_rows)
+    ranked = hits if k is None else top_per_key(hits, [query_id], [F.desc("score"), F.asc(id_col)], k)
+    return ranked.withColumn("score", F.round("score", DIGITS))
 
 
 def dense(df: DataFrame, key: str, dim: int, slot: str = "slot", weight: str = "weight") -> DataFrame:

@@ -67,7 +67,7 @@ def values_match(a: str | Column, b: str | Column) -> Column:
     close = F.abs(x.try_cast("double") - y.try_cast("double")) < 1e-9
 
     def bare(v: Column) -> Column:
-        return F.regexp_replace(F.trim(v), '"', "")
+        return F.regexp_replace(X.strip(v), '"', "")
 
     return (
         F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull())
@@ -110,7 +110,7 @@ def match_answers(df: DataFrame, predicted: str = "predicted", expected: str = "
     exact = p == e
 
     def items(v: Column) -> Column:
-        parts = F.transform(F.split(v, ","), lambda s: F.trim(s))
+        parts = F.transform(F.split(v, ","), lambda s: X.strip(s))
         return F.array_distinct(F.filter(parts, lambda s: s != ""))
 
     longer = F.greatest(F.size(items(p)), F.size(items(e)))
@@ -186,7 +186,7 @@ def judge_statistics(scores: DataFrame) -> DataFrame:
 
 def comparison_outcome(df: DataFrame, winner: str = "winner", swap: str = "swap", error: str | None = None) -> DataFrame:
     """Add ``outcome``: tie, generated or reference; whatever is not understood is a tie."""
-    w = F.lower(F.trim(F.coalesce(F.col(winner), F.lit(""))))
+    w = F.lower(X.strip(F.coalesce(F.col(winner), F.lit(""))))
     outcome = (
         F.when(F.contains(w, F.lit("tie")) | F.contains(w, F.lit("draw")), "tie")
         .when(w == "a", F.when(F.col(swap), "reference").otherwise("generated"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -117,11 +119,12 @@ def network_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_hops(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
+def shortest_hops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, hops) of the shortest undirected path for each wanted pair; pairs without one are left out.
 
     A breadth-first search by joins: each round moves the frontier one edge on, drops (start, node) pairs already
-    seen, and is cut off from its history by a checkpoint. Starts whose targets are all found leave the search.
+    seen, and is cut off from its history by a checkpoint. Starts whose targets are all found leave the search, which ends
+    when no new node is met.
     """
     links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = cut(links.distinct().select(F.col("src").alias("node"), F.col("dst").alias("next")))
@@ -130,7 +133,7 @@ def shortest_hops(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> Dat
     wanted = cut(wanted.join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
     seen = cut(wanted.select("src", F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0)))
     frontier = seen.select("src", "node")
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         reached = wanted.join(seen.select("src", F.col("node").alias("dst")), ["src", "dst"], "left_semi")
         active = wanted.join(reached, ["src", "dst"], "left_anti").select("src").distinct()
         step = frontier.join(active, "src", "left_semi").join(links, "node").select("src", F.col("next").alias("node"))

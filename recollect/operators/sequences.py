@@ -40,15 +40,16 @@ def running_affinity(
     every block is then replayed on its own, however many rows its key has elsewhere.
     """
     keys, order = list(keys), list(order)
-    blocked = ordered_blocks(changes.withColumn("_c", F.col(change).cast("double")), keys, order, blocks)
-    key_type = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in keys)
+    # Keys are compared as one text: a null in a column of numbers would become NaN in the tasks, which equals nothing.
+    steps = changes.withColumns({"_c": F.col(change).cast("double"), "_key": F.to_json(F.struct(*keys))})
+    blocked = ordered_blocks(steps, keys, order, blocks)
 
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = block = None
         a, lo, hi = 0.0, float("-inf"), float("inf")
         for frame in frames:
             block = int(frame[BLOCK].iat[0])
-            for key, c in zip(zip(*[frame[k] for k in keys]), frame["_c"]):
+            for key, c in zip(frame["_key"], frame["_c"]):
                 if key != last:
                     if last is not None and first is None:
                         first = (last, a, lo, hi)
@@ -56,16 +57,16 @@ def running_affinity(
                 a, lo, hi = a + c, min(high, max(low, lo + c)), min(high, max(low, hi + c))
         rows = [r for r in (first, (last, a, lo, hi) if last is not None else None) if r is not None]
         if rows:
-            yield pd.DataFrame([(*k, block, x, y, z) for k, x, y, z in rows], columns=[*keys, BLOCK, "a", "lo", "hi"])
+            yield pd.DataFrame([(k, block, x, y, z) for k, x, y, z in rows], columns=["_key", BLOCK, "a", "lo", "hi"])
 
-    borders = blocked.select(*keys, BLOCK, "_c").mapInPandas(
-        summarise, f"{key_type}, {BLOCK} int, a double, lo double, hi double"
+    borders = blocked.select("_key", BLOCK, "_c").mapInPandas(
+        summarise, f"_key string, {BLOCK} int, a double, lo double, hi double"
     )
     # Bounded by two rows per partition, so the driver may fold them in block order.
-    value: dict[tuple, float] = {}
-    entering: dict[int, tuple[tuple, float]] = {}
+    value: dict[str, float] = {}
+    entering: dict[int, tuple[str, float]] = {}
     for row in sorted(borders.collect(), key=lambda r: r[BLOCK]):
-        key = tuple(row[k] for k in keys)
+        key = row["_key"]
         before = value.get(key, start)
         entering.setdefault(row[BLOCK], (key, before))
         value[key] = min(row["hi"], max(row["lo"], before + row["a"]))
@@ -75,14 +76,14 @@ def running_affinity(
         for frame in frames:
             old, new = [], []
             carried = entering.get(int(frame[BLOCK].iat[0]))
-            for key, c in zip(zip(*[frame[k] for k in keys]), frame["_c"]):
+            for key, c in zip(frame["_key"], frame["_c"]):
                 if key != last:
                     x = carried[1] if last is None and carried and carried[0] == key else start
                     last = key
                 old.append(x)
                 x = min(high, max(low, x + c))
                 new.append(x)
-            yield frame.drop(columns=[BLOCK, "_c"]).assign(old_affinity=old, new_affinity=new)
+            yield frame.drop(columns=[BLOCK, "_c", "_key"]).assign(old_affinity=old, new_affinity=new)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.schema.fields)
     out = blocked.mapInPandas(replay, f"{fields}, old_affinity double, new_affinity double")
@@ -145,24 +146,36 @@ def trajectory(
 def dialogue_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row per dialogue of (file, line, seconds, kind, subject, number, text) log events.
 
-    A dialogue begins at a start line; a start line directly followed by the same start is a repeat and opens none.
+    A dialogue begins at a start line; a start with its message that is logged twice in a row, with the same subject and message, opens one.
     Clock times may jump back at midnight: a time below the one before raises the day of the rest of the file.
     """
     events = log.where(F.col("kind").isNotNull())
     ordered = ordered_blocks(events, ["file"], ["line"], blocks)
-    # The row before may lie in an earlier block of the same file; its last values come from a per-block summary.
+    # The rows around may lie in other blocks of the same file; what is needed of those comes from per-block summaries.
+    start_subject = F.when(F.col("kind") == "start", F.col("subject"))
     ends = ordered.groupBy("file", BLOCK).agg(
-        F.max_by("seconds", "line").alias("_end_s"), F.max_by("kind", "line").alias("_end_k"),
+        F.max_by("seconds", "line").alias("_end_s"), F.max_by("kind", "line").alias("_end_k"), F.max_by("text", "line").alias("_end_t"),
+        F.max_by(start_subject, F.when(F.col("kind") == "start", F.col("line"))).alias("_end_name"), F.min_by("text", "line").alias("_first_t"),
     )
     earlier = Window.partitionBy("file").orderBy(BLOCK)
-    ends = ends.select("file", BLOCK, F.lag("_end_s").over(earlier).alias("_prev_s"), F.lag("_end_k").over(earlier).alias("_prev_k"))
+    ends = ends.select(
+        "file", BLOCK, F.lag("_end_s").over(earlier).alias("_prev_s"), F.lag("_end_k").over(earlier).alias("_prev_k"),
+        F.lag("_end_t").over(earlier).alias("_prev_t"), F.lead("_first_t").over(earlier).alias("_after_t"),
+        F.last("_end_name", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_name"),
+    )
     inside = Window.partitionBy("file", BLOCK).orderBy("line")
-    seen = ordered.select("*", F.lag("seconds").over(inside).alias("_s"), F.lag("kind").over(inside).alias("_k"))
+    seen = ordered.select(
+        "*", F.lag("seconds").over(inside).alias("_s"), F.lag("kind").over(inside).alias("_k"), F.lag("text").over(inside).alias("_t"),
+        F.lead("text").over(inside).alias("_n"), F.row_number().over(inside).alias("_i"), F.lead("line").over(inside).isNull().alias("_last"),
+        F.last(start_subject, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("_name"),
+    )
     seen = seen.join(ends, ["file", BLOCK]).withColumns({
-        "_s": F.coalesce("_s", "_prev_s"), "_k": F.coalesce("_k", "_prev_k"),
+        "_s": F.coalesce("_s", "_prev_s"), "_k": F.coalesce("_k", "_prev_k"), "_name": F.coalesce("_name", "_prev_name"),
+        "_t": F.when(F.col("_i") == 1, F.col("_prev_t")).otherwise(F.col("_t")), "_n": F.when(F.col("_last"), F.col("_after_t")).otherwise(F.col("_n")),
     })
-    # A repeated start block reads start, message, start, message: the second start follows a bare message.
-    repeat = (F.col("kind") == "start") & (F.col("_k") == "message")
+    # A repeated start block reads start, message, start, message, with the same subject and the same message.
+    same = F.col("subject").eqNullSafe(F.col("_name")) & F.col("_n").eqNullSafe(F.col("_t"))
+    repeat = (F.col("kind") == "start") & (F.col("_k") == "message") & same
     flagged = seen.select(
         "file", "line", "seconds", "kind", "subject", "number", "text", BLOCK,
         F.when((F.col("kind") == "start") & ~F.coalesce(repeat, F.lit(False)), 1).otherwise(0).alias("_new"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
-from recollect.functions.ordered import BLOCK, TAKE_ROWS, ordered_blocks, row_numbers
+from recollect.functions.ordered import BLOCK, ordered_blocks, row_numbers
 from recollect.functions.ranking import first_per_key, ordered_text, top_per_key
 from recollect.functions.replay import Held, insert
 from recollect.session import cut
@@ -107,7 +107,7 @@ def list_important(items: DataFrame, types: Sequence[str], min_importance: float
 
 def rank_by_missing(df: DataFrame, columns: Sequence[str], n: int, key: str) -> DataFrame:
     """Rows with the most missing or blank columns first."""
-    missing = sum(F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), 1).otherwise(0) for c in columns)
+    missing = sum(F.when(F.col(c).isNull() | (X.strip(F.col(c).cast("string")) == ""), 1).otherwise(0) for c in columns)
     return df.withColumn("missing", missing).orderBy(F.desc("missing"), F.asc(key)).limit(n)
 
 
@@ -199,7 +199,7 @@ def source_lists(results: DataFrame, task: str, rank: str = "rank", part_rows: i
     A list comes in parts of at most ``part_rows`` ranks, so that a task with very many results is no single row.
     """
     url = F.coalesce("url", F.lit(""))
-    line = F.concat(F.lit("* "), F.coalesce("title", F.lit("")), F.when(F.trim(url) != "", F.concat(F.lit(" : "), url)).otherwise(""), F.lit("\n"))
+    line = F.concat(F.lit("* "), F.coalesce("title", F.lit("")), F.when(X.strip(url) != "", F.concat(F.lit(" : "), url)).otherwise(""), F.lit("\n"))
     part = F.floor(F.col(rank) / part_rows).cast("int")
     return results.groupBy(task, part.alias("part")).agg(ordered_text(line, F.col(rank), "").alias("sources"))
 
@@ -301,11 +301,11 @@ def forget(
         if threshold <= 0:
             return items, items.limit(0)
         n = int(threshold)
-        if n <= TAKE_ROWS:
-            # Every task sends its n best rows, none sorts all of them.
-            kept = items.orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")).limit(n)
-            return kept, items.join(kept.select("id"), "id", "left_anti").select(*items.columns)
-        least = items.withColumns({"_i": -F.col("importance"), "_c": -F.unix_micros(F.col("created_at").cast("timestamp"))})
+        # Rows without importance or time come last; the ranks are found without bringing all rows into one task.
+        least = items.withColumns({
+            "_i": F.coalesce(-F.col("importance"), F.lit(float("inf"))),
+            "_c": F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1)),
+        })
         numbered = cut(row_numbers(least, ["_i", "_c", "id"], "_n"))
         return tuple(numbered.where(test).select(*items.columns) for test in (F.col("_n") <= n, F.col("_n") > n))
     raise ValueError(f"unknown strategy {strategy!r}")

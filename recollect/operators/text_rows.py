@@ -111,7 +111,7 @@ def clean_page_text(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
             .otherwise(F.concat(F.lit(run_open), s, F.lit(run_close)))
         )
 
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: ~is_noise(s))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: X.strip(s)), lambda s: ~is_noise(s))
     joined = F.array_join(F.transform(lines, mark), "\n")
     joined = F.regexp_replace(joined, f"{run_close}\n{run_open}", " ")
     joined = F.regexp_replace(joined, f"[{run_open}{run_close}]", "")
@@ -351,8 +351,8 @@ def extract_tool_calls(
     name = F.coalesce(F.try_element_at(first, F.col("tool")), F.lit("input"))
     pairs = F.filter(F.split("body", ","), lambda p: F.contains(p, F.lit("=")))
     as_pairs = F.map_from_entries(_last_wins(F.transform(pairs, lambda p: F.struct(
-        F.trim(F.substring_index(p, "=", 1)).alias("key"),
-        F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"),
+        X.strip(F.substring_index(p, "=", 1)).alias("key"),
+        X.strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"),
     ))))
     is_json = F.col("body").startswith("{") & F.try_parse_json("body").isNotNull()
     params = (
@@ -420,9 +420,9 @@ def extract_tasks(df: DataFrame, key: str, col: str) -> DataFrame:
     rows = F.regexp_extract_all(text, F.lit(_TASK_ROW), F.lit(0))
     table = F.transform(rows, lambda r: F.struct(
         F.regexp_extract(r, _TASK_ROW, 1).cast("int").alias("task_id"),
-        F.trim(F.regexp_extract(r, _TASK_ROW, 2)).alias("title"),
-        F.trim(F.regexp_extract(r, _TASK_ROW, 3)).alias("intent"),
-        F.regexp_replace(F.trim(F.regexp_extract(r, _TASK_ROW, 4)), "`", "").alias("query"),
+        X.strip(F.regexp_extract(r, _TASK_ROW, 2)).alias("title"),
+        X.strip(F.regexp_extract(r, _TASK_ROW, 3)).alias("intent"),
+        F.regexp_replace(X.strip(F.regexp_extract(r, _TASK_ROW, 4)), "`", "").alias("query"),
     ))
     table = F.filter(table, lambda r: ~(F.contains(r["title"], F.lit("标题")) & F.contains(r["intent"], F.lit("意图"))))
     chosen = F.when(listed.isNotNull(), listed_rows).otherwise(table)
@@ -517,8 +517,8 @@ def json_block(text: str | Column, fenced: bool = False) -> Column:
     if not fenced:
         return block
     fence = F.coalesce(
-        F.nullif(F.trim(F.regexp_extract(source, r"(?s)```json(.*?)```", 1)), F.lit("")),
-        F.nullif(F.trim(F.regexp_extract(source, r"(?s)```(.*?)```", 1)), F.lit("")),
+        F.nullif(X.strip(F.regexp_extract(source, r"(?s)```json(.*?)```", 1)), F.lit("")),
+        F.nullif(X.strip(F.regexp_extract(source, r"(?s)```(.*?)```", 1)), F.lit("")),
     )
     return F.coalesce(fence, block)
 
@@ -574,7 +574,7 @@ def hash_answer(c: str | Column) -> Column:
     text = F.coalesce(X.col(c), F.lit(""))
     pattern = r"####\s*(-?[\d,.]+)"
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    last = F.trim(F.element_at(F.split(bare, "\n"), -1))
+    last = X.strip(F.element_at(F.split(bare, "\n"), -1))
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(last)
 
 
@@ -583,10 +583,10 @@ def short_name(c: str | Column) -> Column:
     title = F.coalesce(X.col(c), F.lit(""))
     # The patterns of title notes.
     cleaned = F.regexp_replace(title, r"[（(]?(全DLC|数字豪华版|更新|v\d+\.\d+)[^）)]*[）)]?", "")
-    cleaned = F.trim(F.regexp_replace(cleaned, r"[（(][^）)]*[）)]", ""))
+    cleaned = X.strip(F.regexp_replace(cleaned, r"[（(][^）)]*[）)]", ""))
     cut = F.regexp_replace(cleaned, r"\s+[A-Za-z0-9][A-Za-z0-9\s:：\-._]{2,}$", "")
-    cut = F.trim(F.regexp_replace(cut, r"[/／].*", ""))
-    whole = F.trim(F.element_at(F.split(title, "[/／]"), 1))
+    cut = X.strip(F.regexp_replace(cut, r"[/／].*", ""))
+    whole = X.strip(F.element_at(F.split(title, "[/／]"), 1))
     return F.when(X.blank(title) | (cleaned == ""), F.lit("")).when(cut == "", whole).otherwise(cut)
 
 
@@ -598,10 +598,10 @@ def english_name(c: str | Column) -> Column:
         return F.when(F.length(v) >= 3, v)
 
     in_brackets = F.regexp_replace(F.regexp_extract(title, r"[（(]([a-zA-Z0-9][^）)]{2,})[）)]", 1), r"[^a-zA-Z0-9\s:：\-._]", "")
-    after_slash = F.regexp_replace(F.trim(F.regexp_extract(title, r"[/／]\s*([A-Za-z][A-Za-z0-9\s:：\-._]{2,})", 1)), r"[^a-zA-Z0-9\s:：\-_.]$", "")
-    before_han = F.nullif(F.trim(F.regexp_extract(title, r"^([A-Za-z][A-Za-z0-9\s:：\-._]{3,}?)\s+[一-鿿]", 1)), F.lit(""))
-    whole = F.when(title.rlike(r"^[A-Za-z0-9\s:：\-._]{3,}$"), F.trim(title))
-    return F.when(~X.blank(title), F.coalesce(long_enough(F.trim(in_brackets)), long_enough(after_slash), before_han, whole))
+    after_slash = F.regexp_replace(X.strip(F.regexp_extract(title, r"[/／]\s*([A-Za-z][A-Za-z0-9\s:：\-._]{2,})", 1)), r"[^a-zA-Z0-9\s:：\-_.]$", "")
+    before_han = F.nullif(X.strip(F.regexp_extract(title, r"^([A-Za-z][A-Za-z0-9\s:：\-._]{3,}?)\s+[一-鿿]", 1)), F.lit(""))
+    whole = F.when(title.rlike(r"^[A-Za-z0-9\s:：\-._]{3,}$"), X.strip(title))
+    return F.when(~X.blank(title), F.coalesce(long_enough(X.strip(in_brackets)), long_enough(after_slash), before_han, whole))
 
 
 def title_variants(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -636,7 +636,7 @@ def infer_event_keys(events: DataFrame, params: str = "raw_parameters", result:
     field = F.get_json_object(p, "$.task_id").try_cast("double").cast("int")
     tags = F.from_json(F.get_json_object(p, "$.tags"), "array<string>")
     by_tag = F.try_element_at(
-        F.filter(F.transform(tags, lambda t: F.when(t.startswith("task_"), F.substring(t, 6, 20).try_cast("int"))), lambda x: x.isNotNull()),
+        F.filter(F.transform(tags, lambda t: F.when(t.startswith("task_"), F.substring(t, F.lit(6), F.length(t)).try_cast("int"))), lambda x: x.isNotNull()),
         F.lit(1),
     )
     by_title = F.nullif(F.regexp_extract(F.coalesce(F.get_json_object(p, "$.title"), F.lit("")), r"任务\s*(\d+)", 1), F.lit("")).try_cast("int")

@@ -104,7 +104,7 @@ def a10_counts(t):
 edges AS (SELECT a.id AS s, b.id AS d FROM nodes a JOIN nodes b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 UNION ALL SELECT a.id, b.id FROM nodes a JOIN nodes b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 WHERE a.turn % 3 = 0),
 und AS (SELECT s, d FROM edges UNION SELECT d, s FROM edges),
 pairs AS (SELECT conv_id * 1000 + max(turn) AS src, conv_id * 1000 AS dst FROM conversations GROUP BY conv_id),
-walk AS (SELECT src, src AS node, 0 AS hops FROM pairs UNION SELECT w.src, u.d, w.hops + 1 FROM walk w JOIN und u ON u.s = w.node WHERE w.hops < 10)
+walk AS (SELECT src, src AS node, 0 AS hops FROM pairs UNION SELECT w.src, u.d, w.hops + 1 FROM walk w JOIN und u ON u.s = w.node WHERE w.hops < 60)
 SELECT p.src, p.dst, min(hops) AS hops FROM pairs p JOIN walk w ON w.src = p.src AND w.node = p.dst WHERE p.src IN (SELECT s FROM und) GROUP BY ALL""")
 def j14(t):
     """From the last turn of each conversation to its first, over follow-on edges and some shortcuts."""
@@ -117,4 +117,4 @@ def j14(t):
 
     edges = here.join(after(1), ["conv_id", "turn"]).unionByName(here.where(F.col("turn") % 3 == 0).join(after(2), ["conv_id", "turn"])).select("src", "dst")
     pairs = c.groupBy("conv_id").agg((F.first("conv_id") * 1000 + F.max("turn")).alias("src")).select("src", (F.col("conv_id") * 1000).alias("dst"))
-    return G.shortest_hops(edges, pairs, 10)
+    return G.shortest_hops(edges, pairs)

@@ -162,7 +162,7 @@ _LINKS = rf"""links AS (SELECT page_id, pos, url, title FROM (
 def _links(t):
     from recollect.sources.documents import extract_links
 
-    return extract_links(t.pages, 1000)
+    return extract_links(t.pages)
 
 
 @query("a19_source_lists", f"""WITH {_LINKS}

@@ -29,14 +29,16 @@ def local_session(cores: str = "8", app: str = "recollect", **conf: str) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; on one machine a folder of its own where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    made = tempfile.mkdtemp(prefix="recollect-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="recollect-")  # one machine: tests and trials
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made
 
@@ -55,19 +57,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPLIT_BYTES = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input, which may lie in one file or row group, to all cores; leave a large one as it is read.
-
-    For jobs that work hard on every row. The size is the planner's estimate of the input.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def ship(spark: SparkSession) -> None:
     """Let tasks carry the row helpers of this package with them, so workers need not be able to import it."""
     import recollect

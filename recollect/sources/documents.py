@@ -67,8 +67,8 @@ def parse_notes(files: DataFrame, raw: str = "value", fallback_id: str | None =
     folded = F.split(F.regexp_replace(F.array_join(lines, "\n"), r"\n[ \t]+", " "), "\n")
     usable = F.filter(folded, lambda x: F.contains(x, F.lit(":")) & ~x.rlike(r"^\s*#"))
     entries = F.transform(usable, lambda x: F.struct(
-        F.trim(F.substring_index(x, ":", 1)).alias("k"),
-        F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"),
+        X.strip(F.substring_index(x, ":", 1)).alias("k"),
+        X.strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"),
     ))
     keys = F.transform(entries, lambda e: e["k"])
     unique = F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
@@ -82,7 +82,7 @@ def parse_notes(files: DataFrame, raw: str = "value", fallback_id: str | None =
 
     tags_text = F.coalesce(F.try_element_at("_m", F.lit("tags")), F.lit(""))
     inner = F.regexp_replace(tags_text, r"^\[|\]$", "")
-    tags = F.filter(F.transform(F.split(inner, ","), lambda t: plain(F.trim(t))), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(inner, ","), lambda t: plain(X.strip(t))), lambda t: t != "")
     created = get("created_at", F.lit(""))
     return meta.select(
         get("id", F.col(fallback_id) if fallback_id else F.lit("unknown")).alias("id"),
@@ -100,7 +100,7 @@ def ingest_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def note_title(c: str | Column) -> Column:
     """Text of the first ``# `` line."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(F.coalesce(X.col(c), F.lit("")), r"(?m)^#\s+(.+)", 1)), F.lit("")), F.lit("Untitled"))
+    return F.coalesce(F.nullif(X.strip(F.regexp_extract(F.coalesce(X.col(c), F.lit("")), r"(?m)^#\s+(.+)", 1)), F.lit("")), F.lit("Untitled"))
 
 
 def note_text(notes: DataFrame) -> DataFrame:
@@ -138,11 +138,11 @@ def html_to_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
 
 
 def extract_links(
-    pages: DataFrame, max_results: int, key: str = "page_id", html: str = "html", link_class: str | None = None, snippet_class: str | None = None
+    pages: DataFrame, max_results: int | None = None, key: str = "page_id", html: str = "html", link_class: str | None = None, snippet_class: str | None = None
 ) -> DataFrame:
     """(key, pos, title, url, snippet): anchors with a title, in page order, with the snippet of the same position.
 
-    With ``link_class`` and ``snippet_class`` only anchors of these classes are links and snippets.
+    All of them, or the first ``max_results``. With ``link_class`` and ``snippet_class`` only anchors of these classes are links and snippets.
     """
     mark = rf'class="{link_class}"[^>]*' if link_class else ""
     anchor = rf'(?s)<a\b[^>]*{mark}href="([^"]*)"[^>]*>(.*?)</a>'
@@ -150,12 +150,13 @@ def extract_links(
     titles = F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
 
     def bare(v: Column) -> Column:
-        return F.trim(F.regexp_replace(v, "<[^>]+>", ""))
+        return X.strip(F.regexp_replace(v, "<[^>]+>", ""))
 
     links = F.filter(
-        F.zip_with(urls, titles, lambda u, t: F.struct(F.trim(u).alias("url"), bare(t).alias("title"))), lambda x: x["title"] != ""
+        F.zip_with(urls, titles, lambda u, t: F.struct(X.strip(u).alias("url"), bare(t).alias("title"))), lambda x: x["title"] != ""
     )
-    links = F.slice(links, 1, max_results)
+    if max_results is not None:
+        links = F.slice(links, 1, max_results)
     if snippet_class:
         pattern = rf'(?s)<a[^>]*class="{snippet_class}"[^>]*>(.*?)</a>'
         snippets = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), bare)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions.ordered import TAKE_ROWS, row_numbers
+from recollect.functions import exprs as X
+from recollect.functions.ordered import row_numbers
 
 
 def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -14,7 +15,7 @@ def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     A line that starts with ``[`` holds an array of samples and is unfolded. Blank lines are skipped, and lines that
     are no JSON are returned apart. An array spread over several lines is read with :func:`read_eval_array`.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).where(F.col("value") != "")
+    lines = spark.read.text(path).select(X.strip("value").alias("value")).where(F.col("value") != "")
     checked = lines.withColumn("_ok", F.try_parse_json("value").isNotNull())
     items = F.when(
         F.col("value").startswith("["), F.from_json("value", "array<string>")
@@ -34,9 +35,7 @@ def read_eval_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def dataset_slice(df: DataFrame, order_by: str, limit: int, offset: int = 0, split: str | None = None, split_col: str = "split") -> DataFrame:
     """Rows of a split in order, from an offset on; a limit of 0 or less means all."""
     out = df if split is None else df.where(F.col(split_col) == split)
-    if 0 < limit and offset + limit <= TAKE_ROWS:
-        return out.orderBy(order_by).offset(offset).limit(limit)
-    # A deep or open slice would run through one task; numbered rows need only a filter.
+    # Numbered rows need only a filter; sorting for a slice would bring its rows into one task.
     numbered = row_numbers(out, [order_by], "_n").where(F.col("_n") > offset)
     return (numbered.where(F.col("_n") <= offset + limit) if limit > 0 else numbered).drop("_n")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from recollect.functions import exprs as X
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def parse_dialogue_log(lines: DataFrame) -> DataFrame:
     clock = r"^(\d{2}):(\d{2}):(\d{2}) - (.*)$"
     parsed = lines.where(F.col("value").rlike(clock)).select(
         "file", "line", *[F.regexp_extract("value", clock, i).cast("int").alias(n) for i, n in ((1, "h"), (2, "m"), (3, "s"))],
-        F.trim(F.regexp_extract("value", clock, 4)).alias("msg"),
+        X.strip(F.regexp_extract("value", clock, 4)).alias("msg"),
     )
     kind = part = None
     for name, pattern in STAGES:

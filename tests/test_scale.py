@@ -28,11 +28,11 @@ def test_large_query_tables_give_the_same_hits(spark):
     q = spark.createDataFrame([(i, v, str(i % 2)) for i, v in enumerate(vec[:1500])], "query_id long, embedding array<double>, s string")
     v = spark.createDataFrame([(i, x, str(i % 2)) for i, x in enumerate(vec)], "id long, embedding array<double>, s string")
     small = cosine_hits(q, v, 3, scope="s")
-    blocked = cosine_hits(q, v, 3, scope="s", query_rows=100)
+    blocked = cosine_hits(q, v, 3, scope="s", block_rows=100)
     assert rows(small) == rows(blocked) and small.count() > 3000
     texts = spark.createDataFrame([(i, "ab" * (i % 7) + str(i)) for i in range(400)], "id long, text string")
     phrases = spark.createDataFrame([(i, str(i)) for i in range(1100)], "query_id long, phrase string")
-    assert rows(substring_hits(phrases, texts)) == rows(substring_hits(phrases, texts, query_rows=10))
+    assert rows(substring_hits(phrases, texts)) == rows(substring_hits(phrases, texts, block_rows=10))
 
 
 def test_vectors_of_unequal_length_do_not_meet(spark):
@@ -174,11 +174,9 @@ def test_exact_search_needs_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
 
 
-def test_deep_slices_and_large_capacities(spark, monkeypatch):
+def test_deep_slices_and_large_capacities(spark):
     from recollect.sources import evaluation as S
 
-    monkeypatch.setattr(S, "TAKE_ROWS", 0)
-    monkeypatch.setattr(T, "TAKE_ROWS", 0)
     df = spark.range(500).withColumnRenamed("id", "k").repartition(7)
     assert rows(S.dataset_slice(df, "k", 20, 30)) == [(i,) for i in range(30, 50)]
     assert rows(S.dataset_slice(df, "k", 0, 490)) == [(i,) for i in range(490, 500)]
@@ -187,3 +185,39 @@ def test_deep_slices_and_large_capacities(spark, monkeypatch):
     kept, dropped = T.forget(items, "capacity", 25)
     best = sorted(((i % 3) / -10, -(i % 5), i) for i in range(60))[:25]
     assert sorted(r.id for r in kept.collect()) == sorted(i for _, _, i in best) and dropped.count() == 35
+
+
+def test_missing_importances_go_first(spark):
+    items = spark.createDataFrame([(i, None if i < 4 else 0.1 * i, None) for i in range(8)], "id int, importance double, created_at timestamp_ntz")
+    kept, dropped = T.forget(items, "capacity", 4)
+    assert sorted(r.id for r in kept.collect()) == [4, 5, 6, 7] and sorted(r.id for r in dropped.collect()) == [0, 1, 2, 3]
+
+
+def test_near_equal_cosines_are_ranked_unrounded(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    v = spark.createDataFrame([(0, [1.0, 5e-4]), (1, [1.0, 0.0]), (2, [1e-7, 1.0])], "id int, embedding array<double>")
+    assert [r.id for r in cosine_hits(q, v, 3).orderBy("rank").collect()] == [1, 0, 2]
+
+
+def test_long_paths_and_many_links(spark):
+    from recollect.sources.documents import extract_links
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "src int, dst int")
+    assert rows(G.shortest_hops(edges, spark.createDataFrame([(0, 13)], "src int, dst int"))) == [(0, 13, 13)]
+    page = "".join(f'<a href="u{i}">\n t{i}\t</a>' for i in range(1500)) + '<a href="x">\n\t</a>'
+    found = extract_links(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    assert found.count() == 1500 and found.where("title = 't7'").count() == 1
+
+
+def test_null_keys_carry_their_value(spark):
+    changes = spark.createDataFrame([(None if i % 2 else 1, i, 5.0) for i in range(8)], "npc int, seq int, change double")
+    got = Q.running_affinity(changes, ["npc"], ["seq"], start=50.0).orderBy("seq").collect()
+    assert [r.new_affinity for r in got if r.npc is None] == [55, 60, 65, 70] and [r.new_affinity for r in got if r.npc == 1] == [55, 60, 65, 70]
+
+
+def test_an_aborted_dialogue_stays_by_itself(spark):
+    lines = ["08:00:00 - 💬 对话开始: A <-> 玩家", "08:00:01 - 📝 玩家消息: hi", "08:05:00 - 💬 对话开始: B <-> 玩家", "08:05:01 - 📝 玩家消息: yo", "08:05:06 - ✅ 对话完成"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line long, value string")
+    for blocks in (1, 4):
+        got = Q.dialogue_sessions(L.parse_dialogue_log(df), blocks).orderBy("dialogue").collect()
+        assert [(r.subject, r.message, r.complete) for r in got] == [("A", "hi", False), ("B", "yo", True)]

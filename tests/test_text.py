@@ -60,6 +60,8 @@ def test_markers():
     assert markers.strip_reasoning("a<think>open") == "a<think>open"
     assert markers.strip_tool_calls('x [TOOL_CALL:s:{"q":"]","l":[1,[2]]}] y') == "x  y"
     assert markers.strip_tool_calls("x [TOOL_CALL:s:{open") == "x [TOOL_CALL:s:{open"
+    assert markers.tool_calls("[TOOL_CALL:a:{open [TOOL_CALL:b:x]") == [("b", "x")]
+    assert markers.tool_calls(r'[TOOL_CALL:a:{"q":"\"]"}]') == [("a", r'{"q":"\"]"}')]
     assert markers.tool_calls('[TOOL_CALL:a:{"k":[1]}][TOOL_CALL: b :x=1]') == [("a", '{"k":[1]}'), ("b", "x=1")]
 
 
@@ -172,3 +174,9 @@ def test_documents_folder(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# own\nline")
     got = {r.title: r.content for r in D.ingest_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.md": "just text", "b.txt": "# b.txt\n\ncafé", "c.html": "# c.html\n\nhi there", "e.txt": "# own\nline"}
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    df = spark.createDataFrame([("\t42\n",)], "a string")
+    assert df.select(X.strip("a")).first()[0] == "42"
+    assert md.approx_tokens("a\u3000b c") == 2
