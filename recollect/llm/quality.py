@@ -21,7 +21,7 @@ from recollect.llm.common import dropped_shuffles, let, words_of
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-SMOOTHING = 1.0
+PRIOR = 1000.0  # grams of the raw distribution that the trusted counts are given
 THRESHOLD = -0.1  # natural-log units per gram
 WINDOW = 8
 MIN_WORDS = 20
@@ -88,10 +88,12 @@ def gram_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     with dropped_shuffles(docs.sparkSession):
         for row in counts.collect():  # at most BUCKETS rows
             raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["trusted"]
-    all_raw, all_target = sum(raw) + SMOOTHING * BUCKETS, sum(target) + SMOOTHING * BUCKETS
-    if not sum(target):
+    all_raw, all_target = sum(raw), sum(target)
+    if not all_target:
         return [0.0] * BUCKETS
-    return [math.log((t + SMOOTHING) / all_target) - math.log((r + SMOOTHING) / all_raw) for r, t in zip(raw, target, strict=True)]
+    # The trusted shares are drawn towards the raw ones, so that what labels happen not to show says little in a small corpus.
+    ratio = lambda t, r: math.log((t + PRIOR * r / all_raw) / (all_target + PRIOR)) - math.log(r / all_raw)
+    return [ratio(t, r) if r else 0.0 for r, t in zip(raw, target, strict=True)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,9 @@ All starts of 200-byte strings are suffixes to be sorted; two are equal if they
 3. Refinement. Within the stretches left, the bucket pointer of a start is refined from runs of 8 bytes to 16, 32, 64, 128 and 200: sorting the pairs
    (pointer at p, pointer at p + offset) gives the new pointers, which the next refinement reuses. This runs for many stretches at once, in slices of
    a bucket: stretches are cut by the distance of a start to its q-gram, and equal slices are again combined before any row is made, so a hot
-   bucket becomes many small tasks. What is left is a digest per start, of the strings' 128-bit hashes, counted with a partial aggregate.
+   bucket becomes many small tasks. All strings of a slice share ``LENGTH - SLICE + 1`` bytes at a fixed distance from the q-gram; these refine
+   the bucket first, and where they are found once, no string of the slice repeats. What is left is a pointer of 128 bits per start, counted
+   with a partial aggregate.
 
 Matches never cross documents. Texts are UTF-8 bytes; null texts are empty, texts shorter than ``LENGTH`` hold no string. Copies of a text repeat each
 other. Repeated rows and null ids are documents by themselves; other columns are not read. Hashes of strings have 128 bits, those of q-grams only
@@ -149,7 +151,10 @@ def with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def split_strings(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The stretches (row, begin, n, lead, gram, w) in slices of SLICE starts by the distance to the gram: ... and slice, lo, hi."""
+    """The stretches (row, begin, n, lead, gram, w) in slices of SLICE starts by the distance to the gram: ... and slice, core, lo, hi.
+
+    ``core`` is a hash of the bytes that all strings with such a distance share, so equal strings have equal cores.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +167,16 @@ def split_strings(texts: DataFrame, places: DataFrame, length: int) -> DataFrame
                         far = p["lead"] - i
                         k = min(p["n"] - i, far % SLICE + 1)
                         at = p["begin"] + i
-                        rows.append((row, at, k, p["gram"], far // SLICE, *digest(data[at : at + k + length - 1]), p["w"]))
+                        shared = at + far % SLICE  # the last start that the slice could have
+                        core = xxhash.xxh3_64_intdigest(data[shared : shared + length - SLICE + 1])
+                        rows.append((row, at, k, p["gram"], far // SLICE, core - (core >> 63 << 64), *digest(data[at : at + k + length - 1]), p["w"]))
                         i += k
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()], strict=True)],
-                names=["row", "begin", "n", "gram", "slice", "lo", "hi", "w"],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()], strict=True)],
+                names=["row", "begin", "n", "gram", "slice", "core", "lo", "hi", "w"],
             )
 
-    return with_places(texts, places).mapInArrow(cut, "row long, begin long, n int, gram long, slice int, lo long, hi long, w int")
+    return with_places(texts, places).mapInArrow(cut, "row long, begin long, n int, gram long, slice int, core long, lo long, hi long, w int")
 
 
 def single_strings(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -212,9 +219,11 @@ def settled(strings: DataFrame, group: list[str], name: str) -> tuple[DataFrame,
     kinds = strings.groupBy(*group, "lo", "hi").agg(F.sum("w").alias("all"), *[F.first(c).alias(c) for c in strings.columns if c not in {*group, "lo", "hi", "w"}])
     kinds = saved(kinds, f"suffix-{name}-kinds")
     many = kinds.where("all > 1").select(*group, "lo", "hi")
-    again = strings.where("w = 1").join(many, [*group, "lo", "hi"], "left_semi").select("row", "begin", "n")
+    again = saved(strings.where("w = 1").join(many, [*group, "lo", "hi"], "left_semi").select("row", "begin", "n"), f"suffix-{name}-again")
     open_groups = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("k"), F.min("all").alias("least")).where("k > 1 and least = 1").select(*group)
     onward = kinds.join(open_groups, group, "left_semi").withColumn("w", F.least("all", F.lit(2)).cast("int")).drop("all", "lo", "hi")
+    onward = saved(onward, f"suffix-{name}-open")
+    discard(strings, kinds)
     return again, onward
 
 
@@ -236,7 +245,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(all_rows, shared)
     first, onward = settled(rows, ["gram"], "stretch")
     slices = saved(split_strings(texts, onward, length), "suffix-slices")
-    second, onward = settled(slices, ["gram", "slice"], "slice")
+    second, onward = settled(slices, ["gram", "slice", "core"], "slice")
     singles = saved(single_strings(texts, onward, length), "suffix-singles")
     many = singles.groupBy("lo", "hi").agg(F.sum("w").alias("all")).where("all > 1").select("lo", "hi")
     third = singles.where("w = 1").join(many, ["lo", "hi"], "left_semi").select("row", "begin", F.lit(1).alias("n"))
