@@ -6,7 +6,8 @@ remaining short lists, and membership in the long lists is probed. Here the shor
 shingles, |x| - T + 1 of them. Rarity is one global order, from a sketch of ``BUCKETS`` counters over all shingles of the corpus.
 The lists are joined by Spark; a pair must also pass the size filter and the position filter (what stands behind the common
 shingle in both sets must suffice), and no list's pairs are all made: members meet the list's hub first, then only members of
-different components (:mod:`recollect.llm.links`). The sets of the pairs left are searched block by block with
+different components (:mod:`recollect.llm.links`). A pair's short lists are merged for a closer bound (:func:`promising`); the sets of the pairs
+left are searched block by block with
 :func:`divide_skip`: short lists are merged with a heap, long ones probed by bisection, and the overlap reached is exact.
 
 Equal sets are one class from the start, so copies cost nothing. Words are split at ASCII white space after lower-casing A-Z; a set is the
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import run_hashes, saved, signed, split_words, word_hashes
+from recollect.llm.common import discard, run_hashes, saved, signed, split_words, word_hashes
 from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
 
 SHINGLE = 3
@@ -157,6 +158,30 @@ def sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return nodes.join(texts, "text_key").select("node", "text").mapInArrow(encode, "node long, members binary")
 
 
+def promising(pairs: DataFrame, shorts: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """The pairs (a, b) that may still link once their short lists (node, n, short) are merged.
+
+    Up to the smaller of the last shingles of two short lists, in the global order, both lists are complete: what is common there is counted,
+    and behind it no more can be common than either set has left.
+    """
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
+                ranks = [counts[(v % np.uint64(BUCKETS)).astype(np.int64)] for v in (x, y)]
+                rank, last = min((ranks[0][-1], x[-1]), (ranks[1][-1], y[-1]))
+                x, y = (v[(r < rank) | ((r == rank) & (v <= last))] for v, r in zip((x, y), ranks, strict=True))
+                most = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+                good.append(100 * most >= percent * (n + m - most))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    first = pairs.join(shorts.toDF("a", "n", "x"), "a")
+    both = first.join(shorts.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return saved(both.mapInArrow(merge, "a long, b long"), "jaccard-candidates")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Pairs of one ``a`` that reach a task together are searched as one block."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -174,7 +199,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 good += [low + k for k in search_block(np.frombuffer(batch.column(2)[low].as_py(), np.uint64), members, percent)]
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return saved(both.mapInArrow(search, "a long, b long"), "jaccard-links")
+    links = saved(both.mapInArrow(search, "a long, b long"), "jaccard-links")
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, row: str | None = None) -> DataFrame:
@@ -182,7 +209,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 
     ``component_id`` is the smallest doc_id of the component; ``node`` and ``component`` are row numbers of this run, or those of ``row``.
     """
-    sets = encoded(docs, width, percent, rarity(docs, width), row)
+    counts = rarity(docs, width)
+    sets = encoded(docs, width, percent, counts, row)
     # One node stands for all documents with the same set. Combined before the shuffle, so copies do not meet in one task.
     classes = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "short")).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(classes.select("set_key", "r.*", "least_id"), "jaccard-classes")
@@ -193,9 +221,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     fits = (100 + percent) * overlap >= percent * total
     nodes = classes.select("node", "text_key")
     offered = saved(hub_pairs(members, fits, ["n", "at"], ["at", "node"]), "jaccard-pairs")
-    links = verified(offered, nodes, docs, width, percent)
+    shorts = classes.select("node", "n", "short")
+    links = verified(promising(offered, shorts, counts, percent), nodes, docs, width, percent)
     again = saved(crossing_pairs(members, fits, ["n", "at"], components(links), offered), "jaccard-pairs")
-    parts = components(links.union(verified(again, nodes, docs, width, percent)))
+    parts = components(links.union(verified(promising(again, shorts, counts, percent), nodes, docs, width, percent)))
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component", "component_id")
