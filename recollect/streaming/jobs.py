@@ -67,6 +67,11 @@ def _micros(ts: pd.Series) -> list[int]:
     return ts.to_numpy("datetime64[us]").astype("int64").tolist()
 
 
+def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows of a key in a batch, in order. They come in several chunks, and an order within chunks is none over the key."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+
+
 class _WorkingMemory(StatefulProcessor):
     def __init__(self, owner: str, capacity: int, ttl: int):
         self.owner, self.capacity, self.ttl = owner, capacity, ttl
@@ -76,10 +81,9 @@ class _WorkingMemory(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [Held(*h) for h in pickle.loads(self.held.get()[0])] if self.held.exists() else []
-        for frame in rows:
-            frame = frame.sort_values(["created_at", "seq"], kind="stable")
-            for importance, at, seq in zip(frame["importance"], _micros(frame["created_at"]), frame["seq"].tolist()):
-                held = insert(held, Held(float(importance), at, (seq,)), self.capacity, self.ttl)
+        frame = _ordered(rows, ["created_at", "seq"])
+        for importance, at, seq in zip(frame["importance"], _micros(frame["created_at"]), frame["seq"].tolist()):
+            held = insert(held, Held(float(importance), at, (seq,)), self.capacity, self.ttl)
         self.held.update((pickle.dumps([tuple(h) for h in held]),))
         yield pd.DataFrame({
             self.owner: [key[0]] * len(held), "seq": [h.seq[0] for h in held], "importance": [h.importance for h in held],
@@ -95,7 +99,7 @@ def working_memory_stream(stream: DataFrame, owner: str, capacity: int = 50, ttl
     """(owner, seq, importance, created_at, newest): the rows each touched owner holds after a batch.
 
     ``stream``: (owner, seq, importance, created_at). Rows must come in time order over the batches; within a batch
-    they are sorted. ``newest`` tells which of several states of an owner is the latest. State is at most ``capacity``
+    an owner's rows are sorted, which holds them in memory together: the batch size bounds them. ``newest`` tells which of several states of an owner is the latest. State is at most ``capacity``
     rows per owner.
     """
     types = {c: stream.schema[c].dataType.simpleString() for c in (owner, "seq")}
@@ -115,14 +119,13 @@ class _Affinity(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         x = self.value.get()[0] if self.value.exists() else self.start
-        for frame in rows:
-            frame = frame.sort_values(self.order, kind="stable")
-            old, new = [], []
-            for c in frame["change"]:
-                old.append(x)
-                x = min(100.0, max(0.0, x + float(c)))
-                new.append(x)
-            yield frame.assign(old_affinity=old, new_affinity=new)
+        frame = _ordered(rows, self.order)
+        old, new = [], []
+        for c in frame["change"]:
+            old.append(x)
+            x = min(100.0, max(0.0, x + float(c)))
+            new.append(x)
+        yield frame.assign(old_affinity=old, new_affinity=new)
         self.value.update((x,))
 
     def close(self) -> None:
