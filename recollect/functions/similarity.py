@@ -60,10 +60,11 @@ def cosine_hits(
     vector_col: str = "embedding",
     scope: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """(query_id, id, score, rank) for the best ``k`` positive cosines per query; all, unranked, where ``k`` is None.
 
-    With ``scope`` a query only sees vectors with the same value in that column. A vector whose length differs from
+    Scores are ranked as they are and returned with ``digits``. With ``scope`` a query only sees vectors with the same value in that column. A vector whose length differs from
     the query's scores 0 and so never appears.
     """
     q = _usable(queries, query_id, "q", vector_col, scope)
@@ -100,7 +101,7 @@ def cosine_hits(
 
     hits = block_match(q, v, "q", prepare, match, schema, 8 * F.size("v"), block_rows)
     ranked = hits if k is None else top_per_key(hits, [query_id], [F.desc("score"), F.asc(id_col)], k)
-    return ranked.withColumn("score", F.round("score", DIGITS))
+    return ranked.withColumn("score", F.round("score", digits))
 
 
 def dense(df: DataFrame, key: str, dim: int, slot: str = "slot", weight: str = "weight") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recollect.functions import exprs as X
 from recollect.functions.ranking import first_per_key, top_per_key
 from recollect.functions.matching import substring_hits
-from recollect.functions.similarity import cosine_hits
+from recollect.functions.similarity import DIGITS, RANK_DIGITS, cosine_hits
 
 DEFAULT_K = 5
 
@@ -22,8 +22,8 @@ def _k(k: int) -> int:
 
 
 def _rank(df: DataFrame, k: int, id_col: str = "id", score: str = "score") -> DataFrame:
-    rounded = df.withColumn(score, F.round(score, 6))
-    return top_per_key(rounded, ["query_id"], [F.desc(score), F.asc(id_col)], k)
+    fine = df.withColumn(score, F.round(score, RANK_DIGITS))
+    return top_per_key(fine, ["query_id"], [F.desc(score), F.asc(id_col)], k).withColumn(score, F.round(score, DIGITS))
 
 
 def topk_cosine(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, **kw) -> DataFrame:
@@ -50,7 +50,7 @@ def sparse_pairs(queries: DataFrame, vectors: DataFrame, on: list[str]) -> DataF
     joined = dots.join(q_norm, "query_id").join(v_norm, [*scope, "id"])
     denominator = F.col("_qa") * F.col("_vb")
     score = F.when(denominator == 0, 0.0).otherwise(F.col("_dot") / denominator)
-    return joined.select(*scope, "query_id", "id", score.alias("score")).where(F.round("score", 6) > 0)
+    return joined.select(*scope, "query_id", "id", score.alias("score")).where(F.round("score", RANK_DIGITS) > 0)
 
 
 def enrich_hits(hits: DataFrame, chunks: DataFrame, documents: DataFrame, missing_title: str = "(deleted)") -> DataFrame:
@@ -81,7 +81,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, que
 
     ``queries``: (query_id, text); ``chunks``: (id, content); vectors carry ``embedding``.
     """
-    pool = topk_cosine(query_vectors, vectors, max(3 * k, 30)).select("query_id", "id", F.col("score").alias("cos"))
+    pool = topk_cosine(query_vectors, vectors, max(3 * k, 30), digits=RANK_DIGITS).select("query_id", "id", F.col("score").alias("cos"))
     keys = queries.select("query_id", X.long_words("text").alias("_keys"))
     joined = pool.join(chunks.select("id", "content"), "id").join(keys, "query_id")
     share = X.keyword_array_share("_keys", F.lower("content"))
@@ -100,7 +100,7 @@ def expanded_search(
     pool = max(k * pool_multiplier, 20)
     counts = variants.groupBy("query_id").agg(F.count("*").alias("_m"))
     keyed = variants.withColumn("_vkey", F.to_json(F.struct("query_id", "variant")))
-    hits = cosine_hits(keyed, vectors, pool, query_id="_vkey")
+    hits = cosine_hits(keyed, vectors, pool, query_id="_vkey", digits=RANK_DIGITS)
     back = keyed.select("_vkey", "query_id")
     joined = hits.join(back, "_vkey").join(counts, "query_id")
     per_variant = F.greatest(F.lit(1), F.floor(F.lit(pool) / F.col("_m")))
@@ -108,7 +108,7 @@ def expanded_search(
     if min_score is not None:
         kept = kept.where(F.col("score") >= min_score)
     best = kept.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_per_key(best, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return _rank(best, k)
 
 
 def apply_ranking(candidates: DataFrame, responses: DataFrame, k: int) -> DataFrame:
@@ -150,7 +150,7 @@ def working_search(queries: DataFrame, items: DataFrame, as_of: str, k: int = 5,
     base = F.when(F.col("cos") > 0, F.col("cos") * 0.7 + kw * 0.3).otherwise(kw)
     score = base * X.recency("created_at", as_of, "MINUTE") * X.importance_weight("importance")
     scored = pairs.select("query_id", owner, "id", score.alias("score"))
-    return _rank(scored.where(F.round("score", 6) > 0), _k(k))
+    return _rank(scored.where(F.round("score", RANK_DIGITS) > 0), _k(k))
 
 
 def _owner_tf(df: DataFrame, owner: str, key: str, text: str) -> DataFrame:
@@ -184,7 +184,7 @@ def episodic_search(
     if candidates is not None and filter_mode == "pre":
         corpus = restrict_candidates(vectors, candidates)
     # The larger pool matters only where a user filter sits between the two cuts, which "pre" makes needless.
-    pool = topk_cosine(query_vectors, corpus, 5 * _k(k)).drop("rank")
+    pool = topk_cosine(query_vectors, corpus, 5 * _k(k), digits=RANK_DIGITS).drop("rank")
     if candidates is not None and filter_mode == "post":
         pool = restrict_candidates(pool, candidates)
     return _rank(_blend(pool, episodes, as_of), _k(k))
@@ -194,7 +194,7 @@ def semantic_search(
     query_vectors: DataFrame, vectors: DataFrame, graph_hits: DataFrame, items: DataFrame, k: int = 5
 ) -> DataFrame:
     """Vector top 2k and graph top 2k, (0.7 vector + 0.3 graph) * importance weight, best k."""
-    hits = topk_cosine(query_vectors, vectors, 2 * _k(k))
+    hits = topk_cosine(query_vectors, vectors, 2 * _k(k), digits=RANK_DIGITS)
     both = combine_hits(hits, graph_hits)
     joined = both.join(items.select("id", "importance", F.lit(True).alias("_known")), "id", "left")
     base = F.col("vector_score") * 0.7 + F.col("graph_score") * 0.3
@@ -208,7 +208,7 @@ def modality_search(
     query_vectors: DataFrame, vectors: DataFrame, items: DataFrame, as_of: str, k: int = 5, modality: str = "modality"
 ) -> DataFrame:
     """Search within the query's modality: pool of 5k, then the recency and importance blend, best k."""
-    pool = cosine_hits(query_vectors, vectors, 5 * _k(k), scope=modality).drop("rank")
+    pool = cosine_hits(query_vectors, vectors, 5 * _k(k), scope=modality, digits=RANK_DIGITS).drop("rank")
     return _rank(_blend(pool, items, as_of), _k(k))
 
 

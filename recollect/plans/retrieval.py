@@ -17,9 +17,18 @@ _COS = """cosv AS (
   FROM centroids, embeddings)"""
 
 
-@query("k01_topk_cosine", f"""WITH {fx.CENTROIDS}, {_COS}
+# Rankings use scores to twelve digits, so that equal vectors tie; results are given with six.
+_FINE_COS = _COS.replace(", 6) AS score", ", 12) AS score")
+_FINE_HASHED = fx.HASHED.replace(", 6)", ", 12)")
+
+
+def given(sql: str) -> str:
+    return f"SELECT * REPLACE (round(score, 6) AS score) FROM ({sql})"
+
+
+@query("k01_topk_cosine", given(f"""WITH {fx.CENTROIDS}, {_FINE_COS}
 SELECT query_id, id, score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cosv WHERE score > 0) WHERE rank <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cosv WHERE score > 0) WHERE rank <= 5"""))
 def k01(t):
     return R.topk_cosine(fx.label_centroids(t), fx.vectors(t), 5)
 
@@ -36,30 +45,30 @@ def j02(t):
     return R.all_hits(queries, docs)
 
 
-@query("k03_hybrid_search", f"""WITH {fx.HASHED},
+@query("k03_hybrid_search", given(f"""WITH {_FINE_HASHED},
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS r FROM cos) WHERE r <= 30),
 keys AS (SELECT item_id AS query_id, list_distinct(list_filter({fx.words_sql('text')}, lambda w: length(w) >= 2)) AS ks FROM benchmark),
-scored AS (SELECT query_id, id, round(0.6 * cos + 0.4 * (CASE WHEN len(ks) = 0 THEN 0 ELSE len(list_filter(ks, lambda w: contains(lower(text), w))) / len(ks) END), 6) AS score
+scored AS (SELECT query_id, id, round(0.6 * cos + 0.4 * (CASE WHEN len(ks) = 0 THEN 0 ELSE len(list_filter(ks, lambda w: contains(lower(text), w))) / len(ks) END), 12) AS score
   FROM pool JOIN keys USING (query_id) JOIN documents ON doc_id = id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5"""))
 def k03(t):
     docs, queries = fx.document_vectors(t)
     chunks = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return R.hybrid_search(fx.text_queries(t), chunks, docs, queries, 5)
 
 
-@query("k04_expanded_search", f"""WITH variants AS (
+@query("k04_expanded_search", given(f"""WITH variants AS (
   SELECT query_id, variant, list(v ORDER BY d) AS qv FROM (
     SELECT label AS query_id, vec_id % 3 AS variant, d, avg(CAST(embedding[d] AS DOUBLE)) AS v
     FROM embeddings, generate_series(1, len(embedding)) AS g(d) GROUP BY ALL) GROUP BY ALL),
 hits AS (SELECT query_id, variant, vec_id AS id, round(list_sum(list_transform(list_zip(qv, CAST(embedding AS DOUBLE[])), lambda p: p[1] * p[2]))
-    / (sqrt(list_sum(list_transform(qv, lambda x: x * x))) * sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))), 6) AS score
+    / (sqrt(list_sum(list_transform(qv, lambda x: x * x))) * sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))), 12) AS score
   FROM variants, embeddings),
 m AS (SELECT query_id, count(*) AS m FROM variants GROUP BY query_id),
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS r FROM hits WHERE score > 0) JOIN m USING (query_id)
   WHERE r <= greatest(1, 20 // m) AND score >= 0.2),
 best AS (SELECT query_id, id, max(score) AS score FROM cut GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best) WHERE rank <= 5""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best) WHERE rank <= 5"""))
 def k04(t):
     variants = fx.label_centroids(t, F.col("label").alias("query_id"), (F.col("vec_id") % 3).alias("variant"))
     return R.expanded_search(variants, fx.vectors(t), 5, 4, 0.2)
@@ -84,7 +93,7 @@ def k05(t):
 _KW_SHARE = r"len(list_filter(regexp_split_to_array(lower(q.content), '\s+'), lambda w: contains(lower(v.content), w))) / len(regexp_split_to_array(lower(q.content), '\s+'))"
 
 
-@query("k06_working_search", f"""WITH {fx.TURNS},
+@query("k06_working_search", given(f"""WITH {fx.TURNS},
 newest AS (SELECT owner, max(turn) AS turn FROM turns GROUP BY owner),
 rest AS (SELECT t.*, row_number() OVER (PARTITION BY owner ORDER BY importance DESC, created_at DESC, turn DESC) AS r FROM turns t ANTI JOIN newest USING (owner, turn)),
 items AS (SELECT id, owner, content, importance, created_at FROM rest WHERE r <= 49 UNION ALL SELECT t.id, owner, content, importance, created_at FROM turns t SEMI JOIN newest USING (owner, turn)),
@@ -97,10 +106,10 @@ qw AS (SELECT owner, query_id, term, tf * ln(n / (1 + coalesce(df, 1))) AS w FRO
 vn AS (SELECT id, sqrt(sum(w * w)) AS nv FROM vw GROUP BY id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS nq FROM qw GROUP BY query_id),
 cos AS (SELECT query_id, id, CASE WHEN nv * nq = 0 THEN 0 ELSE dot / (nv * nq) END AS cos FROM
   (SELECT query_id, id, sum(v.w * q.w) AS dot FROM qw q JOIN vw v USING (owner, term) GROUP BY ALL) JOIN vn USING (id) JOIN qn USING (query_id)),
-scored AS (SELECT q.id AS query_id, q.owner, v.id, round((CASE WHEN round(coalesce(cos, 0), 6) > 0 THEN cos * 0.7 + 0.3 * {_KW_SHARE} ELSE {_KW_SHARE} END)
-    * greatest(0.1, exp(-0.1 * (date_diff('second', v.created_at, TIMESTAMP '{fx.AS_OF}') // 60) / 60.0 / 24)) * (0.8 + 0.4 * v.importance), 6) AS score
+scored AS (SELECT q.id AS query_id, q.owner, v.id, round((CASE WHEN round(coalesce(cos, 0), 12) > 0 THEN cos * 0.7 + 0.3 * {_KW_SHARE} ELSE {_KW_SHARE} END)
+    * greatest(0.1, exp(-0.1 * (date_diff('second', v.created_at, TIMESTAMP '{fx.AS_OF}') // 60) / 60.0 / 24)) * (0.8 + 0.4 * v.importance), 12) AS score
   FROM turns q JOIN items v USING (owner) LEFT JOIN cos c ON c.query_id = q.id AND c.id = v.id WHERE q.role = 'user')
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5"""))
 def k06(t):
     turns = fx.turns(t)
     items = T.replay_capacity(turns, "owner", 50, ["turn"])
@@ -118,11 +127,11 @@ def _documents_as_items(t):
     )
 
 
-@query("k07_episodic_search", f"""WITH {fx.HASHED},
+@query("k07_episodic_search", given(f"""WITH {_FINE_HASHED},
 pool AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS r FROM cos c JOIN documents ON doc_id = id WHERE lang = 'en') WHERE r <= 25),
-scored AS (SELECT query_id, id, round((0.8 * cos + 0.2 * greatest(0.1, exp(-0.1 * (date_diff('second', {_DOC_TIME}, TIMESTAMP '{fx.AS_OF}') // 3600) / 24.0))) * (0.8 + 0.4 * (CAST(n_chars % 100 AS DOUBLE) / 100)), 6) AS score
+scored AS (SELECT query_id, id, round((0.8 * cos + 0.2 * greatest(0.1, exp(-0.1 * (date_diff('second', {_DOC_TIME}, TIMESTAMP '{fx.AS_OF}') // 3600) / 24.0))) * (0.8 + 0.4 * (CAST(n_chars % 100 AS DOUBLE) / 100)), 12) AS score
   FROM pool JOIN documents ON doc_id = id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5"""))
 def k07(t):
     docs, queries = fx.document_vectors(t)
     items = _documents_as_items(t)
@@ -149,14 +158,14 @@ def k08(t):
 _EVENT_VECTOR = "[CAST(value AS DOUBLE), CAST(length(event_type) AS DOUBLE), CAST(hour(ts) AS DOUBLE), 10.0]"
 
 
-@query("k09_semantic_search", f"""WITH {_GRAPH_SCORES},
+@query("k09_semantic_search", given(f"""WITH {_GRAPH_SCORES},
 ev AS (SELECT event_id AS id, user_id, {_EVENT_VECTOR} AS v, least(value, 100) / 100 AS importance FROM events),
 qv AS (SELECT user_id AS query_id, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS q FROM ev GROUP BY user_id),
-vs AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS score FROM qv, ev),
+vs AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))), 12) AS score FROM qv, ev),
 vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM vs WHERE score > 0) WHERE r <= 10),
 both_hits AS (SELECT query_id, id, coalesce(v.score, 0) AS a, coalesce(g.score, 0) AS b FROM vh v FULL JOIN graph_hits g USING (query_id, id)),
-final AS (SELECT query_id, id, round((0.7 * a + 0.3 * b) * (0.8 + 0.4 * importance), 6) AS score FROM both_hits JOIN ev USING (id))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5""")
+final AS (SELECT query_id, id, round((0.7 * a + 0.3 * b) * (0.8 + 0.4 * importance), 12) AS score FROM both_hits JOIN ev USING (id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5"""))
 def k09(t):
     e = t.events
     parts = [F.col("value"), F.length("event_type").cast("double"), F.hour("ts").cast("double"), F.lit(10.0)]
@@ -170,11 +179,11 @@ _MODALITY = "CASE label % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'audio'
 _VEC_TIME = "TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(vec_id % 720 AS INTEGER))"
 
 
-@query("k10_modality_search", f"""WITH {fx.CENTROIDS}, {_COS},
+@query("k10_modality_search", given(f"""WITH {fx.CENTROIDS}, {_FINE_COS},
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM cosv WHERE score > 0 AND label % 3 = query_id % 3) WHERE r <= 25),
-final AS (SELECT query_id, id, round((0.8 * score + 0.2 * greatest(0.1, exp(-0.1 * (date_diff('second', {_VEC_TIME}, TIMESTAMP '{fx.AS_OF}') // 3600) / 24.0))) * (0.8 + 0.4 * (CAST(vec_id % 100 AS DOUBLE) / 100)), 6) AS score
+final AS (SELECT query_id, id, round((0.8 * score + 0.2 * greatest(0.1, exp(-0.1 * (date_diff('second', {_VEC_TIME}, TIMESTAMP '{fx.AS_OF}') // 3600) / 24.0))) * (0.8 + 0.4 * (CAST(vec_id % 100 AS DOUBLE) / 100)), 12) AS score
   FROM pool JOIN embeddings ON vec_id = id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5"""))
 def k10(t):
     def kind(c):
         return F.when(F.col(c) % 3 == 0, "text").when(F.col(c) % 3 == 1, "image").otherwise("audio")
