@@ -94,9 +94,13 @@ def expanded_search(
 ) -> DataFrame:
     """Search every variant of a query and keep the best score per hit.
 
-    ``variants``: (query_id, variant, embedding), already distinct and non-blank. Each variant of a query with m
-    variants fetches max(1, max(k * multiplier, 20) div m) hits.
+    ``variants``: (query_id, variant, embedding) and, where known, text: blank texts and repeats of a text within a query
+    are left out first, since they count among a query's m variants, each of which fetches
+    max(1, max(k * multiplier, 20) div m) hits.
     """
+    if "text" in variants.columns:
+        plain = variants.withColumn("_text", X.strip("text")).where(F.col("_text") != "")
+        variants = first_per_key(plain, ["query_id", "_text"], [F.asc("variant")]).drop("_text")
     pool = max(k * pool_multiplier, 20)
     counts = variants.groupBy("query_id").agg(F.count("*").alias("_m"))
     keyed = variants.withColumn("_vkey", F.to_json(F.struct("query_id", "variant")))
@@ -174,26 +178,45 @@ def episodic_search(
     k: int = 5,
     candidates: DataFrame | None = None,
     filter_mode: str = "pre",
+    user_id: str | None = None,
+    user: str = "user_id",
 ) -> DataFrame:
     """Cosine pool of max(5k, 50) cut to 5k, structured filter, recency and importance blend, best k.
 
     ``candidates`` is the outcome of ``filter_episodes``. With ``filter_mode="pre"`` it limits the corpus before the
-    pool is cut; with ``"post"`` it only removes rows of the pool and may leave fewer than k.
+    pool is cut; with ``"post"`` it only removes rows of the pool and may leave fewer than k. The same holds for
+    ``user_id``, the owner in the ``user`` column of the episodes: "post" applies it between the two cuts of the pool.
     """
-    corpus = vectors
+    own = None if user_id is None else episodes.where(F.col(user) == user_id)
+    corpus = vectors if own is None or filter_mode == "post" else restrict_candidates(vectors, own)
     if candidates is not None and filter_mode == "pre":
-        corpus = restrict_candidates(vectors, candidates)
-    # The larger pool matters only where a user filter sits between the two cuts, which "pre" makes needless.
-    pool = topk_cosine(query_vectors, corpus, 5 * _k(k), digits=RANK_DIGITS).drop("rank")
+        corpus = restrict_candidates(corpus, candidates)
+    # The larger pool matters only where the user filter sits between the two cuts.
+    between = own is not None and filter_mode == "post"
+    pool = topk_cosine(query_vectors, corpus, max(5 * _k(k), 50) if between else 5 * _k(k), digits=RANK_DIGITS).drop("rank")
+    if between:
+        pool = top_per_key(restrict_candidates(pool, own), ["query_id"], [F.desc("score"), F.asc("id")], 5 * _k(k), None)
     if candidates is not None and filter_mode == "post":
         pool = restrict_candidates(pool, candidates)
     return _rank(_blend(pool, episodes, as_of), _k(k))
 
 
 def semantic_search(
-    query_vectors: DataFrame, vectors: DataFrame, graph_hits: DataFrame, items: DataFrame, k: int = 5
+    query_vectors: DataFrame,
+    vectors: DataFrame,
+    graph_hits: DataFrame,
+    items: DataFrame,
+    k: int = 5,
+    user_id: str | None = None,
+    user: str = "user_id",
 ) -> DataFrame:
-    """Vector top 2k and graph top 2k, (0.7 vector + 0.3 graph) * importance weight, best k."""
+    """Vector top 2k and graph top 2k, (0.7 vector + 0.3 graph) * importance weight, best k.
+
+    With ``user_id`` only items of that owner are searched by vector or kept from the graph.
+    """
+    if user_id is not None:
+        items = items.where(F.col(user) == user_id)
+        vectors, graph_hits = restrict_candidates(vectors, items), restrict_candidates(graph_hits, items)
     hits = topk_cosine(query_vectors, vectors, 2 * _k(k), digits=RANK_DIGITS)
     both = combine_hits(hits, graph_hits)
     joined = both.join(items.select("id", "importance", F.lit(True).alias("_known")), "id", "left")
@@ -205,9 +228,21 @@ def semantic_search(
 
 
 def modality_search(
-    query_vectors: DataFrame, vectors: DataFrame, items: DataFrame, as_of: str, k: int = 5, modality: str = "modality"
+    query_vectors: DataFrame,
+    vectors: DataFrame,
+    items: DataFrame,
+    as_of: str,
+    k: int = 5,
+    modality: str = "modality",
+    user_id: str | None = None,
+    user: str = "user_id",
 ) -> DataFrame:
-    """Search within the query's modality: pool of 5k, then the recency and importance blend, best k."""
+    """Search within the query's modality: pool of 5k, then the recency and importance blend, best k.
+
+    With ``user_id`` only vectors of that owner's items are searched.
+    """
+    if user_id is not None:
+        vectors = restrict_candidates(vectors, items.where(F.col(user) == user_id))
     pool = cosine_hits(query_vectors, vectors, 5 * _k(k), scope=modality, digits=RANK_DIGITS).drop("rank")
     return _rank(_blend(pool, items, as_of), _k(k))
 

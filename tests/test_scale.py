@@ -221,3 +221,24 @@ def test_an_aborted_dialogue_stays_by_itself(spark):
     for blocks in (1, 4):
         got = Q.dialogue_sessions(L.parse_dialogue_log(df), blocks).orderBy("dialogue").collect()
         assert [(r.subject, r.message, r.complete) for r in got] == [("A", "hi", False), ("B", "yo", True)]
+
+
+def test_searches_of_one_user(spark):
+    start = dt.datetime(2024, 1, 1)
+    v = spark.createDataFrame([(i, [1.0, i / 100], "m") for i in range(60)], "id int, embedding array<double>, modality string")
+    items = spark.createDataFrame([(i, 0.5, start, "a" if i % 10 == 9 else "b") for i in range(60)], "id int, importance double, created_at timestamp_ntz, user_id string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "m")], "query_id int, embedding array<double>, modality string")
+    as_of = "2024-01-02 00:00:00"
+    assert [r.id for r in R.episodic_search(q, v, items, as_of, 5, user_id="a").orderBy("rank").collect()] == [9, 19, 29, 39, 49]
+    # Afterwards the filter sees the best 50 only.
+    assert [r.id for r in R.episodic_search(q, v, items, as_of, 6, filter_mode="post", user_id="a").orderBy("rank").collect()] == [9, 19, 29, 39, 49]
+    assert [r.id for r in R.modality_search(q, v, items, as_of, 2, user_id="a").orderBy("rank").collect()] == [9, 19]
+    graph = spark.createDataFrame([(1, 59, 1.0), (1, 0, 1.0)], "query_id int, id int, score double")
+    assert {r.id for r in R.semantic_search(q, v, graph, items, 20, user_id="a").collect()} == {9, 19, 29, 39, 49, 59}
+
+
+def test_blank_and_repeated_variants_do_not_count(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(40)], "id int, embedding array<double>")
+    rows_ = [(1, 0, [1.0, 0.0], "x"), (1, 1, [1.0, 0.0], " x\n"), (1, 2, [0.0, 1.0], "\t")]
+    variants = spark.createDataFrame(rows_, "query_id int, variant int, embedding array<double>, text string")
+    assert R.expanded_search(variants, v, 20).count() == 20
