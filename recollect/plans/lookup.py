@@ -263,14 +263,16 @@ def w07(t):
 
 
 @query("w08_affinity_snapshot", f"""WITH RECURSIVE {AFFINITY},
-last AS (SELECT player, arg_max(new_affinity, r) AS affinity FROM run WHERE npc = 'click' GROUP BY player),
-subjects AS (SELECT DISTINCT user_id + d AS player FROM events, (VALUES (0), (100000)) AS x(d))
-SELECT player, coalesce(affinity, 50) AS affinity, {_LEVEL.format('coalesce(affinity, 50)')} AS level FROM subjects LEFT JOIN last USING (player)""")
+last AS (SELECT npc || '/' || player AS pair, arg_max(new_affinity, r) AS affinity FROM run GROUP BY npc, player),
+subjects AS (SELECT DISTINCT event_type || '/' || (user_id + d) AS pair FROM events, (VALUES (0), (100000)) AS x(d))
+SELECT pair, coalesce(affinity, 50) AS affinity, {_LEVEL.format('coalesce(affinity, 50)')} AS level FROM subjects LEFT JOIN last USING (pair)""")
 def w08(t):
-    run = Q.running_affinity(fx.affinity_changes(t).where(F.col("npc") == "click"), ["npc", "player"], ["ts", "event_id"])
-    latest = run.groupBy("player").agg(F.max_by("new_affinity", F.struct("ts", "event_id")).alias("affinity"))
-    subjects = t.events.select(F.explode(F.array(F.col("user_id"), F.col("user_id") + 100000)).alias("player"))
-    return Q.affinity_snapshot(latest, subjects, "player")
+    """The latest affinity of every pair; those that never met have the starting value."""
+    pair = lambda a, b: F.concat_ws("/", a, b.cast("string")).alias("pair")
+    run = Q.running_affinity(fx.affinity_changes(t), ["npc", "player"], ["ts", "event_id"])
+    latest = run.groupBy(pair(F.col("npc"), F.col("player"))).agg(F.max_by("new_affinity", F.struct("ts", "event_id")).alias("affinity"))
+    players = t.events.select("event_type", F.explode(F.array(F.col("user_id"), F.col("user_id") + 100000)).alias("player"))
+    return Q.affinity_snapshot(latest, players.select(pair(F.col("event_type"), F.col("player"))), "pair")
 
 
 @query("w10_dedup_keep_first", """WITH r AS (SELECT url, page_id, 0 AS strategy FROM pages UNION ALL SELECT url, page_id + 1000000, 1 FROM pages UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN url || '/b' ELSE '' END, page_id, 2 FROM pages)

@@ -68,7 +68,7 @@ def st4(t):
     return _run(t, J.affinity_stream(fx.affinity_changes(_streamed(t)), ["npc", "player"], ["ts", "event_id"]), "affinity").drop("ts", "batch")
 
 
-@query("st5_dialogue_log", """WITH talks AS (SELECT event_id, 'n' || user_id AS u FROM events WHERE event_type = 'purchase')
+@query("st5_dialogue_log", """WITH talks AS (SELECT event_id, 'n' || user_id AS u FROM events)
 SELECT u AS subject, 'hello ' || event_id AS message, 'fine: ' || event_id AS reply, CASE WHEN event_id % 3 <> 0 THEN 2.0 END AS change, 6 AS total_seconds, true AS complete FROM talks""")
 def st5(t):
     path, out, check = (work_path(t.spark, n) for n in ("log", "sessions", "sessions-state"))

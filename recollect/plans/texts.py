@@ -459,8 +459,8 @@ def s10(t):
 
 
 def _log_lines(t):
-    """Every purchase as a dialogue in the log of its day; the start block of odd ones is written twice."""
-    e = t.events.where(F.col("event_type") == "purchase").select(
+    """Every event as a dialogue in the log of its day; the start block of odd ones is written twice."""
+    e = t.events.select(
         "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("user_id").cast("string").alias("u"), "value", F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).alias("ts"))
 
     def line(seconds, text):
@@ -480,7 +480,7 @@ def _log_lines(t):
     return rows.select("file", (F.col("event_id") * 100 + F.col("at")).alias("line"), "value")
 
 
-_LOG = "talks AS (SELECT event_id, 'n' || user_id AS u, ts FROM events WHERE event_type = 'purchase')"
+_LOG = "talks AS (SELECT event_id, 'n' || user_id AS u, ts FROM events)"
 
 
 @query("s11_dialogue_log_events", f"""WITH {_LOG}, kinds(kind, per) AS (VALUES ('start', 2), ('message', 2), ('affinity', 1), ('retrieval', 1), ('generating', 1), ('reply', 1), ('analysing', 1), ('reason', 1), ('sentiment', 1), ('saved', 1), ('end', 1))
