@@ -79,7 +79,8 @@ def memories_by_entity(entities: DataFrame, mentions: DataFrame, memories: DataF
 
 def orphan_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entities without a mention."""
-    return entities.join(mentions, "entity_id", "left_anti")
+    mentioned = mentions.select("entity_id").distinct()  # a hot entity is one row here
+    return entities.join(mentioned, "entity_id", "left_anti")
 
 
 def prune_orphans(graph: Graph) -> Graph:

@@ -29,8 +29,8 @@ def resolve_ids(keys: DataFrame, table: DataFrame, id_col: str = "id", key_col:
     sized = ids.select("id", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("id"))
     prefixes = sized.select(F.substring("id", F.lit(1), F.col("_n")).alias("key"), "id")
     # An id equal to the key is the shortest one with that prefix, so it is also the smallest.
-    found = prefixes.join(keys, "key", "left_semi")
-    return found.groupBy("key").agg(F.min("id").alias("id"))
+    # Short prefixes are shared by very many ids; they are reduced to one before they meet the keys.
+    return prefixes.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key", "left_semi")
 
 
 def list_by_type(items: DataFrame, memory_type: str | None = None) -> DataFrame:

@@ -27,13 +27,13 @@ def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
 def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
     """Left join on the term without a hot task for terms that very many documents hold.
 
-    At most 1000 times the mean number of terms per document can have a df above n / 1000. That bounded list is
-    broadcast; its rows then leave the shuffled join under spread keys that match nothing.
+    At most 1000 times the mean number of terms per document can have a df above n / 1000. Whether that list is broadcast is left
+    to its measured size; its rows then leave the other join under spread keys that match nothing.
     """
     is_hot = F.col("df") > F.greatest(n / 1000, F.lit(HOT_DF))
     hot = df.where(is_hot).select("term", *[F.col(c).alias(f"_hot_{c}") for c in df.columns if c != "term"])
     rest = df.where(~is_hot).withColumnRenamed("term", "_t")
-    tagged = tf.join(F.broadcast(hot), "term", "left")
+    tagged = tf.join(hot, "term", "left")
     apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("string"))
     tagged = tagged.withColumn("_t", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(apart))
     joined = tagged.join(rest, "_t", "left")
