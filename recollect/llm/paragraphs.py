@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, mixed, run_hashes, saved, signed, split_words, word_hashes
+from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, mixed, run_hashes, saved, signed, split_words, word_hashes
 from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
 
 MIN_WORDS = 20
@@ -108,8 +108,10 @@ def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, bands: i
     found = saved(paragraph_rows(docs, bands, rows), "paragraphs")
     # One node per class of equal words; combined before the shuffle.
     classes = found.groupBy("words_key").agg(F.min(F.struct("node", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("size"))
-    classes = saved(classes.select("words_key", "r.*", "size"), "paragraph-classes")
-    members = shared_members(classes.select("node", "n", F.explode("bands").alias("key")), "paragraph-bands")
+    banded = saved(classes.select("words_key", "r.*", "size"), "paragraph-classes")
+    members = shared_members(banded.select("node", "n", F.explode("bands").alias("key")), "paragraph-bands")
+    classes = saved(banded.drop("bands"), "paragraph-classes")
+    discard(banded)
     fits = F.least("n", "n_h") >= F.lit(similarity) * F.greatest("n", "n_h") - 1e-9
     texts = found.select("node", "text")
     offered = saved(hub_pairs(members, fits, ["n"], ["node"]), "paragraph-pairs")
