@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, mixture, suffixes, toxicity
-from recollect.llm.common import held_out, saved
+from recollect.llm.common import SHINGLE_WORDS, held_out, saved
 from recollect.session import ship
 
 #: The stages train a model, take hashes and cut bytes, which SQL cannot express; they are tested against brute force instead.
 ORACLE_SQL = None
+#: The similarity of near copies, in percent, as ``common.SIMILARITY``.
+NEAR_PERCENT = 80
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies share 80 percent of their five-word shingles; op4's own three words and 90 percent are not the stage's."""
     ship(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_stages_take_effect(spark, tmp_path):
         if name.startswith("suffix"):
             assert docs.where("n_chars <> length(text)").count() == 0
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_near_copies_of_the_stage_share_four_fifths_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join("new%d" % i if i in at else w for i, w in enumerate(words))
+    # Similarity at five words: 86/106 with two words changed, 81/111 with three; at three words both are below 0.9.
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, changed(30, 60)), (3, changed(20, 50, 80))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == [1, 3]
