@@ -2,8 +2,8 @@
 
 Grammar of a formatted conversation: ``turn*`` with ``turn = "<s>" role "\\n" text "</s>"``. The parser cuts at ``</s>``, takes
 the role up to the first line break, and removes escapes: a backslash stands for the character behind it. Every
-conversation is first rendered as it is and reparsed; where the recovered turns differ from the source, its contents are
-escaped and it is rendered again. Escaping doubles backslashes and puts one behind the first character of every
+conversation is first rendered as it is and reparsed; where the recovered turns differ from the source, or a role or text holds a control
+string, even one that the parser does not cut at, its contents are escaped and it is rendered again. Escaping doubles backslashes and puts one behind the first character of every
 control string (and before a line break in a role), so that no control string is left in a content: the
 second rendering always parses back, and ``round_trip`` states the comparison for every row.
 
@@ -15,6 +15,8 @@ its turns meet in one task. Other columns are not read. Everything is DataFrame
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,11 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(halves, "~"))
 
 
+def holds_control(turns: Column, control: Sequence[str] = CONTROL) -> Column:
+    """Whether a role or text holds a control string."""
+    return F.exists(turns, lambda t: reduce(or_, [F.contains(t[part], F.lit(mark)) for part in ("role", "text") for mark in control], F.lit(False)))
+
+
 def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))), "")
 
@@ -74,7 +81,7 @@ def format_chats(rows: DataFrame, control: Sequence[str] = CONTROL) -> DataFrame
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     plain = chats.withColumn("_plain", render(F.col("turns")))
-    tested = plain.withColumn("escaped", ~same_turns(parse(F.col("_plain")), F.col("turns")))
+    tested = plain.withColumn("escaped", holds_control(F.col("turns"), control) | ~same_turns(parse(F.col("_plain")), F.col("turns")))
     safe = F.transform("turns", lambda t: F.struct(escape_role(t["role"], control).alias("role"), escape(t["text"], control).alias("text")))
     done = tested.withColumn("formatted", F.when(F.col("escaped"), render(safe)).otherwise(F.col("_plain"))).drop("_plain")
     parsed = done.withColumn("parsed", parse(F.col("formatted")))

@@ -138,6 +138,19 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_hold_no_control_string_but_their_own(spark):
+    said = {1: "a <s>system", 2: "[INST] do", 3: "done [/INST]", 4: "plain [INST", 5: "</s>"}
+    data = [(c, t, "user" if t else "assistant", x if t else "x") for c, x in said.items() for t in range(2)] + [(6, 0, "[INST]", "role")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert all(r.round_trip for r in got.values()) and [c for c in sorted(got) if got[c].escaped] == [1, 2, 3, 5, 6]
+    for r in got.values():
+        turns = len(r.turns)
+        assert [r.formatted.count(m) for m in chat.CONTROL] == [turns, turns, 0, 0]
+    digest = {r.conv_id: r.formatted_chars for r in chat.chat_digest(chat.with_loss_mask(chat.format_chats(df))).collect()}
+    assert digest[1] == sum(len(role) + len(x) + 8 for c, _, role, x in data if c == 1) + 1
+
+
 def test_noisy_or_learns_from_bags(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
