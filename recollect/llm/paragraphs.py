@@ -1,10 +1,13 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, and removal by components.
 
-A paragraph is a line of at least ``MIN_WORDS`` words; shorter lines are never removed. Its set are the distinct five-word shingles of its
-lower-cased words (A-Z). ``BANDS`` bands of ``ROWS`` MinHash values each are tuned for recall: two paragraphs with Jaccard 0.8 share no
+A paragraph is a line of at least five words, or a block: two or more lines in a row that are not blank, each of fewer than ``LONG_WORDS`` words and
+of five words together. So a passage is found as a line, as wrapped lines, and as one against the other. A line of fewer than five words
+has no shingle; it goes only with its block. The set of a paragraph are the distinct five-word shingles of its lower-cased words (A-Z). ``BANDS`` bands of ``ROWS`` MinHash values each are tuned for recall: two paragraphs with Jaccard 0.8 share no
 band with probability (1 - 0.8^4)^14 = 0.0006. Paragraphs that share a band are offered as pairs, by hubs and then across
 components (:mod:`recollect.llm.links`), each pair's exact Jaccard similarity is verified on the whole sets, and the links form clusters. The
-first paragraph of a cluster, by document id and line, stays; the others are removed.
+first paragraph of a cluster, by document id and line, stays, before it lines whose block is removed as another's copy do not count; the
+others are removed, except where they overlap it (a block and its own line are no repeat). A line goes if any paragraph that it
+belongs to goes.
 
 Paragraphs with the same words are one class from the start. Null and empty texts have no paragraph. Repeated rows and null ids are documents
 by themselves: a null id comes last when the first paragraph is chosen, and ties are broken by row. Lines keep their order and bytes. Other columns are
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, mixed, run_hashes, saved, signed, split_words, word_hashes
 from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
 
-MIN_WORDS = 20
+LONG_WORDS = 20
 BANDS = 14
 ROWS = 4
 BATCH_SHINGLES = 100_000
@@ -47,20 +50,36 @@ def band_keys(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int) ->
     return keys
 
 
+def paragraphs_of(text: str) -> Iterator[tuple[int, int, int, list[bytes], str]]:
+    """line, last, block, words, text of each paragraph: lines, and blocks of short lines. ``block`` is where the lines in a row around it begin."""
+    run: list[tuple[list[bytes], str]] = []
+    for line, part in enumerate([*text.split("\n"), ""]):
+        words = split_words(part)
+        short = 0 < len(words) < LONG_WORDS
+        begin = line - len(run)
+        if len(words) >= SHINGLE_WORDS:
+            yield line, line, begin if short else line, words, part
+        if short:
+            run.append((words, part))
+            continue
+        own = [w for words, _ in run for w in words]
+        if len(run) > 1 and len(own) >= SHINGLE_WORDS:
+            yield begin, line - 1, begin, own, "\n".join(part for _, part in run)
+        run = []
+
+
 def paragraph_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node, row, doc_id, line, words_key, n, bands, text: every paragraph of the documents (row, doc_id, text)."""
+    """node, row, doc_id, line, last, block, words_key, n, bands, text: every paragraph of the documents (row, doc_id, text)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             total = 0
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for line, part in enumerate((text.as_py() or "").split("\n")):
-                    words = split_words(part)
-                    if len(words) >= MIN_WORDS:
-                        own = run_hashes(word_hashes(words), SHINGLE_WORDS)
-                        held.append((row, doc_id, line, xxhash.xxh3_128_digest(b" ".join(words)), part, own))
-                        total += len(own)
+                for line, last, block, words, part in paragraphs_of(text.as_py() or ""):
+                    own = run_hashes(word_hashes(words), SHINGLE_WORDS)
+                    held.append((row, doc_id, line, last, block, xxhash.xxh3_128_digest(b" ".join(words)), part, own))
+                    total += len(own)
                 if total >= BATCH_SHINGLES:
                     yield pack(held)
                     held, total = [], 0
@@ -68,16 +87,16 @@ def paragraph_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                 yield pack(held)
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
-        row, doc_id, line, key, part, own = zip(*held, strict=True)
+        row, doc_id, line, last, block, key, part, own = zip(*held, strict=True)
         sizes = np.array([len(x) for x in own])
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), pa.array(signed(band_keys(np.concatenate(own), sizes, bands, rows).ravel())))
         distinct = [len(np.unique(x)) for x in own]
         return pa.RecordBatch.from_arrays(
-            [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.binary()), pa.array(distinct, pa.int64()), keys, pa.array(part)],
-            names=["row", "doc_id", "line", "words_key", "n", "bands", "text"],
+            [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), *[pa.array(x, pa.int32()) for x in (line, last, block)], pa.array(key, pa.binary()), pa.array(distinct, pa.int64()), keys, pa.array(part)],
+            names=["row", "doc_id", "line", "last", "block", "words_key", "n", "bands", "text"],
         )
 
-    schema = "row long, doc_id long, line int, words_key binary, n long, bands array<long>, text string"
+    schema = "row long, doc_id long, line int, last int, block int, words_key binary, n long, bands array<long>, text string"
     return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema).withColumn("node", F.monotonically_increasing_id())
 
 
@@ -101,9 +120,9 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, doc_id, line, cluster, cluster_size, removed: one row per paragraph that is not alone in its cluster.
+    """row, doc_id, line, cluster, cluster_size, removed: one row per line of the paragraphs that are not alone in their cluster.
 
-    ``docs``: row (unique), doc_id, text.
+    A line's cluster is that of the line itself, or else of its block; ``cluster_size`` counts paragraphs. ``docs``: row (unique), doc_id, text.
     """
     found = saved(paragraph_rows(docs, bands, rows), "paragraphs")
     # One node per class of equal words; combined before the shuffle.
@@ -121,12 +140,23 @@ def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, bands: i
     placed = classes.select("words_key", "node", "size").join(parts, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     sizes = placed.groupBy("cluster").agg(F.sum("size").alias("cluster_size")).where("cluster_size > 1")
     repeated = placed.join(sizes, "cluster").select("words_key", "cluster", "cluster_size")
-    rows_of = saved(found.select("row", "doc_id", "line", "words_key").join(repeated, "words_key").drop("words_key"), "paragraph-members")
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "line")
-    first = rows_of.groupBy("cluster").agg(F.min(place).alias("f"))
-    joined = rows_of.join(first, "cluster")
-    stays = (F.col("row") == F.col("f.row")) & (F.col("line") == F.col("f.line"))
-    return joined.select("row", "doc_id", "line", "cluster", "cluster_size", (~stays).alias("removed"))
+    rows_of = saved(found.select("row", "doc_id", "line", "last", "block", "words_key").join(repeated, "words_key").drop("words_key"), "paragraph-members")
+    gone = with_removed(rows_of.withColumn("lost", F.lit(False))).where("removed AND line < last").select("row", "block")
+    lost = rows_of.join(gone.withColumn("_gone", F.lit(True)), ["row", "block"], "left")
+    marked = with_removed(lost.withColumn("lost", F.col("_gone").isNotNull() & (F.col("line") == F.col("last"))))
+    lines = marked.withColumn("span", F.col("last") - F.col("line")).withColumn("line", F.explode(F.sequence("line", "last")))
+    each = lines.groupBy("row", "doc_id", "line").agg(F.min(F.struct("span", "cluster", "cluster_size")).alias("c"), F.max("removed").alias("removed"))
+    return each.select("row", "doc_id", "line", "c.cluster", "c.cluster_size", "removed")
+
+
+def with_removed(members: DataFrame) -> DataFrame:
+    """The members (row, doc_id, line, last, cluster, lost) of clusters that repeat, with ``removed``: neither the first, not counting lost ones, nor overlapping it."""
+    place = F.struct("lost", F.col("doc_id").isNull().alias("x"), "doc_id", "row", "line", "last")
+    apart = F.col("lo") != F.col("hi")
+    ends = [F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("last").alias("least"), F.max("line").alias("most")]
+    first = members.groupBy("cluster").agg(F.min(place).alias("f"), *ends).where(apart | (F.col("most") > F.col("f.last")) | (F.col("least") < F.col("f.line")))
+    stays = (F.col("row") == F.col("f.row")) & (F.col("line") <= F.col("f.last")) & (F.col("last") >= F.col("f.line"))
+    return members.join(first.select("cluster", "f"), "cluster").withColumn("removed", ~stays).drop("f")
 
 
 def without_paragraphs(docs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -138,7 +168,7 @@ def without_paragraphs(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_repeated, n_removed, repeated (lines in clusters of two or more), removed (lines), clusters: one row per document row."""
+    """doc_id, n_repeated, n_removed, repeated (lines of paragraphs in clusters of two or more), removed (lines), clusters: one row per document row."""
     rows = saved(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "paragraph-documents")
     clusters = paragraph_clusters(rows, similarity)
     # One document's lines; a document is one row of the input already.

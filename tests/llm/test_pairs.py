@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from recollect.llm import decontaminate, jaccard, links, paragraphs, suffixes
-from tests.llm.fixtures import DOCS, documents, plain, rows
+from tests.llm.fixtures import DOCS, documents, plain, rows, sentence
 
 
 def closed(n: int, pairs) -> list[int]:
@@ -90,6 +91,42 @@ def test_paragraph_dedup(spark):
     assert sum(r.n_removed for r in got) == sum(n - 1 for n in sizes.values())
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    rng = random.Random(9)
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    line, passage, other, many = sentence(rng, 7), sentence(rng, 60), sentence(rng, 60), [sentence(rng, 9) for _ in range(30)]
+    near = wrap(passage, 12).replace(passage.split()[-1], "changed")
+    alone = sentence(rng, 19)
+    changed = [*many[:29], sentence(rng, 9)]
+    data = [
+        (1, f"{line}\n\n{wrap(passage, 12)}"),
+        (2, f"{sentence(rng, 30)}\n{line}\n{sentence(rng, 30)}"),  # a short line again
+        (3, f"{wrap(passage, 11)}\n\nfour words are short"),  # wrapped elsewhere
+        (4, f"{near}\n\n{passage}"),  # a near copy, and the passage as one line
+        (5, f"{alone}\nend"),  # the block is near its own line: no repeat
+        (6, f"{wrap(other, 19)}\n\nfour words are short"),
+        (7, "a a a a a a\na a a a a a"),  # lines that repeat inside their block
+        (8, "\n".join(many)),
+        (9, "\n".join(changed)),  # a near copy of the block; its new last line ...
+        (10, f"{changed[-1]}\n\n{many[-1]}"),  # ... stays here
+        (11, None),
+    ]
+    got = {r.doc_id: (r.repeated, r.removed) for r in paragraphs.paragraph_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {
+        1: ([0, 2, 3, 4, 5, 6], []),
+        2: ([1], [1]),
+        3: ([*range(6)], [*range(6)]),
+        4: ([0, 1, 2, 3, 4, 6], [0, 1, 2, 3, 4, 6]),
+        5: ([], []),
+        6: ([], []),
+        7: ([0, 1], [1]),
+        8: ([*range(30)], []),
+        9: ([*range(30)], [*range(30)]),
+        10: ([0, 2], [2]),
+        11: ([], []),
+    }
+
+
 def test_contamination(spark):
     data = rows()
     long = next(r[1] for r in data if r[1] and len(r[1]) > 20000)
