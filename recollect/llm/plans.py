@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, hmm, jaccard, licenses, mixture, paragraphs, quality, suffixes, toxicity
+from recollect.llm import chat, decontaminate, hmm, jaccard, licenses, minhash, mixture, paragraphs, quality, suffixes, toxicity
 from recollect.llm.common import held_out
 from recollect.session import ship
 
@@ -183,3 +183,31 @@ def op2(table):
 @query("op3_suffix_array_dedup")
 def op3(table):
     return suffixes.repeated_bytes(table("documents"))
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - least(len(w), 2) + 2),
+         lambda i: array_to_string(w[i:i + least(len(w), 2) - 1], ' ')))) END AS s FROM docs
+), classes AS (
+  SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), held AS (
+  SELECT c, n, unnest(s) AS g FROM classes
+), linked AS (
+  SELECT x.c AS a, y.c AS b FROM held x JOIN held y ON x.g = y.g AND x.c < y.c AND 10 * least(x.n, y.n) >= 8 * greatest(x.n, y.n)
+  GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reached AS (
+  SELECT a AS c, b AS r FROM edges UNION SELECT r.c, e.b FROM reached r JOIN edges e ON r.r = e.a
+), least AS (SELECT c, min(r) AS r FROM reached GROUP BY c)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(least(least.r, classes.c), doc_id) AS component_id,
+       coalesce(least(least.r, classes.c), doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least USING (c)
+"""
+
+
+@query("op12_minhash_near_dedup", MINHASH_SQL)
+def op12(table):
+    return minhash.minhash_components(table("documents"))
