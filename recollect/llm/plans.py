@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, hmm, jaccard, licenses, minhash, mixture, paragraphs, quality, suffixes, toxicity
+from recollect.llm import chat, codes, decontaminate, hmm, jaccard, licenses, minhash, mixture, paragraphs, quality, suffixes, toxicity, whitening
 from recollect.llm.common import held_out
 from recollect.session import ship
 
@@ -211,3 +211,46 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least USING (c)
 @query("op12_minhash_near_dedup", MINHASH_SQL)
 def op12(table):
     return minhash.minhash_components(table("documents"))
+
+
+def codes_sql() -> str:
+    """Every part against every entry, twice to move the entries and once to assign."""
+    rounds = []
+    for k in range(3):
+        rounds.append(f"""near{k} AS (
+  SELECT vec_id, p, min({{'d': d, 'e': e}}) AS m
+  FROM (SELECT x.vec_id, x.p, b.e, sum((x.c - b.c) * (x.c - b.c))::BIGINT AS d FROM points x JOIN book{k} b ON x.p = b.p AND x.i = b.i GROUP BY x.vec_id, x.p, b.e)
+  GROUP BY vec_id, p
+)""")
+        if k < 2:
+            rounds.append(f"""book{k + 1} AS (
+  SELECT b.p, b.e, b.i, coalesce(t.c, b.c) AS c
+  FROM book{k} b LEFT JOIN (SELECT x.p, n.m.e AS e, x.i, floor(sum(x.c)::DOUBLE / count(*))::BIGINT AS c FROM points x JOIN near{k} n USING (vec_id, p) GROUP BY ALL) t
+    ON b.p = t.p AND b.e = t.e AND b.i = t.i
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), points AS (
+  SELECT vec_id, (i * 16) // len(v) AS p, i % (len(v) // 16) AS i, v[i + 1] AS c FROM (SELECT vec_id, v, unnest(range(len(v))) AS i FROM kept)
+), firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (SELECT p, e, i, c FROM points JOIN firsts USING (vec_id)),
+{", ".join(rounds)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query("op11_vector_codes", codes_sql())
+def op11(table):
+    return codes.vector_codes(table("embeddings"))
+
+
+@query("op13_embedding_whitening")
+def op13(table):
+    return whitening.whitened(table("embeddings"))
