@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from recollect.llm import decontaminate, jaccard, links, paragraphs, suffixes
+from recollect.llm import decontaminate, jaccard, links, minhash, paragraphs, suffixes
 from tests.llm.fixtures import DOCS, documents, plain, rows, sentence
 
 
@@ -79,52 +79,171 @@ def test_repeated_bytes(spark, seed, length):
         assert cut.where("text is null").count() == sum(r[1] is None for r in rows(seed))
 
 
-def test_paragraph_dedup(spark):
-    data = rows()
-    found = [(k, line, runs(plain(p), 5)) for k, r in enumerate(data) for line, p in enumerate((r[1] or "").split("\n")) if len(plain(p)) >= 20]
-    pairs = [(a, b) for a, b in itertools.combinations(range(len(found)), 2) if len(found[a][2] & found[b][2]) >= 0.8 * len(found[a][2] | found[b][2]) - 1e-9]
-    label = closed(len(found), pairs)
-    sizes = Counter(label)
-    repeated = Counter(found[i][0] for i, c in enumerate(label) if sizes[c] > 1)
-    got = paragraphs.paragraph_dedup(documents(spark)).collect()
-    assert Counter((r.doc_id, r.n_repeated) for r in got) == Counter((r[0], repeated[k]) for k, r in enumerate(data))
-    assert sum(r.n_removed for r in got) == sum(n - 1 for n in sizes.values())
+def brute_windows(words):
+    """Windows of a text by the definition: the first least hash of every ``GAP`` places in a row begins one."""
+    n = len(words) - paragraphs.WINDOW + 1
+    if n < 1:
+        return []
+    hashes = paragraphs.mixed(paragraphs.run_hashes(paragraphs.word_hashes(words), 5))[:n].tolist()
+    starts = {min(range(i, min(i + paragraphs.GAP, n)), key=lambda k: (hashes[k], k)) for i in range(max(n - paragraphs.GAP + 1, 1))}
+    return [(i, i + paragraphs.WINDOW, tuple(words[i : i + paragraphs.WINDOW])) for i in sorted(starts)]
+
+
+def brute_passages(data):
+    """doc_id, repeated, removed, as ranges of words, of rows (doc_id, text)."""
+    lines, windows = [], []
+    for k, (_, text) in enumerate(data):
+        words = []
+        for line in (text or "").split("\n"):
+            begin = len(words)
+            words += plain(line)
+            if len(words) - begin >= paragraphs.LINE_WORDS:
+                lines.append((k, begin, len(words), runs(words[begin:], 5)))
+        windows += [(k, *w) for w in brute_windows(words)]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if len(lines[a][3] & lines[b][3]) >= 0.8 * len(lines[a][3] | lines[b][3]) - 1e-9]
+    clusters = {}
+    for line, c in zip(lines, closed(len(lines), pairs), strict=True):
+        clusters.setdefault(c, []).append(line[:3])
+    for k, a, b, words in windows:
+        clusters.setdefault(words, []).append((k, a, b))
+    cover = [(Counter(), Counter(), Counter()) for _ in data]
+    for members in clusters.values():
+        if len({m[0] for m in members}) > 1 or max(m[1] for m in members) >= min(m[2] for m in members):
+            first = min(members, key=lambda m: (data[m[0]][0] is None, data[m[0]][0] or 0, m[0], m[1]))
+            for k, a, b in members:
+                cover[k][0].update((x, x + 0.5) for x in range(a, b))
+                cover[k][0].update((x + 0.5, x + 1) for x in range(a, b))
+                cover[k][1 if (k, a, b) == first else 2].update(range(a, b))
+
+    def ranges(points):
+        out = []
+        for x in sorted(points):
+            if out and out[-1][1] == x:
+                out[-1][1] = x + 1
+            else:
+                out.append([x, x + 1])
+        return tuple(map(tuple, out))
+
+    return [(d[0], ranges({int(x) for x, _ in seen}), ranges(set(later) - set(first))) for d, (seen, first, later) in zip(data, cover, strict=True)]
+
+
+def found_passages(df):
+    return Counter((r.doc_id, tuple(map(tuple, r.repeated)), tuple(map(tuple, r.removed))) for r in df.collect())
 
 
-def test_short_and_wrapped_paragraphs(spark):
+def with_row_order(spark, data):
+    return spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_paragraph_dedup(spark, seed):
+    data = [(r[0], r[1]) for r in rows(seed)]
+    got = paragraphs.paragraph_dedup(with_row_order(spark, data))
+    assert got.columns == ["doc_id", "n_repeated", "n_removed", "removed_words", "repeated", "removed"]
+    assert found_passages(got) == Counter(brute_passages(data))
+    for r in got.collect():
+        assert (r.n_repeated, r.n_removed, r.removed_words) == (len(r.repeated), len(r.removed), sum(s.end - s.start for s in r.removed))
+
+
+def test_passages_inside_long_lines_and_short_lines(spark):
     rng = random.Random(9)
     wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
-    line, passage, other, many = sentence(rng, 7), sentence(rng, 60), sentence(rng, 60), [sentence(rng, 9) for _ in range(30)]
-    near = wrap(passage, 12).replace(passage.split()[-1], "changed")
-    alone = sentence(rng, 19)
-    changed = [*many[:29], sentence(rng, 9)]
+    line, nineteen = sentence(rng, 6), sentence(rng, 19)
+    passage, other, own = sentence(rng, 60), sentence(rng, 50), sentence(rng, 40).split()
+    near = " ".join(["changed" if k == 1 else w for k, w in enumerate(own)])
     data = [
-        (1, f"{line}\n\n{wrap(passage, 12)}"),
-        (2, f"{sentence(rng, 30)}\n{line}\n{sentence(rng, 30)}"),  # a short line again
-        (3, f"{wrap(passage, 11)}\n\nfour words are short"),  # wrapped elsewhere
-        (4, f"{near}\n\n{passage}"),  # a near copy, and the passage as one line
-        (5, f"{alone}\nend"),  # the block is near its own line: no repeat
-        (6, f"{wrap(other, 19)}\n\nfour words are short"),
-        (7, "a a a a a a\na a a a a a"),  # lines that repeat inside their block
-        (8, "\n".join(many)),
-        (9, "\n".join(changed)),  # a near copy of the block; its new last line ...
-        (10, f"{changed[-1]}\n\n{many[-1]}"),  # ... stays here
+        (1, f"{sentence(rng, 90)} {passage} {sentence(rng, 80)}"),  # inside a long line ...
+        (2, f"{sentence(rng, 70)} {passage} {sentence(rng, 100)}"),  # ... and another one
+        (3, f"{sentence(rng, 30)}\n{wrap(passage, 7)}\n{line}"),  # wrapped
+        (4, f"{sentence(rng, 30)}\n{line}\n{nineteen}\n{sentence(rng, 30)}"),  # short lines that are shared
+        (5, f"{line}\n{sentence(rng, 30)}\n{nineteen}"),
+        (6, f"{sentence(rng, 9)}\n{' '.join(own)}\n{sentence(rng, 9)}"),
+        (7, f"{near}\n{sentence(rng, 9)}"),  # a near copy of a line
+        (8, f"{sentence(rng, 13)} {other.upper()} {sentence(rng, 13)}"),
+        (9, f"{sentence(rng, 3)} {other}"),
+        (10, f"{wrap(sentence(rng, 200), 11)}"),
         (11, None),
     ]
-    got = {r.doc_id: (r.repeated, r.removed) for r in paragraphs.paragraph_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
-    assert got == {
-        1: ([0, 2, 3, 4, 5, 6], []),
-        2: ([1], [1]),
-        3: ([*range(6)], [*range(6)]),
-        4: ([0, 1, 2, 3, 4, 6], [0, 1, 2, 3, 4, 6]),
-        5: ([], []),
-        6: ([], []),
-        7: ([0, 1], [1]),
-        8: ([*range(30)], []),
-        9: ([*range(30)], [*range(30)]),
-        10: ([0, 2], [2]),
-        11: ([], []),
-    }
+    docs = with_row_order(spark, data)
+    got = {r.doc_id: r for r in paragraphs.paragraph_dedup(docs).collect()}
+    marked = {k for k, r in got.items() if r.n_repeated}
+    assert marked == {1, 2, 3, 6, 7, 8, 9}
+    assert {k for k, r in got.items() if r.n_removed} == {2, 3, 7, 9}
+    assert found_passages(paragraphs.paragraph_dedup(docs)) == Counter(brute_passages(data))
+    assert all(s.start >= begin and s.end <= begin + n for k, begin, n in ((1, 90, 60), (2, 70, 60), (8, 13, 50), (9, 3, 50)) for s in got[k].repeated)
+    texts = {r.doc_id: r.text for r in paragraphs.without_passages(docs).collect()}
+    assert all(texts[k] == t for k, t in data if k not in {2, 3, 7, 9})
+    for k, t in data:
+        gone = {x for s in got[k].removed for x in range(s.start, s.end)}
+        assert (texts[k] or "").split() == [w for x, w in enumerate((t or "").split()) if x not in gone]
+    assert texts[7] == "\n" + data[6][1].split("\n")[1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_every_shared_run_of_fifty_words_holds_an_equal_window(seed):
+    rng = random.Random(seed)
+    shared = sentence(rng, 50).split() if seed % 2 else [rng.choice("ab") for _ in range(50)]  # also with many equal shingles
+    for _ in range(20):
+        found = []
+        for _ in range(2):
+            before = sentence(rng, rng.randint(0, 60)).split()
+            words = [w.encode() for w in [*before, *shared, *sentence(rng, rng.randint(0, 60)).split()]]
+            shingles = paragraphs.run_hashes(paragraphs.word_hashes(words), 5)
+            at, hashes = paragraphs.windows_of(shingles, len(words))
+            assert [int(a) for a in at] == [w[0] for w in brute_windows(words)]
+            inside = (at >= len(before)) & (at + paragraphs.WINDOW <= len(before) + 50)
+            found.append({(int(a) - len(before), tuple(h.tolist())) for a, h in zip(at[inside], hashes[inside], strict=True)})
+        assert found[0] & found[1]
+
+
+def test_bands_find_similar_lines():
+    """At a similarity of 0.8 the bands miss 2 in 1000 pairs, above it fewer; a recall of 0.99 leaves room for chance."""
+    rng = np.random.default_rng(2)
+    caught = total = 0
+    for _ in range(600):
+        n = int(rng.integers(40, 200))
+        common = rng.integers(1, 2**63, n).astype(np.uint64)
+        extra = int(n * 0.25 * rng.random())
+        sets = [np.concatenate([common, rng.integers(1, 2**63, k).astype(np.uint64)]) for k in (extra // 2, extra - extra // 2)]
+        least = paragraphs.minima(np.concatenate(sets), np.array([len(x) for x in sets]), paragraphs.BANDS * paragraphs.ROWS)
+        keys, parts = paragraphs.band_keys(least, paragraphs.BANDS), paragraphs.signatures(least)
+        apart = sum(bin(int(x))[2:].zfill(64).count("1") and sum(c != "0" for c in f"{int(x):016x}") for x in parts[0] ^ parts[1])
+        caught += bool((keys[0] == keys[1]).any() and apart <= paragraphs.most_apart(paragraphs.BANDS * paragraphs.ROWS, 80))
+        total += 1
+    assert caught >= 0.99 * total
+
+
+def brute_components(data, width, percent):
+    sets = [runs(plain(r[1]), width) for r in data]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(data)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, closed(len(data), pairs)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_minhash_components(spark, seed):
+    data = rows(seed)
+    sets, label = brute_components(data, 2, 80)
+    least = {c: min((data[i][0] for i in range(len(data)) if label[i] == c and data[i][0] is not None), default=None) for c in set(label)}
+    want = Counter()
+    for r, s, c in zip(data, sets, label, strict=True):
+        own = least[c] if s else r[0]
+        want[r[0], len(s), own, r[0] == own] += 1
+    got = minhash.minhash_components(documents(spark, seed))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_minhash_links_at_the_threshold(spark):
+    """Chains of near copies, and pairs just below and at 80 percent."""
+    words = [f"w{k}" for k in range(300)]
+    exact = [*words[:90], "x"]  # 2-word shingles of words[:100]: 99; 89 in common with this of 90: 89 / 100
+    chain = [" ".join([*words[:200], *[f"c{j}" for j in range(5 * i)]]) for i in range(20)]
+    below = [" ".join(f"b{k}" for k in range(82)), " ".join([*[f"b{k}" for k in range(73)], *[f"z{k}" for k in range(10)]])]  # 72 of 91
+    data = [(i, t) for i, t in enumerate([" ".join(words[:100]), " ".join(exact), *chain, *below])]
+    _, label = brute_components(data, 2, 80)
+    got = {r.doc_id: r.component_id for r in minhash.minhash_components(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(label))
+    assert got[len(data) - 1] == len(data) - 1 and len({got[i] for i in range(2, 22)}) == 1
 
 
 def test_contamination(spark):
@@ -158,4 +277,5 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.one_of_each(none).count() == 0
     assert suffixes.repeated_bytes(none).count() == 0 and suffixes.without_repeats(none).count() == 0
-    assert paragraphs.paragraph_dedup(none).count() == 0
+    assert paragraphs.paragraph_dedup(none).count() == 0 and paragraphs.without_passages(none).count() == 0
+    assert minhash.minhash_components(none).count() == 0
