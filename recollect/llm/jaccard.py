@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import discard, run_hashes, saved, signed, split_words, word_hashes
-from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
+from recollect.llm.links import joined_components, shared_members
 
 SHINGLE = 3
 PERCENT = 90
@@ -220,11 +220,9 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     # The overlap that the position allows makes the similarity: 100 * o >= percent * (total - o). Its size filter is implied.
     fits = (100 + percent) * overlap >= percent * total
     nodes = classes.select("node", "text_key")
-    offered = saved(hub_pairs(members, fits, ["n", "at"], ["at", "node"]), "jaccard-pairs")
     shorts = classes.select("node", "n", "short")
-    links = verified(promising(offered, shorts, counts, percent), nodes, docs, width, percent)
-    again = saved(crossing_pairs(members, fits, ["n", "at"], components(links), offered), "jaccard-pairs")
-    parts = components(links.union(verified(promising(again, shorts, counts, percent), nodes, docs, width, percent)))
+    verify = lambda pairs: verified(promising(pairs, shorts, counts, percent), nodes, docs, width, percent)
+    parts = joined_components(members, fits, ["n", "at"], ["at", "node"], verify)
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component", "component_id")

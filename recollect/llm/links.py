@@ -1,17 +1,22 @@
 """From candidate groups to components: hubs instead of all pairs, and connected components by alternating stars.
 
 A group of m candidates has m^2/2 pairs. :func:`hub_pairs` offers only the pairs of each member with the group's first one; after these are
-verified and joined to components, :func:`crossing_pairs` offers the pairs of a group that still lie in different components.
+verified and joined to components, further rounds (:func:`pivot_pairs`) offer each member a few pivots of other components, as long as
+that finds links. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size.
+:func:`crossing_pairs` then offers all pairs of a group that still lie in different components.
 Together they lose no link: a pair that is never offered is already connected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import discard, saved
 
+PIVOTS = 4
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the edges (a, b). No node's neighbours meet in one row.
@@ -55,11 +60,55 @@ def hub_pairs(members: DataFrame, fits: Column, carried: list[str], order: list[
     return met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct()
 
 
-def crossing_pairs(members: DataFrame, fits: Column, carried: list[str], parts: DataFrame, done: DataFrame) -> DataFrame:
-    """a, b: the fitting pairs of a group in different components, without those already ``done``. Groups in one component are dropped."""
+def still_apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members, with their component as ``_part``, of the groups that lie in several components."""
     placed = members.join(parts.withColumnRenamed("component", "_part"), "node", "left").withColumn("_part", F.coalesce("_part", "node"))
-    mixed = placed.groupBy("key").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).where("_lo <> _hi").select("key")
-    left = saved(placed.join(mixed, "key", "left_semi"), "crossing")
-    right = left.select("key", *[F.col(c).alias(f"{c}_h") for c in ["node", *carried, "_part"]])
-    met = left.join(right, "key").where((F.col("node") < F.col("node_h")) & (F.col("_part") != F.col("_part_h")) & fits)
-    return met.select(F.col("node").alias("a"), F.col("node_h").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    several = placed.groupBy("key").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).where("_lo <> _hi").select("key")
+    return saved(placed.join(several, "key", "left_semi"), "apart")
+
+
+def met(left: DataFrame, right: DataFrame, fits: Column, carried: list[str]) -> DataFrame:
+    """a, b: the fitting pairs of members of a group in different components, of two frames of :func:`still_apart`."""
+    other = right.select("key", *[F.col(c).alias(f"{c}_h") for c in ["node", *carried, "_part"]])
+    both = left.join(other, "key").where((F.col("_part") != F.col("_part_h")) & fits)
+    return both.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct()
+
+
+def pivot_pairs(apart: DataFrame, fits: Column, carried: list[str], turn: int) -> DataFrame:
+    """a, b: each member with its group's pivot of this turn. Groups of like members choose one of ``PIVOTS`` orders, so a member meets a few pivots."""
+    place = F.xxhash64("node", F.lit(turn), F.pmod(F.xxhash64("key"), F.lit(PIVOTS)))
+    pivots = apart.groupBy("key").agg(F.min(F.struct(place.alias("place"), "node", *carried, "_part")).alias("h"))
+    return met(apart, pivots.select("key", "h.*").drop("place"), fits, carried)
+
+
+def crossing_pairs(apart: DataFrame, fits: Column, carried: list[str]) -> DataFrame:
+    """a, b: all pairs of members of a group in different components."""
+    return met(apart, apart, fits & (F.col("node") < F.col("node_h")), carried)
+
+
+def joined_components(members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the members (key, node and ``carried``) that :func:`verify` links; ``verify`` keeps of pairs (a, b) those that link.
+
+    ``fits`` may name the carried columns, which have a ``_h`` behind them for the other one of a pair.
+    """
+    done = saved(hub_pairs(members, fits, carried, order), "offered")
+    links = verify(done)
+    parts = components(links)
+    apart = still_apart(members, parts)
+    found, turn = not links.isEmpty(), 0
+    while found and not apart.isEmpty():
+        turn += 1
+        offered = saved(pivot_pairs(apart, fits, carried, turn).join(done, ["a", "b"], "left_anti"), "offered")
+        new = verify(offered)
+        found = not new.isEmpty()
+        if found:
+            stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = components(stars.union(new))
+            before, apart = apart, still_apart(apart.drop("_part"), parts)
+            discard(before)
+        done = done.union(offered)
+    if apart.isEmpty():
+        return parts
+    last = verify(saved(crossing_pairs(apart, fits, carried).join(done, ["a", "b"], "left_anti"), "offered"))
+    stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.union(last))

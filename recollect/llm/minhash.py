@@ -5,8 +5,8 @@ of a 32-bit fingerprint of a shingle gives one minimum per document; two sets ag
 similarity. Documents that agree in all ``ROWS`` minima of a band are candidates: with Jaccard 0.8 a pair shares no band
 with probability (1 - 0.8^6)^48 = 5e-7. A candidate's signatures, four bits a minimum, are compared inside the join that
 meets it, and pairs which five standard deviations tell apart from the threshold (another 3e-7 are lost) go no further. The
-others are confirmed on the full sets, so no link is wrong. Members of a band meet its first member, then only members of
-other components (:mod:`recollect.llm.links`), and the links become components by large-star and small-star rounds.
+others are confirmed on the full sets, so no link is wrong. Members of a band meet its first member, then members of
+other components only (:mod:`recollect.llm.links`), and the links become components by large-star and small-star rounds.
 
 Equal sets are one class from the start: copies cost nothing and cannot be missed. With fewer words than a shingle has, the whole sequence is the
 one shingle; null, empty and blank texts have an empty set and link with nothing. Repeated rows link to each other. A null
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import discard, mixed, run_hashes, saved, signed, split_words, word_hashes
-from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
+from recollect.llm.links import joined_components, shared_members
 
 SHINGLE = 2
 PERCENT = 80
@@ -183,10 +183,7 @@ def minhash_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     fits = size & (parts_apart(len(words)) <= most_apart(bands * rows, percent))
     carried = ["n", *words]
     nodes = classes.select("node", "text_key")
-    offered = saved(hub_pairs(members, fits, carried, ["node"]), "minhash-pairs")
-    links = confirmed(offered, nodes, docs, width, percent)
-    again = saved(crossing_pairs(members, fits, carried, components(links), offered), "minhash-pairs")
-    parts = components(links.union(confirmed(again, nodes, docs, width, percent)))
+    parts = joined_components(members, fits, carried, ["node"], lambda pairs: confirmed(pairs, nodes, docs, width, percent))
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component_id")

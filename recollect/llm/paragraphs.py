@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, mixed, run_hashes, saved, signed, word_hashes
-from recollect.llm.links import components, crossing_pairs, hub_pairs, shared_members
+from recollect.llm.links import joined_components, shared_members
 from recollect.llm.minhash import band_keys, minima, most_apart, parts_apart, signature_words, signatures, text_key
 
 LINE_WORDS = 20
@@ -169,11 +169,8 @@ def line_clusters(found: DataFrame, docs: DataFrame, similarity: float) -> DataF
     members = held.join(classes.select("node", *parts), "node")
     fits = parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity))
     nodes = classes.select("node", "text_key", "start", "end")
-    offered = saved(hub_pairs(members, fits, parts, ["node"]), "paragraph-pairs")
-    links = similar(offered, nodes, docs, similarity)
-    again = saved(crossing_pairs(members, fits, parts, components(links), offered), "paragraph-pairs")
-    joined = components(saved(links.union(similar(again, nodes, docs, similarity)), "paragraph-links"))
-    discard(held, offered, again, links)
+    joined = joined_components(members, fits, parts, ["node"], lambda pairs: similar(pairs, nodes, docs, similarity))
+    discard(held)
     placed = classes.select("key", "node", "size").join(joined, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     sizes = placed.groupBy("cluster").agg(F.sum("size").alias("_size")).where("_size > 1").select("cluster")
     repeated = placed.join(sizes, "cluster").select("key", "cluster")
