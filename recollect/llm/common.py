@@ -30,23 +30,59 @@ def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+#: The paths that :func:`saved` has written inside the open :func:`scratch` blocks, innermost last.
+_open: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps neither repeat it nor need the same executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
     with dropped_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables of :func:`saved` that no later step reads."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
+            _remove(df.sparkSession, file.rpartition("/")[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables saved inside are removed at the end, but for those written by the function that the block gets."""
+    _open.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = saved(df, name)
+        kept.append(_open[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+        if _open:
+            _open[-1].extend(kept)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

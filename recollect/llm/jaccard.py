@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, run_hashes, saved, signed, split_words, word_hashes
+from recollect.llm.common import discard, fresh, run_hashes, saved, scratch, signed, split_words, word_hashes
 from recollect.llm.links import joined_components, shared_members
 
 SHINGLE = 3
@@ -239,10 +239,12 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, one of each component: the one with the smallest id, or of equal ids one of them.
 
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay. Columns of the documents may have any names.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-documents")
-    found = jaccard_components(rows, width, percent, "_row").where("n_shingles > 0").select("node", "component", "doc_id")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    gone = found.join(best, "component").where(F.col("node") != F.col("b.node")).select(F.col("node").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-documents")
+    with scratch(docs.sparkSession) as keep:
+        found = saved(jaccard_components(rows, width, percent, row).where("n_shingles > 0").select("node", "component", "doc_id"), "jaccard-found")
+        best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node")).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        gone = keep(found.join(best, "component").where(F.col("node") != F.col("b.node")).select(F.col("node").alias(row)), "jaccard-gone")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, mixed, run_hashes, saved, signed, word_hashes
+from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, fresh, mixed, run_hashes, saved, scratch, signed, word_hashes
 from recollect.llm.links import joined_components, shared_members
 from recollect.llm.minhash import band_keys, minima, most_apart, parts_apart, signature_words, signatures, text_key
 
@@ -221,13 +221,14 @@ def passages(marked: DataFrame) -> DataFrame:
 
 def paragraph_passages(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """row, doc_id, repeated, removed (ranges of words, from 0, the end left out): one row per document row. ``row`` names a column of unique numbers."""
-    found = saved(paragraph_rows(docs, row), "paragraphs")
-    lines = with_removed(line_clusters(found, docs, similarity), ["cluster"])
-    windows = found.select("row", "doc_id", F.explode("windows").alias("w")).select("row", "doc_id", "w.start", (F.col("w.start") + WINDOW).alias("end"), "w.a", "w.b")
-    marked = saved(lines.union(with_removed(windows, ["a", "b"])), "paragraph-marks")
-    none = F.expr(f"cast(array() AS {SPANS})")
-    out = found.select("row", "doc_id").join(passages(marked), "row", "left")
-    return out.select("row", "doc_id", *[F.coalesce(c, none).alias(c) for c in ("repeated", "removed")])
+    with scratch(docs.sparkSession) as keep:
+        found = saved(paragraph_rows(docs, row), "paragraphs")
+        lines = with_removed(line_clusters(found, docs, similarity), ["cluster"])
+        windows = found.select("row", "doc_id", F.explode("windows").alias("w")).select("row", "doc_id", "w.start", (F.col("w.start") + WINDOW).alias("end"), "w.a", "w.b")
+        marked = saved(lines.union(with_removed(windows, ["a", "b"])), "paragraph-marks")
+        none = F.expr(f"cast(array() AS {SPANS})")
+        out = found.select("row", "doc_id").join(passages(marked), "row", "left")
+        return keep(out.select("row", "doc_id", *[F.coalesce(c, none).alias(c) for c in ("repeated", "removed")]), "paragraph-passages")
 
 
 def without_words(text: str, spans: list[dict[str, int]]) -> str:
@@ -245,9 +246,7 @@ def without_words(text: str, spans: list[dict[str, int]]) -> str:
 
 def without_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with all their columns, without the words removed; null texts stay null."""
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "row")
     rows = saved(docs.withColumn(name, F.monotonically_increasing_id()), "paragraph-documents")
     gone = paragraph_passages(rows, similarity, name).where(F.size("removed") > 0).select(F.col("row").alias("_at"), F.col("removed").alias("_gone"))
     both = rows.select(F.col(name).alias("_id"), "text").join(gone, F.col("_id") == F.col("_at")).select("_id", "text", "_gone")

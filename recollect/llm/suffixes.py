@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, mixed, saved
+from recollect.llm.common import discard, mixed, saved, scratch
 
 LENGTH = 200
 GRAM = 32
@@ -239,17 +239,20 @@ def text_key() -> Column:
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, begin, n: runs of starts whose strings also start elsewhere, in texts without copies (texts with copies repeat entirely)."""
-    all_rows = saved(stretch_rows(texts.where(F.octet_length("text") >= length), length), "suffix-stretches")
-    shared = saved(all_rows.groupBy("gram").agg(F.sum("w").alias("all")).where("all > 1").select("gram"), "suffix-grams")
-    rows = saved(all_rows.join(shared, "gram", "left_semi"), "suffix-shared")
-    discard(all_rows, shared)
-    first, onward = settled(rows, ["gram"], "stretch")
-    slices = saved(split_strings(texts, onward, length), "suffix-slices")
-    second, onward = settled(slices, ["gram", "slice", "core"], "slice")
-    singles = saved(single_strings(texts, onward, length), "suffix-singles")
-    many = singles.groupBy("lo", "hi").agg(F.sum("w").alias("all")).where("all > 1").select("lo", "hi")
-    third = singles.where("w = 1").join(many, ["lo", "hi"], "left_semi").select("row", "begin", F.lit(1).alias("n"))
-    return first.union(second).union(third)
+    with scratch(texts.sparkSession) as keep:
+        all_rows = saved(stretch_rows(texts.where(F.octet_length("text") >= length), length), "suffix-stretches")
+        shared = saved(all_rows.groupBy("gram").agg(F.sum("w").alias("all")).where("all > 1").select("gram"), "suffix-grams")
+        rows = saved(all_rows.join(shared, "gram", "left_semi"), "suffix-shared")
+        discard(all_rows, shared)
+        first, onward = settled(rows, ["gram"], "stretch")
+        slices = saved(split_strings(texts, onward, length), "suffix-slices")
+        discard(onward)
+        second, onward = settled(slices, ["gram", "slice", "core"], "slice")
+        singles = saved(single_strings(texts, onward, length), "suffix-singles")
+        discard(onward)
+        many = singles.groupBy("lo", "hi").agg(F.sum("w").alias("all")).where("all > 1").select("lo", "hi")
+        third = singles.where("w = 1").join(many, ["lo", "hi"], "left_semi").select("row", "begin", F.lit(1).alias("n"))
+        return keep(first.union(second).union(third), "suffix-marks")
 
 
 def cut_texts(texts: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -289,7 +292,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All documents with all their columns, their texts without the repeated bytes; null texts stay null."""
-    texts = distinct_texts(docs)
-    done = cut_texts(texts, repeated_starts(texts, length), length).where("n_removed > 0").select(F.col("text_key").alias("_key"), "kept")
-    joined = docs.withColumn("_key", text_key()).join(done, "_key", "left")
-    return joined.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    with scratch(docs.sparkSession) as keep:
+        texts = distinct_texts(docs)
+        done = cut_texts(texts, repeated_starts(texts, length), length).where("n_removed > 0").select("text_key", "kept")
+        done = keep(done, "suffix-cut-texts").alias("cut")
+    old = docs.alias("old")
+    joined = old.join(done, F.md5(F.coalesce(F.col("old.text"), F.lit("")).cast("binary")) == F.col("cut.text_key"), "left")
+    return joined.select(*[(F.coalesce("cut.kept", "old.text") if c == "text" else F.col(f"old.`{c}`")).alias(c) for c in docs.columns])
