@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from recollect.functions import exprs as X
 from recollect.functions.ordered import BLOCK, block_sums, ordered_blocks
 from recollect.functions.ranking import first_per_key, ordered_text, top_per_key
+from recollect.session import cut
+from recollect.sources.logs import parse_dialogue_log
 
 # Lower bound and name of each affinity level, from high to low.
 LEVELS = [(80.0, "挚友"), (60.0, "亲密"), (40.0, "友好"), (20.0, "熟悉")]
@@ -149,8 +151,16 @@ def dialogue_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
     A dialogue begins at a start line; a start with its message that is logged twice in a row, with the same subject and message, opens one.
     Clock times may jump back at midnight: a time below the one before raises the day of the rest of the file.
     """
-    events = log.where(F.col("kind").isNotNull())
-    ordered = ordered_blocks(events, ["file"], ["line"], blocks)
+    return _sessions(ordered_blocks(log.where(F.col("kind").isNotNull()), ["file"], ["line"], blocks))
+
+
+def line_sessions(lines: DataFrame, blocks: int | None = None) -> DataFrame:
+    """:func:`dialogue_sessions` of raw log lines (file, line, value): they are sorted as they are and parsed once behind the sort."""
+    ordered = ordered_blocks(lines.select("file", "line", "value"), ["file"], ["line"], blocks)
+    return _sessions(cut(parse_dialogue_log(ordered, (BLOCK,))).where(F.col("kind").isNotNull()))
+
+
+def _sessions(ordered: DataFrame) -> DataFrame:
     # The rows around may lie in other blocks of the same file; what is needed of those comes from per-block summaries.
     start_subject = F.when(F.col("kind") == "start", F.col("subject"))
     ends = ordered.groupBy("file", BLOCK).agg(

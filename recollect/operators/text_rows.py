@@ -242,7 +242,7 @@ def extract_entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def sentences(text: str | Column) -> Column:
     parts = F.split(F.coalesce(X.col(text), F.lit("")), r"(?<=[.。!！?？\n])\s*")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: X.strip(s)), lambda s: s != "")
 
 
 def _boundary_pattern(name: Column) -> Column:
@@ -573,7 +573,7 @@ def hash_answer(c: str | Column) -> Column:
     """The number after ``####``, else the last line."""
     text = F.coalesce(X.col(c), F.lit(""))
     pattern = r"####\s*(-?[\d,.]+)"
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = X.strip(text)
     last = X.strip(F.element_at(F.split(bare, "\n"), -1))
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(last)
 

@@ -499,4 +499,4 @@ def s11(t):
 SELECT 'log_' || strftime(ts, '%Y-%m-%d') AS file, CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS INTEGER) AS dialogue, u AS subject, 'hello ' || event_id AS message, 'fine: ' || event_id AS reply,
  50.0 AS affinity, CASE WHEN event_id % 3 <> 0 THEN 2.0 END AS change, 2 AS retrieved, 'positive' AS sentiment, 1 AS retrieval_seconds, 2 AS reply_seconds, 2 AS analysis_seconds, 6 AS total_seconds, true AS complete FROM talks""")
 def w09(t):
-    return Q.dialogue_sessions(L.parse_dialogue_log(_log_lines(t)))
+    return Q.line_sessions(_log_lines(t))

@@ -58,7 +58,7 @@ def ingest_documents(spark: SparkSession, path: str, glob: str | None = None) ->
 def parse_notes(files: DataFrame, raw: str = "value", fallback_id: str | None = None) -> DataFrame:
     """(id, title, type, tags, created_at, updated_at, body) from note texts with a front matter block."""
     text = F.coalesce(F.col(raw), F.lit(""))
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = X.strip(text)
     # The block opens at the start and closes at the next three dashes; without a close all of it is body.
     block = r"(?s)^---\n?(.*?)---(.*)$"
     has = bare.rlike(block)
@@ -88,7 +88,7 @@ def parse_notes(files: DataFrame, raw: str = "value", fallback_id: str | None =
         get("id", F.col(fallback_id) if fallback_id else F.lit("unknown")).alias("id"),
         get("title", F.lit("Untitled")).alias("title"), get("type", F.lit("general")).alias("type"), tags.alias("tags"),
         created.alias("created_at"), get("updated_at", created).alias("updated_at"),
-        F.regexp_replace(F.when(F.col("_has"), F.regexp_extract("_bare", block, 2)).otherwise(F.col("_bare")), r"^\s+|\s+$", "").alias("body"),
+        X.strip(F.when(F.col("_has"), F.regexp_extract("_bare", block, 2)).otherwise(F.col("_bare"))).alias("body"),
     )
 
 

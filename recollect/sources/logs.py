@@ -27,14 +27,14 @@ _NUMBER = {"affinity", "retrieval", "change", "unchanged"}
 _SUBJECT = {"start", "saved"}
 
 
-def parse_dialogue_log(lines: DataFrame) -> DataFrame:
+def parse_dialogue_log(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(file, line, seconds, kind, subject, number, text) from (file, line, value); lines without a clock drop.
 
-    Lines that are no stage have a null kind.
+    Lines that are no stage have a null kind. ``carried`` names further columns to keep.
     """
     clock = r"^(\d{2}):(\d{2}):(\d{2}) - (.*)$"
     parsed = lines.where(F.col("value").rlike(clock)).select(
-        "file", "line", *[F.regexp_extract("value", clock, i).cast("int").alias(n) for i, n in ((1, "h"), (2, "m"), (3, "s"))],
+        "file", "line", *carried, *[F.regexp_extract("value", clock, i).cast("int").alias(n) for i, n in ((1, "h"), (2, "m"), (3, "s"))],
         X.strip(F.regexp_extract("value", clock, 4)).alias("msg"),
     )
     kind = part = None
@@ -43,9 +43,9 @@ def parse_dialogue_log(lines: DataFrame) -> DataFrame:
         value = F.regexp_extract("msg", pattern, 1) if "(" in pattern.replace("(?:", "").replace(r"\(", "") else F.lit("")
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         part = F.when(hit, value) if part is None else part.when(hit, value)
-    typed = parsed.select("file", "line", (F.col("h") * 3600 + F.col("m") * 60 + F.col("s")).alias("seconds"), kind.alias("kind"), part.alias("part"))
+    typed = parsed.select("file", "line", *carried, (F.col("h") * 3600 + F.col("m") * 60 + F.col("s")).alias("seconds"), kind.alias("kind"), part.alias("part"))
     return typed.select(
-        "file", "line", "seconds", "kind",
+        "file", "line", *carried, "seconds", "kind",
         F.when(F.col("kind").isin(*_SUBJECT), F.col("part")).alias("subject"),
         F.when(F.col("kind").isin(*_NUMBER), F.col("part").try_cast("double")).alias("number"),
         F.when(F.col("kind").isin(*_TEXT), F.col("part")).alias("text"),
