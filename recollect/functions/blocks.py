@@ -1,19 +1,22 @@
 """Match every row of one table against every row of another without pairing them as rows.
 
-The queries are cut into blocks of a bounded size. Each block travels to the tasks that read the corpus; every Arrow
+The queries are written once, cut into blocks of a bounded size. Each block travels to the tasks that read the corpus; every Arrow
 batch of the corpus meets it there and leaves the task reduced to results. The corpus is read once per block and never
-shuffled, and the driver holds one block at a time. There is one plan for every number of queries.
+shuffled. With several blocks the results of each are written before the next is fetched, so driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.session import cut
+
 BLOCK_ROWS = 4096  # most queries in a block
 BLOCK_BYTES = 16 << 20  # and about its most bytes
 
@@ -21,13 +24,13 @@ Prepare = Callable[[pa.Table], Any]
 Match = Callable[[Any, pa.RecordBatch], pa.RecordBatch | None]
 
 
-def query_blocks(queries: DataFrame, key: str, block_rows: int, size: Column) -> Iterator[pa.Table]:
-    """The queries in blocks; at least one, which may be empty."""
-    rows, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+def query_blocks(queries: DataFrame, key: str, block_rows: int, size: Column) -> tuple[int, Callable[[int], pa.Table]]:
+    """How many blocks the queries make, at least one, and a function that fetches one of them. The queries are computed once."""
+    held = cut(queries.withColumn("_size", size))
+    rows, total = held.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     n = max(1, -(-rows // block_rows), -(-total // BLOCK_BYTES))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)))
-    for k in range(n):
-        yield numbered.where(F.col("_block") == k).drop("_block").toArrow()
+    numbered = held.drop("_size").withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)))
+    return n, lambda k: numbered.where(F.col("_block") == k).drop("_block").toArrow()
 
 
 def block_match(
@@ -55,8 +58,7 @@ def block_match(
 
         return corpus.mapInArrow(run, schema)
 
-    found = None
-    for block in query_blocks(queries, key, block_rows, size):
-        part = against(block)
-        found = part if found is None else found.unionByName(part)
-    return found
+    n, fetch = query_blocks(queries, key, block_rows, size)
+    if n == 1:
+        return against(fetch(0))
+    return reduce(DataFrame.unionByName, [cut(against(fetch(k))) for k in range(n)])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import itertools
-
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recollect.functions.ranking import top_per_key
@@ -120,40 +120,73 @@ def network_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_hops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, hops) of the shortest undirected path for each wanted pair; pairs without one are left out.
+def _search(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wanted, seen): the pairs (src, dst) whose source is a node, and (src, node, hops, parent) around their sources.
 
-    A breadth-first search by joins: each round moves the frontier one edge on, drops (start, node) pairs already
-    seen, and is cut off from its history by a checkpoint. Starts whose targets are all found leave the search, which ends
-    when no new node is met.
+    A breadth-first search by joins, one job a hop: each round moves the frontier one edge on and is cut off from its history by a
+    checkpoint, which also tells how many nodes are new. Edges have no direction, so a node next to the frontier is new unless it lies in this frontier or the
+    one before: what was seen earlier is not read again. Sources whose targets are all found leave the search every few hops.
     """
     links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = cut(links.distinct().select(F.col("src").alias("node"), F.col("dst").alias("next")))
-    known = links.select(F.col("node")).distinct()
+    known = links.select("node").distinct()
     wanted = pairs.select("src", "dst").distinct()
     wanted = cut(wanted.join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
-    seen = cut(wanted.select("src", F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0)))
-    frontier = seen.select("src", "node")
+    start = wanted.select("src", F.col("src").alias("node")).distinct()
+    parent = F.lit(None).cast(links.schema["node"].dataType).alias("parent")
+    rings = [cut(start.select("src", "node", F.lit(0).alias("hops"), parent))]
+    left, frontier = wanted, rings[0]
     for hop in itertools.count(1):
-        reached = wanted.join(seen.select("src", F.col("node").alias("dst")), ["src", "dst"], "left_semi")
-        active = wanted.join(reached, ["src", "dst"], "left_anti").select("src").distinct()
-        step = frontier.join(active, "src", "left_semi").join(links, "node").select("src", F.col("next").alias("node"))
-        fresh = step.distinct().join(seen.select("src", "node"), ["src", "node"], "left_anti")
-        fresh = cut(fresh.withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            break
-        seen = seen.unionByName(fresh)
-        frontier = fresh.select("src", "node")
+        step = frontier.select("src", "node").join(links, "node").groupBy("src", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
+        for ring in rings[-2:]:
+            step = step.join(ring.select("src", "node"), ["src", "node"], "left_anti")
+        new = Observation()
+        frontier = cut(step.select("src", "node", F.lit(hop).alias("hops"), "parent").observe(new, F.count(F.lit(1)).alias("n")))
+        if not new.get["n"]:
+            return wanted, reduce(DataFrame.unionByName, rings)
+        rings.append(frontier)
+        if hop % PRUNE == 0:
+            found = reduce(DataFrame.unionByName, rings[-PRUNE:]).select("src", F.col("node").alias("dst"))
+            left = cut(left.join(found, ["src", "dst"], "left_anti"))
+            frontier = frontier.join(left.select("src").distinct(), "src", "left_semi")
+    raise AssertionError("not reached")
+
+
+PRUNE = 4
+
+
+def shortest_hops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, hops) of the shortest undirected path for each wanted pair; pairs without one are left out."""
+    wanted, seen = _search(edges, pairs)
     return wanted.join(seen.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", "hops")
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, hops, nodes): a shortest undirected path for each wanted pair, with its nodes from source to target.
+
+    Of several shortest paths it is the one on which each node, seen from the target, comes from the smallest node it can come from. The search
+    leaves a pointer from each node to the one before it; the paths are put together by pointer doubling: in each round every
+    node takes over what its pointer's node has gathered and points where that one points, so a path of h hops needs about log2(h) rounds.
+    """
+    wanted, seen = _search(edges, pairs)
+    walked = cut(seen.select("src", "node", "hops", F.col("parent").alias("to"), F.array("node").alias("nodes")))
+    targets = wanted.withColumnRenamed("dst", "node")
+    while not walked.join(targets, ["src", "node"], "left_semi").where(F.col("to").isNotNull()).isEmpty():
+        ahead = walked.select("src", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("nodes").alias("_nodes"))
+        joined = walked.join(ahead, ["src", "to"], "left")
+        nodes = F.when(F.col("to").isNull(), F.col("nodes")).otherwise(F.concat("_nodes", "nodes"))
+        walked = cut(joined.select("src", "node", "hops", F.col("_to").alias("to"), nodes.alias("nodes")))
+    return targets.join(walked, ["src", "node"]).select("src", F.col("node").alias("dst"), "hops", "nodes")
+
+
 HOT_MENTIONS = 1000
 
 
-def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int = HOT_MENTIONS) -> DataFrame:
+def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int = HOT_MENTIONS, candidates: DataFrame | None = None) -> DataFrame:
     """Best 2k memories per query by shared entities times the Jaccard similarity of the entity sets.
 
-    Returns (query_id, id, shared, score, rank). A memory reached only over a neighbour scores 0 but may fill a place.
+    Returns (query_id, id, shared, score, rank). A memory reached only over a neighbour scores 0 but may fill a place. With ``candidates``
+    (memory_id), such as one user's memories, only those are ranked, so that the 2k best of them are complete.
 
     With s shared entities, q asked and m in the memory the score is s * s / (q + m - s). It grows with s and falls
     with m, which keeps the work bounded without losing a result:
@@ -161,7 +194,7 @@ def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int =
     * Entities with at most ``hot`` mentions are joined as they are.
     * For the others memories are grouped by the set of hot entities they hold. Of one such group a query can only
       need the 2k best by (m, id), because every member shares at least what the others share; and of the groups only
-      the 2k whose best members come first.
+      the 2k whose best members come first. Queries that ask for the same hot entities, and as many entities in all, are one here.
     * Memories of neighbours come after all direct ones, so only queries with fewer than 2k direct hits look for
       them, and per entity only its 4k smallest such ids can matter.
     """
@@ -170,6 +203,8 @@ def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int =
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("q"))
     matched = asked.join(graph.entities, ["name", "type"]).select("query_id", "entity_id").distinct()
     mentions = graph.mentions.select("entity_id", "memory_id").distinct()
+    if candidates is not None:
+        mentions = mentions.join(candidates.select("memory_id").distinct(), "memory_id", "left_semi")
     busy = mentions.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("entity_id", F.lit(True).alias("_hot"))
 
     # One row per memory: its size and its hot entities. A memory holds the entities of one text.
@@ -191,10 +226,16 @@ def graph_search(query_entities: DataFrame, graph: Graph, k: int = 5, hot: int =
     members = top_per_key(groups.select("group", "memory_id", "m"), ["group"], [F.asc("m"), F.asc("memory_id")], limit, "_place")
     best = members.where(F.col("_place") == 1).select("group", F.col("m").alias("best_m"), F.col("memory_id").alias("best_id"))
     group_rows = groups.select("group", "hot_ids").dropDuplicates(["group"]).select("group", F.explode("hot_ids").alias("entity_id"))
-    met = asked_hot.where(F.col("_hot")).join(group_rows, "entity_id").groupBy("query_id", "group").agg(F.count("*").alias("s"))
-    placed = met.join(best, "group").join(sizes, "query_id").withColumn("_score", score(F.col("s"), F.col("best_m")))
-    chosen = top_per_key(placed, ["query_id"], [F.desc("_score"), F.asc("best_id")], limit, None)
-    by_hot = chosen.select("query_id", "group", "s", "q").join(members, "group").select(
+    asking = queries.where(F.size("q_hot") > 0).select("query_id", "q", F.sort_array("q_hot").alias("q_hot"))
+    kinds = asking.groupBy("q_hot", "q").agg(F.min("query_id").alias("kind"))
+    met = kinds.select("kind", F.explode("q_hot").alias("entity_id")).join(group_rows, "entity_id").groupBy("kind", "group").agg(F.count("*").alias("s"))
+    placed = met.join(best, "group").join(kinds.select("kind", "q"), "kind").withColumn("_score", score(F.col("s"), F.col("best_m")))
+    chosen = top_per_key(placed, ["kind"], [F.desc("_score"), F.asc("best_id")], limit, None)
+    hot_hits = top_per_key(
+        chosen.select("kind", "group", "s", "q").join(members, "group").withColumn("_score", score(F.col("s"), F.col("m"))),
+        ["kind"], [F.desc("_score"), F.asc("memory_id")], limit, None,
+    )
+    by_hot = asking.join(kinds, ["q_hot", "q"]).select("query_id", "kind").join(hot_hits, "kind").select(
         "query_id", "memory_id", F.col("s").alias("shared"), "m", "q"
     )
     # A memory found both ways shares more than its hot entities; the larger count is the whole one.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.functions.ranking import first_per_key, top_per_key
+from recollect.operators.graph import Graph, graph_search
 from recollect.functions.matching import substring_hits
 from recollect.functions.similarity import DIGITS, RANK_DIGITS, cosine_hits
 
@@ -204,7 +205,8 @@ def episodic_search(
 def semantic_search(
     query_vectors: DataFrame,
     vectors: DataFrame,
-    graph_hits: DataFrame,
+    query_entities: DataFrame,
+    graph: Graph,
     items: DataFrame,
     k: int = 5,
     user_id: str | None = None,
@@ -212,11 +214,13 @@ def semantic_search(
 ) -> DataFrame:
     """Vector top 2k and graph top 2k, (0.7 vector + 0.3 graph) * importance weight, best k.
 
-    With ``user_id`` only items of that owner are searched by vector or kept from the graph.
+    With ``user_id`` both halves search the items of that owner only, so neither is cut before the owner's items are known.
     """
+    candidates = None
     if user_id is not None:
         items = items.where(F.col(user) == user_id)
-        vectors, graph_hits = restrict_candidates(vectors, items), restrict_candidates(graph_hits, items)
+        vectors, candidates = restrict_candidates(vectors, items), items.select(F.col("id").alias("memory_id"))
+    graph_hits = graph_search(query_entities, graph, k, candidates=candidates)
     hits = topk_cosine(query_vectors, vectors, 2 * _k(k), digits=RANK_DIGITS)
     both = combine_hits(hits, graph_hits)
     joined = both.join(items.select("id", "importance", F.lit(True).alias("_known")), "id", "left")

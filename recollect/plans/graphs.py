@@ -100,13 +100,15 @@ def a10_counts(t):
     return G.network_counts(g.entities, g.relations)
 
 
-@query("j14_shortest_hops", """WITH RECURSIVE nodes AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn FROM conversations),
+_WALK = """nodes AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn FROM conversations),
 edges AS (SELECT a.id AS s, b.id AS d FROM nodes a JOIN nodes b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 UNION ALL SELECT a.id, b.id FROM nodes a JOIN nodes b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 WHERE a.turn % 3 = 0),
 und AS (SELECT s, d FROM edges UNION SELECT d, s FROM edges),
-pairs AS (SELECT conv_id * 1000 + max(turn) AS src, conv_id * 1000 AS dst FROM conversations GROUP BY conv_id),
-walk AS (SELECT src, src AS node, 0 AS hops FROM pairs UNION SELECT w.src, u.d, w.hops + 1 FROM walk w JOIN und u ON u.s = w.node WHERE w.hops < 60)
-SELECT p.src, p.dst, min(hops) AS hops FROM pairs p JOIN walk w ON w.src = p.src AND w.node = p.dst WHERE p.src IN (SELECT s FROM und) GROUP BY ALL""")
-def j14(t):
+pairs AS (SELECT conv_id * 1000 + max(turn) AS src, conv_id * 1000 AS dst, count(*) AS n FROM conversations GROUP BY conv_id),
+walk AS (SELECT src, src AS node, 0 AS hops, n FROM pairs UNION SELECT w.src, u.d, w.hops + 1, n FROM walk w JOIN und u ON u.s = w.node WHERE w.hops < w.n),
+dist AS (SELECT src, node, min(hops) AS hops FROM walk GROUP BY ALL)"""
+
+
+def _follow_ons(t):
     """From the last turn of each conversation to its first, over follow-on edges and some shortcuts."""
     c = t.conversations
     node = F.col("conv_id") * 1000 + F.col("turn")
@@ -117,4 +119,19 @@ def j14(t):
 
     edges = here.join(after(1), ["conv_id", "turn"]).unionByName(here.where(F.col("turn") % 3 == 0).join(after(2), ["conv_id", "turn"])).select("src", "dst")
     pairs = c.groupBy("conv_id").agg((F.first("conv_id") * 1000 + F.max("turn")).alias("src")).select("src", (F.col("conv_id") * 1000).alias("dst"))
-    return G.shortest_hops(edges, pairs)
+    return edges, pairs
+
+
+@query("j14_shortest_hops", f"""WITH RECURSIVE {_WALK}
+SELECT p.src, p.dst, hops FROM pairs p JOIN dist d ON d.src = p.src AND d.node = p.dst WHERE p.src IN (SELECT s FROM und)""")
+def j14(t):
+    return G.shortest_hops(*_follow_ons(t))
+
+
+@query("j14_shortest_paths", f"""WITH RECURSIVE {_WALK},
+back AS (SELECT d.src, d.node, min(u.s) AS parent FROM dist d JOIN und u ON u.d = d.node JOIN dist e ON e.src = d.src AND e.node = u.s AND e.hops = d.hops - 1 GROUP BY ALL),
+path AS (SELECT p.src, p.dst, hops, p.dst AS node, [p.dst] AS nodes FROM pairs p JOIN dist d ON d.src = p.src AND d.node = p.dst WHERE p.src IN (SELECT s FROM und)
+  UNION ALL SELECT path.src, dst, hops, parent, list_prepend(parent, nodes) FROM path JOIN back ON back.src = path.src AND back.node = path.node)
+SELECT src, dst, hops, nodes FROM path WHERE node = src""")
+def j14_paths(t):
+    return G.shortest_paths(*_follow_ons(t))

@@ -9,6 +9,8 @@ from recollect.operators import sequences as Q
 from recollect.operators import tables as T
 from recollect.plans import fixtures as fx
 from recollect.plans.registry import query
+from recollect.session import work_path
+from recollect.sources import versions as V
 
 _IMP = "round(importance, 6) AS importance"
 
@@ -311,10 +313,14 @@ def w13(t):
 new AS (SELECT id, 'changed ' || content AS content, 1 AS v FROM memories WHERE id % 2 = 0 UNION ALL SELECT id, 'final ' || content, 2 FROM memories WHERE id % 4 = 0)
 SELECT id, coalesce(n.content, o.content) AS content FROM old o FULL JOIN (SELECT id, arg_max(content, v) AS content FROM new GROUP BY id) n USING (id)""")
 def m03(t):
+    """Into a stored table: the old rows, then the changes as two versions of it."""
     items = fx.memories(t).select("id", "content")
     first = items.where(F.col("id") % 2 == 0).select("id", F.concat(F.lit("changed "), "content").alias("content"), F.lit(1).alias("v"))
     second = items.where(F.col("id") % 4 == 0).select("id", F.concat(F.lit("final "), "content").alias("content"), F.lit(2).alias("v"))
-    return T.upsert(items.where(F.col("id") % 3 != 0), first.unionByName(second), "id", "v")
+    path = work_path(t.spark, "memories")
+    V.commit(items.where(F.col("id") % 3 != 0), path, 0)
+    V.upsert_table(t.spark, path, first.unionByName(second), "id", "v")
+    return V.read_version(t.spark, path)
 
 
 @query("m04_partial_update", f"""WITH {fx.MEMORIES}
@@ -351,12 +357,15 @@ def m07_count(t):
 
 @query("m09_clear", "SELECT 'events' AS \"table\", count(*) AS n, 0 AS left_over FROM events UNION ALL SELECT 'documents', count(*), 0 FROM documents")
 def m09(t):
-    emptied, counts = T.clear({"events": t.events, "documents": t.documents})
-    left = None
-    for name, frame in emptied.items():
-        row = frame.agg(F.count("*").alias("left_over")).select(F.lit(name).alias("table"), "left_over")
-        left = row if left is None else left.unionByName(row)
-    return counts.join(left, "table")
+    """Stored tables that are cleared, and what is read from them afterwards."""
+    out = None
+    for name in ("events", "documents"):
+        path = work_path(t.spark, name)
+        V.commit(getattr(t, name), path, 0)
+        before = V.clear_table(t.spark, path)
+        row = V.read_version(t.spark, path).agg(F.count("*").alias("left_over")).select(F.lit(name).alias("table"), F.lit(before).cast("long").alias("n"), "left_over")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("m10_turns_to_memories", f"""WITH {fx.TURNS}, pairs AS (SELECT a.id, a.owner, a.content AS message, b.content AS reply, a.created_at FROM turns a JOIN turns b ON a.owner = b.owner AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')

@@ -158,21 +158,48 @@ def k08(t):
 _EVENT_VECTOR = "[CAST(value AS DOUBLE), CAST(length(event_type) AS DOUBLE), CAST(hour(ts) AS DOUBLE), 10.0]"
 
 
-@query("k09_semantic_search", given(f"""WITH {_GRAPH_SCORES},
+def _semantic_sql(graph: str, own: str) -> str:
+    """``own`` is the condition on the events that may be found."""
+    return given(f"""WITH {graph},
 ev AS (SELECT event_id AS id, user_id, {_EVENT_VECTOR} AS v, least(value, 100) / 100 AS importance FROM events),
+mine AS (SELECT * FROM ev WHERE {own}),
 qv AS (SELECT user_id AS query_id, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS q FROM ev GROUP BY user_id),
-vs AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))), 12) AS score FROM qv, ev),
+vs AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))), 12) AS score FROM qv, mine),
 vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM vs WHERE score > 0) WHERE r <= 10),
 both_hits AS (SELECT query_id, id, coalesce(v.score, 0) AS a, coalesce(g.score, 0) AS b FROM vh v FULL JOIN graph_hits g USING (query_id, id)),
-final AS (SELECT query_id, id, round((0.7 * a + 0.3 * b) * (0.8 + 0.4 * importance), 12) AS score FROM both_hits JOIN ev USING (id))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5"""))
-def k09(t):
+final AS (SELECT query_id, id, round((0.7 * a + 0.3 * b) * (0.8 + 0.4 * importance), 12) AS score FROM both_hits JOIN mine USING (id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final) WHERE rank <= 5""")
+
+
+def _semantic(t, **user):
     e = t.events
     parts = [F.col("value"), F.length("event_type").cast("double"), F.hour("ts").cast("double"), F.lit(10.0)]
-    vectors = e.select(F.col("event_id").alias("id"), F.array(*parts).alias("embedding"), (F.least("value", F.lit(100.0)) / 100).alias("importance"))
+    vectors = e.select(
+        F.col("event_id").alias("id"), F.array(*parts).alias("embedding"), (F.least("value", F.lit(100.0)) / 100).alias("importance"),
+        (F.col("event_id") % 7).cast("string").alias("user_id"))
     queries = e.groupBy(F.col("user_id").alias("query_id")).agg(F.array(*[F.avg(p) for p in parts]).alias("embedding"))
-    hits = G.graph_search(fx.query_entities(t), fx.event_graph(t), 5)
-    return R.semantic_search(queries, vectors, hits, vectors.select("id", "importance"), 5)
+    return R.semantic_search(queries, vectors, fx.query_entities(t), fx.event_graph(t), vectors.select("id", "importance", "user_id"), 5, **user)
+
+
+@query("k09_semantic_search", _semantic_sql(_GRAPH_SCORES, "true"))
+def k09(t):
+    return _semantic(t)
+
+
+_OWN_MENTIONS = _GRAPH_SCORES.replace("qsize AS (", "own AS (SELECT * FROM mentions WHERE memory_id % 7 = 3),\nqsize AS (").replace(
+    "FROM matched JOIN mentions USING", "FROM matched JOIN own USING").replace("JOIN mentions m ON m.entity_id = nb.other", "JOIN own m ON m.entity_id = nb.other")
+
+
+@query("k08_graph_search_of_user", f"WITH {_OWN_MENTIONS} SELECT query_id, id, shared, score, rank FROM graph_hits")
+def k08_user(t):
+    own = t.events.where(F.col("event_id") % 7 == 3).select(F.col("event_id").alias("memory_id"))
+    return G.graph_search(fx.query_entities(t), fx.event_graph(t), 5, candidates=own)
+
+
+@query("k09_semantic_search_of_user", _semantic_sql(_OWN_MENTIONS, "id % 7 = 3"))
+def k09_user(t):
+    """One user of seven owns the memories that are searched."""
+    return _semantic(t, user_id="3")
 
 
 _MODALITY = "CASE label % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'audio' END"

@@ -9,6 +9,7 @@ from recollect.plans.lookup import AFFINITY_SQL, _replay_sql
 from recollect.plans.registry import Tables, query
 from recollect.plans.texts import _log_lines
 from recollect.session import work_path
+from recollect.sources.versions import read_version
 from recollect.streaming import jobs as J
 
 
@@ -37,14 +38,44 @@ def _run(t: Tables, frame, name: str, mode: str = "append"):
     return t.spark.read.parquet(out)
 
 
+def _arriving(t: Tables, rows, time: str, closing: dict, batches: int = 2, files: int = 4):
+    """The rows as a stream of one micro-batch per range of event time, and a last one with a row far behind them, which lets time go on.
+
+    ``closing``: the columns of that row other than its time.
+    """
+    path = work_path(t.spark, "arriving")
+    low, high = rows.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    place = F.least(F.floor((at - low) * batches / F.lit(high - low + 1)), F.lit(batches - 1))
+    for k in range(batches):
+        rows.where(place == k).repartition(files).write.mode("append").parquet(path)
+    last = t.spark.range(1).select(*[F.lit(closing[c]).cast(rows.schema[c].dataType).alias(c) if c != time else F.timestamp_micros(F.lit(high + 400 * 86_400_000_000)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    last.write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 @query("st1_drain_events", f"WITH {fx.TOOL_EVENTS} SELECT seq, tool, CAST(task_id AS INTEGER) AS task_id, note_id FROM tool_events")
 def st1(t):
     out, check = work_path(t.spark, "drain"), work_path(t.spark, "drain-state")
-    tasks = t.events.select(F.col("user_id").cast("int").alias("task_id")).distinct()
-    J.drain_events(fx.tool_events(_streamed(t)), tasks, out, check).trigger(availableNow=True).start().awaitTermination()
+    J.drain_events(fx.tool_events(_streamed(t)), out, check).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{out}/events").select("seq", "tool", "task_id", "note_id")
 
 
+@query("st1_task_notes", f"""WITH {fx.TOOL_EVENTS}, tasks AS (SELECT DISTINCT CAST(user_id AS INTEGER) AS task_id FROM events),
+last AS (SELECT CAST(task_id AS INTEGER) AS task_id, arg_max(note_id, seq) AS note_id FROM tool_events WHERE task_id IS NOT NULL AND note_id IS NOT NULL GROUP BY 1)
+SELECT task_id, note_id, 'notes/note_' || note_id || '.md' AS note_path FROM tasks LEFT JOIN last USING (task_id)""")
+def st1_notes(t):
+    """The notes of all tasks after two batches, merged into a stored table."""
+    out, check = work_path(t.spark, "drain"), work_path(t.spark, "drain-state")
+    events = fx.tool_events(t)
+    path = work_path(t.spark, "tool-events")
+    for odd in (True, False):
+        events.where((F.col("seq") % 2 == 1) == odd).write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(events.schema).parquet(path)
+        J.drain_events(stream, out, check).trigger(availableNow=True).start().awaitTermination()
+    return J.task_notes(t.events.select(F.col("user_id").cast("int").alias("task_id")).distinct(), out)
+
+
 @query("st2_latest_task_status", "SELECT user_id AS task_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
 def st2(t):
     events = _streamed(t).events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
@@ -55,9 +86,10 @@ def st2(t):
 @query("st3_working_memory", _replay_sql(5, "h.c >= n.created_at - INTERVAL 2880 MINUTE"))
 def st3(t):
     J.use_state_store(t.spark)
-    events = _streamed(t).events.select(
-        F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), (F.least("value", F.lit(100.0)) / 100).alias("importance"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
-    held = _run(t, J.working_memory_stream(events, "owner", 5, 2880), "memory", "update")
+    events = t.events.select(
+        F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), (F.least("value", F.lit(100.0)) / 100).alias("importance"), F.col("ts").cast("timestamp").alias("created_at"))
+    stream = _arriving(t, events, "created_at", {"owner": -1, "seq": -1, "importance": 0.0})
+    held = _run(t, J.working_memory_stream(stream, "owner", 5, 2880, tick="7 days"), "memory", "update")
     newest = held.groupBy("owner").agg(F.max("newest").alias("newest"))
     return held.join(newest, ["owner", "newest"], "left_semi").select("owner", "seq", F.round("importance", 6).alias("importance"))
 
@@ -65,16 +97,19 @@ def st3(t):
 @query("st4_affinity", AFFINITY_SQL)
 def st4(t):
     J.use_state_store(t.spark)
-    return _run(t, J.affinity_stream(fx.affinity_changes(_streamed(t)), ["npc", "player"], ["ts", "event_id"]), "affinity").drop("ts", "batch")
+    stream = _arriving(t, fx.affinity_changes(t), "ts", {"npc": "", "player": -1, "event_id": -1, "change": 0.0})
+    return _run(t, J.affinity_stream(stream, ["npc", "player"], ["ts", "event_id"], "ts", tick="7 days"), "affinity").drop("ts", "batch")
 
 
 @query("st5_dialogue_log", """WITH talks AS (SELECT event_id, 'n' || user_id AS u FROM events)
 SELECT u AS subject, 'hello ' || event_id AS message, 'fine: ' || event_id AS reply, CASE WHEN event_id % 3 <> 0 THEN 2.0 END AS change, 6 AS total_seconds, true AS complete FROM talks""")
 def st5(t):
+    """First every log file up to a place amid a dialogue, then what lies behind it."""
     path, out, check = (work_path(t.spark, n) for n in ("log", "sessions", "sessions-state"))
     _log_lines(t).repartition(4, "file").sortWithinPartitions("file", "line").select("value").write.text(path)
-    J.dialogue_log_stream(t.spark, path, out, check).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/sessions").select("subject", "message", "reply", "change", "total_seconds", "complete")
+    for part in ({"until": 20_000}, {}):
+        J.dialogue_log_stream(t.spark, path, out, check, **part).trigger(availableNow=True).start().awaitTermination()
+    return J.latest_sessions(t.spark, out).select("subject", "message", "reply", "change", "total_seconds", "complete")
 
 
 @query("st6_snapshot", """WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq, arg_max(ts, event_id) AS ts FROM events GROUP BY user_id)
@@ -83,8 +118,7 @@ def st6(t):
     out, check = work_path(t.spark, "snapshot"), work_path(t.spark, "snapshot-state")
     events = _streamed(t).events.select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts"))
     J.snapshot_stream(events, "user_id", "seq", "status", "ts", out, check, once=True).start().awaitTermination()
-    snapshots = t.spark.read.parquet(out)
-    return snapshots.where(F.col("batch") == snapshots.agg(F.max("batch")).scalar()).select("user_id", "status", "seq", "age_seconds")
+    return read_version(t.spark, out).select("user_id", "status", "seq", "age_seconds")
 
 
 @query("st7_assemble_chunks", "SELECT conv_id AS task_id, CAST(turn // 1000 AS INTEGER) AS part, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL")

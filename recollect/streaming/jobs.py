@@ -19,7 +19,9 @@ from recollect.functions.replay import Held, insert
 from recollect.operators.events import attach_notes
 from recollect.operators.sequences import affinity_level, dialogue_sessions
 from recollect.operators.text_rows import infer_event_keys
+from recollect.sources.growing import growing_lines
 from recollect.sources.logs import parse_dialogue_log
+from recollect.sources.versions import commit, current_version, last_batch, merge_notes, read_version, vacuum
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -33,22 +35,29 @@ def use_state_store(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- events and tasks
 
 
-def drain_events(stream: DataFrame, tasks: DataFrame, sink: str, checkpoint: str):
-    """Writer that delivers every event once, with its task and note, and keeps the tasks' latest notes.
+def drain_events(stream: DataFrame, sink: str, checkpoint: str):
+    """Writer that delivers every event once, with its task and note, and keeps the latest note of every task.
 
-    A batch goes to a folder named by its number, so a batch that runs again replaces itself. Below ``sink`` lie
-    ``events/batch=n`` and ``tasks/batch=n``, the notes that became known in that batch.
+    A batch goes to a folder named by its number, so a batch that runs again replaces itself: ``sink/events/batch=n``. The notes are merged into the stored
+    table ``sink/tasks``, which remembers the batch that it has reached; see :func:`task_notes`.
     """
 
     def deliver(batch: DataFrame, number: int) -> None:
         keyed = infer_event_keys(batch).persist()
         keyed.orderBy("seq").write.mode("overwrite").parquet(f"{sink}/events/batch={number}")
-        attach_notes(tasks, keyed).where("note_id IS NOT NULL").write.mode("overwrite").parquet(f"{sink}/tasks/batch={number}")
+        named = keyed.where(F.col("task_id").isNotNull() & F.col("note_id").isNotNull())
+        merge_notes(batch.sparkSession, f"{sink}/tasks", named, number)
+        vacuum(batch.sparkSession, f"{sink}/tasks", 2)
         keyed.unpersist()
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
+def task_notes(tasks: DataFrame, sink: str) -> DataFrame:
+    """The tasks (task_id, ...) with note_id and note_path as :func:`drain_events` knows them by now."""
+    return attach_notes(tasks, read_version(tasks.sparkSession, f"{sink}/tasks"))
+
+
 def latest_task_status(stream: DataFrame) -> DataFrame:
     """(task_id, status, seq): the status event with the highest number per task."""
     return stream.groupBy("task_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
@@ -60,85 +69,144 @@ def assemble_chunks(stream: DataFrame, part_rows: int = 1000) -> DataFrame:
     return stream.groupBy("task_id", part).agg(ordered_text(F.col("content"), F.col("seq"), "").alias("text"))
 
 
-# ---------------------------------------------------------------- keyed state
+# ---------------------------------------------------------------- keyed state in event time
 
 
-def _micros(ts: pd.Series) -> list[int]:
-    return ts.to_numpy("datetime64[us]").astype("int64").tolist()
+def late_rows(query) -> int:
+    """Rows that a query's keyed state has left out because they came behind the watermark, as its progress reports tell."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
+class _Ticks(StatefulProcessor):
+    """Rows of a key wait in the state, one map entry per tick of event time, until the watermark has passed the tick.
+
+    Then a timer applies the tick's rows in order. So the outcome does not depend on how rows fall into batches, and a key's memory need
+    is one tick of its rows, whatever a batch holds. Rows behind the watermark never get here: Spark drops and counts them.
+    """
+
+    def __init__(self, columns: list[str], time: str, order: list[str], tick: int):
+        self.columns, self.time, self.order, self.tick = columns, time, order, tick  # tick: milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "tick long", "rows binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:  # a key's rows come in several frames
+            ticks = frame[self.time].to_numpy("datetime64[ms]").astype("int64") // self.tick
+            for tick, part in frame[self.columns].groupby(ticks):
+                held = self._rows(int(tick))
+                if not held:
+                    self.handle.registerTimer((int(tick) + 1) * self.tick)
+                self.waiting.updateValue((int(tick),), (pickle.dumps(held + list(part.itertuples(index=False, name=None))),))
+        return iter(())
+
+    def _rows(self, tick: int) -> list[tuple]:
+        return pickle.loads(self.waiting.getValue((tick,))[0]) if self.waiting.containsKey((tick,)) else []
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        rows = self._rows(end // self.tick - 1)
+        if rows:
+            self.waiting.removeKey((end // self.tick - 1,))
+            frame = pd.DataFrame(rows, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
+            yield self.apply(key, frame)
+        self.idle(end)
+
+    def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def idle(self, end: int) -> None:
+        """Called when all rows before ``end`` have been applied."""
+
+    def close(self) -> None:
+        pass
+
 
+def _millis(interval: str) -> int:
+    """Milliseconds of an interval such as ``1 hour``."""
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
 
-def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """All rows of a key in a batch, in order. They come in several chunks, and an order within chunks is none over the key."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.to_numpy("datetime64[us]").astype("int64").tolist()
 
 
-class _WorkingMemory(StatefulProcessor):
-    def __init__(self, owner: str, capacity: int, ttl: int):
+class _WorkingMemory(_Ticks):
+    def __init__(self, owner: str, capacity: int, ttl: int, tick: int):
+        super().__init__(["seq", "importance", "created_at"], "created_at", ["created_at", "seq"], tick)
         self.owner, self.capacity, self.ttl = owner, capacity, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.held = handle.getValueState("held", "rows binary")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         held = [Held(*h) for h in pickle.loads(self.held.get()[0])] if self.held.exists() else []
-        frame = _ordered(rows, ["created_at", "seq"])
         for importance, at, seq in zip(frame["importance"], _micros(frame["created_at"]), frame["seq"].tolist()):
             held = insert(held, Held(float(importance), at, (seq,)), self.capacity, self.ttl)
         self.held.update((pickle.dumps([tuple(h) for h in held]),))
-        yield pd.DataFrame({
+        # When the newest row has outlived its time, the next insert would drop all: the owner can leave the state then.
+        gone = (max(h.at for h in held) + self.ttl) // 1000 + 1
+        self.handle.registerTimer(-(-gone // self.tick) * self.tick)
+        return pd.DataFrame({
             self.owner: [key[0]] * len(held), "seq": [h.seq[0] for h in held], "importance": [h.importance for h in held],
             "created_at": pd.to_datetime([h.at for h in held], unit="us"),
-            "newest": [max(x.seq[0] for x in held)] * len(held),
+            "newest": [held[-1].seq[0]] * len(held),
         })
 
-    def close(self) -> None:
-        pass
+    def idle(self, end: int) -> None:
+        if self.held.exists() and max(h[1] for h in pickle.loads(self.held.get()[0])) + self.ttl < end * 1000:
+            self.held.clear()
 
 
-def working_memory_stream(stream: DataFrame, owner: str, capacity: int = 50, ttl_minutes: int = 60) -> DataFrame:
-    """(owner, seq, importance, created_at, newest): the rows each touched owner holds after a batch.
+def working_memory_stream(stream: DataFrame, owner: str, capacity: int = 50, ttl_minutes: int = 60, delay: str = "10 minutes", tick: str = "1 hour") -> DataFrame:
+    """(owner, seq, importance, created_at, newest): the rows an owner holds each time a tick of event time is complete.
 
-    ``stream``: (owner, seq, importance, created_at). Rows must come in time order over the batches; within a batch
-    an owner's rows are sorted, which holds them in memory together: the batch size bounds them. ``newest`` tells which of several states of an owner is the latest. State is at most ``capacity``
-    rows per owner.
+    ``stream``: (owner, seq, importance, created_at). Rows may come in any order that is no more than ``delay`` behind the newest time seen; later ones are left out and
+    counted (:func:`late_rows`). ``newest`` is the row last inserted, so of several states of an owner the one with the latest is current. State: at most ``capacity`` rows per owner, the rows that the
+    watermark has not passed, and nothing for an owner whose rows have all expired. A stream shows the rows of its last ``delay`` and tick only when time goes on.
     """
     types = {c: stream.schema[c].dataType.simpleString() for c in (owner, "seq")}
     schema = f"{owner} {types[owner]}, seq {types['seq']}, importance double, created_at timestamp_ntz, newest {types['seq']}"
-    slim = stream.select(owner, "seq", F.col("importance").cast("double").alias("importance"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
-    return slim.groupBy(owner).transformWithStateInPandas(
-        statefulProcessor=_WorkingMemory(owner, capacity, ttl_minutes * 60_000_000), outputStructType=schema, outputMode="Update", timeMode="None",
+    slim = stream.select(owner, "seq", F.col("importance").cast("double").alias("importance"), F.col("created_at").cast("timestamp").alias("created_at"))
+    return slim.withWatermark("created_at", delay).groupBy(owner).transformWithStateInPandas(
+        statefulProcessor=_WorkingMemory(owner, capacity, ttl_minutes * 60_000_000, _millis(tick)), outputStructType=schema, outputMode="Update", timeMode="EventTime",
     )
 
 
-class _Affinity(StatefulProcessor):
-    def __init__(self, keys: list[str], order: list[str], start: float):
-        self.keys, self.order, self.start = keys, order, start
+class _Affinity(_Ticks):
+    def __init__(self, keys: list[str], columns: list[str], time: str, order: list[str], start: float, tick: int):
+        super().__init__(columns, time, order, tick)
+        self.keys, self.start = keys, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.value = handle.getValueState("affinity", "x double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         x = self.value.get()[0] if self.value.exists() else self.start
-        frame = _ordered(rows, self.order)
         old, new = [], []
         for c in frame["change"]:
             old.append(x)
             x = min(100.0, max(0.0, x + float(c)))
             new.append(x)
-        yield frame.assign(old_affinity=old, new_affinity=new)
         self.value.update((x,))
+        keyed = pd.DataFrame({name: [value] * len(frame) for name, value in zip(self.keys, key, strict=True)})
+        return pd.concat([keyed, frame], axis=1).assign(old_affinity=old, new_affinity=new)
 
-    def close(self) -> None:
-        pass
 
+def affinity_stream(stream: DataFrame, keys: list[str], order: list[str], time: str, start: float = 50.0, delay: str = "10 minutes", tick: str = "1 hour") -> DataFrame:
+    """Running affinity per key over a stream of changes, in ``order`` within each tick of event time; one value of state per key besides the rows that wait.
 
-def affinity_stream(stream: DataFrame, keys: list[str], order: list[str], start: float = 50.0) -> DataFrame:
-    """Running affinity per key over a stream of changes; one value of state per key."""
-    slim = stream.select(*keys, *order, F.col("change").cast("double").alias("change"))
+    ``time`` is the event time, which ``order`` must not contradict. Rows more than ``delay`` behind the newest time seen are left out and counted (:func:`late_rows`).
+    """
+    rest = list(dict.fromkeys([*order, time]))
+    slim = stream.select(*keys, *[c for c in rest if c != time], F.col(time).cast("timestamp").alias(time), F.col("change").cast("double").alias("change"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    out = slim.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Affinity(keys, order, start), outputStructType=f"{fields}, old_affinity double, new_affinity double",
-        outputMode="Append", timeMode="None",
+    out = slim.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Affinity(keys, [c for c in slim.columns if c not in keys], time, order, start, _millis(tick)),
+        outputStructType=f"{fields}, old_affinity double, new_affinity double", outputMode="Append", timeMode="EventTime",
     )
     old, new = affinity_level("old_affinity"), affinity_level("new_affinity")
     return out.withColumns({"old_level": old, "new_level": new, "level_changed": old != new})
@@ -147,43 +215,52 @@ def affinity_stream(stream: DataFrame, keys: list[str], order: list[str], start:
 # ---------------------------------------------------------------- logs and snapshots
 
 
-def dialogue_log_stream(spark: SparkSession, path: str, sink: str, checkpoint: str):
-    """Writer that parses new log files into ``sink/events`` and rebuilds the sessions of the files it touched.
+def dialogue_log_stream(spark: SparkSession, path: str, sink: str, checkpoint: str, **options: object):
+    """Writer that parses what is appended to the log files of a folder and rebuilds the sessions of the files it touched.
 
-    Sessions of batch n lie in ``sink/sessions/batch=n``.
+    The events of batch n lie in ``sink/events/batch=n``. A dialogue may go on in a later batch, so the sessions of the files that a batch touches are made from all their
+    events; they lie in ``sink/sessions/batch=n``, and for each file those of its last batch count: :func:`latest_sessions`. A batch that runs again
+    replaces itself. ``options``: those of :mod:`recollect.sources.growing`.
     """
-    lines = spark.readStream.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b")
-    )
 
     def store(batch: DataFrame, number: int) -> None:
-        row = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
-        ordered = batch.select("file", (F.col("_b").cast("decimal(38,0)") * F.lit(1 << 33) + row).alias("line"), "value")
-        folder = f"{sink}/events/batch={number}"
-        parse_dialogue_log(ordered).write.mode("overwrite").parquet(folder)
-        # A file arrives whole in one batch, so the batch holds all events of the files it touches.
-        events = batch.sparkSession.read.parquet(folder)
-        dialogue_sessions(events).write.mode("overwrite").parquet(f"{sink}/sessions/batch={number}")
+        events = f"{sink}/events"
+        parse_dialogue_log(batch).where(F.col("kind").isNotNull()).repartitionByRange("file", "line").sortWithinPartitions("file", "line").write.mode("overwrite").parquet(f"{events}/batch={number}")
+        # The names are those of one batch's files; as a filter they reach the Parquet scan of the earlier events.
+        touched = [r["file"] for r in spark.read.parquet(f"{events}/batch={number}").select("file").distinct().collect()]
+        known = spark.read.parquet(events).where(F.col("file").isin(touched) & (F.col("batch") <= number)).drop("batch")
+        dialogue_sessions(known).write.mode("overwrite").parquet(f"{sink}/sessions/batch={number}")
+
+    return growing_lines(spark, path, **options).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
 
-    return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+def latest_sessions(spark: SparkSession, sink: str) -> DataFrame:
+    """The sessions of all files that :func:`dialogue_log_stream` has read, each file's as of the last batch that touched it."""
+    sessions = spark.read.parquet(f"{sink}/sessions")
+    events = spark.read.parquet(f"{sink}/events")
+    last = events.groupBy("file").agg(F.max("batch").alias("batch"))
+    return sessions.join(last, ["file", "batch"], "left_semi").drop("batch")
 
 
 def snapshot_stream(stream: DataFrame, key: str, seq: str, value: str, ts: str, sink: str, checkpoint: str, every: str = "30 seconds", once: bool = False):
     """Writer that replaces a snapshot of the latest value per key, with its age, at every trigger.
 
-    The latest values of a batch are merged with the snapshot before it; snapshots alternate between two folders, so
-    none is read and replaced at once. The pointer to the current one is the highest batch number.
+    The latest values of a batch are merged with the snapshot before it, and the result becomes the next version of the stored table ``sink``
+    (:func:`recollect.sources.versions.read_version`). Two versions are kept, so none is read and removed at once.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq), F.max_by(ts, seq).alias(ts))
-        if number > 0:
-            before = spark.read.parquet(f"{sink}/batch={number - 1}").select(key, value, seq, ts)
-            both = latest.unionByName(before)
-            latest = both.groupBy(key).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq), F.max_by(ts, seq).alias(ts))
+        if number <= last_batch(spark, sink):
+            return
+        latest = batch.select(key, value, seq, ts)
+        read = current_version(spark, sink)
+        if read:
+            latest = latest.unionByName(read_version(spark, sink, read).select(key, value, seq, ts))
+        latest = latest.groupBy(key).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq), F.max_by(ts, seq).alias(ts))
         newest = latest.agg(F.max(ts)).scalar()
-        latest.withColumn("age_seconds", F.timestamp_diff("SECOND", F.col(ts), newest)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        commit(latest.withColumn("age_seconds", F.timestamp_diff("SECOND", F.col(ts), newest)), sink, read, number)
+        vacuum(spark, sink, 2)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

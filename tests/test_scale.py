@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions import exprs as X
 from recollect.functions.matching import substring_hits
 from recollect.functions.ordered import running_sums
 from recollect.functions.replay import Held, insert
@@ -139,6 +141,62 @@ def test_shortest_hops(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 4), (7, 8), (1, 5), (5, 4)], "src int, dst int")
     pairs = spark.createDataFrame([(1, 4), (4, 1), (1, 8), (2, 2), (9, 9), (3, 5)], "src int, dst int")
     assert rows(G.shortest_hops(edges, pairs)) == [(1, 4, 2), (2, 2, 0), (3, 5, 2), (4, 1, 2)]
+    # 1-5-4 is the only way of two edges; from 3 to 5 it goes over 4.
+    assert rows(G.shortest_paths(edges, pairs)) == [(1, 4, 2, [1, 5, 4]), (2, 2, 0, [2]), (3, 5, 2, [3, 4, 5]), (4, 1, 2, [4, 5, 1])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shortest_paths_with_ties(spark, seed):
+    """Against a breadth-first search in which a node comes from the smallest node it can come from."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(k, k + 1) for k in range(100, 120)]
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(25)] + [(100, 120), (120, 103), (100, 5)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = []
+    for a, b in set(pairs):
+        if a not in near:
+            continue
+        come, ring = {a: None}, [a]
+        while ring:
+            new = {}
+            for x in sorted(ring):
+                for y in near[x]:
+                    if y not in come:
+                        new.setdefault(y, x)
+            come |= new
+            ring = list(new)
+        if b in come:
+            path = [b]
+            while come[path[0]] is not None:
+                path.insert(0, come[path[0]])
+            want.append((a, b, len(path) - 1, path))
+    got = G.shortest_paths(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(pairs, "src int, dst int"))
+    assert rows(got) == sorted(want)
+
+
+def test_strip_is_linear(spark):
+    padded = "x" + " " * 100_000 + "\u2028y" + " \t\r\n" * 25_000
+    df = spark.createDataFrame([(padded,), (" \x0b\f",), (None,)], "t string").select(X.strip("t").alias("s"), X.blank("t").alias("b"))
+    df.collect()
+    begin = time.perf_counter()
+    got = df.collect()
+    assert time.perf_counter() - begin < 3
+    assert [(r.s, r.b) for r in got] == [(padded.rstrip(), False), ("", True), (None, True)]
+
+
+def test_lines_are_sorted_before_they_are_parsed(spark):
+    lines = []
+    for k in range(40):
+        at = f"{8 + k // 20:02d}:{k % 20 * 3:02d}:"
+        lines += [f"{at}00 - 💬 对话开始: n{k} <-> 玩家", f"{at}00 - 📝 玩家消息: hi", f"{at}01 - no stage", f"{at}02 - ✅ 对话完成"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line long, value string").repartition(5)
+    want = rows(Q.dialogue_sessions(L.parse_dialogue_log(df), 1))
+    assert len(want) == 40
+    for blocks in (1, 7):
+        assert rows(Q.line_sessions(df, blocks)) == want
 
 
 def test_dialogues_over_midnight(spark):
@@ -233,8 +291,18 @@ def test_searches_of_one_user(spark):
     # Afterwards the filter sees the best 50 only.
     assert [r.id for r in R.episodic_search(q, v, items, as_of, 6, filter_mode="post", user_id="a").orderBy("rank").collect()] == [9, 19, 29, 39, 49]
     assert [r.id for r in R.modality_search(q, v, items, as_of, 2, user_id="a").orderBy("rank").collect()] == [9, 19]
-    graph = spark.createDataFrame([(1, 59, 1.0), (1, 0, 1.0)], "query_id int, id int, score double")
-    assert {r.id for r in R.semantic_search(q, v, graph, items, 20, user_id="a").collect()} == {9, 19, 29, 39, 49, 59}
+    graph = G.Graph(
+        spark.createDataFrame([("e", "n", "t")], "entity_id string, name string, type string"),
+        spark.createDataFrame([], "src string, predicate string, dst string, memory_id int"),
+        spark.createDataFrame([("e", i) for i in range(60)], "entity_id string, memory_id int"))
+    asked = spark.createDataFrame([(1, "n", "t")], "query_id int, name string, type string")
+    none = v.where("id < 0")
+    assert {r.id for r in R.semantic_search(q, v, asked, graph, items, 20, user_id="a").collect()} == {9, 19, 29, 39, 49, 59}
+    # One entity holds all memories: those of user a come far behind the 2k first, and are found all the same, by the graph alone as well.
+    for hot in (10, 1000):
+        own = items.where("user_id = 'a'").select(F.col("id").alias("memory_id"))
+        assert {r.id for r in G.graph_search(asked, graph, 2, hot, own).collect()} == {9, 19, 29, 39}
+    assert {r.id for r in R.semantic_search(q, none, asked, graph, items, 2, user_id="a").collect()} == {9, 19}
 
 
 def test_blank_and_repeated_variants_do_not_count(spark):
