@@ -155,6 +155,35 @@ def modality(path: str | Column) -> Column:
     )
 
 
+def _any_of(c: str | Column, words: list[str]) -> Column:
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(low, F.lit(w))
+    return hit
+
+
+def memory_type(content: str | Column, current: str | Column | None = None) -> Column:
+    """Memory type by keywords of the content; without one the current type, or else working."""
+    # Keywords per type, in the order they are tried.
+    return (
+        F.when(_any_of(content, ["知识", "定义", "概念", "原理"]), "semantic")
+        .when(_any_of(content, ["事件", "经历", "完成", "发生"]), "episodic")
+        .when(_any_of(content, ["图片", "截图", "音频", "视频"]), "perceptual")
+        .otherwise(F.lit("working") if current is None else F.coalesce(col(current), F.lit("working")))
+    )
+
+
+def note_type(text: str | Column) -> Column:
+    """Note type by keywords of what the user wrote."""
+    # Keywords per type, in the order they are tried.
+    return (
+        F.when(_any_of(text, ["问题", "阻塞", "错误", "bug", "block"]), "blocker")
+        .when(_any_of(text, ["计划", "下一步", "任务", "plan", "todo"]), "action")
+        .otherwise("conclusion")
+    )
+
+
 def day_part(ts: str | Column) -> Column:
     """Part of the day by hour."""
     h = F.hour(col(ts))

@@ -1,58 +1,70 @@
-"""Substring search of many phrases in many texts."""
+"""Substring search of many phrases in many texts, by joins on what a text must hold if it holds the phrase.
+
+A phrase may begin and end inside a word of the text, but its words between the first and the last are whole words there. So a phrase of three words or more
+is looked up by its inner words, in runs of up to three; of its runs the one that the fewest texts hold is joined with the texts, and a phrase
+that has a run no text holds has no hit. A phrase of one or two words is looked up by its longer word: among the distinct words of all
+texts, joined on three characters, those that contain it are found, and then the texts that hold those. Every text found is checked with ``contains``.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.blocks import BLOCK_ROWS, block_match
+from recollect.functions.ranking import first_per_key
+from recollect.session import cut
+
+RUN = 3
+GRAM = 3
+
+
+def _runs(words: Column, width: Column | int) -> Column:
+    """All runs of so many words, joined by blanks."""
+    wide = F.lit(width) if isinstance(width, int) else width
+    starts = F.when(F.size(words) >= wide, F.sequence(F.lit(1), F.size(words) - wide + 1)).otherwise(F.expr("cast(array() AS array<int>)"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, wide), " "))
+
+
+def _long_hits(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_p, _t) of phrases of three words or more."""
+    inner = F.slice("_words", 2, F.size("_words") - 2)
+    wanted = phrases.select("_p", inner.alias("_in")).select("_p", F.explode(F.array_distinct(_runs(F.col("_in"), F.least(F.size("_in"), F.lit(RUN))))).alias("_run"))
+    wanted = cut(wanted)
+    words = texts.select("_t", F.split("_x", r"\s+").alias("_w"))
+    held = words.select("_t", F.explode(F.array_distinct(F.concat(*[_runs(F.col("_w"), k) for k in range(1, RUN + 1)]))).alias("_run"))
+    index = cut(held.join(wanted.select("_run").distinct(), "_run", "left_semi"))
+    counted = index.groupBy("_run").agg(F.count("*").alias("_n"))
+    rarest = first_per_key(wanted.join(counted, "_run", "left").withColumn("_n", F.coalesce("_n", F.lit(0))), ["_p"], [F.asc("_n"), F.asc("_run")])
+    found = rarest.where("_n > 0").select("_p", "_run").join(index, "_run").select("_p", "_t")
+    return found.join(texts, "_t").where(F.contains("_x", "_p")).select("_p", "_t")
+
+
+def _short_hits(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_p, _t) of phrases of one or two words."""
+    needle = F.reduce("_words", F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    asked = phrases.select("_p", needle.alias("_needle"), F.size("_words").alias("_k"))
+    index = cut(texts.select("_t", F.explode(F.array_distinct(F.split("_x", r"\s+"))).alias("_word")).where("_word <> ''"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") - k + 1, F.lit(1))), lambda i: F.substring("_word", i, F.lit(k)))
+    vocabulary = index.select("_word").distinct().select("_word", F.explode(F.array_distinct(F.concat(*[grams(k) for k in range(1, GRAM + 1)]))).alias("_gram"))
+    keyed = asked.select("_needle").distinct().withColumn("_gram", F.substring("_needle", 1, GRAM))
+    words = keyed.join(vocabulary, "_gram").where(F.contains("_word", "_needle")).select("_needle", "_word")
+    found = words.join(index, "_word").select("_needle", "_t").distinct().join(asked, "_needle")
+    checked = found.where("_k > 1").join(texts, "_t").where(F.contains("_x", "_p"))
+    return found.where("_k = 1").select("_p", "_t").union(checked.select("_p", "_t"))
 
 
 def substring_hits(
-    phrases: DataFrame,
-    texts: DataFrame,
-    phrase_id: str = "query_id",
-    phrase: str = "phrase",
-    text_id: str = "id",
-    text: str = "text",
-    block_rows: int = BLOCK_ROWS,
+    phrases: DataFrame, texts: DataFrame, phrase_id: str = "query_id", phrase: str = "phrase", text_id: str = "id", text: str = "text"
 ) -> DataFrame:
-    """(phrase_id, text_id) for every text that contains the phrase; both sides are compared as given.
+    """(phrase_id, text_id) for every text that contains the phrase; both sides are compared as given. Blank phrases find nothing.
 
-    One automaton per block of phrases reads every text once, whatever the number of phrases.
+    Equal phrases are searched once. ``text_id`` is unique.
     """
-    q, t = phrases.select(phrase_id, phrase), texts.select(text_id, text)
-    types = [q.schema[phrase_id].dataType.simpleString(), t.schema[text_id].dataType.simpleString()]
-
-    def prepare(table: pa.Table):
-        import ahocorasick
-
-        ids, by_phrase = table[phrase_id].to_numpy(), {}
-        for i, p in enumerate(table[phrase].to_pylist()):
-            if p:
-                by_phrase.setdefault(p, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for p, at in by_phrase.items():
-            automaton.add_word(p, at)
-        automaton.make_automaton()
-        return (ids, automaton) if by_phrase else None
-
-    def match(state, batch: pa.RecordBatch):
-        if state is None:
-            return None
-        ids, automaton = state
-        rows, found = [], []
-        for row, value in enumerate(batch.column(text).to_pylist()):
-            hit = {i for _, at in automaton.iter(value) for i in at} if value else ()
-            rows.extend([row] * len(hit))
-            found.extend(hit)
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[np.array(found)]), batch.column(text_id).take(pa.array(rows))], names=[phrase_id, text_id]
-        )
-
-    schema = f"{phrase_id} {types[0]}, {text_id} {types[1]}"
-    return block_match(q, t, phrase_id, prepare, match, schema, F.octet_length(phrase), block_rows)
+    named = phrases.select(F.col(phrase_id).alias("_q"), F.col(phrase).alias("_p")).where(F.regexp_like("_p", F.lit(r"\S")))
+    once = cut(named.select("_p").distinct().withColumn("_words", F.split("_p", r"\s+")))
+    t = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_x")).where("_x IS NOT NULL")
+    hits = _long_hits(once.where(F.size("_words") > 2), t)
+    short = once.where(F.size("_words") <= 2)
+    if not short.isEmpty():
+        hits = hits.union(_short_hits(short, t))
+    return named.join(hits, "_p").select(F.col("_q").alias(phrase_id), F.col("_t").alias(text_id))

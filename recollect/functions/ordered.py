@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.ranking import ordered_text
 from recollect.session import cut
 
 BLOCK = "_block"
+PART_BYTES = 1 << 20
 
 
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
@@ -64,3 +66,17 @@ def row_numbers(df: DataFrame, order: Sequence[str], out: str, blocks: int | Non
     """Number all rows from 1 in the given ascending order, without bringing them into one task."""
     keyed = df.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
     return running_sums(keyed, ["_all"], order, {out: "_one"}, blocks).drop("_all", "_one")
+
+
+def text_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column, sep: str = "", part_bytes: int = PART_BYTES, out: str = "text") -> DataFrame:
+    """(keys, part, out): the texts of a key in order, joined by ``sep``, in parts of about ``part_bytes`` so that no key becomes one giant row.
+
+    A part holds the texts that begin within its bytes of the whole; a text is never cut. The separator before a part's first text is
+    its first piece, so the parts of a key, put together as they are, make the whole text. Rows with one place are ordered by their texts; null texts are left out.
+    """
+    pieces = df.select(*keys, *order, text.alias("_x")).where("_x IS NOT NULL")
+    sized = pieces.withColumns({"_one": F.lit(1).cast("long"), "_len": (F.octet_length("_x") + len(sep.encode())).cast("long")})
+    summed = running_sums(sized, keys, [*order, "_x"], {"_i": "_one", "_end": "_len"})
+    piece = F.when(F.col("_i") > 1, F.concat(F.lit(sep), "_x")).otherwise(F.col("_x"))
+    part = F.floor((F.col("_end") - F.col("_len")) / part_bytes).cast("int").alias("part")
+    return summed.groupBy(*keys, part).agg(ordered_text(piece, F.col("_i"), "").alias(out))

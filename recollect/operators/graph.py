@@ -28,6 +28,23 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
     return entities.select("name", "type").distinct().select(entity_key().alias("entity_id"), "name", "type")
 
 
+def merge_entities(graph: Graph) -> tuple[Graph, DataFrame]:
+    """(graph, ids): entities with one name and type become one, and (old, new) tells which id became which.
+
+    Relations and mentions are rewritten to the new ids in one pass each, and those that become equal are merged. The ends of
+    relations and the mentions that name no entity keep their ids.
+    """
+    ids = graph.entities.select(F.col("entity_id").alias("old"), entity_key().alias("new")).distinct()
+    entities = graph.entities.select(entity_key().alias("entity_id"), "name", "type").distinct()
+
+    def renamed(df: DataFrame, c: str) -> DataFrame:
+        both = df.join(ids.withColumnRenamed("old", c), c, "left")
+        return both.withColumn(c, F.coalesce("new", c)).select(*df.columns)
+
+    relations = renamed(renamed(graph.relations, "src"), "dst").distinct()
+    return Graph(entities, relations, renamed(graph.mentions, "entity_id").distinct()), ids
+
+
 def match_entities(query_entities: DataFrame, entities: DataFrame) -> DataFrame:
     """Graph entities with the same name and type as the query's: (query_id, entity_id, name, type)."""
     return query_entities.select("query_id", "name", "type").distinct().join(entities, ["name", "type"]).select(

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
-from recollect.functions.ordered import BLOCK, block_sums, ordered_blocks
-from recollect.functions.ranking import first_per_key, ordered_text, top_per_key
+from recollect.functions.ordered import BLOCK, PART_BYTES, block_sums, ordered_blocks, text_parts
+from recollect.functions.ranking import first_per_key, top_per_key
 from recollect.session import cut
 from recollect.sources.logs import parse_dialogue_log
 
@@ -128,18 +128,16 @@ def latest_record(records: DataFrame, key: str, order: str, kind_col: str, kind:
 
 
 def trajectory(
-    records: DataFrame, key: str, order: str, kind_col: str, content: str, headings: dict[str, str], part_rows: int = 1000
+    records: DataFrame, key: str, order: str, kind_col: str, content: str, headings: dict[str, str], part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """(key, part, trajectory): records in order, each under the heading of its kind.
+    """(key, part, trajectory): records in order, each under the heading of its kind, in parts that make the whole; see :func:`text_parts`.
 
-    ``order`` numbers the records of a key from 0 or 1 on. A trajectory comes in parts of at most ``part_rows``
-    numbers, so that a very long one is no single row; other kinds leave no text.
+    Other kinds leave no text.
     """
     heading = F.create_map(*[F.lit(x) for kv in headings.items() for x in kv])
     shown = records.where(F.col(kind_col).isin(*headings))
     text = F.concat(heading[F.col(kind_col)], F.lit("\n"), F.col(content))
-    part = F.floor(F.col(order) / part_rows).cast("int").alias("part")
-    return shown.groupBy(key, part).agg(ordered_text(text, F.col(order), "\n\n").alias("trajectory"))
+    return text_parts(shown, [key], [order], text, "\n\n", part_bytes, "trajectory")
 
 
 # ---------------------------------------------------------------- dialogue logs

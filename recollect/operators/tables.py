@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
-from recollect.functions.ordered import BLOCK, ordered_blocks, row_numbers
-from recollect.functions.ranking import first_per_key, ordered_text, top_per_key
+from recollect.functions.ordered import BLOCK, PART_BYTES, ordered_blocks, row_numbers, text_parts
+from recollect.functions.ranking import first_per_key, top_per_key
 from recollect.functions.replay import Held, insert
 from recollect.session import cut
 
@@ -190,18 +190,11 @@ def session_report(events: DataFrame, session: str, ts: str, kind: str, counted:
     )
 
 
-PART_ROWS = 1000
-
-
-def source_lists(results: DataFrame, task: str, rank: str = "rank", part_rows: int = PART_ROWS) -> DataFrame:
-    """(task, part, sources): ``* title : url`` lines in rank order.
-
-    A list comes in parts of at most ``part_rows`` ranks, so that a task with very many results is no single row.
-    """
+def source_lists(results: DataFrame, task: str, rank: str = "rank", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(task, part, sources): ``* title : url`` lines in rank order, in parts that make the whole list; see :func:`text_parts`."""
     url = F.coalesce("url", F.lit(""))
     line = F.concat(F.lit("* "), F.coalesce("title", F.lit("")), F.when(X.strip(url) != "", F.concat(F.lit(" : "), url)).otherwise(""), F.lit("\n"))
-    part = F.floor(F.col(rank) / part_rows).cast("int")
-    return results.groupBy(task, part.alias("part")).agg(ordered_text(line, F.col(rank), "").alias("sources"))
+    return text_parts(results, [task], [rank], line, "", part_bytes, "sources")
 
 
 def report_rows(tasks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,14 @@ from recollect.functions.similarity import dense
 
 HOT_DF = 1000  # below this no term is hot, however small the corpus
 SPREAD = 1000
+SALTS = 32
+
+Tokenizer = Callable[[str], Column]  # from the name of a text column to its tokens, an array of strings
 
 
-def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", *scope: str) -> DataFrame:
-    """(key, term, tf). ``scope`` columns, such as an owner, are carried along."""
-    words = docs.select(*scope, key, F.explode(X.tokens(text)).alias("term"))
+def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", *scope: str, tokenizer: Tokenizer = X.tokens) -> DataFrame:
+    """(key, term, tf). ``scope`` columns, such as an owner, are carried along; ``tokenizer`` may be any expression or pandas UDF."""
+    words = docs.select(*scope, key, F.explode(tokenizer(text)).alias("term"))
     # A document is one input row, so the partial aggregate already counts it completely before the shuffle.
     return words.groupBy(*scope, key, "term").agg(F.count("*").alias("tf"))
 
@@ -27,13 +32,14 @@ def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
 def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
     """Left join on the term without a hot task for terms that very many documents hold.
 
-    At most 1000 times the mean number of terms per document can have a df above n / 1000. Whether that list is broadcast is left
-    to its measured size; its rows then leave the other join under spread keys that match nothing.
+    At most 1000 times the mean number of terms per document can have a df above n / 1000. Each of them is joined under ``SALTS`` keys, so
+    that its documents are spread also where the list is too large to be broadcast; its rows then leave the other join under spread keys that match nothing.
     """
     is_hot = F.col("df") > F.greatest(n / 1000, F.lit(HOT_DF))
     hot = df.where(is_hot).select("term", *[F.col(c).alias(f"_hot_{c}") for c in df.columns if c != "term"])
     rest = df.where(~is_hot).withColumnRenamed("term", "_t")
-    tagged = tf.join(hot, "term", "left")
+    salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tagged = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"], "left")
     apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("string"))
     tagged = tagged.withColumn("_t", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(apart))
     joined = tagged.join(rest, "_t", "left")

@@ -105,7 +105,7 @@ DIM = 256
 
 def document_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Hashed vectors of the documents and of the text queries, both on the document frequencies of the corpus."""
-    tf = term_frequency(t.documents)
+    tf = cut(term_frequency(t.documents))
     # The frequencies are a version of the corpus: written once, read by both sides.
     df = cut(document_frequency(tf))
     n = t.documents.agg(F.count("*")).scalar()

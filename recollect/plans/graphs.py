@@ -84,6 +84,43 @@ def m08(t):
     return G.dedup_entities(t.events.select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("type")))
 
 
+def _split_graph(t):
+    """The event graph as several writers would leave it: the mentions and relations of odd events name entities of their own."""
+    g = fx.event_graph(t)
+    odd = lambda c: F.when(F.col("memory_id") % 2 == 1, F.concat(F.lit("o-"), c)).otherwise(F.col(c)).alias(c)
+    entities = g.entities.union(g.entities.select(F.concat(F.lit("o-"), "entity_id"), "name", "type"))
+    return G.Graph(entities, g.relations.select(odd("src"), "predicate", odd("dst"), "memory_id"), g.mentions.select(odd("entity_id"), "memory_id"))
+
+
+_NEW_ID = "SELECT entity_id AS old, sha256(name || chr(1) || type) AS new FROM entities"
+
+
+@query("m08_identity_map", f"{_G}, ids AS ({_NEW_ID}) SELECT old, new FROM ids UNION ALL SELECT 'o-' || old, new FROM ids")
+def m08_ids(t):
+    return G.merge_entities(_split_graph(t))[1]
+
+
+@query("m08_merged_relations", f"{_G}, ids AS ({_NEW_ID}) SELECT DISTINCT coalesce(a.new, src) AS src, predicate, coalesce(b.new, dst) AS dst, memory_id FROM relations LEFT JOIN ids a ON a.old = src LEFT JOIN ids b ON b.old = dst")
+def m08_relations(t):
+    return G.merge_entities(_split_graph(t))[0].relations
+
+
+@query("m08_merged_mentions", f"{_G}, ids AS ({_NEW_ID}) SELECT DISTINCT new AS entity_id, memory_id FROM mentions JOIN ids ON old = entity_id")
+def m08_mentions(t):
+    return G.merge_entities(_split_graph(t))[0].mentions
+
+
+@query("m06_unlinked_graph", f"""{_G}, m2 AS (SELECT * FROM mentions WHERE memory_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')),
+gone AS (SELECT entity_id FROM entities ANTI JOIN m2 USING (entity_id))
+SELECT 'relation' AS part, src AS a, dst AS b, memory_id FROM relations WHERE src NOT IN (SELECT entity_id FROM gone) AND dst NOT IN (SELECT entity_id FROM gone) UNION ALL SELECT 'mention', entity_id, NULL, memory_id FROM m2""")
+def m06_graph(t):
+    """What is left of relations and mentions, by value."""
+    gone = t.events.where(F.col("event_type") == "error").select(F.col("event_id").alias("memory_id"))
+    left = G.unlink_memories(fx.event_graph(t), gone)
+    relations = left.relations.select(F.lit("relation").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), "memory_id")
+    return relations.union(left.mentions.select(F.lit("mention"), "entity_id", F.lit(None).cast("string"), "memory_id"))
+
+
 @query("a09_graph_sizes", f"{_G} SELECT 'entities' AS part, count(*) AS n FROM entities UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'mentions', count(*) FROM mentions")
 def a09(t):
     return G.graph_sizes(fx.event_graph(t))

@@ -168,9 +168,11 @@ def _links(t):
 
 
 @query("a19_source_lists", f"""WITH {_LINKS}
-SELECT page_id AS task_id, CAST(pos // 1000 AS INTEGER) AS part, string_agg('* ' || title || CASE WHEN trim(url) <> '' THEN ' : ' || url ELSE '' END || chr(10), '' ORDER BY pos) AS sources FROM links GROUP BY ALL""")
+SELECT task_id, CAST(begun // 200 AS INTEGER) AS part, string_agg(line, '' ORDER BY pos) AS sources FROM (
+  SELECT task_id, pos, line, sum(strlen(line)) OVER (PARTITION BY task_id ORDER BY pos) - strlen(line) AS begun FROM (
+    SELECT page_id AS task_id, pos, '* ' || title || CASE WHEN trim(url) <> '' THEN ' : ' || url ELSE '' END || chr(10) AS line FROM links)) GROUP BY ALL""")
 def a19(t):
-    return T.source_lists(_links(t).withColumnRenamed("page_id", "task_id"), "task_id", "pos")
+    return T.source_lists(_links(t).withColumnRenamed("page_id", "task_id"), "task_id", "pos", 200)
 
 
 @query("a20_report_rows", """SELECT doc_id AS task_id, '---' || chr(10) || '任务 ID: ' || doc_id || chr(10) || '标题: ' || source || chr(10) || '意图: ' || lang || chr(10) || '查询: ' || coalesce(CASE WHEN doc_id % 2 = 0 THEN text END, 'N/A') || chr(10)
@@ -300,10 +302,11 @@ def w12(t):
     return Q.latest_record(t.conversations, "conv_id", "turn", "role", "assistant", "text")
 
 
-@query("w13_trajectory", """SELECT conv_id, CAST(turn // 1000 AS INTEGER) AS part, string_agg(CASE role WHEN 'assistant' THEN '--- attempt ---' ELSE '--- feedback ---' END || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS trajectory
-FROM conversations WHERE role IN ('assistant', 'user') GROUP BY ALL""")
+@query("w13_trajectory", """WITH shown AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN '--- attempt ---' ELSE '--- feedback ---' END || chr(10) || text AS x FROM conversations WHERE role IN ('assistant', 'user')),
+placed AS (SELECT *, row_number() OVER w AS i, sum(strlen(x) + 2) OVER w - strlen(x) - 2 AS begun FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, CAST(begun // 500 AS INTEGER) AS part, string_agg(CASE WHEN i > 1 THEN chr(10) || chr(10) ELSE '' END || x, '' ORDER BY i) AS trajectory FROM placed GROUP BY ALL""")
 def w13(t):
-    return Q.trajectory(t.conversations, "conv_id", "turn", "role", "text", {"assistant": "--- attempt ---", "user": "--- feedback ---"})
+    return Q.trajectory(t.conversations, "conv_id", "turn", "role", "text", {"assistant": "--- attempt ---", "user": "--- feedback ---"}, 500)
 
 
 # ---------------------------------------------------------------- changes

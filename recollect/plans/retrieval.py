@@ -247,17 +247,33 @@ def k11(t):
     return R.search_all(branches, 10)
 
 
-@query("k12_notes_for_queries", """WITH notes AS (SELECT doc_id AS id, lower('note ' || doc_id || ' ' || text) AS target, source = 'src0' AS blocker FROM documents),
-first AS (SELECT id FROM notes WHERE blocker ORDER BY id DESC LIMIT 2),
-hits AS (SELECT item_id AS query_id, id, 0 AS p FROM benchmark, first UNION ALL SELECT item_id, id, 1 FROM benchmark JOIN notes ON contains(target, lower(benchmark.text))),
+def _notes_sql(k: int, kind: str) -> str:
+    """``kind`` is the condition on the notes that lead."""
+    return f"""WITH notes AS (SELECT doc_id AS id, lower('note ' || doc_id || ' ' || text) AS target, {kind} AS leads FROM documents),
+first AS (SELECT id FROM notes WHERE leads ORDER BY id DESC LIMIT {k}),
+asked AS (SELECT item_id AS query_id, lower(text) AS text FROM benchmark UNION ALL SELECT 100000 + item_id, lower(substring(text, 3, 12)) FROM benchmark WHERE trim(substring(text, 3, 12)) <> ''),
+hits AS (SELECT query_id, id, 0 AS p FROM asked, first UNION ALL SELECT query_id, id, 1 FROM asked JOIN notes ON contains(target, text)),
 once AS (SELECT query_id, id, min(p) AS p FROM hits GROUP BY ALL)
-SELECT * FROM (SELECT query_id, id, p = 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY p, id DESC) AS rank FROM once) WHERE rank <= 5""")
+SELECT * FROM (SELECT query_id, id, p = 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY p, id DESC) AS rank FROM once) WHERE rank <= {k}"""
+
+
+def _note_queries(t):
+    """The passages of the benchmark, and a dozen characters of each."""
+    whole = fx.text_queries(t)
+    part = whole.select((F.col("query_id") + 100000).alias("query_id"), F.substring("text", 3, 12).alias("text")).where(F.trim("text") != "")
+    return whole.union(part)
+
+
+@query("k12_notes_for_queries", _notes_sql(5, "source = 'src0'"))
 def k12(t):
-    """Two blockers lead, so the hits have to fill the rest."""
-    notes = fx.notes(t)
-    top = notes.where(F.col("type") == "blocker").orderBy(F.desc("id")).limit(2).select("id", F.lit("top").alias("_k"))
-    marked = notes.join(top, "id", "left").withColumn("type", F.when(F.col("_k").isNotNull(), "blocker").otherwise("other"))
-    return R.notes_for_queries(fx.text_queries(t), marked.drop("_k"), 5)
+    """All notes of a source are blockers and lead."""
+    return R.notes_for_queries(_note_queries(t), fx.notes(t), 5)
+
+
+@query("k12_notes_without_blockers", _notes_sql(5, "false"))
+def k12_plain(t):
+    """No note is of the type that leads, so the text decides alone."""
+    return R.notes_for_queries(_note_queries(t), fx.notes(t), 5, "none")
 
 
 _TOKEN_SET = "list_distinct(list_filter(" + fx.words_sql("{0}") + ", lambda w: length(w) >= 2))"

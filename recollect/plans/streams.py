@@ -121,9 +121,13 @@ def st6(t):
     return read_version(t.spark, out).select("user_id", "status", "seq", "age_seconds")
 
 
-@query("st7_assemble_chunks", "SELECT conv_id AS task_id, CAST(turn // 1000 AS INTEGER) AS part, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL")
+@query("st7_assemble_chunks", """WITH placed AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(text) AS begun FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id AS task_id, CAST(begun // 300 AS INTEGER) AS part, string_agg(text, '' ORDER BY turn) AS text FROM placed GROUP BY ALL""")
 def st7(t):
-    pieces = _streamed(t).conversations.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
-    updates = _run(t, J.assemble_chunks(pieces), "chunks", "update")
-    # A part only grows, so its longest text is the latest.
-    return updates.groupBy("task_id", "part").agg(F.max_by("text", F.length("text")).alias("text"))
+    """The later half of every dialogue first, then the rest."""
+    path, out, check = (work_path(t.spark, n) for n in ("pieces", "chunks", "chunks-state"))
+    pieces = t.conversations.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    for late in (True, False):
+        pieces.where((F.col("seq") > 4) == late).write.mode("append").parquet(path)
+        J.collect_chunks(t.spark.readStream.schema(pieces.schema).parquet(path), out, check).trigger(availableNow=True).start().awaitTermination()
+    return J.assembled_chunks(t.spark, out, 300)

@@ -13,7 +13,7 @@ from recollect.operators.graph import Graph
 from recollect.plans import fixtures as fx
 from recollect.plans.lookup import _LINKS
 from recollect.plans.registry import query
-from recollect.session import work_path
+from recollect.session import cut, work_path
 from recollect.sources import documents as D
 from recollect.sources import logs as L
 from recollect.sources import snapshots as S
@@ -35,14 +35,14 @@ def a05(t):
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents) / (1 + df)), 6) AS weight FROM tf JOIN df USING (term)""")
 def a07(t):
-    tf = TS.term_frequency(t.documents)
+    tf = cut(TS.term_frequency(t.documents))  # counted once, read for df and weights
     n = t.documents.agg(F.count("*")).scalar()
     return TS.tfidf(tf, TS.document_frequency(tf), n).withColumn("weight", F.round("weight", 6))
 
 
 @query("a08_hashed_tfidf", f"WITH {fx.HASHED} SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(w, 6) AS weight FROM dvec")
 def a08(t):
-    tf = TS.term_frequency(t.documents)
+    tf = cut(TS.term_frequency(t.documents))
     n = t.documents.agg(F.count("*")).scalar()
     return TS.hashed_tfidf(tf, TS.document_frequency(tf), n, dim=fx.DIM).withColumn("weight", F.round("weight", 6))
 
@@ -52,6 +52,52 @@ def x02(t):
     return t.documents.select("doc_id", X.approx_tokens("text").alias("tokens"))
 
 
+@query("x03_memory_type", "SELECT conv_id, turn, CASE WHEN contains(x, '知识') THEN 'semantic' WHEN contains(x, '完成') THEN 'episodic' WHEN contains(x, '图片') THEN 'perceptual' WHEN turn % 2 = 0 THEN role ELSE 'working' END AS type FROM (SELECT *, CASE turn % 5 WHEN 0 THEN text || '知识' WHEN 1 THEN text || ' 完成 图片' WHEN 2 THEN '图片' ELSE text END AS x FROM conversations)")
+def x03(t):
+    """Turns, some with a keyword added; even ones have a type already."""
+    k = F.col("turn") % 5
+    text = F.when(k == 0, F.concat("text", F.lit("知识"))).when(k == 1, F.concat("text", F.lit(" 完成 图片"))).when(k == 2, "图片").otherwise(F.col("text"))
+    current = F.when(F.col("turn") % 2 == 0, F.col("role"))
+    return t.conversations.select("conv_id", "turn", X.memory_type(text, current).alias("type"))
+
+
+@query("x04_note_type", "SELECT doc_id, CASE WHEN contains(x, 'bug') OR contains(x, 'block') THEN 'blocker' WHEN contains(x, 'plan') OR contains(x, 'todo') THEN 'action' ELSE 'conclusion' END AS type FROM (SELECT doc_id, lower(text || CASE doc_id % 4 WHEN 0 THEN ' BUG' WHEN 1 THEN ' a Plan' ELSE '' END) AS x FROM documents)")
+def x04(t):
+    added = F.when(F.col("doc_id") % 4 == 0, " BUG").when(F.col("doc_id") % 4 == 1, " a Plan").otherwise("")
+    return t.documents.select("doc_id", X.note_type(F.concat("text", added)).alias("type"))
+
+
+@query("x05_long_keyword_share", f"""WITH pairs AS (SELECT a.conv_id, a.turn, list_distinct(list_filter({fx.words_sql('a.text')}, lambda w: length(w) >= 2)) AS keys, lower(b.text) AS content FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(keys) = 0 OR trim(content) = '' THEN 0 ELSE len(list_filter(keys, lambda w: contains(content, w))) / len(keys) END, 6) AS share FROM pairs""")
+def x05(t):
+    """How much of each turn the next one takes up."""
+    c = t.conversations
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.long_keyword_share("text", "next"), 6).alias("share"))
+
+
+@query("x06_l2_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings")
+def x06(t):
+    return t.embeddings.select("vec_id", F.round(X.l2_norm("embedding"), 6).alias("norm"))
+
+
+@query("x07_json_map", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN props::JSON->>'k' END AS k, CASE WHEN event_id % 3 <> 0 THEN len(json_keys(props::JSON)) ELSE 0 END AS n FROM events")
+def x07(t):
+    """Metadata kept as JSON text, every third of it broken."""
+    broken = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    return t.events.select("event_id", S.read_json_map(broken).alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.size("m").cast("long").alias("n"))
+
+
+@query("a07_tfidf_by_tokenizer", r"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents) / (1 + df)), 6) AS weight FROM tf JOIN df USING (term)""")
+def a07_tokenizer(t):
+    """Term weights with a tokenizer of the caller: words as they are, between white space."""
+    tf = cut(TS.term_frequency(t.documents, tokenizer=lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")))
+    n = t.documents.agg(F.count("*")).scalar()
+    return TS.tfidf(tf, TS.document_frequency(tf), n).withColumn("weight", F.round("weight", 6))
+
+
 # ---------------------------------------------------------------- chunks and cleaning
 
 
@@ -403,9 +449,13 @@ def _plans(t):
         F.array(F.struct(F.col("l_partkey").cast("string").alias("name"), F.col("l_discount").alias("price"))).alias("attractions"),
         F.array(meal(F.when(flag == "A", "Dinner").when(flag == "N", "banquet"), F.col("l_linestatus"), F.col("l_extendedprice")),
                 meal(F.lit("snack"), F.lit(None).cast("string"), F.when(q > 25, q))).alias("meals"))
+    text, whole = F.lit(None).cast("string"), F.col("l_quantity").cast("int")
+    weather = F.array(
+        F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_linestatus").alias("day"), text.alias("night"), F.when(q > 25, whole).alias("temp")),
+        F.struct(text.alias("date"), text.alias("day"), flag.alias("night"), F.lit(-1).alias("temp")))
     budget = F.struct(F.col("l_tax").alias("hotels"), F.col("l_extendedprice").alias("total"))
     return t.lineitem.select(F.to_json(F.struct(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(day).alias("days"), budget.alias("budget"))).alias("plan"))
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(day).alias("days"), weather.alias("weather"), budget.alias("budget"))).alias("plan"))
 
 
 @query("s08_flatten_meals", f"""WITH l AS ({_PLAN_ROWS})
@@ -415,6 +465,16 @@ def s08(t):
     return D.flatten_plans(_plans(t), "plan")["meals"]
 
 
+@query("s08_flatten_attractions", f"WITH l AS ({_PLAN_ROWS}) SELECT id, 0 AS day, 0 AS pos, CAST(l_partkey AS VARCHAR) AS name, '' AS address, 0 AS duration, l_discount AS price FROM l")
+def s08_attractions(t):
+    return D.flatten_plans(_plans(t), "plan")["attractions"]
+
+
+@query("s08_flatten_weather", f"WITH l AS ({_PLAN_ROWS}) SELECT id, 0 AS pos, strftime(l_shipdate, '%Y-%m-%d') AS date, l_linestatus AS day, '' AS night, CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS INTEGER) ELSE 0 END AS temp FROM l UNION ALL SELECT id, 1, '', '', l_returnflag, -1 FROM l")
+def s08_weather(t):
+    return D.flatten_plans(_plans(t), "plan")["weather"]
+
+
 @query("s08_flatten_hotels", f"WITH l AS ({_PLAN_ROWS}) SELECT id, 0 AS day, CAST(l_suppkey AS VARCHAR) AS name, '' AS address, l_tax AS price FROM l")
 def s08_hotels(t):
     return D.flatten_plans(_plans(t), "plan")["hotels"]

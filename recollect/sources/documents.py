@@ -10,12 +10,13 @@ from recollect.functions import exprs as X
 from recollect.operators.text_rows import clean_page_text
 
 # Endings of text and code files, of markup files, and of audio files.
-TEXT_ENDINGS = (
-    "txt md markdown csv tsv json yaml yml properties ini cfg conf log java py js ts jsx tsx c cpp h hpp go rs rb php "
-    "swift kt scala sh bat sql r m lua css scss less toml lock gradle cmake dockerfile"
-).split()
-MARKUP_ENDINGS = "html htm xml epub rtf".split()
-AUDIO_ENDINGS = "mp3 wav ogg flac aac m4a".split()
+TEXT_ENDINGS = [
+    "txt", "md", "markdown", "csv", "tsv", "json", "yaml", "yml", "properties", "ini", "cfg", "conf", "log", "java", "py",
+    "js", "ts", "jsx", "tsx", "c", "cpp", "h", "hpp", "go", "rs", "rb", "php", "swift", "kt", "scala", "sh", "bat", "sql",
+    "r", "m", "lua", "css", "scss", "less", "toml", "lock", "gradle", "cmake", "dockerfile",
+]
+MARKUP_ENDINGS = ["html", "htm", "xml", "epub", "rtf"]
+AUDIO_ENDINGS = ["mp3", "wav", "ogg", "flac", "aac", "m4a"]
 MARKDOWN_ENDINGS = ["md", "markdown"]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from recollect.functions.ranking import ordered_text
+from recollect.functions.ordered import PART_BYTES, text_parts
 from recollect.functions.replay import Held, insert
 from recollect.operators.events import attach_notes
 from recollect.operators.sequences import affinity_level, dialogue_sessions
@@ -63,10 +63,21 @@ def latest_task_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("task_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
-def assemble_chunks(stream: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """(task_id, part, text): text pieces in order, in parts of at most ``part_rows`` numbers."""
-    part = F.floor(F.col("seq") / part_rows).cast("int").alias("part")
-    return stream.groupBy("task_id", part).agg(ordered_text(F.col("content"), F.col("seq"), "").alias("text"))
+def collect_chunks(stream: DataFrame, sink: str, checkpoint: str):
+    """Writer that stores text pieces (task_id, seq, content) as they come, each batch in a folder that a second run replaces; nothing stays in the state.
+
+    :func:`assembled_chunks` puts together what has arrived.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select("task_id", "seq", "content").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def assembled_chunks(spark: SparkSession, sink: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(task_id, part, text): the pieces of each task by number, in parts that make the whole text; see :func:`text_parts`."""
+    return text_parts(spark.read.parquet(sink), ["task_id"], ["seq"], F.col("content"), "", part_bytes)
 
 
 # ---------------------------------------------------------------- keyed state in event time

@@ -32,9 +32,59 @@ def test_large_query_tables_give_the_same_hits(spark):
     small = cosine_hits(q, v, 3, scope="s")
     blocked = cosine_hits(q, v, 3, scope="s", block_rows=100)
     assert rows(small) == rows(blocked) and small.count() > 3000
-    texts = spark.createDataFrame([(i, "ab" * (i % 7) + str(i)) for i in range(400)], "id long, text string")
-    phrases = spark.createDataFrame([(i, str(i)) for i in range(1100)], "query_id long, phrase string")
-    assert rows(substring_hits(phrases, texts)) == rows(substring_hits(phrases, texts, block_rows=10))
+
+
+def test_blocks_of_queries_are_fetched_one_by_one(spark, monkeypatch):
+    """More than three blocks: the queries are computed once, and the plan of the result holds results only, no block and no corpus."""
+    from recollect.functions import blocks
+
+    runs = spark.sparkContext.accumulator(0)
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "query_id long, embedding array<double>").repartition(2)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "id long, embedding array<double>")
+    held = []
+    fetch = blocks.query_blocks
+
+    def watched(*args):
+        n, one = fetch(*args)
+        return n, lambda k: held.append(k) or one(k)
+
+    monkeypatch.setattr(blocks, "query_blocks", watched)
+    hits = cosine_hits(q.mapInArrow(counted, q.schema), v, 3, block_rows=10)
+    assert held == [0, 1, 2, 3, 4] and runs.value == 50
+    assert "MapInArrow" not in hits._jdf.queryExecution().toString()
+    assert rows(hits) == rows(cosine_hits(q, v, 3))
+
+
+def test_substring_search(spark):
+    rng = random.Random(4)
+    words = ["ab", "abc", "b", "c", "hot", "äö", "x.y"]
+    texts = [(i, rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(120)] + [(500, None), (501, ""), (502, "hot " * 400)]
+    phrases = [(i, t[a : a + rng.randint(1, 14)]) for i in range(150) for t in [texts[rng.randrange(120)][1]] for a in [rng.randint(0, max(len(t) - 2, 0))]]
+    phrases += [(900, "hot"), (901, "hot"), (902, " "), (903, ""), (904, None), (905, "no such words here"), (906, "b\nc"), (907, "t h"), (908, " hot")]
+    got = substring_hits(spark.createDataFrame(phrases, "query_id long, phrase string"), spark.createDataFrame(texts, "id long, text string"))
+    assert rows(got) == sorted((q, i) for q, p in phrases if p and p.strip() for i, t in texts if t and p in t)
+
+
+def test_parts_make_the_whole_text(spark):
+    from recollect.functions.ordered import text_parts
+
+    rng = random.Random(2)
+    data = [(k, rng.randrange(30), "é" * rng.randint(0, 9)) for k in (1, 2) for _ in range(60)] + [(3, 1, "z" * 50), (4, 1, None)]
+    df = spark.createDataFrame(data, "k int, at int, x string").repartition(4)
+    for sep in ("", "\n\n"):
+        for size in (1, 37, 1 << 20):
+            parts = text_parts(df, ["k"], ["at"], F.col("x"), sep, size).orderBy("k", "part").collect()
+            for k in (1, 2, 3):
+                own = [r.text for r in parts if r.k == k]
+                assert "".join(own) == sep.join(x for _, x in sorted((at, x) for key, at, x in data if key == k))
+                assert all(len(x.encode()) <= size + 50 + len(sep) for x in own)
+            assert {r.k for r in parts} == {1, 2, 3}
 
 
 def test_vectors_of_unequal_length_do_not_meet(spark):
@@ -177,6 +227,56 @@ def test_shortest_paths_with_ties(spark, seed):
     assert rows(got) == sorted(want)
 
 
+def test_json_arrays_over_many_lines(spark, tmp_path):
+    """Four forms of one set, the last far larger than a split."""
+    import json
+
+    from recollect.sources.evaluation import read_eval_set
+
+    rng = random.Random(1)
+    samples = [{"id": i, "q": rng.choice(["plain", "a [b], {c}", 'say \\"]"', "back\\\\", "ä\\n"]) * (i % 3), "n": [i, [], {"x": [1, 2]}]} for i in range(300)]
+    text = [json.dumps(x, ensure_ascii=False) for x in samples]
+    forms = {
+        "four lines": "[" + "\n,".join(text) + "\n]\n", "indented": " \n" + json.dumps(samples, indent=2), "one line": json.dumps(samples),
+        "lines": "\n\n".join(text) + "\n", "array lines": "\n".join(f"[{x}]" for x in text), "commas": "[\n" + ",\n".join(text) + "\n]",
+    }
+    want = sorted(json.dumps(x, sort_keys=True) for x in samples)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name, body in forms.items():
+            path = tmp_path / name
+            path.write_text(body)
+            good, bad = read_eval_set(spark, str(path))
+            assert sorted(json.dumps(json.loads(r.value), sort_keys=True) for r in good.collect()) == want, name
+            assert bad.count() == 0, name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path = tmp_path / "broken"
+    path.write_text('[\n{"id": 1},\n{broken},\n{"id": 3}\n]')
+    good, bad = read_eval_set(spark, str(path))
+    assert sorted(r.value for r in good.collect()) == ['{"id": 1}', '{"id": 3}'] and [r.value for r in bad.collect()] == ["{broken}"]
+    # Files of several forms below one folder, and an empty array.
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in ("indented", "lines"):
+        (folder / name).write_text(forms[name])
+    (folder / "none").write_text("[\n]\n")
+    good, bad = read_eval_set(spark, str(folder))
+    assert good.count() == 600 and bad.count() == 0
+
+
+def test_notes_of_a_folder(spark, tmp_path):
+    from recollect.sources.documents import ingest_notes
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("---\nid: n1\ntitle: One\ntype: blocker\ntags: [x, y]\n---\n\nbody\n")
+    (tmp_path / "sub" / "b.md").write_text("# Head\n\ntext")
+    (tmp_path / "blank.md").write_text(" \n")
+    (tmp_path / "c.txt").write_text("# no note")
+    got = {r.title: r for r in ingest_notes(spark, str(tmp_path)).collect()}
+    assert set(got) == {"One", "Head"} and got["One"].id == "n1" and got["One"].tags == ["x", "y"] and got["One"].body == "body"
+
+
 def test_strip_is_linear(spark):
     padded = "x" + " " * 100_000 + "\u2028y" + " \t\r\n" * 25_000
     df = spark.createDataFrame([(padded,), (" \x0b\f",), (None,)], "t string").select(X.strip("t").alias("s"), X.blank("t").alias("b"))
