@@ -4,11 +4,11 @@ A test item is far shorter than the documents that may hold it, so equal MinHash
 Instead the items are partitioned by size (powers of two of their shingle count), and each item is represented by its
 smallest shingle hashes, as many as its partition needs: of an item with containment 0.8 or more in a document, no more than a
 fifth of its shingles can be missing, so ``floor(0.2 * u) + 1`` hashes for the partition's upper size u always leave
-one that the document holds, up to ``SKETCH`` hashes; beyond that the chance to miss all is below 0.2 ** SKETCH. A
+one that the document holds. A
 document's shingles are looked up among the sketches; each (document, item) found is verified with the words themselves.
 
 The items are the query set: they reach the tasks in blocks of at most ``BLOCK_BYTES`` of text, each block against all
-documents, so neither the driver nor a task holds more than one block. Documents are never shuffled.
+documents. With several blocks the result of each is written before the next is fetched, so neither the driver nor a task holds more than one block. Documents are never shuffled.
 
 Words are split at ASCII white space after lower-casing A-Z; shingles are five words. An item of one to four words is one shingle of
 its own length; items without words match nothing. Equal items are searched once, under the smallest id, with
@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, mixed, run_hashes, split_words, word_hashes
+from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, mixed, run_hashes, saved, split_words, word_hashes
 
-SKETCH = 32
 BLOCK_BYTES = 8 << 20
 MATCHES = "doc_id long, item_id long, n_items long, n_shingles long, n_found long, containment double, first_word long, last_word long"
 
@@ -49,7 +48,7 @@ class ItemBlock:
             width = min(SHINGLE_WORDS, len(words))
             hashes = np.unique(mixed(run_hashes(word_hashes(words), SHINGLE_WORDS)))
             upper = 1 << int(len(hashes)).bit_length()  # the item's size partition is [upper / 2, upper)
-            for h in hashes[: min(SKETCH, int((1 - similarity) * upper) + 1)]:
+            for h in hashes[: int((1 - similarity) * upper) + 1]:
                 found[width][int(h)].append(k)
         self.sketches = {
             width: (keys := np.array(sorted(by), np.uint64), [by[int(h)] for h in keys]) for width, by in found.items()
@@ -112,18 +111,39 @@ def blocks_of(items: DataFrame, size: int) -> Iterator[list[tuple[int | None, st
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every (document, item) with the item's containment in the document, and the stretch of words that holds it."""
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for block in blocks_of(items, block_bytes):
-        out = out.unionByName(contains(docs, ItemBlock(block, similarity)))
+    for block, alone in alone_or_not(blocks_of(items, block_bytes)):
+        found = contains(docs, ItemBlock(block, similarity))
+        out = found if alone else out.unionByName(saved(found, "contaminated"))
     return out
 
 
+def alone_or_not(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether it is the only one."""
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if first is not None:
+        yield first, second is None
+    del first
+    if second is not None:
+        yield second, False
+        del second
+        for block in blocks:
+            yield block, False
+
+
 def without_benchmark(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no test item, with all their columns.
 
-    Every row is judged where it stands, block by block, so documents need no id and are not shuffled.
+    Every row is judged where it stands, block by block, so documents need no id and are not shuffled. With several blocks, what each has left is written.
     """
-    for block in blocks_of(items, block_bytes):
+    before = None
+    for block, alone in alone_or_not(blocks_of(items, block_bytes)):
         docs = clean_rows(docs, ItemBlock(block, similarity))
+        if not alone:
+            docs = saved(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 

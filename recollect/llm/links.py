@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, saved
+from recollect.llm.common import discard, saved, scratch
 
 PIVOTS = 4
 
@@ -91,6 +91,11 @@ def joined_components(members: DataFrame, fits: Column, carried: list[str], orde
 
     ``fits`` may name the carried columns, which have a ``_h`` behind them for the other one of a pair.
     """
+    with scratch(members.sparkSession) as keep:
+        return keep(_joined(members, fits, carried, order, verify), "components")
+
+
+def _joined(members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     done = saved(hub_pairs(members, fits, carried, order), "offered")
     links = verify(done)
     parts = components(links)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, mixed, run_hashes, saved, signed, split_words, word_hashes
+from recollect.llm.common import discard, mixed, run_hashes, saved, scratch, signed, split_words, word_hashes
 from recollect.llm.links import joined_components, shared_members
 
 SHINGLE = 2
@@ -171,6 +171,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
 
 def minhash_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component), kept: one row per row of the documents."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, width, percent, bands, rows), "minhash-components")
+
+
+def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     words = [f"s{k}" for k in range(signature_words(bands * rows))]
     sets = encoded(docs, width, bands, rows)
     grouped = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "keys", *words)).alias("r"), F.min("doc_id").alias("least_id"))
@@ -187,7 +192,7 @@ def minhash_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component_id")
-    out = plain.join(named, "set_key", "left").select(
+    found = plain.join(named, "set_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

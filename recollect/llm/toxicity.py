@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from recollect.llm.common import saved
 
@@ -191,19 +191,49 @@ def grouped(texts: pa.Array, ids: FeatureIds) -> Iterator[tuple[np.ndarray, np.n
         yield pack(held)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
-    """All columns of the documents and the score of their texts."""
+def worst_of(logits: np.ndarray, bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per bag of sentences: the place of its first sentence of the greatest score (-1: no sentence), that score, and how many reach ``least``."""
+    p = sigmoid(logits)
+    place, best, many = np.full(len(bags), -1), np.zeros(len(bags)), np.zeros(len(bags), np.int64)
+    full = np.flatnonzero(bags)
+    if len(full):
+        starts = (np.cumsum(bags) - bags)[full]
+        best[full] = np.maximum.reduceat(p, starts)
+        inside = np.arange(len(p)) - np.repeat(starts, bags[full])
+        place[full] = np.minimum.reduceat(np.where(p == np.repeat(best[full], bags[full]), inside, len(p)), starts)
+        many[full] = np.add.reduceat((p >= least).astype(np.int64), starts)
+    return place, best, many
+
+
+LOCATED = [StructField("worst_sentence", LongType()), StructField("worst_score", DoubleType()), StructField("n_toxic_sentences", LongType())]
+
+
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score", locate: float | None = None) -> DataFrame:
+    """All columns of the documents and the score of their texts.
+
+    With ``locate`` also where the offending sentences are: worst_sentence (its number among the sentences with words, the first of equal ones; null without
+    any), worst_score, and n_toxic_sentences, those that alone reach ``locate``.
+    """
     weights, bias = model
     place = docs.columns.index("text")
+    more = [] if locate is None else LOCATED
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = FeatureIds()
         for batch in batches:
-            found = [noisy_or(sentence_logits(f, s, weights, bias), b) for f, s, b in grouped(batch.column(place), ids)]
-            values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(values, 0, 1))], names=[*batch.schema.names, out])
+            values, located = [np.zeros(0)], [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+            for f, s, b in grouped(batch.column(place), ids):
+                z = sentence_logits(f, s, weights, bias)
+                values.append(noisy_or(z, b))
+                if more:
+                    located.append(worst_of(z, b, locate))
+            columns = [*batch.columns, pa.array(np.clip(np.concatenate(values), 0, 1))]
+            if more:
+                where, best, many = (np.concatenate(x) for x in zip(*located, strict=True))
+                columns += [pa.array(where, pa.int64(), mask=where < 0), pa.array(best, mask=where < 0), pa.array(many)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out, *[f.name for f in more]])
 
-    return docs.mapInArrow(score, StructType([*docs.schema, StructField(out, DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema, StructField(out, DoubleType()), *more]))
 
 
 def toxic_sentences(docs: DataFrame, model: tuple[np.ndarray, float], least: float = THRESHOLD) -> DataFrame:
@@ -225,8 +255,11 @@ def toxic_sentences(docs: DataFrame, model: tuple[np.ndarray, float], least: flo
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted. ``held``: which ids (as column doc_id) may not be learnt from."""
+    """doc_id, held_out, score, predicted, and the place, score and number of the offending sentences (see :func:`scored`).
+
+    ``held``: which ids (as column doc_id) may not be learnt from.
+    """
     held = F.lit(False) if held is None else held
     model = train(docs, labels, ~held)
-    rows = scored(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = scored(docs.select("doc_id", "text"), model, locate=threshold)
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[f.name for f in LOCATED])

@@ -173,6 +173,17 @@ def test_noisy_or_learns_from_bags(spark):
     assert all(r.score == 0 for r in got if r.doc_id in (700, 701)) and len(got) == len(docs)
     model = toxicity.train(df, labels, ~held)
     assert toxicity.toxic_sentences(df, model).where("doc_id = 10").count() == 1
+    # The query says where the offending sentences are: those that the operator lists.
+    listed = {}
+    for r in toxicity.toxic_sentences(df, model).collect():
+        listed.setdefault(r.doc_id, []).append((r.sentence, r.score))
+    for r in got:
+        own = listed.get(r.doc_id, [])
+        assert r.n_toxic_sentences == len(own)
+        if own:
+            best = max(s for _, s in own)
+            assert (r.worst_sentence, r.worst_score) == (min(k for k, s in own if s == best), best)
+        assert r.worst_score is None or r.worst_score <= r.score + 1e-9
     blank = toxicity.toxicity(df, labels.limit(0), held)
     assert blank.agg(F.max("score")).first()[0] == 0
 
@@ -198,3 +209,39 @@ def test_mixture_meets_its_target(spark):
     one = got[(got.block == 1)].groupby("source").n_tokens.sum()
     assert all(abs(one.get(s, 0) - 1000 * per.w[s]) <= 10 for s in sizes)
     assert mixture.mix_sources(df.limit(0)).count() == 0
+
+
+def test_noisy_or_and_its_gradient_against_brute_force():
+    rng = np.random.default_rng(3)
+    bags = np.array([2, 0, 1, 3])
+    sizes = rng.integers(1, 5, bags.sum())
+    words, stems = rng.integers(0, 6, sizes.sum()), toxicity.FEATURES // 2 + rng.integers(0, 4, sizes.sum())
+    features = (words.astype(np.int64) << 32) | stems
+    labels = np.array([1, 0, 0, 1])
+    weights = np.zeros(toxicity.FEATURES)
+    weights[:6], weights[toxicity.FEATURES // 2 :][:4] = rng.normal(size=6), rng.normal(size=4)
+
+    def loss(w, bias):
+        at, sentence, out, scores = 0, 0, 0.0, []
+        for n, y in zip(bags, labels, strict=True):
+            clean = 1.0
+            for _ in range(n):
+                k = sizes[sentence]
+                z = bias + sum(w[words[i]] + w[stems[i]] for i in range(at, at + k))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+                at, sentence = at + k, sentence + 1
+            scores.append(1 - clean)
+            out -= np.log(max(1 - clean, 1e-300)) if y else np.log(clean)
+        return out, scores
+
+    z = toxicity.sentence_logits(features, sizes, weights, -0.5)
+    value, scores = loss(weights, -0.5)
+    assert np.allclose(toxicity.noisy_or(z, bags), scores)
+    grad, slope = toxicity.gradient(features, sizes, bags, labels, weights, -0.5)
+    step = 1e-6
+    assert np.isclose(slope, (loss(weights, -0.5 + step)[0] - loss(weights, -0.5 - step)[0]) / (2 * step), atol=1e-5)
+    for k in [*range(6), *range(toxicity.FEATURES // 2, toxicity.FEATURES // 2 + 4)]:
+        up, down = weights.copy(), weights.copy()
+        up[k] += step
+        down[k] -= step
+        assert np.isclose(grad[k], (loss(up, -0.5)[0] - loss(down, -0.5)[0]) / (2 * step), atol=1e-5)
