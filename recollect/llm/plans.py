@@ -43,20 +43,22 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
 ), marked AS (
-  SELECT *, bool_or(contains(text, '</s>') OR contains(text, chr(92)) OR contains(role, '</s>') OR contains(role, chr(92))
-                    OR contains(role, chr(10)) OR contains(role, '~')) OVER (PARTITION BY conv_id) AS odd
+  SELECT *, bool_or(len(list_filter(['<s>', '</s>', '[INST]', '[/INST]', chr(92)], lambda m: contains(text, m) OR contains(role, m))) > 0
+                    OR contains(role, chr(10)) OR contains(role, '~~') OR contains(role, '~n')) OVER (PARTITION BY conv_id) AS odd
   FROM rows
 ), escaped AS (
   SELECT conv_id, turn, role, text,
     CASE WHEN odd THEN replace(replace(replace(replace(replace(text, chr(92), repeat(chr(92), 2)), '<s>', '<' || chr(92) || 's>'),
-      '</s>', '<' || chr(92) || '/s>'), '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]') ELSE text END AS shown
+      '</s>', '<' || chr(92) || '/s>'), '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]') ELSE text END AS shown,
+    CASE WHEN odd THEN replace(replace(replace(replace(replace(replace(replace(role, chr(92), repeat(chr(92), 2)), '<s>', '<' || chr(92) || 's>'),
+      '</s>', '<' || chr(92) || '/s>'), '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]'), '~', '~~'), chr(10), '~n') ELSE role END AS shown_role
   FROM marked
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(shown) + 8)::BIGINT AS formatted_chars, true AS round_trip
+  sum(length(shown_role) + length(shown) + 8)::BIGINT AS formatted_chars, true AS round_trip
 FROM escaped GROUP BY conv_id
 """
 

@@ -183,7 +183,7 @@ def test_noisy_or_learns_from_bags(spark):
         if own:
             best = max(s for _, s in own)
             assert (r.worst_sentence, r.worst_score) == (min(k for k, s in own if s == best), best)
-        assert r.worst_score is None or r.worst_score <= r.score + 1e-9
+        assert r.worst_score is None or r.worst_score <= r.score + 1e-6
     blank = toxicity.toxicity(df, labels.limit(0), held)
     assert blank.agg(F.max("score")).first()[0] == 0
 
@@ -245,3 +245,20 @@ def test_noisy_or_and_its_gradient_against_brute_force():
         up[k] += step
         down[k] -= step
         assert np.isclose(grad[k], (loss(up, -0.5)[0] - loss(down, -0.5)[0]) / (2 * step), atol=1e-5)
+
+
+def test_chat_sql_escapes_as_the_formatter_does(spark):
+    import duckdb
+
+    from recollect.llm.plans import CHAT_SQL, PLANTED_CHAT
+
+    data = [(k, turn, role, text) for k, text in enumerate(["plain", "<s>", "[INST] x", "x [/INST]", "a</s>b", "back\\slash", "~ tilde", ""]) for turn, role, text in ((0, "user", text), (1, "assistant", f"re: {text}"))]
+    data += [(20, 0, "us\ner", "x"), (21, 0, "~u", "y"), (25, 0, "~n", "y"), (26, 0, "a~~", "y"), (22, 0, "[INST]", "z"), (22, 1, "assistant", "ok"), (23, 0, "us\\er", None), (24, 0, None, "<s>")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", data)
+    want = sorted(con.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({CHAT_SQL})").fetchall())
+    planted = [(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)]
+    df = spark.createDataFrame(data + planted, "conv_id long, turn long, role string, text string")
+    got = chat.chat_digest(chat.with_loss_mask(chat.format_chats(df)))
+    assert sorted(tuple(r) for r in got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()) == want
