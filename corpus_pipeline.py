@@ -2,6 +2,11 @@
 
 Toxic documents go; one document of each group of near duplicates stays; passages that repeat are cut out; documents that hold
 benchmark items go; the rest is mixed to target weights. All but the last stage return the columns of ``documents``.
+
+Nulls, ties, repeats and clashes, in every stage: a null or blank text is not toxic, in no group of copies, has nothing to cut and holds no item, so its row stays. Rows with equal
+ids or null ids are documents by themselves; of a group of near copies the one with the smallest id stays, known ids before null ones, and of equal
+ids one. Columns beyond those of ``documents`` are kept, whatever their names; labels for no document count for nothing. An empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, mixture, suffixes, toxicity
-from recollect.llm.common import SHINGLE_WORDS, held_out, saved
+from recollect.llm.common import SHINGLE_WORDS, discard, fresh, held_out, scratch
 from recollect.session import ship
 
 #: The stages train a model, take hashes and cut bytes, which SQL cannot express; they are tested against brute force instead.
@@ -27,8 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold. The model learns from the labelled documents that the test of the operator does not hold out."""
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
-    scored = toxicity.scored(docs, model, "_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    score = fresh(docs, "score")
+    scored = toxicity.scored(docs, model, score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark) as keep:  # what a stage has written goes when its result is there
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
