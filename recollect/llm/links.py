@@ -2,7 +2,7 @@
 
 A group of m candidates has m^2/2 pairs. :func:`hub_pairs` offers only the pairs of each member with the group's first one; after these are
 verified and joined to components, further rounds (:func:`pivot_pairs`) offer each member a few pivots of other components, as long as
-that finds links. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size.
+that pays. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size.
 :func:`crossing_pairs` then offers all pairs of a group that still lie in different components.
 Together they lose no link: a pair that is never offered is already connected.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from recollect.llm.common import discard, saved, scratch
 
 PIVOTS = 4
+LEAST_FOUND = 0.05  # of the pairs offered: with fewer links, another round of pivots does not pay
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the edges (a, b). No node's neighbours meet in one row.
@@ -100,12 +101,13 @@ def _joined(members: DataFrame, fits: Column, carried: list[str], order: list[st
     links = verify(done)
     parts = components(links)
     apart = still_apart(members, parts)
-    found, turn = not links.isEmpty(), 0
-    while found and not apart.isEmpty():
+    pays, turn = not links.isEmpty(), 0
+    while pays and not apart.isEmpty():
         turn += 1
         offered = saved(pivot_pairs(apart, fits, carried, turn).join(done, ["a", "b"], "left_anti"), "offered")
         new = verify(offered)
-        found = not new.isEmpty()
+        found = new.count()
+        pays = found >= LEAST_FOUND * offered.count()
         if found:
             stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = components(stars.union(new))

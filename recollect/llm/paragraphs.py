@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ WINDOW = 24
 GAP = 27
 BANDS = 16
 ROWS = 5
+PLACE_BITS = np.uint64(20)
+PLACES = 1 << 20  # places looked at together
+BATCH_WORDS = 1 << 18
 SPANS = "array<struct<start:int,end:int>>"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -53,11 +57,21 @@ def lines_of(text: str | None) -> tuple[list[bytes], list[int]]:
 
 
 def anchors(places: np.ndarray, gap: int = GAP) -> np.ndarray:
-    """Where the least hash of any ``gap`` places in a row stands, the first of equal ones; with fewer places, of all."""
-    if len(places) <= gap:
-        return np.array([places.argmin()]) if len(places) else np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(places, gap).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    """Where the least hash of any ``gap`` places in a row stands, the first of equal ones; with fewer places, of all.
+
+    Hashes are compared by their upper bits; the place stands in the lower ones, so one running minimum gives both.
+    """
+    out = []
+    for begin in range(0, max(len(places) - gap + 1, min(len(places), 1)), PLACES - gap):
+        part = places[begin : begin + PLACES]
+        least = part >> PLACE_BITS << PLACE_BITS | np.arange(len(part), dtype=np.uint64)
+        width, wanted = 1, min(gap, len(part))
+        while 2 * width <= wanted:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(part) - wanted + 1], least[wanted - width :])
+        out.append((np.unique(least) & np.uint64(PLACES - 1)).astype(np.int64) + begin)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def windows_of(shingles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,33 +100,41 @@ def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, hashes, n_windows, spans, keys, sets, n_lines = [], [], [], [], [], [], []
-            for text in batch.column(3):
-                words, ends = lines_of(text.as_py())
-                own = word_hashes(words)
-                shingles = run_hashes(own, SHINGLE_WORDS) if len(own) >= SHINGLE_WORDS else np.zeros(0, np.uint64)
-                at, pair = windows_of(shingles, len(own))
-                starts.append(at)
-                hashes.append(pair)
-                n_windows.append(len(at))
-                long = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if b - a >= LINE_WORDS]
-                n_lines.append(len(long))
-                spans += long
-                keys += [xxhash.xxh3_128_digest(own[a:b].tobytes()) for a, b in long]
-                sets += [shingles[a : b - SHINGLE_WORDS + 1] for a, b in long]
-            pairs = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.uint64)
-            windows = grouped(n_windows, [pa.array(np.concatenate([*starts, np.zeros(0, np.int64)]), pa.int32()), *[pa.array(signed(np.ascontiguousarray(pairs[:, k]))) for k in (0, 1)]], window_type)
-            banded, parts = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), words_of_signature), np.uint64)
-            sizes = np.array([len(x) for x in sets], np.int64)
-            begin = 0
-            while begin < len(sets):  # so many shingles at a time fit a processor's cache
-                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 1 << 16)))
-                least = minima(np.concatenate(sets[begin:end]), sizes[begin:end], BANDS * ROWS)
-                banded[begin:end], parts[begin:end] = band_keys(least, BANDS), signatures(least)
-                begin = end
-            edges = np.array(spans, np.int64).reshape(-1, 2)
-            lines = grouped(n_lines, [pa.array(edges[:, 0], pa.int32()), pa.array(edges[:, 1], pa.int32()), pa.array(keys, pa.binary()), listed(banded), listed(parts)], line_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], windows, lines], names=["row", "doc_id", "text_key", "windows", "lines"])
+            begin = words = 0
+            for k, size in enumerate(pa.compute.binary_length(batch.column(3)).fill_null(0).to_pylist()):
+                words += size // 4
+                if words >= BATCH_WORDS or k + 1 == batch.num_rows:  # so many at a time, or one longer text
+                    yield coded(batch.slice(begin, k + 1 - begin))
+                    begin, words = k + 1, 0
+
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        starts, hashes, n_windows, spans, keys, sets, n_lines = [], [], [], [], [], [], []
+        for text in batch.column(3):
+            words, ends = lines_of(text.as_py())
+            own = word_hashes(words)
+            shingles = run_hashes(own, SHINGLE_WORDS) if len(own) >= SHINGLE_WORDS else np.zeros(0, np.uint64)
+            at, pair = windows_of(shingles, len(own))
+            starts.append(at)
+            hashes.append(pair)
+            n_windows.append(len(at))
+            long = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if b - a >= LINE_WORDS]
+            n_lines.append(len(long))
+            spans += long
+            keys += [xxhash.xxh3_128_digest(own[a:b].tobytes()) for a, b in long]
+            sets += [shingles[a : b - SHINGLE_WORDS + 1] for a, b in long]
+        pairs = np.concatenate([*hashes, np.zeros((0, 2), np.uint64)])
+        windows = grouped(n_windows, [pa.array(np.concatenate([*starts, np.zeros(0, np.int64)]), pa.int32()), *[pa.array(signed(np.ascontiguousarray(pairs[:, k]))) for k in (0, 1)]], window_type)
+        banded, parts = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), words_of_signature), np.uint64)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        begin = 0
+        while begin < len(sets):  # so many shingles at a time fit a processor's cache
+            end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 1 << 16)))
+            least = minima(np.concatenate(sets[begin:end]), sizes[begin:end], BANDS * ROWS)
+            banded[begin:end], parts[begin:end] = band_keys(least, BANDS), signatures(least)
+            begin = end
+        edges = np.array(spans, np.int64).reshape(-1, 2)
+        lines = grouped(n_lines, [pa.array(edges[:, 0], pa.int32()), pa.array(edges[:, 1], pa.int32()), pa.array(keys, pa.binary()), listed(banded), listed(parts)], line_type)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], windows, lines], names=["row", "doc_id", "text_key", "windows", "lines"])
 
     node = F.monotonically_increasing_id() if row is None else F.col(row)
     texts = docs.select(node.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_key()).alias("text_key"), "text")

@@ -85,7 +85,7 @@ def brute_windows(words):
     if n < 1:
         return []
     hashes = paragraphs.mixed(paragraphs.run_hashes(paragraphs.word_hashes(words), 5))[:n].tolist()
-    starts = {min(range(i, min(i + paragraphs.GAP, n)), key=lambda k: (hashes[k], k)) for i in range(max(n - paragraphs.GAP + 1, 1))}
+    starts = {min(range(i, min(i + paragraphs.GAP, n)), key=lambda k: (hashes[k] >> int(paragraphs.PLACE_BITS), k)) for i in range(max(n - paragraphs.GAP + 1, 1))}
     return [(i, i + paragraphs.WINDOW, tuple(words[i : i + paragraphs.WINDOW])) for i in sorted(starts)]
 
 
