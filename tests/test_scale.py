@@ -274,7 +274,7 @@ def test_notes_of_a_folder(spark, tmp_path):
     (tmp_path / "blank.md").write_text(" \n")
     (tmp_path / "c.txt").write_text("# no note")
     got = {r.title: r for r in ingest_notes(spark, str(tmp_path)).collect()}
-    assert set(got) == {"One", "Head"} and got["One"].id == "n1" and got["One"].tags == ["x", "y"] and got["One"].body == "body"
+    assert set(got) == {"One", "Untitled"} and got["One"].id == "n1" and got["One"].tags == ["x", "y"] and got["One"].body == "body"
 
 
 def test_strip_is_linear(spark):
