@@ -25,20 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars tie every larger neighbour of a node to the smallest node around it, small stars every smaller one; both keep
     the components, and in a logarithmic number of rounds only stars around the smallest nodes are left.
     """
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     links = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
+    now, before = state(links), None
+    while now != before:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = saved(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
-        state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = state(new) == state(links)
         discard(links)
-        links = new
-        if same:
-            break
+        links, before, now = new, now, state(new)
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -107,7 +105,7 @@ def _joined(members: DataFrame, fits: Column, carried: list[str], order: list[st
         offered = saved(pivot_pairs(apart, fits, carried, turn).join(done, ["a", "b"], "left_anti"), "offered")
         new = verify(offered)
         found = new.count()
-        pays = found >= LEAST_FOUND * offered.count()
+        pays = found > 0 and found >= LEAST_FOUND * offered.count()
         if found:
             stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = components(stars.union(new))
