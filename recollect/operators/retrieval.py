@@ -6,12 +6,13 @@ ranking and ties are broken by id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.functions.ranking import first_per_key, top_per_key
 from recollect.operators.graph import Graph, graph_search
+from recollect.session import cut
 from recollect.functions.matching import substring_hits
 from recollect.functions.similarity import DIGITS, RANK_DIGITS, cosine_hits
 
@@ -54,6 +55,42 @@ def sparse_pairs(queries: DataFrame, vectors: DataFrame, on: list[str]) -> DataF
     return joined.select(*scope, "query_id", "id", score.alias("score")).where(F.round("score", RANK_DIGITS) > 0)
 
 
+HOT_LIST = 10_000  # rows of a term from which on its list is spread
+SALTS = 32
+
+
+def sparse_join(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(query_id, id, score) of all sparse vectors with a cosine of at least ``least`` > 0; exact.
+
+    ``queries``: (query_id, term, weight), ``vectors``: (id, term, weight), one row per term. Both are scaled to length 1. A term's greatest weight in the vectors bounds what it can add to a
+    query's cosine: of a query's terms, the most frequent ones first, as many as together stay below ``least`` are no reason to look at a
+    vector, since a vector that shares only those cannot reach it. So the lists that are joined are those of a query's rarer terms, and among those the
+    lists of more than ``HOT_LIST`` rows are spread over ``SALTS`` keys. The cosines of the candidates are then summed over all terms.
+    """
+    def unit(df: DataFrame, key: str) -> DataFrame:
+        norms = df.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm")).where("_norm > 0")
+        return cut(df.join(norms, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("w")).where("w <> 0"))
+
+    q, v = unit(queries, "query_id"), unit(vectors, "id")
+    terms = v.groupBy("term").agg(F.max(F.abs("w")).alias("_most"), F.count("*").alias("_n"))
+    bounded = q.join(terms, "term")  # a term that no vector has adds nothing
+    # The terms of one query, its most frequent first: what they and those before them can add at most.
+    upto = Window.partitionBy("query_id").orderBy(F.desc("_n"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    searched = bounded.withColumn("_can", F.sum(F.abs("w") * F.col("_most")).over(upto)).where(F.col("_can") >= least * (1 - 1e-9))
+    keys = F.when(F.col("_n") > HOT_LIST, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    wanted = cut(searched.select("query_id", "term", F.explode(keys).alias("_salt")))
+    hot = terms.where(F.col("_n") > HOT_LIST).select("term", F.lit(True).alias("_hot"))
+    # A hot term's rows go to its salts by id; there are at most rows / HOT_LIST such terms, each looked up under every salt.
+    spread = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    marked = v.select("id", "term", spread.alias("_s")).join(
+        hot.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "_s"], "left")
+    lists = marked.select("id", "term", F.when(F.col("_hot"), F.col("_s")).otherwise(0).alias("_salt"))
+    pairs = wanted.join(lists, ["term", "_salt"]).select("query_id", "id").distinct()
+    dots = pairs.join(q, "query_id").join(v.select("id", "term", F.col("w").alias("_b")), ["id", "term"])
+    found = dots.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("_b")).alias("score"))
+    return found.where(F.round("score", RANK_DIGITS) >= least)
+
+
 def enrich_hits(hits: DataFrame, chunks: DataFrame, documents: DataFrame, missing_title: str = "(deleted)") -> DataFrame:
     """Add chunk and document columns; a hit without its chunk drops, a missing document gets the placeholder."""
     docs = documents.select(F.col("doc_id"), F.col("title"))
@@ -269,8 +306,8 @@ def search_all(branches: list[DataFrame], k: int) -> DataFrame:
     for branch in branches[1:]:
         merged = merged.unionByName(branch.where(F.col("rank") <= per_type))
     order = [F.desc("importance"), F.asc("memory_type"), F.asc("id")]
-    cut = top_per_key(merged.withColumnRenamed("rank", "type_rank"), ["query_id"], order, k if k > 0 else 2**31 - 1)
-    return cut.select("query_id", "id", "memory_type", "importance", "rank")
+    ranked = top_per_key(merged.withColumnRenamed("rank", "type_rank"), ["query_id"], order, k if k > 0 else 2**31 - 1)
+    return ranked.select("query_id", "id", "memory_type", "importance", "rank")
 
 
 def notes_for_queries(queries: DataFrame, notes: DataFrame, k: int, note_type: str = "blocker") -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import exprs as X
 from recollect.functions.similarity import dense
+from recollect.session import cut
 
 HOT_DF = 1000  # below this no term is hot, however small the corpus
 SPREAD = 1000
 SALTS = 32
 
 Tokenizer = Callable[[str], Column]  # from the name of a text column to its tokens, an array of strings
+Embedder = Callable[[DataFrame], DataFrame]  # from (key, text) to (key, embedding); null or no row where it has none
 
 
 def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", *scope: str, tokenizer: Tokenizer = X.tokens) -> DataFrame:
@@ -91,3 +94,17 @@ def hashed_tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id", d
 def hashed_vectors(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id", dim: int = 256) -> DataFrame:
     """The same vectors in dense form (key, embedding); not normalised, as cosine ignores the length."""
     return dense(_slot_weights(tf, df, n, key, dim), key, dim)
+
+
+def embed_texts(texts: DataFrame, key: str, text: str, embedders: Sequence[Embedder]) -> DataFrame:
+    """(key, embedding) by the first of the caller's embedders that has one for a text; texts that none can embed are left out.
+
+    An embedder may be a composition of expressions, a pandas UDF over a model, or a look-up. Later ones see only what is left. ``key`` is unique.
+    """
+    left = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    done = []
+    for embedder in embedders:
+        made = cut(embedder(left).where(F.col("embedding").isNotNull()).select("key", "embedding"))
+        done.append(made)
+        left = left.join(made, "key", "left_anti")
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("key", key)

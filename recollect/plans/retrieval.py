@@ -8,8 +8,10 @@ from recollect.operators import context as C
 from recollect.operators import graph as G
 from recollect.operators import retrieval as R
 from recollect.operators import tables as T
+from recollect.operators import text_stats as TS
 from recollect.plans import fixtures as fx
 from recollect.plans.registry import query
+from recollect.session import cut
 
 _COS = """cosv AS (
   SELECT query_id, vec_id AS id, label, round(list_sum(list_transform(list_zip(qv, CAST(embedding AS DOUBLE[])), lambda p: p[1] * p[2]))
@@ -45,6 +47,49 @@ def j02(t):
     return R.all_hits(queries, docs)
 
 
+@query("j02_sparse_join", f"""WITH tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({fx.words_sql('text')}) AS term FROM documents) GROUP BY ALL),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({fx.words_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+dw AS (SELECT id, term, tf * ln(n / (1 + df)) AS w FROM tf JOIN df USING (term), n), qw AS (SELECT query_id, term, tf * ln(n / (1 + coalesce(df, 1))) AS w FROM qtf LEFT JOIN df USING (term), n),
+dn AS (SELECT id, sqrt(sum(w * w)) AS d FROM dw GROUP BY id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS q FROM qw GROUP BY query_id)
+SELECT query_id, id, round(sum(qw.w * dw.w) / (any_value(q) * any_value(d)), 6) AS score FROM qw JOIN dw USING (term) JOIN dn USING (id) JOIN qn USING (query_id)
+GROUP BY query_id, id HAVING round(sum(qw.w * dw.w) / (any_value(q) * any_value(d)), 12) >= 0.3""")
+def j02_sparse(t):
+    """Term weights of the benchmark passages against those of all documents, from the term rows as they are."""
+    tf = cut(TS.term_frequency(t.documents))
+    df = cut(TS.document_frequency(tf))
+    n = t.documents.agg(F.count("*")).scalar()
+    vectors = TS.tfidf(tf, df, n).withColumnRenamed("doc_id", "id")
+    queries = TS.tfidf(TS.term_frequency(fx.text_queries(t), "query_id", "text"), df, n, "query_id")
+    return R.sparse_join(queries, vectors, 0.3).withColumn("score", F.round("score", 6))
+
+
+def _letters(rows):
+    """Counts of the letters a to z, for texts with at least one b; others have none."""
+    low = F.lower("text")
+    counts = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("double"))
+    return rows.select("key", F.when(F.contains(low, F.lit("b")), counts).alias("embedding"))
+
+
+def _lengths(rows):
+    """Two numbers of a text, in as many dimensions."""
+    first = F.array(F.length("text").cast("double"), F.lit(1.0))
+    return rows.select("key", F.concat(first, F.array_repeat(F.lit(0.0), 24)).alias("embedding"))
+
+
+@query("k01_topk_by_embedders", given("""WITH texts AS (SELECT doc_id AS id, text, 'd' AS side FROM documents UNION ALL SELECT item_id, text, 'q' FROM benchmark),
+vecs AS (SELECT id, side, CASE WHEN contains(lower(text), 'b') THEN list_transform(range(97, 123), lambda c: (length(lower(text)) - length(replace(lower(text), chr(c::INTEGER), '')))::DOUBLE)
+  ELSE list_concat([length(text)::DOUBLE, 1.0::DOUBLE], list_transform(range(24), lambda c: 0.0::DOUBLE)) END AS v FROM texts),
+unit AS (SELECT id, side, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM vecs),
+scored AS (SELECT q.id AS query_id, d.id, round(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) / (q.n * d.n), 12) AS score FROM unit q JOIN unit d ON q.side = 'q' AND d.side = 'd' WHERE q.n * d.n > 0)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5"""))
+def k01_embedders(t):
+    """Search with the caller's embedders: letter counts where a text has a b, its length otherwise."""
+    docs = TS.embed_texts(t.documents.withColumnRenamed("doc_id", "id"), "id", "text", [_letters, _lengths])
+    queries = TS.embed_texts(fx.text_queries(t), "query_id", "text", [_letters, _lengths])
+    return R.topk_cosine(queries, docs, 5)
+
+
 @query("k03_hybrid_search", given(f"""WITH {_FINE_HASHED},
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS r FROM cos) WHERE r <= 30),
 keys AS (SELECT item_id AS query_id, list_distinct(list_filter({fx.words_sql('text')}, lambda w: length(w) >= 2)) AS ks FROM benchmark),

@@ -20,21 +20,21 @@ def read_vectors(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return raw.select(F.explode("vectors").alias("id", "embedding"))
 
 
-SNAPSHOT_BUCKETS = 64
+SNAPSHOT_ROWS = 1000
 
 
-def write_vectors(vectors: DataFrame, path: str, fmt: str = "parquet", buckets: int = SNAPSHOT_BUCKETS) -> None:
-    """Write (id, embedding). The snapshot form is one JSON object per bucket of ids, never one for the whole table."""
+def write_vectors(vectors: DataFrame, path: str, fmt: str = "parquet", rows: int = SNAPSHOT_ROWS) -> None:
+    """Write (id, embedding). The snapshot form is one JSON object per about ``rows`` ids, however many there are."""
     if fmt == "parquet":
         vectors.write.mode("overwrite").parquet(path)
     elif fmt == "json":
         vectors.select(F.col("id").cast("string").alias("id"), "embedding").write.mode("overwrite").json(path)
     elif fmt == "snapshot":
+        buckets = max(1, -(-vectors.count() // rows))
         grouped = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).agg(
             F.max(F.size("embedding")).alias("dimension"),
             F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "embedding"))).alias("vectors"),
         )
-        # Rows per object stay near count / buckets; the caller raises ``buckets`` with the table.
         grouped.select("dimension", "vectors").write.mode("overwrite").json(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")

@@ -410,3 +410,55 @@ def test_blank_and_repeated_variants_do_not_count(spark):
     rows_ = [(1, 0, [1.0, 0.0], "x"), (1, 1, [1.0, 0.0], " x\n"), (1, 2, [0.0, 1.0], "\t")]
     variants = spark.createDataFrame(rows_, "query_id int, variant int, embedding array<double>, text string")
     assert R.expanded_search(variants, v, 20).count() == 20
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_sparse_join(spark, monkeypatch, hot):
+    """Against all pairs, with terms in nearly every vector, negative weights, and vectors without a direction."""
+    monkeypatch.setattr(R, "HOT_LIST", hot)
+    rng = random.Random(hot)
+    draw = lambda: {f"t{min(int(rng.expovariate(0.15)), 60)}": rng.choice([1.0, 2.0, 0.5, -0.5]) for _ in range(rng.randint(1, 9))}
+    q, v = {i: draw() for i in range(40)}, {i: draw() for i in range(150)}
+    q[90], v[900], v[901] = {"t0": 0.0}, {"t1": 0.0}, dict(q[3])
+    frame = lambda data, key: spark.createDataFrame([(i, t, w) for i, own in data.items() for t, w in own.items()], f"{key} int, term string, weight double")
+    length = lambda x: sum(w * w for w in x.values()) ** 0.5
+    for least in (0.2, 0.7, 1.0):
+        want = {}
+        for i, a in q.items():
+            for j, b in v.items():
+                if length(a) and length(b):
+                    score = sum(w * b.get(t, 0.0) for t, w in a.items()) / length(a) / length(b)
+                    if round(score, 12) >= least:
+                        want[i, j] = score
+        got = {(r.query_id, r.id): r.score for r in R.sparse_join(frame(q, "query_id"), frame(v, "id"), least).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and want
+
+
+def test_embedders_in_order(spark):
+    from recollect.operators.text_stats import embed_texts
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, text string")
+    first = lambda rows: rows.where("text = 'a'").select("key", F.array(F.lit(1.0)).alias("embedding"))
+    second = lambda rows: rows.select("key", F.when(F.col("text").isNotNull(), F.array(F.lit(2.0))).alias("embedding"))
+    assert rows(embed_texts(df, "id", "text", [first, second])) == [(1, [1.0]), (2, [2.0])]
+
+
+def test_snapshots_of_vectors_in_objects_of_bounded_size(spark, tmp_path):
+    from recollect.sources import snapshots as S
+
+    v = spark.createDataFrame([(str(i), [float(i), 0.5]) for i in range(100)], "id string, embedding array<float>")
+    S.write_vectors(v, str(tmp_path / "v"), "snapshot", rows=10)
+    assert 5 <= spark.read.text(str(tmp_path / "v")).count() <= 10
+    assert rows(S.read_vectors(spark, str(tmp_path / "v"), "snapshot")) == rows(v)
+
+
+def test_merged_entities(spark):
+    graph = G.Graph(
+        spark.createDataFrame([("a", "x", "t"), ("b", "x", "t"), ("c", "y", "t")], "entity_id string, name string, type string"),
+        spark.createDataFrame([("a", "R", "c", 1), ("b", "R", "c", 1), ("c", "R", "gone", 2)], "src string, predicate string, dst string, memory_id int"),
+        spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("gone", 3)], "entity_id string, memory_id int"))
+    merged, ids = G.merge_entities(graph)
+    new = {r.old: r.new for r in ids.collect()}
+    assert new["a"] == new["b"] != new["c"] and merged.entities.count() == 2
+    assert rows(merged.relations) == sorted([(new["a"], "R", new["c"], 1), (new["c"], "R", "gone", 2)])
+    assert rows(merged.mentions) == sorted([(new["a"], 1), (new["a"], 2), ("gone", 3)])
