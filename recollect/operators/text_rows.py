@@ -245,50 +245,29 @@ def sentences(text: str | Column) -> Column:
     return F.filter(F.transform(parts, lambda s: X.strip(s)), lambda s: s != "")
 
 
-def _boundary_pattern(name: Column) -> Column:
-    return F.concat(F.lit(r"(?<!\w)\Q"), F.lower(name), F.lit(r"\E(?!\w)"))
+def _position(lower: Column, name: Column, low_name: Column) -> Column:
+    """Where a name begins in a lower-cased sentence, 0 if it does not occur; short ASCII names must stand by themselves."""
+    alone = F.concat(F.lit(r"(?<!\w)\Q"), low_name, F.lit(r"\E(?!\w)"))
+    return F.when(name.rlike(r"^[!-\x7e]{1,4}$"), F.regexp_instr(lower, alone)).otherwise(F.instr(lower, low_name))
 
 
-def _is_short(name: Column) -> Column:
-    return name.rlike(r"^[!-\x7e]{1,4}$")
-
-
-def _holds(lower: Column, name: Column) -> Column:
-    return F.when(_is_short(name), F.regexp_like(lower, _boundary_pattern(name))).otherwise(
-        F.contains(lower, F.lower(name))
-    )
-
-
-def _position(lower: Column, name: Column) -> Column:
-    return F.when(_is_short(name), F.regexp_instr(lower, _boundary_pattern(name))).otherwise(
-        F.instr(lower, F.lower(name))
-    )
-
-
-def _predicate(sentence: Column, a: Column, b: Column) -> Column:
-    """Relation of two names by the text between them and 60 characters around."""
-    def window(low: Column, at: Column) -> Column:
-        start = F.greatest(F.least(at["a"], at["b"]) - 60, F.lit(1))
-        end = F.greatest(at["a"], at["b"]) + F.greatest(F.length(a), F.length(b)) + 60
-        return F.substring(low, start, end - start)
+def _predicate(low: Column, a: Column, b: Column) -> Column:
+    """Relation of two names (name, low, at) of a lower-cased sentence by the text between them and 60 characters around."""
+    start = F.greatest(F.least(a["at"], b["at"]) - 60, F.lit(1))
+    end = F.greatest(a["at"], b["at"]) + F.greatest(F.length(a["name"]), F.length(b["name"])) + 60
 
     def decide(near: Column) -> Column:
-        la, lb = F.lower(a), F.lower(b)
         kind_of = (
-            _any(near, [F.concat(la, F.lit(c)) for c in lexicon.IS_A_AFTER_FIRST])
+            _any(near, [F.concat(a["low"], F.lit(c)) for c in lexicon.IS_A_AFTER_FIRST])
             | _any(near, lexicon.IS_A_ANYWHERE)
-            | _any(near, [F.concat(lb, F.lit(c)) for c in lexicon.IS_A_AFTER_SECOND])
+            | _any(near, [F.concat(b["low"], F.lit(c)) for c in lexicon.IS_A_AFTER_SECOND])
         )
         out = F.when(kind_of, "IS_A")
         for label, cues in lexicon.RELATION_CUES:
             out = out.when(_any(near, cues), label)
         return out.otherwise("CO_OCCURS_WITH")
 
-    def place(low: Column) -> Column:
-        return F.struct(_position(low, a).alias("a"), _position(low, b).alias("b"))
-
-    near = X.let(F.lower(sentence), lambda low: X.let(place(low), lambda at: window(low, at)))
-    return X.let(near, decide)
+    return X.let(F.substring(low, start, end - start), decide)
 
 
 def extract_relations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,11 +277,17 @@ def extract_relations(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     # Explode keeps the costly arrays from being computed again in every later step.
     listed = docs.select(key, text, F.explode(F.array(entity_array(text))).alias("es")).where(F.size("es") > 1)
-    numbered = F.transform("es", lambda e, i: F.struct(i.alias("i"), e["name"].alias("name"), e["type"].alias("type")))
-    lowered = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("l")))
-    held = listed.select(key, numbered.alias("es"), lowered.alias("ss")).select(key, F.transform("ss", lambda s: F.struct(
-        s["s"].alias("s"), F.filter("es", lambda e: _holds(s["l"], e["name"])).alias("es")
-    )).alias("ss"))
+    numbered = F.transform("es", lambda e, i: F.struct(i.alias("i"), e["name"].alias("name"), e["type"].alias("type"), F.lower(e["name"]).alias("low")))
+    lowered = F.transform(sentences(text), lambda s: F.lower(s))
+
+    def places(s: Column) -> Column:
+        """The entities of a sentence, each with its place: found once, whatever the number of pairs."""
+        placed = F.transform("es", lambda e: F.struct(*[e[c].alias(c) for c in ("i", "name", "type", "low")], _position(s, e["name"], e["low"]).alias("at")))
+        return F.filter(placed, lambda e: e["at"] > 0)
+
+    held = listed.select(key, numbered.alias("es"), lowered.alias("ss")).select(
+        key, F.transform("ss", lambda s: F.struct(s.alias("s"), places(s).alias("es"))).alias("ss")
+    )
     # Each sentence with the one after it, inside the document's own row.
     spread = held.select(key, F.posexplode(F.arrays_zip(
         F.col("ss").alias("cur"), F.slice("ss", F.lit(2), F.size("ss")).alias("nxt")
@@ -316,7 +301,7 @@ def extract_relations(docs: DataFrame, key: str = "doc_id", text: str = "text")
     both = a_rows.select(key, "no", "s", "a", F.explode(b_rows).alias("b")).where(
         (F.col("a.name") != F.col("b.e.name")) & ((F.col("b.kind") == 1) | (F.col("a.i") < F.col("b.e.i")))
     )
-    predicate = F.when(F.col("b.kind") == 1, "RELATED_TO").otherwise(_predicate(F.col("s"), F.col("a.name"), F.col("b.e.name")))
+    predicate = F.when(F.col("b.kind") == 1, "RELATED_TO").otherwise(_predicate(F.col("s"), F.col("a"), F.col("b.e")))
     found = both.select(key, "b.kind", "no", "a", F.col("b.e").alias("other"), predicate.alias("p"))
 
     pairs = found.groupBy(key, F.col("a.name").alias("src"), F.col("other.name").alias("dst"))
