@@ -8,7 +8,8 @@ many documents share is shorter than any paragraph and marks nothing.
 
 The set of a line are its distinct five-word shingles, lower-cased (A-Z). ``BANDS`` bands of ``ROWS`` MinHash values are tuned for recall: two lines
 with Jaccard 0.8 share no band with probability (1 - 0.8^5)^16 = 0.002. Lines that share a band meet the band's first line and
-then lines of other components only; a pair must pass the signatures' filter inside that join (:mod:`recollect.llm.minhash`), and its exact Jaccard similarity is
+then lines of other components only. Inside that join a pair must pass the signatures' filter (:mod:`recollect.llm.minhash`) and an exact one: each line carries ``PARITY``
+bits, of which every shingle turns one over, so two lines differ in no more bits than shingles, and similar ones in few. The exact Jaccard similarity of what is left is
 verified on the whole sets. Lines with the same words are one class from the start. Windows collide where they are equal: all minima
 agree and the similarity is 1, so two 64-bit hashes of the words are their only band. The clusters are the components.
 
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ WINDOW = 24
 GAP = 27
 BANDS = 16
 ROWS = 5
+PARITY = 256
 PLACE_BITS = np.uint64(20)
 PLACES = 1 << 20  # places looked at together
 BATCH_WORDS = 1 << 18
@@ -86,11 +90,22 @@ def windows_of(shingles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes
 
 
+def parities(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, words) of ``PARITY`` bits, each turned over once by every distinct shingle that falls on it, and the number of distinct shingles."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((shingles, owner))
+    own, owner = shingles[order], owner[order]
+    first = np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]
+    own, owner = own[first], owner[first]
+    odd = np.bincount(owner * PARITY + (own % np.uint64(PARITY)).astype(np.int64), minlength=len(sizes) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1, bitorder="little").view(np.uint64), np.bincount(owner, minlength=len(sizes))
+
+
 def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, text_key, windows (start, a, b) and lines (start, end, key, keys, signature) of every document."""
     words_of_signature = signature_words(BANDS * ROWS)
     window_type = pa.struct([("start", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    line_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("keys", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
+    line_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 
     def grouped(sizes: list[int], columns: list[pa.Array], kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
@@ -124,21 +139,24 @@ def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
             sets += [shingles[a : b - SHINGLE_WORDS + 1] for a, b in long]
         pairs = np.concatenate([*hashes, np.zeros((0, 2), np.uint64)])
         windows = grouped(n_windows, [pa.array(np.concatenate([*starts, np.zeros(0, np.int64)]), pa.int32()), *[pa.array(signed(np.ascontiguousarray(pairs[:, k]))) for k in (0, 1)]], window_type)
-        banded, parts = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), words_of_signature), np.uint64)
+        banded, parts = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), words_of_signature + PARITY // 64), np.uint64)
+        distinct = np.zeros(len(sets), np.int64)
         sizes = np.array([len(x) for x in sets], np.int64)
         begin = 0
         while begin < len(sets):  # so many shingles at a time fit a processor's cache
             end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 1 << 16)))
-            least = minima(np.concatenate(sets[begin:end]), sizes[begin:end], BANDS * ROWS)
-            banded[begin:end], parts[begin:end] = band_keys(least, BANDS), signatures(least)
+            together = np.concatenate(sets[begin:end])
+            least = minima(together, sizes[begin:end], BANDS * ROWS)
+            banded[begin:end], parts[begin:end, :words_of_signature] = band_keys(least, BANDS), signatures(least)
+            parts[begin:end, words_of_signature:], distinct[begin:end] = parities(together, sizes[begin:end])
             begin = end
         edges = np.array(spans, np.int64).reshape(-1, 2)
-        lines = grouped(n_lines, [pa.array(edges[:, 0], pa.int32()), pa.array(edges[:, 1], pa.int32()), pa.array(keys, pa.binary()), listed(banded), listed(parts)], line_type)
+        lines = grouped(n_lines, [pa.array(edges[:, 0], pa.int32()), pa.array(edges[:, 1], pa.int32()), pa.array(keys, pa.binary()), pa.array(distinct, pa.int32()), listed(banded), listed(parts)], line_type)
         return pa.RecordBatch.from_arrays([*batch.columns[:3], windows, lines], names=["row", "doc_id", "text_key", "windows", "lines"])
 
     node = F.monotonically_increasing_id() if row is None else F.col(row)
     texts = docs.select(node.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_key()).alias("text_key"), "text")
-    line = "array<struct<start:int,end:int,key:binary,keys:array<bigint>,signature:array<bigint>>>"
+    line = "array<struct<start:int,end:int,key:binary,n:int,keys:array<bigint>,signature:array<bigint>>>"
     return texts.mapInArrow(encode, f"row long, doc_id long, text_key binary, windows array<struct<start:int,a:bigint,b:bigint>>, lines {line}")
 
 
@@ -182,16 +200,19 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
 def line_clusters(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """cluster (a long), row, doc_id, start, end of the lines of :func:`paragraph_rows` that are not alone."""
     words = signature_words(BANDS * ROWS)
-    parts = [f"s{k}" for k in range(words)]
+    parts = [*[f"s{k}" for k in range(words)], *[f"p{k}" for k in range(PARITY // 64)]]
     lines = found.select("row", "doc_id", "text_key", F.explode("lines").alias("l")).select("row", "doc_id", "text_key", "l.*")
-    one = lines.groupBy("key").agg(F.min(F.struct("row", "start", "end", "text_key", "keys", "signature")).alias("r"), F.count(F.lit(1)).alias("size"))
+    one = lines.groupBy("key").agg(F.min(F.struct("row", "start", "end", "text_key", "n", "keys", "signature")).alias("r"), F.count(F.lit(1)).alias("size"))
     classes = one.select("key", "size", "r.*").withColumn("node", F.monotonically_increasing_id())
-    classes = saved(classes.select("*", *[F.get("signature", F.lit(k)).alias(f"s{k}") for k in range(words)]).drop("signature"), "paragraph-classes")
+    classes = saved(classes.select("*", *[F.get("signature", F.lit(k)).alias(c) for k, c in enumerate(parts)]).drop("signature"), "paragraph-classes")
     held = shared_members(classes.select("node", F.explode("keys").alias("key")), "paragraph-bands")
-    members = held.join(classes.select("node", *parts), "node")
-    fits = parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity))
+    members = held.join(classes.select("node", "n", *parts), "node")
+    turned = reduce(add, [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_h"))) for k in range(PARITY // 64)])
+    # With the similarity J, no more than (1 - J) / (1 + J) of both sizes together stand in one set alone.
+    alone = (F.col("n") + F.col("n_h")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fits = (turned <= alone) & (parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity)))
     nodes = classes.select("node", "text_key", "start", "end")
-    joined = joined_components(members, fits, parts, ["node"], lambda pairs: similar(pairs, nodes, docs, similarity))
+    joined = joined_components(members, fits, ["n", *parts], ["node"], lambda pairs: similar(pairs, nodes, docs, similarity))
     discard(held)
     placed = classes.select("key", "node", "size").join(joined, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     sizes = placed.groupBy("cluster").agg(F.sum("size").alias("_size")).where("_size > 1").select("cluster")

@@ -213,6 +213,17 @@ def test_bands_find_similar_lines():
     assert caught >= 0.99 * total
 
 
+def test_parities_bound_what_stands_in_one_set_alone():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(rng.integers(1, 2**63, 60).astype(np.uint64), int(rng.integers(1, 80))) for _ in range(40)]  # with repeats
+    bits, n = paragraphs.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert n.tolist() == [len(set(x.tolist())) for x in sets]
+    for a, b in itertools.combinations(range(40), 2):
+        apart = sum(int(x).bit_count() for x in bits[a] ^ bits[b])
+        alone = len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+        assert apart <= alone and (alone - apart) % 2 == 0
+
+
 def brute_components(data, width, percent):
     sets = [runs(plain(r[1]), width) for r in data]
     pairs = [(a, b) for a, b in itertools.combinations(range(len(data)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
