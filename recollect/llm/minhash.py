@@ -4,7 +4,8 @@ A document's set are the distinct word shingles of its whole text, lower-cased (
 of a 32-bit fingerprint of a shingle gives one minimum per document; two sets agree in it with the probability of their Jaccard
 similarity. Documents that agree in all ``ROWS`` minima of a band are candidates: with Jaccard 0.8 a pair shares no band
 with probability (1 - 0.8^6)^48 = 5e-7. A candidate's signatures, four bits a minimum, are compared inside the join that
-meets it, and pairs which five standard deviations tell apart from the threshold (another 3e-7 are lost) go no further. The
+meets it, and pairs which five standard deviations tell apart from the threshold (another 3e-7 are lost) go no further; nor do
+those whose sets turn over too many different bits of ``PARITY`` (:func:`few_turned`), which loses none. The
 others are confirmed on the full sets, so no link is wrong. Members of a band meet its first member, then members of
 other components only (:mod:`recollect.llm.links`), and the links become components by large-star and small-star rounds.
 
@@ -37,6 +38,7 @@ ROWS = 6
 DEVIATIONS = 5
 BATCH_SHINGLES = 1 << 16
 BITS = 4  # of a minimum, in the signature
+PARITY = 512
 
 
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +99,29 @@ def parts_apart(words: int) -> Column:
     return reduce(add, map(word, range(words)))
 
 
+def parities(shingles: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, bits / 64) words of bits, each turned over once by every distinct shingle that falls on it, and the number of distinct shingles.
+
+    Two sets differ in no more bits than there are shingles in one of them alone.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((shingles, owner))
+    own, owner = shingles[order], owner[order]
+    first = np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]
+    own, owner = own[first], owner[first]
+    odd = np.bincount(owner * bits + (own % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.uint64), np.bincount(owner, minlength=len(sizes))
+
+
+def few_turned(bits: int, similarity: float) -> Column:
+    """Whether the parities p0, p1 ... and p0_h, p1_h ... of sets of n and n_h shingles allow the Jaccard similarity J: exact.
+
+    Of similar sets no more than (1 - J) / (1 + J) of both sizes together stand in one set alone.
+    """
+    turned = reduce(add, [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_h"))) for k in range(bits // 64)])
+    return turned <= (F.col("n") + F.col("n_h")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(run_hashes(word_hashes(split_words(text)), width))
 
@@ -105,22 +130,29 @@ def text_key() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
+def compared(n: int) -> list[str]:
+    """The columns that pairs are compared by before their sets are fetched: signatures of n minima, and parities."""
+    return [*[f"s{k}" for k in range(signature_words(n))], *[f"p{k}" for k in range(PARITY // 64)]]
+
+
 def encoded(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """node, doc_id, text_key, set_key, n, keys, s0, s1 ...: set sizes, band keys and signatures of all rows."""
-    words = signature_words(bands * rows)
+    """node, doc_id, text_key, set_key, n, keys, s0, s1 ..., p0, p1 ...: set sizes, band keys, signatures and parities of all rows."""
+    names = compared(bands * rows)
 
     def pack(ids: pa.Array, keys: pa.Array, nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in sets])
         full = np.flatnonzero(sizes)
-        banded, signed_parts = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), words), np.uint64)
+        banded, signed_parts = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), len(names)), np.uint64)
         if len(full):
-            least = minima(np.concatenate([sets[k] for k in full]), sizes[full], bands * rows)
-            banded[full], signed_parts[full] = band_keys(least, bands), signatures(least)
+            together = np.concatenate([sets[k] for k in full])
+            least = minima(together, sizes[full], bands * rows)
+            banded[full] = band_keys(least, bands)
+            signed_parts[full] = np.concatenate([signatures(least), parities(together, sizes[full], PARITY)[0]], axis=1)
         counts = np.where(sizes > 0, bands, 0)
         offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
         return pa.RecordBatch.from_arrays(
-            [nodes, ids, keys, pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(signed(banded[sizes > 0].ravel()))), *[pa.array(signed(np.ascontiguousarray(signed_parts[:, k]))) for k in range(words)]],
-            names=["node", "doc_id", "text_key", "set_key", "n", "keys", *[f"s{k}" for k in range(words)]],
+            [nodes, ids, keys, pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(signed(banded[sizes > 0].ravel()))), *[pa.array(signed(np.ascontiguousarray(signed_parts[:, k]))) for k in range(len(names))]],
+            names=["node", "doc_id", "text_key", "set_key", "n", "keys", *names],
         )
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +168,7 @@ def encoded(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     sets, begin, total = [], k + 1, 0
 
     rows_in = docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    schema = "node long, doc_id long, text_key string, set_key binary, n long, keys array<long>, " + ", ".join(f"s{k} long" for k in range(words))
+    schema = "node long, doc_id long, text_key string, set_key binary, n long, keys array<long>, " + ", ".join(f"{c} long" for c in names)
     return saved(rows_in.mapInArrow(encode, schema), "minhash-sets")
 
 
@@ -176,7 +208,7 @@ def minhash_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 
 
 def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
-    words = [f"s{k}" for k in range(signature_words(bands * rows))]
+    words = compared(bands * rows)
     sets = encoded(docs, width, bands, rows)
     grouped = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "keys", *words)).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(grouped.select("set_key", "r.*", "least_id"), "minhash-classes")
@@ -185,7 +217,7 @@ def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int
     held = shared_members(classes.select("node", F.explode("keys").alias("key")), "minhash-bands")
     members = held.join(classes.select("node", "n", *words), "node")
     size = 100 * F.least("n", "n_h") >= percent * F.greatest("n", "n_h")
-    fits = size & (parts_apart(len(words)) <= most_apart(bands * rows, percent))
+    fits = size & few_turned(PARITY, percent / 100) & (parts_apart(signature_words(bands * rows)) <= most_apart(bands * rows, percent))
     carried = ["n", *words]
     nodes = classes.select("node", "text_key")
     parts = joined_components(members, fits, carried, ["node"], lambda pairs: confirmed(pairs, nodes, docs, width, percent))

@@ -23,8 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, fresh, mixed, run_hashes, saved, scratch, signed, word_hashes
 from recollect.llm.links import joined_components, shared_members
-from recollect.llm.minhash import band_keys, minima, most_apart, parts_apart, signature_words, signatures, text_key
+from recollect.llm.minhash import band_keys, few_turned, minima, most_apart, parities, parts_apart, signature_words, signatures, text_key
 
 LINE_WORDS = 20
 WINDOW = 24
@@ -90,17 +88,6 @@ def windows_of(shingles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes
 
 
-def parities(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sets, words) of ``PARITY`` bits, each turned over once by every distinct shingle that falls on it, and the number of distinct shingles."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((shingles, owner))
-    own, owner = shingles[order], owner[order]
-    first = np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]
-    own, owner = own[first], owner[first]
-    odd = np.bincount(owner * PARITY + (own % np.uint64(PARITY)).astype(np.int64), minlength=len(sizes) * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1, bitorder="little").view(np.uint64), np.bincount(owner, minlength=len(sizes))
-
-
 def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, text_key, windows (start, a, b) and lines (start, end, key, keys, signature) of every document."""
     words_of_signature = signature_words(BANDS * ROWS)
@@ -148,7 +135,7 @@ def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
             together = np.concatenate(sets[begin:end])
             least = minima(together, sizes[begin:end], BANDS * ROWS)
             banded[begin:end], parts[begin:end, :words_of_signature] = band_keys(least, BANDS), signatures(least)
-            parts[begin:end, words_of_signature:], distinct[begin:end] = parities(together, sizes[begin:end])
+            parts[begin:end, words_of_signature:], distinct[begin:end] = parities(together, sizes[begin:end], PARITY)
             begin = end
         edges = np.array(spans, np.int64).reshape(-1, 2)
         lines = grouped(n_lines, [pa.array(edges[:, 0], pa.int32()), pa.array(edges[:, 1], pa.int32()), pa.array(keys, pa.binary()), pa.array(distinct, pa.int32()), listed(banded), listed(parts)], line_type)
@@ -207,10 +194,7 @@ def line_clusters(found: DataFrame, docs: DataFrame, similarity: float) -> DataF
     classes = saved(classes.select("*", *[F.get("signature", F.lit(k)).alias(c) for k, c in enumerate(parts)]).drop("signature"), "paragraph-classes")
     held = shared_members(classes.select("node", F.explode("keys").alias("key")), "paragraph-bands")
     members = held.join(classes.select("node", "n", *parts), "node")
-    turned = reduce(add, [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_h"))) for k in range(PARITY // 64)])
-    # With the similarity J, no more than (1 - J) / (1 + J) of both sizes together stand in one set alone.
-    alone = (F.col("n") + F.col("n_h")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    fits = (turned <= alone) & (parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity)))
+    fits = few_turned(PARITY, similarity) & (parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity)))
     nodes = classes.select("node", "text_key", "start", "end")
     joined = joined_components(members, fits, ["n", *parts], ["node"], lambda pairs: similar(pairs, nodes, docs, similarity))
     discard(held)

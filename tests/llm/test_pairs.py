@@ -216,7 +216,7 @@ def test_bands_find_similar_lines():
 def test_parities_bound_what_stands_in_one_set_alone():
     rng = np.random.default_rng(4)
     sets = [rng.choice(rng.integers(1, 2**63, 60).astype(np.uint64), int(rng.integers(1, 80))) for _ in range(40)]  # with repeats
-    bits, n = paragraphs.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    bits, n = minhash.parities(np.concatenate(sets), np.array([len(x) for x in sets]), 128)
     assert n.tolist() == [len(set(x.tolist())) for x in sets]
     for a, b in itertools.combinations(range(40), 2):
         apart = sum(int(x).bit_count() for x in bits[a] ^ bits[b])
