@@ -462,3 +462,48 @@ def test_merged_entities(spark):
     assert new["a"] == new["b"] != new["c"] and merged.entities.count() == 2
     assert rows(merged.relations) == sorted([(new["a"], "R", new["c"], 1), (new["c"], "R", "gone", 2)])
     assert rows(merged.mentions) == sorted([(new["a"], 1), (new["a"], 2), ("gone", 3)])
+
+
+def test_a_group_of_near_queries_looks_at_near_rows_only(monkeypatch):
+    """The pruned search gives what all pairs give, with ties by id and nulls, and scores few of the pairs."""
+    import numpy as np
+
+    from recollect.functions import similarity as S
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = unit(np.column_stack([rng.gamma(1.0, 30.0, 20_000).round(0), rng.integers(4, 9, 20_000), rng.integers(0, 24, 20_000), np.full(20_000, 10.0)]))
+    rows[rng.integers(0, 20_000, 3000)] = rows[7]  # more equal rows than there are places
+    rows[5], rows[6] = 0.0, np.nan
+    queries = np.vstack([rows[rng.integers(10, 20_000, 2000)], unit(np.abs(rng.normal(size=(20, 4)))), np.zeros((1, 4))])
+    ids = rng.permutation(20_000)
+    scored = []
+    merge = S._Best._merge
+    monkeypatch.setattr(S._Best, "_merge", lambda self, a, b, x, i: (scored.append((b - a) * len(x)), merge(self, a, b, x, i))[1])
+    best = S._Best(np.arange(len(queries)), queries, 5)
+    for part in np.array_split(np.arange(20_000), 3):
+        best.offer(rows[part], ids[part])
+    got = sorted((int(q), -s, int(i)) for qs, found, scores in best.rows() for q, i, s in zip(qs, found, scores))
+    want = []
+    for q, x in enumerate(queries):
+        scores = np.round(np.nan_to_num(rows @ x), S.RANK_DIGITS)
+        for i in np.lexsort((ids, -scores))[:5]:
+            if scores[i] > 0:
+                want.append((q, -scores[i], int(ids[i])))
+    assert [(q, i) for q, _, i in got] == [(q, i) for q, _, i in sorted(want)]
+    assert sum(scored) < 0.6 * len(queries) * len(rows)
+
+
+def test_all_hits_come_in_bounded_batches(spark, monkeypatch):
+    from recollect.functions import similarity as S
+
+    seen = []
+    monkeypatch.setattr(S, "block_match", lambda q, v, key, prepare, match, schema, *a: (seen.append((prepare, match)), spark.createDataFrame([], schema))[1])
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "query_id long, embedding array<double>")
+    v = spark.createDataFrame([(i, [2.0, float(i)]) for i in range(300)], "id long, embedding array<double>")
+    cosine_hits(q, v, None)
+    monkeypatch.setattr(S, "TILE", 400)
+    prepare, match = seen[0]
+    block = q.selectExpr("query_id AS q", "embedding AS v").toArrow()
+    out = list(match(prepare(block), iter(v.selectExpr("id", "embedding AS v").toArrow().to_batches())))
+    assert sum(b.num_rows for b in out) == 40 * 300 and max(b.num_rows for b in out) <= 400
