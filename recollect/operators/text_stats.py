@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,44 @@ from recollect.functions.similarity import dense
 from recollect.session import cut
 
 HOT_DF = 1000  # below this no term is hot, however small the corpus
-SPREAD = 1000
-SALTS = 32
+HOT_SHARE = 200  # a term of more than this part of the documents is hot
+COUNTED = 1 << 20  # tokens that a task counts at once
 
 Tokenizer = Callable[[str], Column]  # from the name of a text column to its tokens, an array of strings
 Embedder = Callable[[DataFrame], DataFrame]  # from (key, text) to (key, embedding); null or no row where it has none
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, term, tf) from (keys, list of tokens), whole documents at a time."""
+    for batch in batches:
+        upto = np.cumsum(batch.column(batch.num_columns - 1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            before = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + COUNTED, side="right")))
+            part = batch.slice(begin, end - begin)
+            lists, begin = part.column(part.num_columns - 1), end
+            held = lists.flatten().dictionary_encode(null_encoding="encode")
+            if not len(held):
+                continue
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            places, counts = np.unique(rows * len(held.dictionary) + held.indices.to_numpy(), return_counts=True)
+            row, code = np.divmod(places, len(held.dictionary))
+            keys = [c.take(pa.array(row)) for c in part.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*keys, held.dictionary.take(pa.array(code)), pa.array(counts, pa.int64())], names=[*part.schema.names[:-1], "term", "tf"])
+
+
 def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", *scope: str, tokenizer: Tokenizer = X.tokens) -> DataFrame:
-    """(key, term, tf). ``scope`` columns, such as an owner, are carried along; ``tokenizer`` may be any expression or pandas UDF."""
-    words = docs.select(*scope, key, F.explode(tokenizer(text)).alias("term"))
-    # A document is one input row, so the partial aggregate already counts it completely before the shuffle.
-    return words.groupBy(*scope, key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). ``scope`` columns, such as an owner, are carried along; ``tokenizer`` may be any expression or pandas UDF.
+
+    A document is one input row, so its task counts it completely, without a shuffle. Only where a look at the keys finds one that repeats are the counts of its rows added.
+    """
+    keys = list(dict.fromkeys([*scope, key]))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
+    counted = docs.select(*keys, tokenizer(text).alias("_words")).mapInArrow(_counted, f"{fields}, term string, tf long")
+    if docs.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return counted
+    return counted.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
 def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
@@ -35,18 +63,14 @@ def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
 def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
     """Left join on the term without a hot task for terms that very many documents hold.
 
-    At most 1000 times the mean number of terms per document can have a df above n / 1000. Each of them is joined under ``SALTS`` keys, so
-    that its documents are spread also where the list is too large to be broadcast; its rows then leave the other join under spread keys that match nothing.
+    At most 200 times the mean number of terms per document can have a df above n / 200. That list is broadcast, so the rows of these terms, the most of all, stay where
+    they are; only the others are joined by a shuffle.
     """
-    is_hot = F.col("df") > F.greatest(n / 1000, F.lit(HOT_DF))
-    hot = df.where(is_hot).select("term", *[F.col(c).alias(f"_hot_{c}") for c in df.columns if c != "term"])
-    rest = df.where(~is_hot).withColumnRenamed("term", "_t")
-    salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    tagged = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"], "left")
-    apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("string"))
-    tagged = tagged.withColumn("_t", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(apart))
-    joined = tagged.join(rest, "_t", "left")
-    return joined.select(*tf.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in df.columns if c != "term"])
+    is_hot = F.col("df") > F.greatest(n / HOT_SHARE, F.lit(HOT_DF))
+    hot, rest = F.broadcast(df.where(is_hot)), df.where(~is_hot)
+    names = [*tf.columns, *[c for c in df.columns if c != "term"]]
+    rare = tf.join(hot.select("term"), "term", "left_anti").join(rest, "term", "left")
+    return tf.join(hot, "term").select(*names).unionByName(rare.select(*names))
 
 
 def tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id") -> DataFrame:
@@ -67,7 +91,8 @@ def _slot_weights(tf: DataFrame, df: DataFrame, n: Column, key: str, dim: int) -
     weighted = joined.select(
         key, F.length("term").alias("_len"), (F.col("tf") * idf).alias("w"), F.coalesce("slot1", _slot1(dim)).alias("slot1")
     ).withColumn("slot2", ((F.col("slot1") * 31 + F.col("_len")) % dim).cast("int"))
-    entries = weighted.select(
+    # Dealt out by key once: the sums, and what callers group by key, need no further shuffle.
+    entries = weighted.repartition(key).select(
         key,
         F.explode(
             F.array(

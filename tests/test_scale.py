@@ -507,3 +507,20 @@ def test_all_hits_come_in_bounded_batches(spark, monkeypatch):
     block = q.selectExpr("query_id AS q", "embedding AS v").toArrow()
     out = list(match(prepare(block), iter(v.selectExpr("id", "embedding AS v").toArrow().to_batches())))
     assert sum(b.num_rows for b in out) == 40 * 300 and max(b.num_rows for b in out) <= 400
+
+
+def test_sparse_join_sums_frequent_terms_for_near_pairs_only(spark):
+    import math
+
+    rng = random.Random(8)
+    def table(n, seed):
+        return [(i, f"t{t}", rng.choice([1.0, 2.0, -1.0])) for i in range(n) for t in sorted({int(rng.random() ** 3 * 40) for _ in range(9)})]
+    q, v = table(40, 1), table(200, 2)
+    got = R.sparse_join(spark.createDataFrame(q, "query_id long, term string, weight double"), spark.createDataFrame(v, "id long, term string, weight double"), 0.3)
+    def unit(data):
+        out = {}
+        for i, t, w in data:
+            out.setdefault(i, {})[t] = w
+        return {i: {t: w / math.sqrt(sum(x * x for x in d.values())) for t, w in d.items()} for i, d in out.items()}
+    scores = {(a, b): sum(w * y.get(t, 0) for t, w in x.items()) for a, x in unit(q).items() for b, y in unit(v).items()}
+    assert {(r.query_id, r.id): round(r.score, 9) for r in got.collect()} == {k: round(s, 9) for k, s in scores.items() if round(s, 12) >= 0.3}

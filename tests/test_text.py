@@ -180,3 +180,29 @@ def test_white_space_of_any_kind_is_stripped(spark):
     df = spark.createDataFrame([("\t42\n",)], "a string")
     assert df.select(X.strip("a")).first()[0] == "42"
     assert md.approx_tokens("a\u3000b c") == 2
+
+
+def test_terms_of_unique_documents_are_counted_without_a_shuffle(spark):
+    from recollect.operators import text_stats as TS
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    once = spark.createDataFrame([(1, "a b a"), (2, None), (None, "b")], "doc_id long, text string")
+    counted = TS.term_frequency(once)
+    assert "Exchange" not in plan(counted)
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted([(1, "a", 2), (1, "b", 1), (None, "b", 1)], key=str)
+    twice = once.union(once)
+    assert sorted(map(tuple, TS.term_frequency(twice).collect()), key=str) == sorted([(1, "a", 4), (1, "b", 2), (None, "b", 2)], key=str)
+
+
+def test_weights_of_frequent_and_rare_terms(spark, monkeypatch):
+    import math
+
+    from pyspark.sql import functions as F
+    from recollect.operators import text_stats as TS
+
+    monkeypatch.setattr(TS, "HOT_DF", 3)
+    docs = spark.createDataFrame([(i, f"all w{i % 5} x{i}") for i in range(20)], "doc_id long, text string")
+    tf = TS.term_frequency(docs)
+    got = {(r.doc_id, r.term): r.weight for r in TS.tfidf(tf, TS.document_frequency(tf), F.lit(20)).collect()}
+    want = {(i, t): math.log(20 / (1 + df)) for i in range(20) for t, df in (("all", 20), (f"w{i % 5}", 4), (f"x{i}", 1))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
