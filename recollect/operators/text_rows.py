@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,32 @@ def _key_type(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
 
+SLICE_BYTES = 1 << 20  # of text that a task turns into Python objects at once
+
+
+def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE_BYTES``; a longer text is alone."""
+    upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield begin, end
+        begin = end
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, text) of the batches in slices of a bounded size."""
+    for batch in batches:
+        for a, b in _cuts(batch.column(1)):
+            yield batch.slice(a, b - a)
+
+
 def split_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, content, heading_path, start, end) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             rows = [
                 (k, i, *p)
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -43,7 +66,7 @@ def chunk(docs: DataFrame, chunk_tokens: int = 500, overlap: int = 50, key: str
     """(key, chunk_index, content, heading_path, start, end, tokens) of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             rows = [
                 (k, i, *c)
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -123,9 +146,13 @@ def clean_page_text(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
 def strip_markers(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
     """Remove reasoning blocks and tool-call marks; unclosed ones stay."""
 
-    @F.pandas_udf("string")
-    def strip(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: markers.strip_tool_calls(markers.strip_reasoning(t)) if t else "")
+    @F.arrow_udf("string")
+    def strip(texts: pa.Array) -> pa.Array:
+        parts = [
+            pa.array([markers.strip_tool_calls(markers.strip_reasoning(t)) if t else "" for t in texts.slice(a, b - a).to_pylist()], pa.string())
+            for a, b in _cuts(texts)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return df.withColumn(out, strip(F.col(col)))
 
