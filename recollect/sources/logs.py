@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from recollect.functions import exprs as X
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The stage marks of the log, as (kind, pattern with the part to keep).
@@ -34,12 +37,14 @@ def parse_dialogue_log(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataF
     """
     clock = r"^(\d{2}):(\d{2}):(\d{2}) - (.*)$"
     parsed = lines.where(F.col("value").rlike(clock)).select(
-        "file", "line", *carried, *[F.regexp_extract("value", clock, i).cast("int").alias(n) for i, n in ((1, "h"), (2, "m"), (3, "s"))],
+        "file", "line", *carried, *[F.substring("value", i, 2).cast("int").alias(n) for i, n in ((1, "h"), (4, "m"), (7, "s"))],
         X.strip(F.regexp_extract("value", clock, 4)).alias("msg"),
     )
     kind = part = None
     for name, pattern in STAGES:
-        hit = F.col("msg").rlike(pattern)
+        # The mark that a pattern begins with tells most lines apart, so a line meets few patterns.
+        marks = [m for m in re.match(r"\^(?:\(\?:([^)]*)\)|([^(.\\\\]*))", pattern).groups() if m][0].split("|")
+        hit = reduce(Column.__or__, [F.startswith("msg", F.lit(m)) for m in marks]) & F.col("msg").rlike(pattern)
         value = F.regexp_extract("msg", pattern, 1) if "(" in pattern.replace("(?:", "").replace(r"\(", "") else F.lit("")
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         part = F.when(hit, value) if part is None else part.when(hit, value)
