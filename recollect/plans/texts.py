@@ -550,7 +550,7 @@ def s11(t):
     """Log files written from the events and read back, counted by kind of line."""
     path = work_path(t.spark, "log")
     lines = _log_lines(t)
-    lines.repartitionByRange(4, "file", "line").sortWithinPartitions("file", "line").select("value").write.text(path)
+    lines.repartitionByRange("file", "line").sortWithinPartitions("file", "line").select("value").write.text(path)
     events = L.read_dialogue_log(t.spark, path)
     return events.where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
