@@ -9,6 +9,7 @@ longer again. Names that begin with a dot or an underscore are no data. With ``u
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 PIECE = 32 << 20
 TAIL = 1 << 16
+LINES = 10_000  # in a batch
 
 
 @dataclass
@@ -57,16 +59,23 @@ def lines_between(handle, piece: Piece) -> Iterator[tuple[int, str]]:
     skip = at < piece.first
     read = at
     while at < piece.last:
-        while (cut := rest.find(b"\n")) < 0 and read < piece.end:
+        parts = [rest]
+        while read < piece.end:
             block = handle.read(min(TAIL, piece.end - read))
             read += len(block)
-            rest += block
-        if cut < 0:
+            parts.append(block)
+            if b"\n" in block or not block:
+                break
+        *whole, rest = b"".join(parts).split(b"\n")
+        if not whole:
             return
-        if not skip:
-            yield at, rest[:cut].decode("utf-8", "replace").removesuffix("\r")
-        skip = False
-        at, rest = at + cut + 1, rest[cut + 1 :]
+        for line in whole:
+            if at >= piece.last:
+                return
+            if not skip:
+                yield at, line.decode("utf-8", "replace").removesuffix("\r")
+            skip = False
+            at += len(line) + 1
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -99,11 +108,15 @@ class GrowingReader(DataSourceStreamReader):
             out += [Piece(file, at, min(at + self.size, last), begin, last) for at in range(begin, last, self.size)]
         return out
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Piece) -> Iterator:
+        import pyarrow as pa
+
         system, _ = _file_system(self.path)
         with system.open_input_file(partition.file) as handle:
-            for place, value in lines_between(handle, partition):
-                yield partition.file, place, value
+            lines = lines_between(handle, partition)
+            while some := list(itertools.islice(lines, LINES)):
+                places, values = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(some), pa.string()), pa.array(places, pa.int64()), pa.array(values, pa.string())], names=["file", "line", "value"])
 
 
 class GrowingLines(DataSource):
