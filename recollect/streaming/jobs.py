@@ -113,7 +113,8 @@ class _Ticks(StatefulProcessor):
         return iter(())
 
     def _rows(self, tick: int) -> list[tuple]:
-        return pickle.loads(self.waiting.getValue((tick,))[0]) if self.waiting.containsKey((tick,)) else []
+        held = self.waiting.getValue((tick,))  # one question to the store
+        return pickle.loads(held[0]) if held else []
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
@@ -153,7 +154,8 @@ class _WorkingMemory(_Ticks):
         self.held = handle.getValueState("held", "rows binary")
 
     def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
-        held = [Held(*h) for h in pickle.loads(self.held.get()[0])] if self.held.exists() else []
+        known = self.held.get()
+        held = [Held(*h) for h in pickle.loads(known[0])] if known else []
         for importance, at, seq in zip(frame["importance"], _micros(frame["created_at"]), frame["seq"].tolist()):
             held = insert(held, Held(float(importance), at, (seq,)), self.capacity, self.ttl)
         self.held.update((pickle.dumps([tuple(h) for h in held]),))
@@ -167,7 +169,8 @@ class _WorkingMemory(_Ticks):
         })
 
     def idle(self, end: int) -> None:
-        if self.held.exists() and max(h[1] for h in pickle.loads(self.held.get()[0])) + self.ttl < end * 1000:
+        known = self.held.get()
+        if known and max(h[1] for h in pickle.loads(known[0])) + self.ttl < end * 1000:
             self.held.clear()
 
 
@@ -196,7 +199,8 @@ class _Affinity(_Ticks):
         self.value = handle.getValueState("affinity", "x double")
 
     def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
-        x = self.value.get()[0] if self.value.exists() else self.start
+        known = self.value.get()
+        x = known[0] if known else self.start
         old, new = [], []
         for c in frame["change"]:
             old.append(x)
