@@ -524,3 +524,20 @@ def test_sparse_join_sums_frequent_terms_for_near_pairs_only(spark):
         return {i: {t: w / math.sqrt(sum(x * x for x in d.values())) for t, w in d.items()} for i, d in out.items()}
     scores = {(a, b): sum(w * y.get(t, 0) for t, w in x.items()) for a, x in unit(q).items() for b, y in unit(v).items()}
     assert {(r.query_id, r.id): round(r.score, 9) for r in got.collect()} == {k: round(s, 9) for k, s in scores.items() if round(s, 12) >= 0.3}
+
+
+def test_pairs_of_neighbours_are_dealt_out_by_memory(spark, monkeypatch):
+    rng = random.Random(6)
+    mentions = {("hot", m) for m in range(400)} | {(f"e{rng.randrange(9)}", rng.randrange(400)) for _ in range(300)} | {("hot", None), ("e1", None)}
+    edges = {(f"e{i}", "hot") for i in range(9)} | {("e1", "e2"), ("e3", None)}
+    frame = spark.createDataFrame(list(mentions) * 2, "entity_id string, memory_id long")
+    relations = spark.createDataFrame(list(edges), "src string, dst string")
+    wanted = spark.createDataFrame([(f"e{i}",) for i in range(4)] * 2, "entity_id string")
+    monkeypatch.setattr(G, "TASK_MENTIONS", 100)
+    near = edges | {(b, a) for a, b in edges}
+    want = {(a, m) for a, b in near for e, m in mentions if a in {"e0", "e1", "e2", "e3"} and b == e and b is not None}
+    key = lambda x: (x[0], -1 if x[1] is None else x[1])
+    got = G.neighbour_memories(wanted, relations, frame)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted((x for x in want if x[1] is None or x not in mentions), key=key)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, G.neighbour_memories(wanted, relations, frame, False).collect()), key=key) == sorted(want, key=key)

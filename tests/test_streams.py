@@ -206,3 +206,51 @@ def test_sessions_over_a_border_are_rebuilt(spark, tmp_path):
     assert trigger(first, "a.log") == [("A", "hi", "yo", None, 2, False)]
     assert trigger(first, "b.log") == [("A", "hi", "yo", None, 2, False)] * 2
     assert trigger(rest, "a.log") == [("A", "hi", "yo", 2.0, 6, True), ("A", "hi", "yo", None, 2, False), ("B", "hey", None, None, 0, False)]
+
+
+def test_lines_of_a_growing_file_are_cut_once(monkeypatch):
+    """Lines over the borders of pieces and blocks; every block of bytes is searched once, whatever number of lines it holds."""
+    import io
+
+    from recollect.sources import growing
+
+    monkeypatch.setattr(growing, "TAIL", 64)
+    rng = random.Random(3)
+    data = "".join("é" * rng.choice([0, 1, 5, 90]) + rng.choice(["\n", "\r\n"]) for _ in range(300)).encode()
+    want, at = [], 0
+    for line in data.split(b"\n")[:-1]:
+        want.append((at, line.decode().removesuffix("\r")))
+        at += len(line) + 1
+    for size in (1, 33, 500, len(data)):
+        pieces = [Piece("f", a, min(a + size, len(data)), 0, len(data)) for a in range(0, len(data), size)]
+        assert [x for p in pieces for x in lines_between(io.BytesIO(data), p)] == want
+    reader = growing.GrowingReader({"path": "unused"})
+    monkeypatch.setattr(growing, "LINES", 100)
+
+    class Files:
+        def open_input_file(self, file):
+            return io.BytesIO(data)
+
+    monkeypatch.setattr(growing, "_file_system", lambda path: (Files(), None))
+    batches = list(reader.read(Piece("f", 0, len(data), 0, len(data))))
+    assert [b.num_rows for b in batches] == [100, 100, 100]
+    assert [x for b in batches for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())] == want
+
+
+def test_a_value_is_asked_for_once():
+    import pickle
+
+    class Map:
+        def __init__(self):
+            self.held, self.asked = {(3,): (pickle.dumps([(1,)]),)}, 0
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.held.get(key)
+
+        def containsKey(self, key):
+            raise AssertionError("asked twice")
+
+    ticks = J._Ticks([], "t", [], 1)
+    ticks.waiting = Map()
+    assert ticks._rows(3) == [(1,)] and ticks._rows(4) == [] and ticks.waiting.asked == 2

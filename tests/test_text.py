@@ -206,3 +206,29 @@ def test_weights_of_frequent_and_rare_terms(spark, monkeypatch):
     got = {(r.doc_id, r.term): r.weight for r in TS.tfidf(tf, TS.document_frequency(tf), F.lit(20)).collect()}
     want = {(i, t): math.log(20 / (1 + df)) for i in range(20) for t, df in (("all", 20), (f"w{i % 5}", 4), (f"x{i}", 1))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_texts_become_objects_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from recollect.operators import text_rows as TR
+
+    monkeypatch.setattr(TR, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abcd", "abcd", None, "x" * 50, "", "abcdefghij"])], names=["k", "t"])
+    parts = [b.column(1).to_pylist() for b in TR._small(iter([batch, batch.slice(0, 0)]))]
+    assert parts == [["abcd", "abcd", None], ["x" * 50], ["", "abcdefghij"]]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a <think>b</think> c", None, "", "[TOOL_CALL:x:y] z"] * 3)], "i int, t string")
+    assert [r.clean for r in TR.strip_markers(texts, "t").orderBy("i").collect()] == ["a  c", "", "", "z"] * 3
+
+
+def test_a_mark_in_front_decides_which_pattern_a_log_line_meets(spark):
+    from recollect.sources import logs as L
+
+    lines = ["💬 对话开始: a <-> 玩家", "💬 a回复: 💬 对话开始: b", "📉 好感度变化: 3 -> 1 (-2.0)", "📈 好感度变化: 1 -> 2 (+1)", "➡️ 好感度未变化 (当前: 5.0)", "x 情感: y", "情感: y"]
+    df = spark.createDataFrame([("f", i, f"01:02:0{i} - {x} ") for i, x in enumerate(lines)], "file string, line long, value string")
+    parsed = L.parse_dialogue_log(df)
+    got = [(r.seconds, r.kind, r.subject, r.number, r.text) for r in parsed.orderBy("line").collect()]
+    assert got == [
+        (3720, "start", "a", None, None), (3721, "reply", None, None, "💬 对话开始: b"), (3722, "change", None, -2.0, None), (3723, "change", None, 1.0, None),
+        (3724, "unchanged", None, 5.0, None), (3725, None, None, None, None), (3726, "sentiment", None, None, "y")]
+    assert "startswith(" in parsed._jdf.queryExecution().analyzed().toString().lower()
