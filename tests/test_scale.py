@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,31 @@ def test_substring_search(spark):
     assert rows(got) == sorted((q, i) for q, p in phrases if p and p.strip() for i, t in texts if t and p in t)
 
 
+def test_substring_search_writes_no_texts(spark, monkeypatch):
+    """One pass over the texts: what is written on the way does not grow with them."""
+    from recollect.functions import matching
+
+    written, keep = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: written.append(df.count()) or keep(df))
+    texts = spark.range(300).selectExpr("id", "concat_ws(' ', transform(sequence(0, 40), k -> concat('w', (id * 7 + k) % 90))) AS text")
+    phrases = spark.createDataFrame([(1, "w1 w2 w3 w4"), (2, "w8"), (3, "9 w5")], "query_id long, phrase string")
+    got = substring_hits(phrases, texts)
+    assert rows(got) == sorted((q, r.id) for q, p in [(1, "w1 w2 w3 w4"), (2, "w8"), (3, "9 w5")] for r in texts.collect() if p in r.text)
+    assert max(written) <= 3
+
+
+def test_phrases_are_found_across_steps():
+    from recollect.functions.matching import Phrases
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abä ") for _ in range(rng.choice([0, 1, 5, 90]))).encode() for _ in range(200)]
+    phrases = sorted({t[a : a + n] for t in texts for n in (1, 2, 4, 7, 8, 9, 12, 15, 16, 31, 33, 70) for a in [rng.randint(0, len(t))]} - {b""})
+    ends = np.cumsum([0, *map(len, texts)])
+    for step in (16, 1 << 18):
+        got = [pair for p, k in Phrases(phrases).found(np.frombuffer(b"".join(texts), np.uint8), ends, step) for pair in zip(p, k, strict=True)]
+        assert sorted(got) == [(p, k) for p, x in enumerate(phrases) for k, t in enumerate(texts) if x in t]
+
+
 def test_parts_make_the_whole_text(spark):
     from recollect.functions.ordered import text_parts
 
