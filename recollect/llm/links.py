@@ -1,9 +1,10 @@
 """From candidate groups to components: hubs instead of all pairs, and connected components by alternating stars.
 
-A group of m candidates has m^2/2 pairs. :func:`hub_pairs` offers only the pairs of each member with the group's first one; after these are
-verified and joined to components, further rounds (:func:`pivot_pairs`) offer each member a few pivots of other components, as long as
-that pays. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size.
-:func:`crossing_pairs` then offers all pairs of a group that still lie in different components.
+A group of m candidates has m^2/2 pairs. :func:`hub_pairs` offers only the pairs of each member with the group's first one. After these are
+verified and joined to components, groups of up to ``FEW`` members are offered all their pairs of different components (:func:`crossing_pairs`): at most
+``FEW / 2`` a member. Rounds of pivots (:func:`pivot_pairs`) are for the larger groups alone: each member meets a few pivots of other components, as long as
+that pays and the pairs left are many. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size;
+at the end it is offered all pairs that still lie in different components.
 Together they lose no link: a pair that is never offered is already connected.
 """
 
@@ -18,6 +19,8 @@ from recollect.llm.common import discard, saved, scratch
 
 PIVOTS = 4
 LEAST_FOUND = 0.05  # of the pairs offered: with fewer links, another round of pivots does not pay
+FEW = 32  # members of a group whose pairs are offered at once
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the edges (a, b). No node's neighbours meet in one row.
@@ -85,35 +88,72 @@ def crossing_pairs(apart: DataFrame, fits: Column, carried: list[str]) -> DataFr
     return met(apart, apart, fits & (F.col("node") < F.col("node_h")), carried)
 
 
-def joined_components(members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def many_crossings(apart: DataFrame) -> bool:
+    """Whether the pairs of a group in different components are more than ``FEW / 2`` a member."""
+    each = apart.groupBy("key", "_part").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"))
+    n, twice = each.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("within"))).first()
+    return bool(n) and twice > FEW * n
+
+
+def joined_components(
+    members: DataFrame,
+    fits: Column,
+    carried: list[str],
+    order: list[str],
+    verify: Callable[[DataFrame], DataFrame],
+    sketches: DataFrame | None = None,
+    alike: Column | None = None,
+) -> DataFrame:
     """node, component of the members (key, node and ``carried``) that :func:`verify` links; ``verify`` keeps of pairs (a, b) those that link.
 
-    ``fits`` may name the carried columns, which have a ``_h`` behind them for the other one of a pair.
+    ``fits`` may name the carried columns, which have a ``_h`` behind them for the other one of a pair. ``alike`` may also name the columns of
+    ``sketches`` (node, ...): what is too wide to carry for all members, and is given only to those of groups in several components.
     """
     with scratch(members.sparkSession) as keep:
-        return keep(_joined(members, fits, carried, order, verify), "components")
+        return keep(_joined(members, fits, carried, order, verify, sketches, alike), "components")
 
 
-def _joined(members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _joined(
+    members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, alike: Column | None
+) -> DataFrame:
     done = saved(hub_pairs(members, fits, carried, order), "offered")
     links = verify(done)
     parts = components(links)
     apart = still_apart(members, parts)
-    pays, turn = not links.isEmpty(), 0
-    while pays and not apart.isEmpty():
-        turn += 1
-        offered = saved(pivot_pairs(apart, fits, carried, turn).join(done, ["a", "b"], "left_anti"), "offered")
+
+    def linked(offered: DataFrame) -> tuple[int, int]:
+        """Add the links among the pairs to the components; how many pairs were new, and how many of them link."""
+        nonlocal done, parts
+        offered = saved(offered.join(done, ["a", "b"], "left_anti"), "offered")
+        asked = offered.count()
+        if not asked:
+            return 0, 0
+        done = done.union(offered)
         new = verify(offered)
         found = new.count()
-        pays = found > 0 and found >= LEAST_FOUND * offered.count()
         if found:
-            stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = components(stars.union(new))
-            before, apart = apart, still_apart(apart.drop("_part"), parts)
-            discard(before)
-        done = done.union(offered)
+            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        return asked, found
+
     if apart.isEmpty():
         return parts
-    last = verify(saved(crossing_pairs(apart, fits, carried).join(done, ["a", "b"], "left_anti"), "offered"))
-    stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(stars.union(last))
+    many = saved(apart.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("key"), "groups")
+    seen = apart
+    if sketches is not None:
+        seen, fits, carried = apart.join(sketches, "node"), fits & alike, [*carried, *[c for c in sketches.columns if c != "node"]]
+    linked(crossing_pairs(seen.join(many, "key", "left_anti"), fits, carried))
+    if many.isEmpty():
+        return parts
+    large = still_apart(seen.join(many, "key", "left_semi").drop("_part"), parts)
+    discard(apart)
+    pays, turn = not links.isEmpty(), 0
+    while pays and many_crossings(large):
+        turn += 1
+        asked, found = linked(pivot_pairs(large, fits, carried, turn))
+        pays = found > 0 and found >= LEAST_FOUND * asked
+        if found:
+            before, large = large, still_apart(large.drop("_part"), parts)
+            discard(before)
+    if not large.isEmpty():
+        linked(crossing_pairs(large, fits, carried))
+    return parts
