@@ -6,7 +6,8 @@ remaining short lists, and membership in the long lists is probed. Here the shor
 shingles, |x| - T + 1 of them. Rarity is one global order, from a sketch of ``BUCKETS`` counters over all shingles of the corpus.
 The lists are joined by Spark; a pair must also pass the size filter and the position filter (what stands behind the common
 shingle in both sets must suffice), and no list's pairs are all made: members meet the list's hub first, then only members of
-different components (:mod:`recollect.llm.links`). A pair's short lists are merged for a closer bound (:func:`promising`); the sets of the pairs
+different components (:mod:`recollect.llm.links`). Inside that join a pair must pass an exact filter on ``PARITY`` bits of which every shingle of a set turns
+one over (:func:`recollect.llm.minhash.few_turned`). A pair's short lists are merged for a closer bound (:func:`promising`); the sets of the pairs
 left are searched block by block with
 :func:`divide_skip`: short lists are merged with a heap, long ones probed by bisection, and the overlap reached is exact.
 
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import discard, fresh, run_hashes, saved, scratch, signed, split_words, word_hashes
 from recollect.llm.links import joined_components, shared_members
+from recollect.llm.minhash import few_turned, parity_words
 
 SHINGLE = 3
 PERCENT = 90
 BUCKETS = 1 << 16
+PARITY = 512
+PARITIES = [f"p{k}" for k in range(PARITY // 64)]
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -116,31 +120,34 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, width: int, percent: int, counts: np.ndarray, row: str | None = None) -> DataFrame:
-    """node, doc_id, text_key, set_key, n, short: ``short`` are the shingles whose lists are merged, rarest first.
+    """node, doc_id, text_key, set_key, n, short, p0, p1 ...: ``short`` are the shingles whose lists are merged, rarest first; the others the parities of the set.
 
     ``row`` names a column of unique numbers to use as nodes.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, short = [], [], []
+            keys, sizes, short, turned = [], [], [], []
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), width)
                 n = len(own)
                 order = np.lexsort((own, counts[(own % np.uint64(BUCKETS)).astype(np.int64)]))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(n)
+                turned.append(parity_words(own, np.zeros(n, np.int64), 1, PARITY))
                 short.append(signed(own[order[: n - -(-percent * n // 100) + 1]]) if n else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, short)])
             shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(short) if short else np.zeros(0, np.int64)))
+            words = signed(np.concatenate([*turned, np.zeros((0, len(PARITIES)), np.uint64)]).T.copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), shingles, batch.column(3)],
-                names=["doc_id", "text_key", "set_key", "n", "short", "node"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), shingles, batch.column(3), *map(pa.array, words)],
+                names=["doc_id", "text_key", "set_key", "n", "short", "node", *PARITIES],
             )
 
     node = F.monotonically_increasing_id() if row is None else F.col(row)
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text", node.alias("node"))
-    return saved(rows.mapInArrow(encode, "doc_id long, text_key string, set_key binary, n long, short array<long>, node long"), "jaccard-sets")
+    schema = "doc_id long, text_key string, set_key binary, n long, short array<long>, node long, " + ", ".join(f"{c} long" for c in PARITIES)
+    return saved(rows.mapInArrow(encode, schema), "jaccard-sets")
 
 
 def text_key():
@@ -212,7 +219,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     counts = rarity(docs, width)
     sets = encoded(docs, width, percent, counts, row)
     # One node stands for all documents with the same set. Combined before the shuffle, so copies do not meet in one task.
-    classes = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "short")).alias("r"), F.min("doc_id").alias("least_id"))
+    classes = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "short", *PARITIES)).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(classes.select("set_key", "r.*", "least_id"), "jaccard-classes")
     members = shared_members(classes.select("node", "n", F.posexplode("short").alias("at", "key")), "jaccard-lists")
     total = F.col("n") + F.col("n_h")
@@ -222,7 +229,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     nodes = classes.select("node", "text_key")
     shorts = classes.select("node", "n", "short")
     verify = lambda pairs: verified(promising(pairs, shorts, counts, percent), nodes, docs, width, percent)
-    parts = joined_components(members, fits, ["n", "at"], ["at", "node"], verify)
+    parts = joined_components(members, fits, ["n", "at"], ["at", "node"], verify, classes.select("node", *PARITIES), few_turned(PARITY, percent / 100))
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component", "component_id")

@@ -109,8 +109,13 @@ def parities(shingles: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.nda
     own, owner = shingles[order], owner[order]
     first = np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]
     own, owner = own[first], owner[first]
-    odd = np.bincount(owner * bits + (own % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.uint64), np.bincount(owner, minlength=len(sizes))
+    return parity_words(own, owner, len(sizes), bits), np.bincount(owner, minlength=len(sizes))
+
+
+def parity_words(shingles: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """(n, bits / 64) words as of :func:`parities`, of shingles that are distinct within each of n owners."""
+    odd = np.bincount(owner * bits + (shingles % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.uint64)
 
 
 def few_turned(bits: int, similarity: float) -> Column:

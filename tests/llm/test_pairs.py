@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, links, minhash, paragraphs, suffixes
 from tests.llm.fixtures import DOCS, documents, plain, rows, sentence
@@ -290,3 +291,53 @@ def test_empty_tables(spark):
     assert suffixes.repeated_bytes(none).count() == 0 and suffixes.without_repeats(none).count() == 0
     assert paragraphs.paragraph_dedup(none).count() == 0 and paragraphs.without_passages(none).count() == 0
     assert minhash.minhash_components(none).count() == 0
+
+
+def linked_by_parity(offered):
+    """A stand-in for the exact check: numbers of the same tens link if they are less than three apart."""
+
+    def verify(pairs):
+        offered.append(pairs.count())
+        return pairs.where("floor(a / 10) = floor(b / 10) AND b - a < 3")
+
+    return verify
+
+
+def test_few_members_are_crossed_at_once(spark):
+    """Groups of few members that do not link cost one round after the hubs, not a round of pivots each time that a few links are found."""
+    rows = [(g, g * 10 + k) for g in range(300) for k in range(9)] + [(1000 + g, g * 10 + k) for g in range(299) for k in range(5, 15)]
+    members = spark.createDataFrame(rows, "key long, node long")
+    offered = []
+    got = links.joined_components(members, F.lit(True), [], ["node"], linked_by_parity(offered))
+    assert len(offered) == 2
+    assert {r.node: r.component for r in got.collect() if r.component != r.node} == {g * 10 + k: g * 10 for g in range(300) for k in range(1, 10 if g < 299 else 9)}
+
+
+def test_large_groups_are_joined_by_pivots(spark):
+    members = spark.createDataFrame([(1, k) for k in range(400)] + [(2, 5), (2, 15), (2, 25)], "key long, node long")
+    offered = []
+
+    def verify(pairs):
+        offered.append(pairs.count())
+        return pairs.where("(a < 200) = (b < 200) AND pmod(xxhash64(a, b), 3) = 0")
+
+    got = links.joined_components(members, F.lit(True), [], ["node"], verify).collect()
+    assert {r.component for r in got} == {0, 200} and len(got) == 400
+    assert sum(offered) < 400 * 399 / 2
+
+
+def test_jaccard_joins_meet_only_like_sets(spark, monkeypatch):
+    """Texts that share their rarest shingles but little else are kept apart inside the join; none that links is lost."""
+    rng = random.Random(3)
+    shared = " ".join(f"r{k}" for k in range(12))
+    data = [(i, shared + " " + " ".join(f"c{rng.randrange(40)}" for _ in range(60))) for i in range(20)]
+    data += [(100, "a b c " + data[0][1]), (101, data[5][1] + " y z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    asked = []
+    promising = jaccard.promising
+    monkeypatch.setattr(jaccard, "promising", lambda pairs, *rest: asked.append(pairs.count()) or promising(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 3, 80).collect()}
+    sets = {i: set(jaccard.shingle_set(t, 3).tolist()) for i, t in data}
+    like = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert like == [(0, 100), (5, 101)] and got == {i: {100: 0, 101: 5}.get(i, i) for i in sets}
+    assert sum(asked[1:]) <= len(like)
