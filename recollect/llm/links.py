@@ -2,24 +2,38 @@
 
 A group of m candidates has m^2/2 pairs. :func:`hub_pairs` offers only the pairs of each member with the group's first one. After these are
 verified and joined to components, groups of up to ``FEW`` members are offered all their pairs of different components (:func:`crossing_pairs`): at most
-``FEW / 2`` a member. Rounds of pivots (:func:`pivot_pairs`) are for the larger groups alone: each member meets a few pivots of other components, as long as
-that pays and the pairs left are many. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size;
-at the end it is offered all pairs that still lie in different components.
+``FEW / 2`` a member. Rounds of pivots (:func:`pivot_pairs`) are for the larger groups alone: each member meets a few pivots of other components, more in every round, as long as
+that pays and the pairs left are many, in ``TURNS`` rounds at most. So a large group of near copies, of which any two link with some chance, grows together in a few rounds of linear size;
+at the end it is offered all pairs that still lie in different components (:func:`large_crossing_pairs`), compared in tiles of two blocks of members, so no group meets in one task.
 Together they lose no link: a pair that is never offered is already connected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.common import discard, saved, scratch
 
-PIVOTS = 4
+PIVOTS = 4  # of a group in the first round; as many times more in each round after it
+TURNS = 3  # rounds of pivots at most; every round is a fixed number of jobs
 LEAST_FOUND = 0.05  # of the pairs offered: with fewer links, another round of pivots does not pay
 FEW = 32  # members of a group whose pairs are offered at once
+BLOCK = 2048  # members of a larger group that are compared together
+STEP = 32
+#: Whether pairs may link, of the columns of their members as arrays that numpy broadcasts.
+Test = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
+
+def starred(links: DataFrame) -> bool:
+    """Whether links (a > b) are stars: each ``a`` has one ``b``, which is nobody's ``a``."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return each.where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,10 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars tie every larger neighbour of a node to the smallest node around it, small stars every smaller one; both keep
     the components, and in a logarithmic number of rounds only stars around the smallest nodes are left.
     """
-    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     links = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    now, before = state(links), None
-    while now != before:
+    while not starred(links):
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -39,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = saved(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
         discard(links)
-        links, before, now = new, now, state(new)
+        links = new
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -69,23 +81,70 @@ def still_apart(members: DataFrame, parts: DataFrame) -> DataFrame:
     return saved(placed.join(several, "key", "left_semi"), "apart")
 
 
-def met(left: DataFrame, right: DataFrame, fits: Column, carried: list[str]) -> DataFrame:
-    """a, b: the fitting pairs of members of a group in different components, of two frames of :func:`still_apart`."""
-    other = right.select("key", *[F.col(c).alias(f"{c}_h") for c in ["node", *carried, "_part"]])
-    both = left.join(other, "key").where((F.col("_part") != F.col("_part_h")) & fits)
+def crossing_pairs(apart: DataFrame, fits: Column, carried: list[str]) -> DataFrame:
+    """a, b: all fitting pairs of members of a group in different components, for groups of few members."""
+    other = apart.select("key", *[F.col(c).alias(f"{c}_h") for c in ["node", *carried, "_part"]])
+    both = apart.join(other, "key").where((F.col("_part") != F.col("_part_h")) & fits & (F.col("node") < F.col("node_h")))
     return both.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct()
 
 
-def pivot_pairs(apart: DataFrame, fits: Column, carried: list[str], turn: int) -> DataFrame:
-    """a, b: each member with its group's pivot of this turn. Groups of like members choose one of ``PIVOTS`` orders, so a member meets a few pivots."""
+def in_blocks(apart: DataFrame) -> DataFrame:
+    """The members with ``_blocks``, the number of blocks of about ``BLOCK`` members of their group, and ``_block``, their own."""
+    sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    return apart.join(sizes, "key").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+
+
+def tiled(rows: DataFrame, tests: Sequence[Test], carried: list[str]) -> DataFrame:
+    """a, b: the pairs of different components that pass all tests, of the tiles (key, lo, hi): sides 0 and 1, or side 0 with itself if lo = hi.
+
+    A tile has about two blocks of members; numpy compares ``STEP`` of them at once with the others, and each test looks only at the pairs that the ones before it have left.
+    """
+    names = ["node", "_part", *carried]
+
+    def compare(tile: pa.Table) -> pa.Table:
+        side = tile.column("side").to_numpy()
+        alone = tile.column("lo")[0].as_py() == tile.column("hi")[0].as_py()
+        values = {c: tile.column(c).to_numpy() for c in names}
+        x, y = ({c: v[side == k] for c, v in values.items()} for k in (0, 0 if alone else 1))
+        a, b = [], []
+        for begin in range(0, len(x["node"]), STEP):
+            part = {c: v[begin : begin + STEP] for c, v in x.items()}
+            tall = {c: v[:, None] for c, v in part.items()}
+            fit = tall["_part"] != y["_part"]
+            if alone:
+                fit &= tall["node"] < y["node"]
+            for test in tests[:1]:
+                fit &= test(tall, y)
+            at, other = np.nonzero(fit)
+            for test in tests[1:]:
+                good = test({c: v[at] for c, v in part.items()}, {c: v[other] for c, v in y.items()})
+                at, other = at[good], other[good]
+            one, two = part["node"][at], y["node"][other]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
+        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    wanted = rows.select("key", "lo", "hi", "side", *[F.col(c).cast("long").alias(c) for c in names])
+    return wanted.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def pivot_pairs(apart: DataFrame, tests: Sequence[Test], carried: list[str], turn: int) -> DataFrame:
+    """a, b: each member with its group's pivots of this turn, four times as many as in the last. Groups of like members choose by one of ``PIVOTS`` orders."""
     place = F.xxhash64("node", F.lit(turn), F.pmod(F.xxhash64("key"), F.lit(PIVOTS)))
-    pivots = apart.groupBy("key").agg(F.min(F.struct(place.alias("place"), "node", *carried, "_part")).alias("h"))
-    return met(apart, pivots.select("key", "h.*").drop("place"), fits, carried)
+    blocks = in_blocks(apart)
+    first = Window.partitionBy("key").orderBy(place, "node")
+    pivots = blocks.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= PIVOTS**turn).drop("_place")
+    sides = blocks.withColumn("lo", F.col("_block")).withColumn("side", F.lit(0)).unionByName(
+        pivots.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("side", F.lit(1))
+    )
+    return tiled(sides.withColumn("hi", F.lit(-1)), tests, carried)
 
 
-def crossing_pairs(apart: DataFrame, fits: Column, carried: list[str]) -> DataFrame:
-    """a, b: all pairs of members of a group in different components."""
-    return met(apart, apart, fits & (F.col("node") < F.col("node_h")), carried)
+def large_crossing_pairs(apart: DataFrame, tests: Sequence[Test], carried: list[str]) -> DataFrame:
+    """a, b: all pairs of members of a group in different components that pass the tests: every block of a group meets every other."""
+    each = in_blocks(apart).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sides = each.withColumn("lo", F.least("_block", "_other")).withColumn("hi", F.greatest("_block", "_other"))
+    return tiled(sides.withColumn("side", (F.col("_block") != F.col("lo")).cast("int")), tests, carried)
 
 
 def many_crossings(apart: DataFrame) -> bool:
@@ -103,18 +162,20 @@ def joined_components(
     verify: Callable[[DataFrame], DataFrame],
     sketches: DataFrame | None = None,
     alike: Column | None = None,
+    tests: Sequence[Test] = (),
 ) -> DataFrame:
     """node, component of the members (key, node and ``carried``) that :func:`verify` links; ``verify`` keeps of pairs (a, b) those that link.
 
     ``fits`` may name the carried columns, which have a ``_h`` behind them for the other one of a pair. ``alike`` may also name the columns of
     ``sketches`` (node, ...): what is too wide to carry for all members, and is given only to those of groups in several components.
+    ``tests`` say the same as ``fits`` and ``alike``, or less, of columns in arrays, which hold whole numbers; the cheapest and closest comes first.
     """
     with scratch(members.sparkSession) as keep:
-        return keep(_joined(members, fits, carried, order, verify, sketches, alike), "components")
+        return keep(_joined(members, fits, carried, order, verify, sketches, alike, tests), "components")
 
 
 def _joined(
-    members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, alike: Column | None
+    members: DataFrame, fits: Column, carried: list[str], order: list[str], verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, alike: Column | None, tests: Sequence[Test]
 ) -> DataFrame:
     done = saved(hub_pairs(members, fits, carried, order), "offered")
     links = verify(done)
@@ -141,19 +202,20 @@ def _joined(
     seen = apart
     if sketches is not None:
         seen, fits, carried = apart.join(sketches, "node"), fits & alike, [*carried, *[c for c in sketches.columns if c != "node"]]
-    linked(crossing_pairs(seen.join(many, "key", "left_anti"), fits, carried))
+    offered = crossing_pairs(seen.join(many, "key", "left_anti"), fits, carried)
     if many.isEmpty():
+        linked(offered)
         return parts
-    large = still_apart(seen.join(many, "key", "left_semi").drop("_part"), parts)
+    large = saved(seen.join(many, "key", "left_semi"), "apart")
+    asked, found = linked(offered.union(pivot_pairs(large, tests, carried, 1)).distinct())
     discard(apart)
-    pays, turn = not links.isEmpty(), 0
-    while pays and many_crossings(large):
-        turn += 1
-        asked, found = linked(pivot_pairs(large, fits, carried, turn))
-        pays = found > 0 and found >= LEAST_FOUND * asked
+    for turn in range(2, TURNS + 2):
         if found:
             before, large = large, still_apart(large.drop("_part"), parts)
             discard(before)
+        if turn > TURNS or found < max(1, LEAST_FOUND * asked) or not many_crossings(large):
+            break
+        asked, found = linked(pivot_pairs(large, tests, carried, turn))
     if not large.isEmpty():
-        linked(crossing_pairs(large, fits, carried))
+        linked(large_crossing_pairs(large, tests, carried))
     return parts

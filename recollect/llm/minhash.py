@@ -127,6 +127,24 @@ def few_turned(bits: int, similarity: float) -> Column:
     return turned <= (F.col("n") + F.col("n_h")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
+def few_turned_in(x: dict[str, np.ndarray], y: dict[str, np.ndarray], bits: int, similarity: float) -> np.ndarray:
+    """:func:`few_turned` of columns in arrays that numpy broadcasts to pairs."""
+    turned = sum(np.bitwise_count((x[f"p{k}"] ^ y[f"p{k}"]).view(np.uint64)).astype(np.int16) for k in range(bits // 64))
+    return turned <= (x["n"] + y["n"]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def parts_apart_in(x: dict[str, np.ndarray], y: dict[str, np.ndarray], words: int) -> np.ndarray:
+    """:func:`parts_apart` of columns in arrays that numpy broadcasts to pairs."""
+
+    def word(k: int) -> np.ndarray:
+        z = (x[f"s{k}"] ^ y[f"s{k}"]).view(np.uint64)
+        z = z | z >> np.uint64(1)
+        z = z | z >> np.uint64(2)
+        return np.bitwise_count(z & np.uint64(0x1111111111111111)).astype(np.int16)
+
+    return sum(word(k) for k in range(words))
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(run_hashes(word_hashes(split_words(text)), width))
 

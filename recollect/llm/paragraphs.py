@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, fresh, mixed, run_hashes, saved, scratch, signed, word_hashes
+from recollect.llm.common import SHINGLE_WORDS, SIMILARITY, discard, fresh, mixed, narrowed, run_hashes, saved, scratch, signed, word_hashes
 from recollect.llm.links import joined_components, shared_members
-from recollect.llm.minhash import band_keys, few_turned, minima, most_apart, parities, parts_apart, signature_words, signatures, text_key
+from recollect.llm.minhash import band_keys, few_turned, few_turned_in, minima, most_apart, parities, parts_apart, parts_apart_in, signature_words, signatures, text_key
 
 LINE_WORDS = 20
 WINDOW = 24
@@ -150,7 +150,7 @@ def paragraph_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, members (sorted shingle hashes as bytes) of lines (node, text_key, start, end). Copies of a text are combined before the shuffle."""
     wanted = nodes.groupBy("text_key").agg(F.collect_list(F.struct("node", "start", "end")).alias("lines"))  # lines of one text
-    texts = docs.select(F.unhex(text_key()).alias("text_key"), "text").join(wanted.select("text_key"), "text_key", "left_semi")
+    texts = narrowed(docs.select(F.unhex(text_key()).alias("text_key"), "text"), "text_key", nodes.select("text_key"))
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +194,11 @@ def line_clusters(found: DataFrame, docs: DataFrame, similarity: float) -> DataF
     classes = saved(classes.select("*", *[F.get("signature", F.lit(k)).alias(c) for k, c in enumerate(parts)]).drop("signature"), "paragraph-classes")
     held = shared_members(classes.select("node", F.explode("keys").alias("key")), "paragraph-bands")
     members = held.join(classes.select("node", "n", *parts), "node")
-    fits = few_turned(PARITY, similarity) & (parts_apart(words) <= most_apart(BANDS * ROWS, round(100 * similarity)))
+    most = most_apart(BANDS * ROWS, round(100 * similarity))
+    fits = few_turned(PARITY, similarity) & (parts_apart(words) <= most)
+    tests = [lambda x, y: few_turned_in(x, y, PARITY, similarity), lambda x, y: parts_apart_in(x, y, words) <= most]
     nodes = classes.select("node", "text_key", "start", "end")
-    joined = joined_components(members, fits, ["n", *parts], ["node"], lambda pairs: similar(pairs, nodes, docs, similarity))
+    joined = joined_components(members, fits, ["n", *parts], ["node"], lambda pairs: similar(pairs, nodes, docs, similarity), tests=tests)
     discard(held)
     placed = classes.select("key", "node", "size").join(joined, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     sizes = placed.groupBy("cluster").agg(F.sum("size").alias("_size")).where("_size > 1").select("cluster")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, jaccard, links, minhash, paragraphs, suffixes
+from recollect.llm import common, decontaminate, jaccard, links, minhash, paragraphs, suffixes
 from tests.llm.fixtures import DOCS, documents, plain, rows, sentence
 
 
@@ -326,6 +326,72 @@ def test_large_groups_are_joined_by_pivots(spark):
     assert sum(offered) < 400 * 399 / 2
 
 
+def test_rounds_of_pivots_are_few(spark):
+    """A large group whose members link slowly costs a fixed number of rounds, not one for each pivot."""
+    members = spark.createDataFrame([(1, k) for k in range(400)], "key long, node long")
+    offered = []
+
+    def verify(pairs):
+        offered.append(pairs.count())
+        return pairs.where("pmod(xxhash64(a, b), 12) = 0")
+
+    got = links.joined_components(members, F.lit(True), [], ["node"], verify).collect()
+    assert {r.component for r in got} == {0} and len(got) == 400
+    assert len(offered) <= links.TURNS + 2 and sum(offered) < 400 * 399 / 2
+
+
+def test_large_groups_are_crossed_in_tiles(spark, monkeypatch):
+    """Blocks of a group meet all others, and a test drops no pair that links; nothing of another group is offered."""
+    monkeypatch.setattr(links, "BLOCK", 16)
+    members = [(g, g * 1000 + k, k) for g in (1, 2) for k in range(100)]
+    parts = spark.createDataFrame([(1000 + k, 1000) for k in range(3)], "node long, component long")
+    apart = links.still_apart(spark.createDataFrame(members, "key long, node long, n long"), parts)
+    near = lambda x, y: abs(x["n"] - y["n"]) <= 5
+    want = {(g * 1000 + a, g * 1000 + b) for g in (1, 2) for a in range(100) for b in range(a + 1, min(a + 6, 100)) if g == 2 or b > 2}
+    assert Counter((r.a, r.b) for r in links.large_crossing_pairs(apart, [near], ["n"]).collect()) == Counter(want)
+    every = {(a, b) for a, b in itertools.combinations([m[1] for m in members], 2) if a // 1000 == b // 1000 and b != 1001 and (a, b) not in {(1000, 1002), (1001, 1002)}}
+    assert {(r.a, r.b) for r in links.large_crossing_pairs(apart, [], []).collect()} == every
+    pivots = {(r.a, r.b) for r in links.pivot_pairs(apart, [near], ["n"], 1).collect()}
+    assert pivots and pivots <= want and len({x for p in pivots for x in p}) >= 2 * links.PIVOTS
+
+
+def test_filters_in_arrays_agree_with_those_in_columns(spark):
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 90, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 62, 6, dtype=np.uint64)]) for _ in range(24)]
+    least = minhash.minima(np.concatenate(sets), np.array([len(x) for x in sets]), 40)
+    bits, sizes = minhash.parities(np.concatenate(sets), np.array([len(x) for x in sets]), 128)
+    values = np.concatenate([minhash.signatures(least), bits], axis=1).view(np.int64)
+    names = [f"s{k}" for k in range(minhash.signature_words(40))] + ["p0", "p1"]
+    rows = [(i, int(n), *map(int, v)) for i, (n, v) in enumerate(zip(sizes, values, strict=True))]
+    df = spark.createDataFrame(rows, "node long, n long, " + ", ".join(f"{c} long" for c in names))
+    both = df.crossJoin(df.toDF(*[f"{c}_h" for c in df.columns])).select("node", "node_h", minhash.parts_apart(3).alias("apart"), minhash.few_turned(128, 0.8).alias("few"))
+    x = {"n": sizes.astype(np.int64)} | {c: values[:, k] for k, c in enumerate(names)}
+    tall = {c: v[:, None] for c, v in x.items()}
+    apart, few = minhash.parts_apart_in(tall, x, 3), minhash.few_turned_in(tall, x, 128, 0.8)
+    assert 0 < few.sum() < few.size
+    assert all((r.apart, r.few) == (apart[r.node, r.node_h], few[r.node, r.node_h]) for r in both.collect())
+
+
+def test_rows_are_narrowed_before_a_join(spark):
+    """Of many rows only the wanted ones, and few others, reach the join; no key is lost, not even 0, negative ones, text or bytes."""
+    rows = spark.range(-5000, 5000).select("id", F.md5(F.col("id").cast("string")).alias("text_key"))
+    rows = rows.withColumn("raw", F.unhex("text_key")).union(spark.createDataFrame([(None, None, None)], "id long, text_key string, raw binary"))
+    wanted = rows.where("id % 100 = 0")
+    for key in rows.columns:
+        got = common.narrowed(rows, key, wanted.select(key))
+        assert got.columns == rows.columns
+        ids = Counter(r.id for r in got.collect())
+        assert set(ids.values()) == {1} and ids.keys() >= set(range(-5000, 5000, 100)) and len(ids) < 120
+        assert common.narrowed(rows, key, wanted.limit(0).select(key)).count() == 0
+
+
+def test_stars_need_no_round(spark):
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    assert links.starred(frame([(3, 1), (4, 1), (9, 2)])) and links.starred(frame([]))
+    assert not links.starred(frame([(3, 1), (3, 2)])) and not links.starred(frame([(3, 2), (2, 1)]))
+
+
 def test_jaccard_joins_meet_only_like_sets(spark, monkeypatch):
     """Texts that share their rarest shingles but little else are kept apart inside the join; none that links is lost."""
     rng = random.Random(3)
