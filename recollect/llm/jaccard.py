@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, fresh, run_hashes, saved, scratch, signed, split_words, word_hashes
+from recollect.llm.common import discard, fresh, narrowed, run_hashes, saved, scratch, signed, split_words, word_hashes
 from recollect.llm.links import joined_components, shared_members
-from recollect.llm.minhash import few_turned, parity_words
+from recollect.llm.minhash import few_turned, few_turned_in, parity_words
 
 SHINGLE = 3
 PERCENT = 90
@@ -156,7 +156,7 @@ def text_key():
 
 def sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """node, members (sorted shingle hashes as bytes) for nodes (node, text_key). Copies of a text are combined before the shuffle."""
-    texts = docs.select(text_key().alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = narrowed(docs.select(text_key().alias("text_key"), "text"), "text_key", nodes.select("text_key")).groupBy("text_key").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +184,7 @@ def promising(pairs: DataFrame, shorts: DataFrame, counts: np.ndarray, percent:
                 good.append(100 * most >= percent * (n + m - most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    shorts = narrowed(shorts, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     first = pairs.join(shorts.toDF("a", "n", "x"), "a")
     both = first.join(shorts.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     return saved(both.mapInArrow(merge, "a long, b long"), "jaccard-candidates")
@@ -229,7 +230,12 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     nodes = classes.select("node", "text_key")
     shorts = classes.select("node", "n", "short")
     verify = lambda pairs: verified(promising(pairs, shorts, counts, percent), nodes, docs, width, percent)
-    parts = joined_components(members, fits, ["n", "at"], ["at", "node"], verify, classes.select("node", *PARITIES), few_turned(PARITY, percent / 100))
+
+    def positioned(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        return (100 + percent) * np.minimum(x["n"] - x["at"], y["n"] - y["at"]) >= percent * (x["n"] + y["n"])
+
+    tests = [positioned, lambda x, y: few_turned_in(x, y, PARITY, percent / 100)]
+    parts = joined_components(members, fits, ["n", "at"], ["at", "node"], verify, classes.select("node", *PARITIES), few_turned(PARITY, percent / 100), tests)
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component", "component_id")
