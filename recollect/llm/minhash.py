@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, mixed, run_hashes, saved, scratch, signed, split_words, word_hashes
+from recollect.llm.common import discard, mixed, narrowed, run_hashes, saved, scratch, signed, split_words, word_hashes
 from recollect.llm.links import joined_components, shared_members
 
 SHINGLE = 2
@@ -199,7 +199,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     """The pairs (a, b) of nodes (node, text_key) whose full sets have the similarity."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(used, "node", "left_semi")
-    texts = docs.select(text_key().alias("text_key"), "text").join(wanted.select("text_key"), "text_key", "left_semi")
+    texts = narrowed(docs.select(text_key().alias("text_key"), "text"), "text_key", wanted.select("text_key"))
     one = texts.groupBy("text_key").agg(F.first("text").alias("text"))  # copies are combined before the shuffle
 
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def minhash_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 
 
 def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
-    words = compared(bands * rows)
+    words, width_s, most = compared(bands * rows), signature_words(bands * rows), most_apart(bands * rows, percent)
     sets = encoded(docs, width, bands, rows)
     grouped = sets.where("n > 0").groupBy("set_key").agg(F.min(F.struct("node", "n", "text_key", "keys", *words)).alias("r"), F.min("doc_id").alias("least_id"))
     classes = saved(grouped.select("set_key", "r.*", "least_id"), "minhash-classes")
@@ -240,10 +240,11 @@ def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int
     held = shared_members(classes.select("node", F.explode("keys").alias("key")), "minhash-bands")
     members = held.join(classes.select("node", "n", *words), "node")
     size = 100 * F.least("n", "n_h") >= percent * F.greatest("n", "n_h")
-    fits = size & few_turned(PARITY, percent / 100) & (parts_apart(signature_words(bands * rows)) <= most_apart(bands * rows, percent))
+    fits = size & few_turned(PARITY, percent / 100) & (parts_apart(width_s) <= most)
+    tests = [lambda x, y: few_turned_in(x, y, PARITY, percent / 100), lambda x, y: 100 * np.minimum(x["n"], y["n"]) >= percent * np.maximum(x["n"], y["n"]), lambda x, y: parts_apart_in(x, y, width_s) <= most]
     carried = ["n", *words]
     nodes = classes.select("node", "text_key")
-    parts = joined_components(members, fits, carried, ["node"], lambda pairs: confirmed(pairs, nodes, docs, width, percent))
+    parts = joined_components(members, fits, carried, ["node"], lambda pairs: confirmed(pairs, nodes, docs, width, percent), tests=tests)
     placed = classes.select("set_key", "node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("set_key", "component_id")
