@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def shared_members(members: DataFrame, name: str) -> DataFrame:
     """The members (key, ...) of groups of two or more. Most keys are alone; only they are counted, and nothing later meets the others."""
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    several = group_sizes(members).where("_n > 1").select("key")
     return saved(members.join(several, "key", "left_semi"), name)
 
 
@@ -88,9 +88,20 @@ def crossing_pairs(apart: DataFrame, fits: Column, carried: list[str]) -> DataFr
     return both.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct()
 
 
-def in_blocks(apart: DataFrame) -> DataFrame:
-    """The members with ``_blocks``, the number of blocks of about ``BLOCK`` members of their group, and ``_block``, their own."""
-    sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+def group_sizes(members: DataFrame) -> DataFrame:
+    """key, _n: how many members each group has."""
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def in_blocks(apart: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The members of the groups (key, _n), or of all, with ``_blocks``, the number of blocks of about ``BLOCK`` members of their group, and ``_block``, their own.
+
+    Members that have them stay as they are: a group lies apart as a whole or not at all, so its blocks hold for all rounds, and no round joins
+    the members with their group's size again. Tiles then are dealt by what they are, not by the key of such a join, which brings a whole group to one task.
+    """
+    if "_blocks" in apart.columns:
+        return apart
+    sizes = (group_sizes(apart) if groups is None else groups).select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     return apart.join(sizes, "key").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
 
 
@@ -198,7 +209,7 @@ def _joined(
 
     if apart.isEmpty():
         return parts
-    many = saved(apart.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("key"), "groups")
+    many = saved(group_sizes(apart).where(F.col("_n") > FEW), "groups")
     seen = apart
     if sketches is not None:
         seen, fits, carried = apart.join(sketches, "node"), fits & alike, [*carried, *[c for c in sketches.columns if c != "node"]]
@@ -206,7 +217,7 @@ def _joined(
     if many.isEmpty():
         linked(offered)
         return parts
-    large = saved(seen.join(many, "key", "left_semi"), "apart")
+    large = saved(in_blocks(seen, many), "apart")
     asked, found = linked(offered.union(pivot_pairs(large, tests, carried, 1)).distinct())
     discard(apart)
     for turn in range(2, TURNS + 2):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -355,6 +356,25 @@ def test_large_groups_are_crossed_in_tiles(spark, monkeypatch):
     assert pivots and pivots <= want and len({x for p in pivots for x in p}) >= 2 * links.PIVOTS
 
 
+def test_large_groups_meet_their_size_once(spark, monkeypatch):
+    """No round joins the members of large groups with their group's size again, and tiles are dealt by their blocks, not by the group."""
+    monkeypatch.setattr(links, "BLOCK", 64)
+    plans = []
+    for name in ("pivot_pairs", "large_crossing_pairs"):
+
+        def noted(*args, make=getattr(links, name)):
+            plans.append(make(*args))
+            return plans[-1]
+
+        monkeypatch.setattr(links, name, noted)
+    members = spark.createDataFrame([(g, g * 1000 + k) for g in (1, 2) for k in range(300)], "key long, node long")
+    got = links.joined_components(members, F.lit(True), [], ["node"], lambda pairs: pairs.where("(a + b) % 2 = 0 AND pmod(xxhash64(a, b), 8) = 0")).collect()
+    assert {r.node: r.component for r in got} == {g * 1000 + k: g * 1000 + k % 2 for g in (1, 2) for k in range(300)}
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(texts) >= 3 and not any("Join" in t for t in texts)
+    assert all(re.search(r"hashpartitioning\(key#\w+, lo#\w+, hi#\w+,", t) for t in texts)
+
+
 def test_filters_in_arrays_agree_with_those_in_columns(spark):
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 62, 90, dtype=np.uint64))
