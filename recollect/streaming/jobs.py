@@ -190,39 +190,96 @@ def working_memory_stream(stream: DataFrame, owner: str, capacity: int = 50, ttl
 
 
 class _Affinity(_Ticks):
-    def __init__(self, keys: list[str], columns: list[str], time: str, order: list[str], start: float, tick: int):
+    """One call and one value of state serve all keys of a group, since a question to the store takes longer than a key's rows.
+
+    The rows of a tick wait in parts, one for each frame they came in, so that a batch adds to what waits and never writes it again.
+    """
+
+    def __init__(self, keys: list[str], columns: list[str], time: str, order: list[str], change: str, start: float, tick: int):
         super().__init__(columns, time, order, tick)
-        self.keys, self.start = keys, start
+        self.keys, self.change, self.start = keys, change, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.value = handle.getValueState("affinity", "x double")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "tick long, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "tick long", "n int")
+        self.values = handle.getValueState("affinity", "x binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known: dict[int, int] = {}  # parts of the ticks met
+        for frame in rows:
+            ticks = frame[self.time].to_numpy("datetime64[ms]").astype("int64") // self.tick
+            for tick, part in frame[self.columns].groupby(ticks):
+                tick = int(tick)
+                if tick not in known:
+                    known[tick] = self._parts(tick)
+                    if not known[tick]:
+                        self.handle.registerTimer((tick + 1) * self.tick)
+                self.waiting.updateValue((tick, known[tick]), (pickle.dumps(part.reset_index(drop=True)),))
+                known[tick] += 1
+        for tick, n in known.items():
+            self.parts.updateValue((tick,), (n,))
+        return iter(())
+
+    def _parts(self, tick: int) -> int:
+        held = self.parts.getValue((tick,))
+        return held[0] if held else 0
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tick = expiredTimerInfo.getExpiryTimeInMs() // self.tick - 1
+        frames = []
+        for part in range(self._parts(tick)):
+            frames.append(pickle.loads(self.waiting.getValue((tick, part))[0]))
+            self.waiting.removeKey((tick, part))
+        if frames:
+            self.parts.removeKey((tick,))
+            yield self.apply(key, pd.concat(frames, ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True))
 
     def apply(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
-        known = self.value.get()
-        x = known[0] if known else self.start
+        known = self.values.get()
+        values = pickle.loads(known[0]) if known else {}
         old, new = [], []
-        for c in frame["change"]:
+        for name, c in zip(zip(*[frame[k].tolist() for k in self.keys], strict=True), frame[self.change].tolist()):
+            x = values.get(name, self.start)
             old.append(x)
-            x = min(100.0, max(0.0, x + float(c)))
+            x = min(100.0, max(0.0, x + c))
             new.append(x)
-        self.value.update((x,))
-        keyed = pd.DataFrame({name: [value] * len(frame) for name, value in zip(self.keys, key, strict=True)})
-        return pd.concat([keyed, frame], axis=1).assign(old_affinity=old, new_affinity=new)
+            values[name] = x
+        self.values.update((pickle.dumps(values),))
+        return frame.assign(old_affinity=old, new_affinity=new)
 
 
-def affinity_stream(stream: DataFrame, keys: list[str], order: list[str], time: str, start: float = 50.0, delay: str = "10 minutes", tick: str = "1 hour") -> DataFrame:
+GROUPS = 1024  # of keys
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def affinity_stream(
+    stream: DataFrame, keys: list[str], order: list[str], time: str, start: float = 50.0, delay: str = "10 minutes", tick: str = "1 hour", groups: int = GROUPS
+) -> DataFrame:
     """Running affinity per key over a stream of changes, in ``order`` within each tick of event time; one value of state per key besides the rows that wait.
 
     ``time`` is the event time, which ``order`` must not contradict. Rows more than ``delay`` behind the newest time seen are left out and counted (:func:`late_rows`).
+    The keys are dealt to ``groups`` by their hash; a group has its rows of a tick and the values of its keys in memory, one group at a time. A stream that goes on keeps its ``groups``.
     """
     rest = list(dict.fromkeys([*order, time]))
     slim = stream.select(*keys, *[c for c in rest if c != time], F.col(time).cast("timestamp").alias(time), F.col("change").cast("double").alias("change"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    out = slim.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Affinity(keys, [c for c in slim.columns if c not in keys], time, order, start, _millis(tick)),
-        outputStructType=f"{fields}, old_affinity double, new_affinity double", outputMode="Append", timeMode="EventTime",
+    names = {c: f"c{i}" for i, c in enumerate(slim.columns)}  # Spark's rows for Python rename what is no identifier
+    types = {c: slim.schema[c].dataType.simpleString() for c in names}
+    # pandas has no null among whole numbers and would round them all: they travel as a number and a mark.
+    marks = {c: f"no_{names[c]}" for c in names if types[c] in _WHOLE}
+    sent = slim.withWatermark(time, delay).select(
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("key_group"), *[F.col(c).isNull().alias(m) for c, m in marks.items()],
+        *[(F.coalesce(c, F.lit(0).cast(types[c])) if c in marks else F.col(c)).alias(n) for c, n in names.items()],
     )
+
+    def sent_as(columns: list[str]) -> list[str]:
+        return [x for c in columns for x in ([marks[c], names[c]] if c in marks else [names[c]])]
+
+    fields = ", ".join([*[f"{m} boolean" for m in marks.values()], *[f"{n} {types[c]}" for c, n in names.items()]])
+    processor = _Affinity(sent_as(keys), [*marks.values(), *names.values()], names[time], sent_as(order), names["change"], start, _millis(tick))
+    out = sent.groupBy("key_group").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{fields}, old_affinity double, new_affinity double", outputMode="Append", timeMode="EventTime")
+    out = out.select(*[(F.when(~F.col(marks[c]), F.col(n)) if c in marks else F.col(n)).alias(c) for c, n in names.items()], "old_affinity", "new_affinity")
     old, new = affinity_level("old_affinity"), affinity_level("new_affinity")
     return out.withColumns({"old_level": old, "new_level": new, "level_changed": old != new})
 

@@ -86,6 +86,31 @@ def test_idle_owners_leave_the_state(spark, tmp_path):
     assert [r for r in current(spark, out) if r[0] == "o7"] == [("o7", 502)]
 
 
+def test_affinity_of_many_keys_in_few_groups(spark, tmp_path):
+    """Null keys and numbers that doubles cannot tell apart; a tick that three batches fill; the state has entries per group, not per key."""
+    J.use_state_store(spark)
+    schema = "owner string, player long, seq long, created_at timestamp, change double"
+    rng = random.Random(7)
+    data = [
+        (rng.choice(["a", "b", None]), rng.choice([None, 2**53 + 1, 2**53, *range(200)]), 2**53 + i, START + dt.timedelta(minutes=i // 30), float(rng.randint(-40, 40)))
+        for i in range(1500)
+    ]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    closing = [("closing", -1, -1, START + dt.timedelta(days=9), 0.0)]
+    for batch in [data[::3], data[1::3], data[2::3], closing]:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = run(J.affinity_stream(stream, ["owner", "player"], ["created_at", "seq"], "created_at", delay="60 minutes", tick="20 minutes", groups=4), out, str(tmp_path / "c"), "append")
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) < 100
+    values, want = {}, []
+    for owner, player, seq, _, change in data:
+        old = values.get((owner, player), 50.0)
+        values[owner, player] = new = min(100.0, max(0.0, old + change))
+        want.append((owner, player, seq, change, old, new))
+    got = spark.read.parquet(out).select("owner", "player", "seq", "change", "old_affinity", "new_affinity")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_snapshots_replace_each_other(spark, tmp_path):
     schema = "k int, seq int, v string, ts timestamp_ntz"
     path, out, check = (str(tmp_path / n) for n in ("in", "out", "c"))
