@@ -106,7 +106,10 @@ SELECT u AS subject, 'hello ' || event_id AS message, 'fine: ' || event_id AS re
 def st5(t):
     """First every log file up to a place amid a dialogue, then what lies behind it."""
     path, out, check = (work_path(t.spark, n) for n in ("log", "sessions", "sessions-state"))
-    _log_lines(t).repartition(4, "file").sortWithinPartitions("file", "line").select("value").write.text(path)
+    # A file for so many dialogues; the 100 places of a dialogue's lines stay in one.
+    files = max(4, t.events.count() // 40_000)
+    dialogue = (F.col("line") - F.pmod("line", F.lit(100))).alias("dialogue")
+    _log_lines(t).select("*", dialogue).repartitionByRange(files, "file", "dialogue").sortWithinPartitions("file", "line").select("value").write.text(path)
     for part in ({"until": 20_000}, {}):
         J.dialogue_log_stream(t.spark, path, out, check, **part).trigger(availableNow=True).start().awaitTermination()
     return J.latest_sessions(t.spark, out).select("subject", "message", "reply", "change", "total_seconds", "complete")

@@ -48,8 +48,10 @@ def parse_dialogue_log(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataF
         value = F.regexp_extract("msg", pattern, 1) if "(" in pattern.replace("(?:", "").replace(r"\(", "") else F.lit("")
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         part = F.when(hit, value) if part is None else part.when(hit, value)
-    typed = parsed.select("file", "line", *carried, (F.col("h") * 3600 + F.col("m") * 60 + F.col("s")).alias("seconds"), kind.alias("kind"), part.alias("part"))
-    return typed.select(
+    # Behind an explode, a caller's filter on the kind stays where it is; pushed down it would match all patterns once more, with the clock's again for each.
+    stage = F.explode(F.array(F.struct(kind.alias("kind"), part.alias("part")))).alias("_stage")
+    typed = parsed.select("file", "line", *carried, (F.col("h") * 3600 + F.col("m") * 60 + F.col("s")).alias("seconds"), stage)
+    return typed.select("file", "line", *carried, "seconds", "_stage.kind", "_stage.part").select(
         "file", "line", *carried, "seconds", "kind",
         F.when(F.col("kind").isin(*_SUBJECT), F.col("part")).alias("subject"),
         F.when(F.col("kind").isin(*_NUMBER), F.col("part").try_cast("double")).alias("number"),

@@ -297,7 +297,9 @@ def dialogue_log_stream(spark: SparkSession, path: str, sink: str, checkpoint: s
 
     def store(batch: DataFrame, number: int) -> None:
         events = f"{sink}/events"
-        parse_dialogue_log(batch).where(F.col("kind").isNotNull()).repartitionByRange("file", "line").sortWithinPartitions("file", "line").write.mode("overwrite").parquet(f"{events}/batch={number}")
+        # A task reads pieces of files in their order, so what it writes is sorted; range borders would need a sample, for which every line is read and parsed once more.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        parse_dialogue_log(batch).where(F.col("kind").isNotNull()).coalesce(tasks).write.mode("overwrite").parquet(f"{events}/batch={number}")
         # The names are those of one batch's files; as a filter they reach the Parquet scan of the earlier events.
         touched = [r["file"] for r in spark.read.parquet(f"{events}/batch={number}").select("file").distinct().collect()]
         known = spark.read.parquet(events).where(F.col("file").isin(touched) & (F.col("batch") <= number)).drop("batch")

@@ -233,6 +233,25 @@ def test_sessions_over_a_border_are_rebuilt(spark, tmp_path):
     assert trigger(rest, "a.log") == [("A", "hi", "yo", 2.0, 6, True), ("A", "hi", "yo", None, 2, False), ("B", "hey", None, None, 0, False)]
 
 
+def test_a_batch_of_log_lines_is_read_and_parsed_once(spark, tmp_path):
+    """Pieces of several files; no sample for range borders reads them again, and the filter on the kind matches no pattern again."""
+    from recollect.sources.logs import parse_dialogue_log
+
+    folder, out = tmp_path / "logs", str(tmp_path / "out")
+    folder.mkdir()
+    for name in ("a.log", "b.log"):
+        lines = [x for k in range(40) for x in (f"08:{k:02d}:00 - 💬 对话开始: {name} <-> 玩家", f"08:{k:02d}:00 - 📝 玩家消息: m{k}", "", f"08:{k:02d}:03 - ✅ 对话完成")]
+        (folder / name).write_text("".join(f"{x}\n" for x in lines))
+    query = J.dialogue_log_stream(spark, str(folder), out, str(tmp_path / "c"), pieceBytes=500).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p.numInputRows for p in query.recentProgress) == 2 * 40 * 4
+    got = sorted((r.subject, r.message, r.total_seconds) for r in J.latest_sessions(spark, out).collect())
+    assert got == sorted((name, f"m{k}", 3) for name in ("a.log", "b.log") for k in range(40))
+
+    plan = parse_dialogue_log(spark.createDataFrame([("f", 0, "08:00:00 - x")], "file string, line long, value string")).where(F.col("kind").isNotNull())
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(value") == 1
+
+
 def test_lines_of_a_growing_file_are_cut_once(monkeypatch):
     """Lines over the borders of pieces and blocks; every block of bytes is searched once, whatever number of lines it holds."""
     import io
