@@ -17,6 +17,7 @@ from recollect.session import cut
 HOT_DF = 1000  # below this no term is hot, however small the corpus
 HOT_SHARE = 200  # a term of more than this part of the documents is hot
 COUNTED = 1 << 20  # tokens that a task counts at once
+LISTED = 1 << 17  # terms that may be broadcast with their counts
 
 Tokenizer = Callable[[str], Column]  # from the name of a text column to its tokens, an array of strings
 Embedder = Callable[[DataFrame], DataFrame]  # from (key, text) to (key, embedding); null or no row where it has none
@@ -60,22 +61,28 @@ def document_frequency(tf: DataFrame, *scope: str) -> DataFrame:
     return tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
 
 
-def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
+def _with_df(tf: DataFrame, df: DataFrame, n: Column, key: str, listed: int = 0) -> DataFrame:
     """Left join on the term without a hot task for terms that very many documents hold.
 
     At most 200 times the mean number of terms per document can have a df above n / 200. That list is broadcast, so the rows of these terms, the most of all, stay where
-    they are; only the others are joined by a shuffle.
+    they are; only the others are joined by a shuffle. With ``listed``, the list holds as many of the most frequent terms as that, if these are more; it reads ``df`` once more.
     """
-    is_hot = F.col("df") > F.greatest(n / HOT_SHARE, F.lit(HOT_DF))
+    least = F.greatest(n / HOT_SHARE, F.lit(HOT_DF))
+    if listed:
+        # There are few different counts: so many have a sum of at least half their square.
+        upto = F.sum("_n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0))
+        sizes = df.groupBy("df").agg(F.count("*").alias("_n")).select("df", upto.alias("_upto"))
+        least = F.least(least, sizes.where(F.col("_upto") <= listed).agg(F.min("df") - F.lit(1)).scalar())
+    is_hot = F.col("df") > least
     hot, rest = F.broadcast(df.where(is_hot)), df.where(~is_hot)
     names = [*tf.columns, *[c for c in df.columns if c != "term"]]
     rare = tf.join(hot.select("term"), "term", "left_anti").join(rest, "term", "left")
     return tf.join(hot, "term").select(*names).unionByName(rare.select(*names))
 
 
-def tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id") -> DataFrame:
-    """(key, term, weight) with weight tf * ln(n / (1 + df)); an unseen term counts as df 1. May be negative."""
-    joined = _with_df(tf, df, n, key)
+def tfidf(tf: DataFrame, df: DataFrame, n: Column, key: str = "doc_id", listed: int = 0) -> DataFrame:
+    """(key, term, weight) with weight tf * ln(n / (1 + df)); an unseen term counts as df 1. May be negative. ``listed``: see :func:`_with_df`."""
+    joined = _with_df(tf, df, n, key, listed)
     idf = F.ln(n.cast("double") / (1 + F.coalesce("df", F.lit(1))))
     return joined.select(key, "term", (F.col("tf") * idf).alias("weight"))
 

@@ -552,6 +552,44 @@ def test_sparse_join_sums_frequent_terms_for_near_pairs_only(spark):
     assert {(r.query_id, r.id): round(r.score, 9) for r in got.collect()} == {k: round(s, 9) for k, s in scores.items() if round(s, 12) >= 0.3}
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_sparse_join_keeps_little_on_disk(spark, monkeypatch, few):
+    """Rows of vectors that many queries ask for, by broadcast and by shuffle: what is kept of them, and the results against all pairs."""
+    import math
+    import pathlib
+
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "HOT_LIST", 300)
+    rng = random.Random(9)
+    draw = lambda n, size: {(i, f"term_{int(rng.random() ** 2 * 400)}"): float(rng.randint(1, 5)) for i in range(n) for _ in range(size)}
+    q, v = draw(30, 12), draw(1500, 40)
+    frame = lambda data, key: spark.createDataFrame([(i, t, w) for (i, t), w in data.items()], f"{key} long, term string, weight double")
+    kept = lambda: sum(f.stat().st_size for f in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).rglob("*") if f.is_file())
+    queries, vectors, before = frame(q, "query_id"), frame(v, "id"), kept()
+    got = {(r.query_id, r.id): r.score for r in R.sparse_join(queries, vectors, 0.3).collect()}
+    assert kept() - before < 10 * len(v)
+
+    def unit(data):
+        out = {}
+        for (i, t), w in data.items():
+            out.setdefault(i, {})[t] = w
+        return {i: {t: w / math.sqrt(sum(x * x for x in own.values())) for t, w in own.items()} for i, own in out.items()}
+
+    scores = {(a, b): sum(w * y.get(t, 0.0) for t, w in x.items()) for a, x in unit(q).items() for b, y in unit(v).items()}
+    want = {k: s for k, s in scores.items() if round(s, 12) >= 0.3}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and want
+
+
+def test_listed_terms_give_the_same_weights(spark):
+    """No, some or all terms in the broadcast list; a term whose count many share is in it with all of those or not at all."""
+    from recollect.operators import text_stats as TS
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(12) if i % (j + 1) == 0) + f" u{i}") for i in range(30)], "doc_id int, text string")
+    tf = TS.term_frequency(docs)
+    weights = [sorted((r.doc_id, r.term, round(r.weight, 9)) for r in TS.tfidf(tf, TS.document_frequency(tf), F.lit(30), listed=k).collect()) for k in (0, 1, 5, 20, 1000)]
+    assert weights[0] and all(w == weights[0] for w in weights)
+
+
 def test_pairs_of_neighbours_are_dealt_out_by_memory(spark, monkeypatch):
     rng = random.Random(6)
     mentions = {("hot", m) for m in range(400)} | {(f"e{rng.randrange(9)}", rng.randrange(400)) for _ in range(300)} | {("hot", None), ("e1", None)}
